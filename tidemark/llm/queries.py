@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules, token_counts, warc
+from tidemark.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules, substring_dedup, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": warc.op1_warc,
         "op2_decontamination": decontaminate.op2_decontamination,
+        "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op5_near_dedup": near_dedup.op5_near_dedup,
         "op6_token_counts": token_counts.op6_token_counts,
         "op7_line_dedup": line_dedup.op7_line_dedup,
@@ -25,6 +26,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": warc.SQL,
         "op2_decontamination": decontaminate.SQL,
+        "op3_substring_dedup": substring_dedup.SQL,
         "op7_line_dedup": line_dedup.SQL,
         "op8_quality_rules": quality_rules.SQL,
     }

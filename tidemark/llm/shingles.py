@@ -39,18 +39,18 @@ def window_hashes(h: np.ndarray, n: int, multiplier: np.uint64 = MULTIPLIER) ->
     """Hash of every n consecutive word hashes (empty if there are fewer), by doubling of window lengths."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
-    out, length, power = None, 0, multiplier
+    out, length, power = None, 0, int(multiplier)
     block, block_length = h, 1
     rest = n
     while rest:
         if rest & 1:
-            out = block[: len(h) - block_length + 1] if out is None else out[: len(h) - length - block_length + 1] * power + block[length : len(h) - block_length + 1]
+            out = block[: len(h) - block_length + 1] if out is None else out[: len(h) - length - block_length + 1] * np.uint64(power) + block[length : len(h) - block_length + 1]
             length += block_length
         rest >>= 1
         if rest:
-            block = block[: len(block) - block_length] * power + block[block_length:]
+            block = block[: len(block) - block_length] * np.uint64(power) + block[block_length:]
             block_length *= 2
-            power = power * power
+            power = power * power & (1 << 64) - 1
     return mixed(out)
 
 
