@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules, substring_dedup, token_counts, warc
+from tidemark.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules, substring_dedup, token_counts, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": warc.op1_warc,
         "op2_decontamination": decontaminate.op2_decontamination,
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_near_dedup": near_dedup.op5_near_dedup,
         "op6_token_counts": token_counts.op6_token_counts,
         "op7_line_dedup": line_dedup.op7_line_dedup,
