@@ -1,9 +1,7 @@
 """Token counts: an exact histogram of encoded lengths answers totals, quantiles and truncated totals.
 
-Each text is encoded whole by a public byte-level BPE vocabulary (a file whose path is a parameter; its
-bytes, about 1 MB whatever the corpus, are broadcast).  Byte-level BPE encodes each pre-token on its
-own, so a text's length is the sum of its pre-tokens' lengths; those are looked up in a bounded
-per-worker table that forgets itself when full, and encoded when absent.
+Each text is encoded whole by a public byte-level BPE vocabulary, a file whose path is a parameter; its
+bytes, about 1 MB whatever the corpus, are broadcast and turned into an encoder once per task.
 
 Documents are then aggregated by length (partial sums before the shuffle, so no hot key).  Suffix sums
 over the distinct lengths answer every context limit L:  sum(min(length, L)) = tokens in documents of
@@ -29,32 +27,18 @@ from tidemark.llm.common import table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern that belongs to this public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens that a worker remembers.
-REMEMBERED = 300_000
 #: Lengths per range of the two-level running sums.
 RANGE = 4096
 
 
 def encoded_length(vocabulary: bytes):
     """A function text -> number of tokens, for use inside one worker."""
-    import regex
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in vocabulary.splitlines() if x)}
     codec = tiktoken.Encoding("lengths", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    pieces = regex.compile(PATTERN).findall
-
-    class Lengths(dict):
-        def __missing__(self, piece: str) -> int:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            n = len(codec.encode_ordinary(piece)) if len(piece) > 1 or piece not in " \n" else 1
-            if len(piece) <= 64:
-                self[piece] = n
-            return n
-
-    lengths = Lengths()
-    return lambda text: sum(map(lengths.__getitem__, pieces(text))) if text else 0
+
+    return lambda text: len(codec.encode_ordinary(text)) if text else 0
 
 
 def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
