@@ -148,9 +148,10 @@ class Mix:
     def taken(self) -> DataFrame:
         """rows with taken, the words that the mix takes of each, repeats counted."""
         uses = self.slots().groupBy("key", "block").agg(F.count(F.lit(1)).alias("uses"))
-        taken = self.pieces().join(uses, ["key", "block"]).groupBy("key", "begin").agg(F.sum(F.col("piece_words") * F.col("uses")).alias("taken"))
+        # the planner can't know how many slots a task makes, so it must not choose to broadcast them
+        taken = self.pieces().join(uses.hint("merge"), ["key", "block"]).groupBy("key", "begin").agg(F.sum(F.col("piece_words") * F.col("uses")).alias("taken"))
         # an empty document shares its begin with the next one
-        out = self.rows.join(taken, ["key", "begin"], "left")
+        out = self.rows.join(taken.hint("merge"), ["key", "begin"], "left")
         return out.withColumn("taken", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long"))
 
     def blocks(self) -> DataFrame:
