@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules, substring_dedup, token_counts, toxicity, warc
+from tidemark.llm import decontaminate, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_mixing": mixing.op9_mixing,
+        "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     }
 
 
