@@ -168,9 +168,10 @@ class Quality:
         docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
         vectors = word_vectors(docs)
         usable = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(crc_mod(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+        # about TRAIN_ROWS keys at most, so the sample may be broadcast
         share = min(1.0, 0.95 * TRAIN_ROWS / max(usable.count(), 1))
         sample = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000))
-        rows = docs.join(sample, "doc_id").select("doc_id", "quality", _pooler(sc.broadcast(vectors))("text").alias("x")).toPandas().sort_values("doc_id")
+        rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", _pooler(sc.broadcast(vectors))("text").alias("x")).toPandas().sort_values("doc_id")
         self._score = None
         if rows["quality"].nunique() == 2:
             network = Network(np.array(rows["x"].tolist()), rows["quality"].to_numpy(float))
