@@ -83,7 +83,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     text = F.when(F.col("_drop").isNotNull(), F.col("_cut.kept")).otherwise(F.col("text"))
     cols = {"text": text.alias("text")}
     if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(F.col("_drop").isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars").cast("long")).alias("n_chars")
+        cols["n_chars"] = F.when(F.col("_drop").isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
     return out.select(*[cols.get(c, F.col(c)) for c in docs.columns])
 
 
