@@ -13,7 +13,12 @@ SPACE = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch: texts may be long, and a task holds a batch or two of them.
+BATCH_ROWS = 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -13,7 +13,8 @@ same dart is their weighted Jaccard similarity.  A coordinate left empty doubles
 3. In each band bucket everyone is compared with the bucket's smallest id (a star, never all pairs);
    candidates are verified by exact similarity of whole texts; links form components.
 4. For buckets that still hold several components, the remaining pairs across different components are
-   verified as well, so no link between different texts is lost to the star.
+   verified as well, so no link between different texts is lost to the star: all of them in small
+   buckets, and in large ones those that pass an exact prefix filter on rare shingles.
 
 Words are ``[^\x20\x09-\x0D]+`` of the lower-cased text; a text of one to four words is one shingle.
 Defined results: texts without words are near nothing but equal texts; null texts and rows with a null
@@ -36,6 +37,8 @@ from tidemark.llm.decontaminate import lower_bytes
 from tidemark.llm.shingles import MULTIPLIER, mixed, window_hashes, word_hashes
 
 BANDS, ROWS = 30, 5
+#: Split buckets of at most so many members have all their pairs compared; beyond it the prefix filter does.
+SMALL = 32
 #: P(at most i darts in a unit cell), i = 0, 1, ...
 POISSON = np.cumsum([np.exp(-1.0) / float(np.prod(range(1, i + 1))) for i in range(20)])
 UNIT = 2.0**-53
@@ -126,6 +129,54 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, n: int, weig
     return both.select("a", "b", F.pandas_udf(verify, "double")("b", "_tb", "_ta").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def _split(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(band, id, component, n) of the band buckets that hold several components."""
+    named = shared.where("n > 2").select("band", "id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+    return salted_join(named, several, "band", "id")
+
+
+def _pairs_of_small_buckets(split: DataFrame, most: int) -> DataFrame:
+    """Pairs (a > b) of different components in a split bucket of at most ``most`` members: linear in the rows."""
+    small = split.where(F.col("n") <= most)
+    left = small.select("band", F.col("id").alias("a"), F.col("component").alias("_ca"))
+    right = small.select("band", F.col("id").alias("b"), F.col("component").alias("_cb"))
+    return left.join(right, "band").where("a > b AND _ca <> _cb").select("a", "b").distinct()
+
+
+def _pairs_of_large_buckets(split: DataFrame, texts: DataFrame, most: int, threshold: float, n: int, weights: str) -> DataFrame:
+    """Pairs (a > b) of different components among members of larger split buckets that can be similar enough.
+
+    An exact prefix filter: with the shingles of every text in one order, rarest first, two texts of
+    similarity t or more first meet at a shingle before which each has passed little enough weight for
+    the rest to hold an overlap of t / (1 + t) of both weights.  So a text is joined by its rare
+    shingles alone, which copies of one original, each edited its own way, don't share.
+    """
+
+    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for i, text, component in zip(frame["id"], frame["text"], frame["component"]):
+                elements, w = weighted_shingles(text, n, weights)
+                yield pd.DataFrame({"id": i, "component": component, "shingle": elements.astype(np.int64), "weight": w})
+
+    def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for i, component, rows in zip(frame["id"], frame["component"], frame["rows"]):
+                w = np.array([x["weight"] for x in rows])
+                before = np.cumsum(w) - w
+                keep = [k for k in np.flatnonzero(before <= (1 - threshold) * w.sum() + 1e-9) if rows[k]["df"] > 1]
+                yield pd.DataFrame({"id": i, "component": component, "shingle": [rows[k]["shingle"] for k in keep], "left": [w.sum() - before[k] for k in keep], "size": w.sum()})
+
+    ids = split.where(F.col("n") > most).groupBy("id").agg(F.min("component").alias("component"))
+    elements = texts.join(ids, "id").mapInPandas(explode, "id long, component long, shingle long, weight double")
+    df = elements.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    ordered = salted_join(elements, df, "shingle", "id").groupBy("id").agg(F.min("component").alias("component"), F.sort_array(F.collect_list(F.struct("df", "shingle", "weight"))).alias("rows"))
+    rare = written(ordered.mapInPandas(prefix, "id long, component long, shingle long, left double, size double"), "prefixes")
+    x, y = (rare.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "component", "left", "size")]) for side in "xy")
+    fits = F.least("x_left", "y_left") >= threshold / (1 + threshold) * (F.col("x_size") + F.col("y_size")) - 1e-9
+    return x.join(y, "shingle").where((F.col("x_id") > F.col("y_id")) & (F.col("x_component") != F.col("y_component")) & fits).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
     """(doc_id, class_id, n_links): class_id is the smallest doc_id of the document's class, n_links the
     verified links of its text to other texts.  One row per row of docs."""
@@ -157,14 +208,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands:
     links = written(_verified(star, near, threshold, n, weights), "links")
     found = components(links)
 
-    named = shared.where("n > 2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = named.groupBy("band").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("band")
-    named = named.where("id <> centre").join(split, "band", "left_semi")
-    left, right = named.select("band", F.col("id").alias("a"), F.col("component").alias("_ca")), named.select("band", F.col("id").alias("b"), F.col("component").alias("_cb"))
-    rest = left.join(right, "band").where("a > b AND _ca <> _cb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    split = written(_split(shared, found), "split_buckets")
+    rest = _pairs_of_small_buckets(split, SMALL).union(_pairs_of_large_buckets(split, near, SMALL, threshold, n, weights))
+    rest = rest.distinct().join(star, ["a", "b"], "left_anti")
     more = written(_verified(rest, near, threshold, n, weights), "more_links")
     if more.limit(1).count():
-        links = links.union(more)
+        links = links.unionByName(more)
         found = components(links)
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     classes = found.join(degree, "id")
