@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tidemark.plans import records, relational, statistics, temporal
+
+ALL = records.QUERIES | temporal.QUERIES | relational.QUERIES | statistics.QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: q[0] for name, q in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q[1] for name, q in ALL.items() if q[1]}
