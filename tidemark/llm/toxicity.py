@@ -173,13 +173,17 @@ class Toxicity:
         usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(crc_mod(F.col("doc_id"), 3) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         n = usable.count()
         share = min(1 / CURVE_FOLDS, CURVE_ROWS / max(n, 1))
-        labelled = docs.join(usable.withColumn("curve", F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(1_000_000)) < int(share * 1_000_000)), "doc_id")
-        high = _summed(labelled.where("NOT curve").select("text", "toxic").mapInPandas(_class_counts, "cell int, context int, low int, toxic int, ordinary int"), 1 << HIGH_BITS, ["context", "low"], ["toxic", "ordinary"])
+        usable = usable.withColumn("curve", F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(1_000_000)) < int(share * 1_000_000))
+        # labels grow with the corpus: merged, never broadcast
+        counted = docs.join(usable.where("NOT curve").hint("merge"), "doc_id").select("text", "toxic")
+        high = _summed(counted.mapInPandas(_class_counts, "cell int, context int, low int, toxic int, ordinary int"), 1 << HIGH_BITS, ["context", "low"], ["toxic", "ordinary"])
         low = _summed(docs.select("text").mapInPandas(_shared_counts, "cell int, context int, n int"), 1 << LOW_BITS, ["context"], ["n"])
         self._raw = _scorer(spark.sparkContext.broadcast(log_ratios(high, low)))
-        scored = labelled.where("curve").select("toxic", self._raw("text").alias("raw")).toPandas()
+        # about CURVE_ROWS keys at most
+        scored = docs.join(F.broadcast(usable.where("curve")), "doc_id").select("toxic", self._raw("text").alias("raw")).toPandas()
         if scored["toxic"].nunique() < 2:  # too few labels to keep any apart
-            scored = labelled.select("toxic", self._raw("text").alias("raw"), F.xxhash64("doc_id").alias("o")).orderBy("o").limit(CURVE_ROWS).toPandas()
+            few = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS)
+            scored = docs.join(F.broadcast(few), "doc_id").select("toxic", self._raw("text").alias("raw")).toPandas()
         self.curve = logistic_curve(scored["raw"].to_numpy(), scored["toxic"].to_numpy()) if scored["toxic"].nunique() == 2 else None
 
     def score(self, text: Column) -> Column:
