@@ -14,7 +14,7 @@ def basename(path: Column, suffix: str | None = None) -> Column:
     """Last component, trailing slashes ignored; '/' stays '/'; a given suffix is cut unless it is all."""
     out = F.when(path.rlike("^/+$"), F.lit("/")).otherwise(F.regexp_extract(path, "([^/]*)/*$", 1))
     if suffix:
-        out = F.when(out.endswith(suffix) & (out != suffix), F.substring(out, F.lit(1), F.length(out) - len(suffix))).otherwise(out)
+        out = F.when(out.endswith(suffix) & (out != suffix), F.substr(out, F.lit(1), F.length(out) - len(suffix))).otherwise(out)
     return out
 
 
@@ -121,6 +121,6 @@ def epoch(text: str, now: float | None = None) -> int:
 
 def byte_size(n: Column) -> Column:
     """1024-based with two decimals: 1536 -> '1.50 KB'."""
-    power = F.when(n >= 1, F.least(F.floor(F.log(F.lit(1024.0), n.cast("double")) + 1e-12), F.lit(5))).otherwise(0)
-    unit = F.element_at(F.array(*[F.lit(u) for u in ("B", "KB", "MB", "GB", "TB", "PB")]), (power + 1).cast("int"))
+    power = F.when(n >= 1, F.least(F.floor(F.log2(n.cast("double")) / 10 + 1e-12), F.lit(5))).otherwise(0)
+    unit = F.get(F.array(*[F.lit(u) for u in ("B", "KB", "MB", "GB", "TB", "PB")]), power.cast("int"))
     return F.concat(F.format_string("%.2f", n.cast("double") / F.pow(F.lit(1024.0), power)), F.lit(" "), unit)

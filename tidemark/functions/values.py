@@ -6,6 +6,8 @@ from Spark's own.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,10 +77,7 @@ def half_open_range(start: Column, stop: Column, step: int = 1) -> Column:
 
 def merge_objects(*objects: Column) -> Column:
     """Map union in which the right-most value of a key wins."""
-    out = objects[0]
-    for o in objects[1:]:
-        out = F.map_concat(F.map_filter(out, lambda k, _, o=o: ~F.map_contains_key(o, k)), o)
-    return out
+    return functools.reduce(lambda left, right: F.map_concat(F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k)), right), objects)
 
 
 def without(obj: Column, *names: str) -> Column:

@@ -17,7 +17,7 @@ EVENT = "part string, seq long, ts long, op string, key string, name string, val
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """part, line_no, line of every text file under path, in file order."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     raw = raw.select(F.regexp_extract(F.input_file_name(), r"([^/]+/[^/]+)$", 1).alias("part"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     return raw.where("line <> ''")
 
@@ -49,7 +49,7 @@ def parse(lines: DataFrame) -> DataFrame:
 
 def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     """A checkpoint (one JSON document, key -> object) as create events at sequence 0."""
-    doc = spark.read.option("wholetext", "true").text(path)
+    doc = spark.read.text(path, wholetext=True)
     return doc.select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("key", "attrs")).select(
         F.lit("").alias("part"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("long").alias("ts"), F.lit("C").alias("op"), "key", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("value"), "attrs"
     )
