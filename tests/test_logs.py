@@ -147,3 +147,29 @@ def test_roc_bounds(spark):
     df = spark.createDataFrame([(0.2, False), (0.4, False), (0.6, True), (1.0, True)], "s double, g boolean")
     got = {round(r.threshold, 2): (r.false_accept, r.true_accept) for r in matrix.roc(df, "s", "g").collect()}
     assert len(got) == 101 and got[0.0] == (1.0, 1.0) and got[0.5] == (0.0, 1.0) and got[0.3] == (0.5, 1.0) and got[1.0] == (0.0, 0.5)
+
+
+def test_exhaustive_buckets_are_the_best(spark):
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    values = [float(rng.choice([3, 4, 9, 20, 21, 40])) for _ in range(60)]
+    df = spark.createDataFrame([("a", v) for v in values], "k string, v double")
+
+    def waste(ends):
+        return sum(min(e for e in ends if e >= v) - v for v in values)
+
+    edges = sorted(set(values))
+    best = min(waste([*c, edges[-1]]) for k in range(3) for c in itertools.combinations(edges[:-1], k))
+    got = stats.exhaustive_buckets(df, "k", "v", 1.0, 3).collect()
+    assert waste([r.upper for r in got]) == best and sum(r.n for r in got) == 60 and len(got) <= 3
+
+
+def test_reduce_with_any_arity(spark):
+    from tidemark.operators import collect
+
+    df = spark.range(101).select(F.col("id").cast("double").alias("v"))
+    for arity in (2, 11, 1000):
+        assert collect.reduce_with(df.repartition(5), "v", sum, arity).first().value == 5050.0
+    assert collect.reduce_with(df.where("v = 7"), "v", sum).first().value == 7.0

@@ -96,3 +96,49 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], on: str, columns: li
     seen = F.struct(*[F.col(f"_{c}") for c in columns])
     both = both.withColumn("_last", F.last(F.when(F.col("_side") == 0, seen), ignorenulls=True).over(w)).where("_side = 1")
     return both.select(*left.columns, *[F.col("_last")[f"_{c}"].alias(c) for c in columns])
+
+
+def reduce_with(df: DataFrame, value: str, fn: Callable[[list], float], arity: int = 1000) -> DataFrame:
+    """A tree reduction by an associative Python function of a list: rounds of ``arity`` values until one is left.
+
+    A round is a grouped job, so no task ever holds more than ``arity`` values at once; one value is
+    returned as it is.  Sums, extrema and the like belong in ``agg``, which Spark reduces by itself.
+    """
+    import pandas as pd
+
+    def partial(frames):
+        left: list = []
+        for frame in frames:
+            for x in frame["value"]:
+                left.append(x)
+                if len(left) >= max(arity, 2):
+                    left = [fn(left)]
+        if left:
+            yield pd.DataFrame({"value": [fn(left) if len(left) > 1 else left[0]]})
+
+    out = df.select(F.col(value).cast("double").alias("value")).mapInPandas(partial, "value double")
+    return out.coalesce(1).mapInPandas(partial, "value double")  # a value per task is left
+
+
+def windows_of(df: DataFrame, order: str, value: str, domain: int) -> DataFrame:
+    """Groups of ``domain`` consecutive rows, by position: what a function over windows of earlier results maps."""
+    at = F.row_number().over(Window.orderBy(order)) - 1
+    return df.withColumn("_at", at).groupBy(F.floor(F.col("_at") / domain).alias("group")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", value))), lambda x: x[value]).alias("values"))
+
+
+def wavefront(top: DataFrame, left: DataFrame, n: int, cell: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """R[i,j] = cell(R[i-1,j], R[i,j-1], R[i-1,j-1]) over an n by n grid whose row 0 and column 0 are given.
+
+    top(j, value) and left(i, value) start it; each anti-diagonal is one join of the two before it.
+    """
+    start = top.select(F.lit(0).alias("i"), "j", "value").unionByName(left.where("i > 0").select("i", F.lit(0).alias("j"), "value"))
+    done = start
+    for d in range(2, 2 * n - 1):
+        cells = done.sparkSession.range(max(1, d - n + 1), min(d, n)).select(F.col("id").cast("int").alias("i"), (F.lit(d) - F.col("id")).cast("int").alias("j"))
+        at = lambda di, dj, name: done.select((F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j"), F.col("value").alias(name))
+        step = cells.join(at(1, 0, "_u"), ["i", "j"]).join(at(0, 1, "_l"), ["i", "j"]).join(at(1, 1, "_d"), ["i", "j"])
+        step = step.select("i", "j", cell(F.col("_u"), F.col("_l"), F.col("_d")).alias("value"))
+        done = done.unionByName(step)
+        if d % 4 == 0:
+            done = done.checkpoint() if done.sparkSession.sparkContext.getCheckpointDir() else done.cache()
+    return done

@@ -145,3 +145,44 @@ def peaks(df: DataFrame, by: list[str], time: str, columns: list[str]) -> DataFr
 def over_limits(df: DataFrame, limits: dict[str, float]) -> Column:
     """Names of the resources above their limits."""
     return F.array_compact(F.array(*[F.when(F.col(c) > v, F.lit(c)) for c, v in limits.items()]))
+
+
+def exhaustive_buckets(df: DataFrame, by: str, value: str, resolution: float, most: int) -> DataFrame:
+    """Per group: the at most ``most`` buckets of least total waste (upper edge minus value), by dynamic programming.
+
+    A group reaches its task as a histogram in steps of ``resolution``.
+    """
+    steps = df.groupBy(by, bucket(F.col(value), resolution).alias("step")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+
+    def split(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("step").reset_index(drop=True)
+        edge, n, total = g["step"].tolist(), [0, *g["n"].cumsum()], [0.0, *g["total"].cumsum()]
+        m, inf = len(edge), float("inf")
+        waste = lambda i, j: edge[j] * (n[j + 1] - n[i]) - (total[j + 1] - total[i])
+        best, back = [[inf] * m for _ in range(most + 1)], [[0] * m for _ in range(most + 1)]
+        for j in range(m):
+            best[1][j] = waste(0, j)
+        for k in range(2, most + 1):
+            for j in range(m):
+                best[k][j], back[k][j] = best[k - 1][j], -1
+                for i in range(1, j + 1):
+                    cost = best[k - 1][i - 1] + waste(i, j)
+                    if cost < best[k][j] - 1e-9:
+                        best[k][j], back[k][j] = cost, i
+        rows, j, k = [], m - 1, most
+        while j >= 0:
+            while k > 1 and back[k][j] == -1:
+                k -= 1
+            i = back[k][j] if k > 1 else 0
+            rows.append((g[by].iloc[0], edge[j], n[j + 1] - n[i]))
+            j, k = i - 1, k - 1
+        return pd.DataFrame(rows[::-1], columns=[by, "upper", "n"])
+
+    return steps.groupBy(by).applyInPandas(split, f"{by} {df.schema[by].dataType.simpleString()}, upper double, n long")
+
+
+def predicted_allocation(buckets: DataFrame, by: str, needed: Column, share: float = 0.5) -> DataFrame:
+    """First try per group: the smallest bucket whose cumulative share of past runs reaches ``share``."""
+    w = Window.partitionBy(by).orderBy("upper").rowsBetween(Window.unboundedPreceding, 0)
+    b = buckets.withColumn("_share", F.sum("n").over(w) / F.sum("n").over(Window.partitionBy(by)))
+    return b.where((F.col("_share") >= share) & needed).groupBy(by).agg(F.min("upper").alias("allocation"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import records, relational, statistics, temporal
+from tidemark.plans import logs, records, relational, statistics, temporal
 
-ALL = records.QUERIES | temporal.QUERIES | relational.QUERIES | statistics.QUERIES
+ALL = records.QUERIES | temporal.QUERIES | relational.QUERIES | statistics.QUERIES | logs.QUERIES
 
 
 def queries() -> dict:
