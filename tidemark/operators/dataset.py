@@ -10,7 +10,7 @@ from tidemark.functions.values import passes
 
 
 class Columns:
-    """ds.c.name: a column; ds.c("name", "*.txt") would be a wildcard match, see matches."""
+    """ds.c.name is the column of that name."""
 
     def __init__(self, df: DataFrame):
         self._df = df

@@ -117,10 +117,8 @@ def audit_cube(spark, sf):
 
 
 def roc_curve(spark, sf):
-    e = t(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"))
-    a = e.where("vec_id % 50 = 0").select(F.col("label").alias("la"), F.col("vec_id").alias("ia"), F.col("x").alias("xa"))
-    pairs = collect.all_pairs(a, e, "ia", "vec_id", F.struct((F.floor(F.abs(F.col("xa") - F.col("x")) * 50 + 1e-9) / 100).alias("s"), (F.col("la") == F.col("label")).alias("same"))).select("value.s", "value.same").where("s <= 1")
-    return matrix.roc(pairs, "s", "same").select(F.round("threshold", 2).alias("threshold"), F.round("false_accept", 9).alias("false_accept"), F.round("true_accept", 9).alias("true_accept"))
+    scored = t(spark, sf, "lineitem").select((F.col("l_quantity") / 50).alias("s"), (F.col("l_returnflag") == "R").alias("genuine"))
+    return matrix.roc(scored, "s", "genuine").select(F.round("threshold", 2).alias("threshold"), F.round("false_accept", 9).alias("false_accept"), F.round("true_accept", 9).alias("true_accept"))
 
 
 def pivot_matrix(spark, sf):
@@ -133,7 +131,7 @@ def matrix_row_col_range(spark, sf):
 
 
 def matrix_overlay(spark, sf):
-    m = matrix.from_rows(t(spark, sf, "embeddings").where("vec_id < 30"), "vec_id", "embedding").withColumn("value", F.col("value").cast("double"))
+    m = matrix.from_rows(t(spark, sf, "embeddings"), "vec_id", "embedding").withColumn("value", F.col("value").cast("double"))
     patch = matrix.rectangle(m, 5, 10, 0, 3).withColumn("value", F.lit(0.0))
     return matrix.overlay(m, patch)
 
@@ -179,13 +177,11 @@ QUERIES = {
     "audit_cube": (audit_cube, "SELECT c_mktsegment, c_nationkey, CAST(grouping_id(c_mktsegment, c_nationkey) AS BIGINT) AS level, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)"),
     "roc_curve": (
         roc_curve,
-        """WITH e AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings),
-        p AS (SELECT floor(abs(a.x - b.x) * 50 + 1e-9) / 100 AS s, a.label = b.label AS same FROM e a, e b WHERE a.vec_id % 50 = 0),
-        q AS (SELECT * FROM p WHERE s <= 1), t AS (SELECT unnest(range(0, 101)) AS k)
+        """WITH q AS (SELECT l_quantity / 50 AS s, l_returnflag = 'R' AS same FROM lineitem), t AS (SELECT unnest(range(0, 101)) AS k)
         SELECT round(k / 100, 2) AS threshold, round(count(*) FILTER (NOT same AND s >= k / 100 - 1e-9) / count(*) FILTER (NOT same), 9) AS false_accept,
           round(count(*) FILTER (same AND s >= k / 100 - 1e-9) / count(*) FILTER (same), 9) AS true_accept FROM q, t GROUP BY k""",
     ),
     "pivot_matrix": (pivot_matrix, "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1"),
     "matrix_row_col_range": (matrix_row_col_range, "SELECT i, j, CAST(embedding[j + 1] AS DOUBLE) AS value FROM (SELECT vec_id AS i, embedding, CAST(unnest(range(2, 6)) AS INTEGER) AS j FROM embeddings WHERE vec_id >= 10 AND vec_id < 20)"),
-    "matrix_overlay": (matrix_overlay, "SELECT i, j, CASE WHEN i >= 5 AND i < 10 AND j < 3 THEN 0.0 ELSE CAST(embedding[j + 1] AS DOUBLE) END AS value FROM (SELECT vec_id AS i, embedding, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS j FROM embeddings WHERE vec_id < 30)"),
+    "matrix_overlay": (matrix_overlay, "SELECT i, j, CASE WHEN i >= 5 AND i < 10 AND j < 3 THEN 0.0 ELSE CAST(embedding[j + 1] AS DOUBLE) END AS value FROM (SELECT vec_id AS i, embedding, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS j FROM embeddings)"),
 }

@@ -43,7 +43,7 @@ def cross_locality_top1(spark, sf):
     n = t(spark, sf, "nation").select("n_nationkey", "n_regionkey")
     have = t(spark, sf, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n_suppliers"))
     regions = t(spark, sf, "region").select("r_regionkey")
-    m = regions.crossJoin(F.broadcast(n)).where("n_regionkey <> r_regionkey").join(have, F.col("n_nationkey") == have.s_nationkey, "left")
+    m = regions.crossJoin(n).where("n_regionkey <> r_regionkey").join(have, F.col("n_nationkey") == have.s_nationkey, "left")
     m = m.select("r_regionkey", "n_nationkey", F.coalesce("n_suppliers", F.lit(0)).alias("n_suppliers"))
     return collect.top_per_group(m, ["r_regionkey"], 1, F.desc("n_suppliers"), F.asc("n_nationkey"))
 
@@ -100,7 +100,7 @@ def placement_order(spark, sf):
     s = t(spark, sf, "supplier")
     n = t(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
     p = s.join(n, s.s_suppkey == n.l_suppkey, "left").select("s_suppkey", F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1) + 1e-12).alias("load"), F.coalesce("n", F.lit(0)).alias("n"))
-    return p.orderBy("load", F.desc("n"), "s_suppkey").limit(20)
+    return p.orderBy("load", F.desc("n"), "s_suppkey")
 
 
 def catalog_status_totals(spark, sf):
@@ -109,7 +109,7 @@ def catalog_status_totals(spark, sf):
 
 
 def catalog_sorted_view(spark, sf):
-    return catalog.sorted_view(t(spark, sf, "supplier").select("s_suppkey", "s_name"), "s_name", "s_suppkey").limit(30)
+    return catalog.sorted_view(t(spark, sf, "supplier").select("s_suppkey", "s_name"), "s_name", "s_suppkey")
 
 
 def catalog_status_filters(spark, sf):
@@ -129,7 +129,7 @@ def heartbeat_upsert(spark, sf):
 
 def _parts(spark, sf):
     """A workflow over parts: task p needs the files of p // 2 and p // 3."""
-    p = t(spark, sf, "part").select(F.col("p_partkey").alias("node")).where("node <= 600")
+    p = t(spark, sf, "part").select(F.col("p_partkey").alias("node"))
     created = p.select(F.col("node").alias("file"), "node")
     needed = p.where("node > 1").select(F.explode(F.array(F.floor(F.col("node") / 2), F.floor(F.col("node") / 3))).alias("file"), "node").where("file > 0").distinct()
     return p, created, needed
@@ -142,12 +142,12 @@ def dag_depth_width(spark, sf):
 
 def dag_guaranteed_width(spark, sf):
     _, created, needed = _parts(spark, sf)
-    return graph.guaranteed_width(graph.edges(created, needed).where("child % 3 <> 0 OR parent * 2 = child"))
+    return graph.guaranteed_width(graph.edges(created, needed))
 
 
 def ancestor_closure(spark, sf):
     _, created, needed = _parts(spark, sf)
-    return graph.closure(graph.edges(created, needed).where("child <= 200"))
+    return graph.closure(graph.edges(created, needed))
 
 
 def k_hop_consumers(spark, sf):
@@ -156,16 +156,18 @@ def k_hop_consumers(spark, sf):
 
 
 def ready_set(spark, sf):
-    _, created, needed = _parts(spark, sf)
-    return graph.ready(needed.select(F.col("node").alias("task"), "file"), created.where("node % 4 <> 1").select("file"))
+    _, _, needed = _parts(spark, sf)
+    done = t(spark, sf, "part").where("p_size > 5").select(F.col("p_partkey").alias("file"))
+    return graph.ready(needed.select(F.col("node").alias("task"), "file"), done)
 
 
 def source_files(spark, sf):
-    _, created, needed = _parts(spark, sf)
-    return graph.source_files(needed, created.where("node % 5 <> 0"))
+    _, _, needed = _parts(spark, sf)
+    created = t(spark, sf, "part").where("p_size <> 10").select(F.col("p_partkey").alias("file"))
+    return graph.source_files(needed, created)
 
 
-E = """e AS (SELECT DISTINCT f AS parent, node AS child FROM (SELECT p_partkey AS node, unnest([p_partkey // 2, p_partkey // 3]) AS f FROM part WHERE p_partkey <= 600 AND p_partkey > 1) WHERE f > 0)"""
+E = """e AS (SELECT DISTINCT f AS parent, node AS child FROM (SELECT p_partkey AS node, unnest([p_partkey // 2, p_partkey // 3]) AS f FROM part WHERE p_partkey > 1) WHERE f > 0)"""
 QUERIES = {
     "equi_join_inner": (equi_join_inner, "SELECT c_mktsegment, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
     "left_join_having_zero": (left_join_having_zero, "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1 HAVING count(o_custkey) < 1"),
@@ -197,9 +199,9 @@ QUERIES = {
     "free_slots_having": (free_slots_having, "SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'O') AS open FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderstatus = 'O') < 3 AND count(*) >= 5"),
     "claim_next": (claim_next, "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 25"),
     "newest_per_key": (newest_per_key, "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1"),
-    "placement_order": (placement_order, "SELECT s_suppkey, CAST(floor(log2(coalesce(n, 0) + 1) + 1e-12) AS BIGINT) AS load, coalesce(n, 0) AS n FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey ORDER BY load, n DESC, s_suppkey LIMIT 20"),
+    "placement_order": (placement_order, "SELECT s_suppkey, CAST(floor(log2(coalesce(n, 0) + 1) + 1e-12) AS BIGINT) AS load, coalesce(n, 0) AS n FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey ORDER BY load, n DESC, s_suppkey"),
     "catalog_status_totals": (catalog_status_totals, "SELECT s_nationkey, CAST(sum(c) AS BIGINT) AS total, CAST(sum(greatest(c, 0)) AS BIGINT) AS avail, count(*) AS n FROM (SELECT s_nationkey, CAST(round(s_acctbal * 100) AS BIGINT) AS c FROM supplier) GROUP BY 1"),
-    "catalog_sorted_view": (catalog_sorted_view, "SELECT s_suppkey, s_name FROM supplier ORDER BY lower(coalesce(s_name, 'unknown')), s_suppkey LIMIT 30"),
+    "catalog_sorted_view": (catalog_sorted_view, "SELECT s_suppkey, s_name FROM supplier ORDER BY lower(coalesce(s_name, 'unknown')), s_suppkey"),
     "catalog_status_filters": (catalog_status_filters, "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer WHERE (c_mktsegment = 'BUILDING' OR regexp_full_match(c_name, '.*7.')) AND c_acctbal > 1000"),
     "heartbeat_upsert": (
         heartbeat_upsert,
@@ -213,15 +215,15 @@ QUERIES = {
     ),
     "dag_guaranteed_width": (
         dag_guaranteed_width,
-        f"""WITH {E}, k AS (SELECT * FROM e WHERE child % 3 <> 0 OR parent * 2 = child), o AS (SELECT child, min(parent) AS parent FROM k GROUP BY 1 HAVING count(DISTINCT parent) = 1)
+        f"""WITH {E}, o AS (SELECT child, min(parent) AS parent FROM e GROUP BY 1 HAVING count(DISTINCT parent) = 1)
         SELECT coalesce(max(n), 0) AS width FROM (SELECT parent, count(*) AS n FROM o GROUP BY 1)""",
     ),
     "ancestor_closure": (
         ancestor_closure,
-        f"""WITH RECURSIVE {E}, k AS (SELECT * FROM e WHERE child <= 200), r AS (SELECT parent AS ancestor, child AS node, 1 AS distance FROM k UNION SELECT ancestor, child, distance + 1 FROM r JOIN k ON parent = node)
+        f"""WITH RECURSIVE {E}, r AS (SELECT parent AS ancestor, child AS node, 1 AS distance FROM e UNION SELECT ancestor, child, distance + 1 FROM r JOIN e ON parent = node)
         SELECT ancestor, node, min(distance) AS distance FROM r GROUP BY 1, 2""",
     ),
     "k_hop_consumers": (k_hop_consumers, f"WITH {E}, h AS (SELECT parent AS ancestor, child AS node FROM e UNION SELECT a.parent, b.child FROM e a JOIN e b ON a.child = b.parent) SELECT ancestor, count(DISTINCT node) AS n FROM h GROUP BY 1"),
-    "ready_set": (ready_set, f"WITH {E} SELECT child AS task FROM e GROUP BY 1 HAVING count(*) FILTER (parent % 4 = 1) = 0"),
-    "source_files": (source_files, f"WITH {E} SELECT DISTINCT parent AS file FROM e WHERE parent % 5 = 0"),
+    "ready_set": (ready_set, f"WITH {E} SELECT child AS task FROM e JOIN part ON p_partkey = parent GROUP BY 1 HAVING count(*) FILTER (p_size <= 5) = 0"),
+    "source_files": (source_files, f"WITH {E} SELECT DISTINCT parent AS file FROM e JOIN part ON p_partkey = parent WHERE p_size = 10"),
 }
