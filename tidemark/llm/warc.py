@@ -16,8 +16,8 @@ are ``revisit`` records without payload.  The digest groups are pre-aggregated (
 joined back on the digest of the id-digest pairs alone; a hot digest is split by AQE.  A revisit's
 payload figures are those of the record that it refers to, read back from the archives.
 
-Defined results: null html is an empty payload; repeated page_ids with one payload are one revisit
-pointing at that id, or all responses below 100 bytes; extra columns are not read.
+Defined results: null html is an empty payload; rows that repeat a page_id with its payload are of one
+type; a row without page_id is a response and nobody's target; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -57,14 +57,18 @@ def parse_head(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if x)}
 
 
-def record_id(page_id: int) -> str:
+def record_id(page_id: str | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
 
+def _number(text: str | None) -> int | None:
+    return int(text) if text and text != "-" else None
+
+
 def _headers(row) -> dict[str, str]:
-    out = {"WARC-Type": row.record_type, "WARC-Record-ID": record_id(row.page_id), "WARC-Target-URI": (row.url or "").replace("\r", "%0D").replace("\n", "%0A"), "WARC-Date": "1970-01-01T00:00:00Z", "WARC-Payload-Digest": f"sha256:{row.digest}", "WARC-Page-ID": str(row.page_id), "Content-Type": "text/html"}
+    out = {"WARC-Type": row.record_type, "WARC-Record-ID": record_id(row.page_id), "WARC-Target-URI": (row.url or "").replace("\r", "%0D").replace("\n", "%0A"), "WARC-Date": "1970-01-01T00:00:00Z", "WARC-Payload-Digest": f"sha256:{row.digest}", "WARC-Page-ID": row.page_id or "-", "Content-Type": "text/html"}
     if row.record_type == "revisit":
-        out |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(row.refers_to), "WARC-Refers-To-Page-ID": str(int(row.refers_to))}
+        out |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(row.refers_to), "WARC-Refers-To-Page-ID": row.refers_to}
     return out
 
 
@@ -94,6 +98,8 @@ def write_monolithic(records: DataFrame, folder: str, roll_bytes: int = 32 << 20
             done.append((f"{folder}/{name}", n))
         yield pd.DataFrame(done, columns=["archive", "n_records"])
 
+    # ids as text: pandas would turn whole numbers beside nulls into floats
+    records = records.withColumn("page_id", F.col("page_id").cast("string")).withColumn("refers_to", F.col("refers_to").cast("string"))
     return records.mapInPandas(write, "archive string, n_records long")
 
 
@@ -149,11 +155,10 @@ def normalise(manifest: DataFrame, folder: str, level: int = 3) -> DataFrame:
                         squeeze = zlib.compressobj(level, wbits=31)
                         member = squeeze.compress(head + b"\r\n\r\n" + payload + b"\r\n\r\n") + squeeze.flush()
                         out.write(member)
-                        refers = headers.get("warc-refers-to-page-id")
-                        index.append((f"{folder}/{name}", at, len(member), int(headers["warc-page-id"]), headers["warc-type"], int(refers) if refers else None))
+                        index.append((f"{folder}/{name}", at, len(member), _number(headers.get("warc-page-id")), headers["warc-type"], _number(headers.get("warc-refers-to-page-id"))))
                         at += len(member)
                 frame = pd.DataFrame(index, columns=[x.split()[0] for x in INDEX.split(", ")])
-                frame["refers_to"] = frame["refers_to"].astype("Int64")
+                frame = frame.astype({"page_id": "Int64", "refers_to": "Int64"})
                 with system.open_output_stream(f"{root}/{name}.idx", compression=None) as out:
                     out.write("".join(f"{r.page_id} {r.offset} {r.length} {r.record_type}\n" for r in frame.itertuples()).encode())
                 yield frame
@@ -176,10 +181,9 @@ def read_records(index: DataFrame) -> DataFrame:
                 end = member.index(b"\r\n\r\n")
                 headers = parse_head(member[:end])
                 payload = member[end + 4 : end + 4 + int(headers["content-length"])]
-                refers = headers.get("warc-refers-to-page-id")
-                out.append((int(headers["warc-page-id"]), headers["warc-type"], int(refers) if refers else None, len(payload), hashlib.sha256(payload).hexdigest(), headers["warc-payload-digest"].removeprefix("sha256:")))
+                out.append((_number(headers.get("warc-page-id")), headers["warc-type"], _number(headers.get("warc-refers-to-page-id")), len(payload), hashlib.sha256(payload).hexdigest(), headers["warc-payload-digest"].removeprefix("sha256:")))
             frame = pd.DataFrame(out, columns=["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "stated_digest"])
-            frame["refers_to"] = frame["refers_to"].astype("Int64")
+            frame = frame.astype({"page_id": "Int64", "refers_to": "Int64"})
             yield frame
 
     return index.mapInPandas(fetch, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, stated_digest string")
