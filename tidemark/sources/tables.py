@@ -4,4 +4,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """Times without zone are UTC: histories count seconds since the epoch."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{directory}/{name}.parquet")
