@@ -12,7 +12,8 @@ same dart is their weighted Jaccard similarity.  A coordinate left empty doubles
 2. Signatures are cut into bands; rows that share a band's hash are candidates.
 3. In each band bucket everyone is compared with the bucket's smallest id (a star, never all pairs);
    candidates are verified by exact similarity of whole texts; links form components.
-4. For buckets that still hold several components, the remaining pairs across different components are
+4. Buckets that hold several components form a star around their best linked member.
+5. For those that still do, the remaining pairs across different components are
    verified as well, so no link between different texts is lost to the star: all of them in small
    buckets, and in large ones those that pass an exact prefix filter on rare shingles.
 
@@ -39,6 +40,8 @@ from tidemark.llm.shingles import MULTIPLIER, mixed, window_hashes, word_hashes
 BANDS, ROWS = 30, 5
 #: Split buckets of at most so many members have all their pairs compared; beyond it the prefix filter does.
 SMALL = 32
+#: Rounds in which split buckets form another star, around the member of most links.
+HUB_ROUNDS = 1
 #: P(at most i darts in a unit cell), i = 0, 1, ...
 POISSON = np.cumsum([np.exp(-1.0) / float(np.prod(range(1, i + 1))) for i in range(20)])
 UNIT = 2.0**-53
@@ -136,6 +139,18 @@ def _split(shared: DataFrame, found: DataFrame) -> DataFrame:
     return salted_join(named, several, "band", "id")
 
 
+def _degrees(links: DataFrame) -> DataFrame:
+    return links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+
+
+def _hub_pairs(split: DataFrame, degrees: DataFrame) -> DataFrame:
+    """Pairs (a > b) of a split bucket's best linked member with those of other components: linear in the rows."""
+    ranked = split.join(degrees, "id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    hubs = ranked.groupBy("band").agg(F.max_by(F.struct(F.col("id").alias("hub"), F.col("component").alias("_part")), F.struct("n_links", -F.col("id"))).alias("h")).select("band", "h.*")
+    others = salted_join(split, hubs, "band", "id").where("component <> _part")
+    return others.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
+
+
 def _pairs_of_small_buckets(split: DataFrame, most: int) -> DataFrame:
     """Pairs (a > b) of different components in a split bucket of at most ``most`` members: linear in the rows."""
     small = split.where(F.col("n") <= most)
@@ -208,14 +223,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands:
     links = written(_verified(star, near, threshold, n, weights), "links")
     found = components(links)
 
+    tested = star
+    for _ in range(HUB_ROUNDS):
+        pairs = written(_hub_pairs(_split(shared, found), _degrees(links)).join(tested, ["a", "b"], "left_anti"), "hub_pairs")
+        more = written(_verified(pairs, near, threshold, n, weights), "hub_links")
+        tested = tested.unionByName(pairs)
+        if not more.limit(1).count():
+            break
+        links = links.unionByName(more)
+        found = components(links)
     split = written(_split(shared, found), "split_buckets")
     rest = _pairs_of_small_buckets(split, SMALL).union(_pairs_of_large_buckets(split, near, SMALL, threshold, n, weights))
-    rest = rest.distinct().join(star, ["a", "b"], "left_anti")
+    rest = rest.distinct().join(tested, ["a", "b"], "left_anti")
     more = written(_verified(rest, near, threshold, n, weights), "more_links")
     if more.limit(1).count():
         links = links.unionByName(more)
         found = components(links)
-    degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = _degrees(links)
     classes = found.join(degree, "id")
     out = members.select("doc_id", "id").join(classes, "id", "left").select("doc_id", F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     alone = docs.where("doc_id IS NULL OR text IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))

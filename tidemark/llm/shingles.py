@@ -12,7 +12,7 @@ SECOND_MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash, remembered for up to a fixed number of words per worker."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
