@@ -173,3 +173,14 @@ def test_reduce_with_any_arity(spark):
     for arity in (2, 11, 1000):
         assert collect.reduce_with(df.repartition(5), "v", sum, arity).first().value == 5050.0
     assert collect.reduce_with(df.where("v = 7"), "v", sum).first().value == 7.0
+
+
+def test_ranks_over_ranges(spark):
+    import random
+
+    rng = random.Random(1)
+    for values in ([5.0] * 7, [rng.choice([1.0, 2.0, 1e9, None]) for _ in range(40)], [float(i * i) for i in range(30)], []):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+        got = [(r.i, r["rank"]) for r in stats.ranked(df, "v", ["i"], bins=8).orderBy("rank").collect()]
+        want = sorted(range(len(values)), key=lambda i: (values[i] is not None, values[i] or 0.0, i))
+        assert got == [(i, k + 1) for k, i in enumerate(want)]

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.stats import ranked
+
 
 def map_rows(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """fn over batches (pandas frames) of rows; order within a partition is kept."""
@@ -121,9 +123,9 @@ def reduce_with(df: DataFrame, value: str, fn: Callable[[list], float], arity: i
 
 
 def windows_of(df: DataFrame, order: str, value: str, domain: int) -> DataFrame:
-    """Groups of ``domain`` consecutive rows, by position: what a function over windows of earlier results maps."""
-    at = F.row_number().over(Window.orderBy(order)) - 1
-    return df.withColumn("_at", at).groupBy(F.floor(F.col("_at") / domain).alias("group")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", value))), lambda x: x[value]).alias("values"))
+    """Groups of ``domain`` consecutive rows by a numeric order: what a function over windows of earlier results maps."""
+    at = ranked(df, order).withColumn("_at", F.col("rank") - 1)
+    return at.groupBy(F.floor(F.col("_at") / domain).alias("group")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", value))), lambda x: x[value]).alias("values"))
 
 
 def wavefront(top: DataFrame, left: DataFrame, n: int, cell: Callable[[Column, Column, Column], Column]) -> DataFrame:

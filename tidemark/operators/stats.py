@@ -78,10 +78,29 @@ def max_seen(df: DataFrame, column: str, size: float, limit: float | None = None
     return df.agg((F.least(edge, F.lit(limit)) if limit is not None else edge).alias("allocation"))
 
 
+def ranked(df: DataFrame, value: str, order: list[str] = (), bins: int = 4096) -> DataFrame:
+    """df with rank (1, 2, ... by a numeric value, then order) and total, without one task for all rows.
+
+    Values fall in at most ``bins`` ranges between their extremes; ranges are counted, their counts summed
+    up over that small table, and rows numbered inside their range.
+    """
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    width = (float(high) - float(low)) / bins if low is not None and high > low else 1.0
+    rows = df.withColumn("_bin", F.when(F.col(value).isNull(), -1).otherwise(F.least(F.floor((F.col(value) - F.lit(low)) / width), F.lit(bins))))
+    counts = rows.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("total"))
+    inside = F.row_number().over(Window.partitionBy("_bin").orderBy(value, *order))
+    return rows.withColumn("_inside", inside).join(F.broadcast(counts), "_bin").withColumn("rank", F.col("_before") + F.col("_inside")).drop("_bin", "_inside", "_before")
+
+
 def quantized_buckets(df: DataFrame, value: str, order: list[str], n: int) -> DataFrame:
-    """n buckets of equal count: bucket number, its upper value and count."""
-    w = Window.orderBy(value, *order)
-    return df.select(value, F.ntile(n).over(w).alias("bucket")).groupBy("bucket").agg(F.max(value).alias("upper"), F.count(F.lit(1)).alias("n"))
+    """n buckets of equal count, the first ones a row larger if it doesn't divide: number, upper value, count."""
+    r = ranked(df.select(value, *order), value, order)
+    each, more, at = F.floor(F.col("total") / n), F.col("total") % n, F.col("rank") - 1
+    head = more * (each + 1)
+    number = F.when(at < head, F.floor(at / (each + 1)) + 1).otherwise(more + F.floor((at - head) / F.greatest(each, F.lit(1))) + 1)
+    return r.withColumn("bucket", number).groupBy("bucket").agg(F.max(value).alias("upper"), F.count(F.lit(1)).alias("n"))
 
 
 def _greedy(values: list[float], low: int, high: int) -> list[int]:
