@@ -2,9 +2,9 @@ r"""Line dedup: drop lines that many documents share, keep one carrier, reassemb
 
 Lines are exploded once as 128-bit hashes of their normalised form (stripped of ``[\x20\x09-\x0D]``,
 A-Z lower-cased).  ``count(DISTINCT doc)`` is pre-aggregated before its shuffles, so a line in a third
-of all documents costs one row per task.  The hashes over the threshold are joined back to the lines
-(both sides shuffled, so AQE may split a hot hash, or broadcast if the measured size allows), gathered
-per document, and each whole text is cut in one pass over its own lines.
+of all documents costs one row per task.  The hashes over the threshold, few against the lines, are
+repeated over salts and joined back to the lines, so a hot hash is many partitions; what a document
+loses is gathered, and each whole text is cut in one pass over its own lines.
 
 Defined results: null or empty text is one empty line; rows with a null doc_id neither count nor lose
 lines; repeated rows of a document count once and are each returned; extra columns are not read.
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, table
+from tidemark.llm.common import SPACE, salted_join, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,7 +48,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Da
     long_keys = F.transform(F.filter(keys, lambda k: F.length(k) >= min_chars), lambda k: F.unhex(F.md5(k)))
     lines = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.explode(F.array_distinct(long_keys)).alias("line"))
     common = lines.groupBy("line").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("line", "keeper")
-    return lines.join(common, "line").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("line").alias("drop"))
+    return salted_join(lines, common, "line", "doc_id").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("line").alias("drop"))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
