@@ -9,7 +9,7 @@ source of n blocks shows block  permutation(t // n)[t % n] , a keyed Feistel per
 source's block numbers for each pass, so every block is used floor or ceil of slots/n times.  Blocks
 meet their slots in an equi-join on (source, block).
 
-Offsets are prefix sums over (source, bucket) totals and then inside buckets of a few thousand
+Offsets are prefix sums over (source, bucket) totals and then inside buckets of hundreds of
 documents, so a hot source is never one task.  Sources are few (one row each): their weights and
 targets are computed in Spark over the aggregated table.
 
@@ -25,6 +25,7 @@ rows; extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table, word_count, words, written
 
-#: Documents per bucket of the two-level offsets, on average.
-BUCKET_DOCS = 2048
+#: Least documents per bucket of the two-level offsets, on average; beyond its square, the root of their number,
+#: so that neither the buckets nor what lies in one outgrow a task.
+BUCKET_DOCS = 512
 SHARD_SLOTS = 1024
 GROUP_SHARDS = 64
 
@@ -118,7 +120,10 @@ class Mix:
         # by the mean size of the source's blocks, of which the last may be short
         n_slots = F.when(F.col("blocks") > 0, F.round(F.col("target") * F.col("blocks") / F.col("source_size"))).otherwise(0)
         self.sources = sources.withColumn("slots", n_slots.cast("long"))
-        n_buckets = max(1, sizes.count() // BUCKET_DOCS)
+        n_rows, all_words = sizes.agg(F.count(F.lit(1)), F.sum("size")).first()
+        n_buckets = max(1, n_rows // max(BUCKET_DOCS, math.isqrt(n_rows)))
+        #: Tasks that make slots, a few groups each; the rows behind them are too small for Spark to tell.
+        self._tasks = min(10_000, -(-(all_words or 1) // (block_words * SHARD_SLOTS * GROUP_SHARDS)))
         named = sizes.join(self.sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
         named = named.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(n_buckets)))
         totals = named.groupBy("key", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -134,7 +139,7 @@ class Mix:
         per_group = per_group.select("key", "blocks", "slots", groups.alias("groups")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("grp"))
         cut = lambda g: F.floor(g * F.col("slots") / F.col("groups"))
         per_group = per_group.select("key", "blocks", "grp", F.lit(self.seed).cast("long").alias("seed"), cut(F.col("grp")).alias("slots_from"), cut(F.col("grp") + 1).alias("slots_to"))
-        drawn = per_group.groupBy("grp").applyInPandas(_draw, "key long, blocks long, seed long, shard long, first long, n long")
+        drawn = per_group.repartition(self._tasks, "grp").groupBy("grp").applyInPandas(_draw, "key long, blocks long, seed long, shard long, first long, n long")
         return drawn.mapInPandas(_slots, "key long, block long, shard long, slot long")
 
     def pieces(self) -> DataFrame:
