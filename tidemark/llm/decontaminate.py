@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,11 +30,11 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_words, table, word_count
+from tidemark.llm.common import byte_words, table, word_count, written
 from tidemark.llm.shingles import window_hashes, word_hashes
 
 #: Words of test items per block: what one broadcast holds at most, but for a single longer item.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 250_000
 GROWTH = 1.25
 MATCH = "array<struct<item_id: long, n_shingles: long, n_shared: long>>"
 
@@ -113,10 +114,15 @@ def _finder(shared: Broadcast):
     return F.pandas_udf(find, MATCH)
 
 
+def _passes(docs: DataFrame, items: DataFrame, n: int, threshold: float, block_words: int) -> Iterator[Column]:
+    """For each block of items, the matches of a row's text with it."""
+    for texts in item_blocks(items, block_words):
+        yield _finder(docs.sparkSession.sparkContext.broadcast(Items(texts, n, threshold)))(lower_bytes(F.col("text")))
+
+
 def matches(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with _matches added: the items that each row's text contains. No shuffle."""
-    columns = [_finder(docs.sparkSession.sparkContext.broadcast(Items(texts, n, threshold)))(lower_bytes(F.col("text"))) for texts in item_blocks(items, block_words)]
-    return docs.withColumn("_matches", F.concat(*columns))
+    """docs with _matches added, the items that each row's text contains: every row once for each block of items."""
+    return reduce(DataFrame.unionByName, [docs.withColumn("_matches", x) for x in _passes(docs, items, n, threshold, block_words)])
 
 
 def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -126,9 +132,13 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: fl
     return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
-def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Pipeline stage: the rows of docs that contain no item, all columns as they are."""
-    return matches(docs, items).where(F.size("_matches") == 0).select(*docs.columns)
+    for k, found in enumerate(_passes(docs, items, n, threshold, block_words)):
+        if k:  # else one task would hold all blocks
+            docs = written(docs, "undecided")
+        docs = docs.where(F.size(found) == 0)
+    return docs
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
