@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,8 +196,9 @@ def test_decontamination(spark, docs):
     for block in (10, 1_000_000):
         got = [(r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in decontaminate.matches(docs, items, block_words=block).select("doc_id", F.explode("_matches").alias("m")).select("doc_id", "m.*").collect()]
         assert sorted(got) == sorted(want) == [(14, 1, 36, 36), (14, 2, 36, 35)]
-    left = decontaminate.decontaminated(clashing(docs), items)
-    assert left.count() == len(corpus()) - 1
+    for block in (10, 1_000_000):
+        left = decontaminate.decontaminated(clashing(docs), items, block_words=block)
+        assert left.columns == clashing(docs).columns and left.count() == len(corpus()) - 1
 
 
 def test_token_counts(spark, docs):
@@ -350,6 +352,20 @@ def test_toxicity_held_out(spark, monkeypatch):
     assert {5000, 5001} <= kept and 1 in kept and 0 not in kept
 
 
+def test_shared_counts_are_continuation_counts():
+    texts = [b"banana bandana  cabana", b"an ana", b"", None]
+    got = {r.cell: (r.n, r.follows) for part in toxicity._shared_counts(iter([pd.DataFrame({"text": texts})])) for r in part.itertuples()}
+    held, follows = {}, {}
+    for k, text in enumerate(texts):
+        s = b" " + b" ".join((text or b"").split()) + b" "
+        for i in range(1, len(s)):
+            low = max(s.rindex(b" ", 0, i), i - 3)
+            cell = (int.from_bytes(s[low : i + 1], "big") * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 44
+            held.setdefault(cell, set()).add(k)
+            follows.setdefault(cell, set()).update([] if s[low] == 32 else [s[low - 1] & 63])
+    assert got == {c: (len(held[c]), sum(1 << b for b in follows[c])) for c in held}
+
+
 def test_toxicity_without_labels(spark, monkeypatch, docs):
     with_tables(spark, monkeypatch, toxicity, docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {(r.score, r.predicted) for r in toxicity.op4_toxicity(spark, "").collect()} == {(0.5, 0)}

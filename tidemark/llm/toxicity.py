@@ -6,7 +6,11 @@ shared: its counts come from all documents, labelled or not, so an expression ra
 smoothed by how the whole corpus continues it.  Contexts end at the space that begins the word:
 
     P_c(x | h5) = (max(n_c(h5 x) - D, 0) + (sum over y of min(n_c(h5 y), D)) * P(x | h3)) / n_c(h5 .)
-    P(x | h3)   = (max(n(h3 x) - d, 0) + d * N(h3 .) / 64) / n(h3 .)
+    P(x | h3)   = (max(k(h3 x) - d, 0) + d * N(h3 .) / 64) / k(h3 .)
+
+k is the Kneser-Ney continuation count: after how many different characters h3 x occurs, told apart by
+their low six bits, so that counts of tasks merge by a bitwise or.  Where h3 begins with the space
+that begins the word nothing can stand before it, and k is the number of documents.
 
 The log-likelihood ratio of a span of 12 characters, about a word, is divided by that length; a
 document's raw score is that of its worst span, so neither a long nor a short document is favoured.
@@ -68,6 +72,12 @@ def cells(chars: np.ndarray, n: int, gram_bits: int, context_bits: int) -> tuple
     return ((g * spread) >> np.uint64(64 - gram_bits)).astype(np.int64), ((h * spread) >> np.uint64(64 - context_bits)).astype(np.int64)
 
 
+def word_starts(chars: np.ndarray, n: int) -> np.ndarray:
+    """Whether the context of each character but the first begins with the space that begins its word."""
+    place = np.arange(len(chars) - 1)
+    return place - np.maximum.accumulate(np.where(chars[:-1] == 32, place, 0)) < n - 1
+
+
 def _class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Documents of each class that hold each 6-gram, with the cells of its context and its 4-gram."""
     toxic, ordinary, context, low = (np.zeros(1 << HIGH_BITS, np.int32) for _ in range(4))
@@ -82,14 +92,19 @@ def _class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _shared_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents that hold each 4-gram, with the cell of its context."""
+    """Of each 4-gram the documents that hold it, the characters it follows (a bit each), and the cell of its context."""
     n, context = np.zeros(1 << LOW_BITS, np.int32), np.zeros(1 << LOW_BITS, np.int32)
+    follows = np.zeros((1 << LOW_BITS) * 64, np.uint8)
     for frame in batches:
         for text in frame["text"]:
-            g, h = cells(characters(text), LOW, LOW_BITS, LOW_BITS)
+            chars = characters(text)
+            g, h = cells(chars, LOW, LOW_BITS, LOW_BITS)
             n[g] += 1
             context[g] = h
-    yield from _filled({"context": context, "n": n}, n > 0)
+            inside = np.flatnonzero(~word_starts(chars, LOW))
+            follows[g[inside] * 64 + (chars[inside - (LOW - 1)] & 63)] = 1
+    bits = np.packbits(follows, bitorder="little").view(np.int64)
+    yield from _filled({"context": context, "n": n, "follows": bits}, n > 0)
 
 
 def _filled(columns: dict[str, np.ndarray], where: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -98,11 +113,11 @@ def _filled(columns: dict[str, np.ndarray], where: np.ndarray) -> Iterator[pd.Da
         yield pd.DataFrame({"cell": part.astype(np.int32)} | {k: v[part] for k, v in columns.items()})
 
 
-def _summed(counts: DataFrame, size: int, places: list[str], sums: list[str]) -> dict[str, np.ndarray]:
-    """The counts summed in Spark, as arrays of fixed size."""
-    rows = counts.groupBy("cell").agg(*[F.max(x).alias(x) for x in places], *[F.sum(x).alias(x) for x in sums]).toArrow()
+def _summed(counts: DataFrame, size: int, places: list[str], sums: list[str], bits: tuple[str, ...] = ()) -> dict[str, np.ndarray]:
+    """The counts summed in Spark, and bits united, as arrays of fixed size."""
+    rows = counts.groupBy("cell").agg(*[F.max(x).alias(x) for x in places], *[F.sum(x).alias(x) for x in sums], *[F.bit_or(x).alias(x) for x in bits]).toArrow()
     out, cell = {}, rows["cell"].to_numpy()
-    for x in [*places, *sums]:
+    for x in [*places, *sums, *bits]:
         out[x] = np.zeros(size, np.int32 if x in places else np.int64)
         out[x][cell] = rows[x].to_numpy()
     return out
@@ -113,9 +128,10 @@ def log_ratios(high: dict[str, np.ndarray], low: dict[str, np.ndarray]) -> tuple
     size = 1 << LOW_BITS
     at = np.flatnonzero(high["toxic"] + high["ordinary"])
     g, h = high["low"][at], high["context"][at]
-    total, kinds = np.bincount(low["context"], low["n"], size), np.bincount(low["context"], low["n"] > 0, size)
+    continuations = np.where(low["follows"] == 0, low["n"], np.bitwise_count(low["follows"].view(np.uint64)))
+    total, kinds = np.bincount(low["context"], continuations, size), np.bincount(low["context"], continuations > 0, size)
     back = low["context"][g]
-    shared = (np.maximum(low["n"][g] - LOW_DISCOUNT, 0) + LOW_DISCOUNT * kinds[back] / 64) / np.maximum(total[back], 1)
+    shared = (np.maximum(continuations[g] - LOW_DISCOUNT, 0) + LOW_DISCOUNT * kinds[back] / 64) / np.maximum(total[back], 1)
     logs, rests = [], []
     for c in ("toxic", "ordinary"):
         n = high[c]
@@ -177,7 +193,7 @@ class Toxicity:
         # labels grow with the corpus: merged, never broadcast
         counted = docs.join(usable.where("NOT curve").hint("merge"), "doc_id").select("text", "toxic")
         high = _summed(counted.mapInPandas(_class_counts, "cell int, context int, low int, toxic int, ordinary int"), 1 << HIGH_BITS, ["context", "low"], ["toxic", "ordinary"])
-        low = _summed(docs.select("text").mapInPandas(_shared_counts, "cell int, context int, n int"), 1 << LOW_BITS, ["context"], ["n"])
+        low = _summed(docs.select("text").mapInPandas(_shared_counts, "cell int, context int, n int, follows long"), 1 << LOW_BITS, ["context"], ["n"], ("follows",))
         self._raw = _scorer(spark.sparkContext.broadcast(log_ratios(high, low)))
         # about CURVE_ROWS keys at most
         scored = docs.join(F.broadcast(usable.where("curve")), "doc_id").select("toxic", self._raw("text").alias("raw")).toPandas()
