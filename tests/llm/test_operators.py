@@ -303,6 +303,24 @@ def test_warc_members_and_index(spark, tmp_path):
         assert f"WARC-Page-ID: {'-' if r.page_id is None else r.page_id}" in head.split("\r\n") and f"WARC-Type: {r.record_type}" in head
 
 
+@pytest.mark.parametrize("chunk", [1, 64, 1 << 20])
+def test_inflated_records(chunk):
+    import gzip
+    import io
+
+    payloads = [b"z" * 50_000, b"", b"a\r\n\r\nb" * 20, bytes(range(256)) * 4]
+    records = [warc.record_bytes({"WARC-Type": "response"}, p) for p in payloads]
+    joined = gzip.compress(b"".join(records))
+    apart = b"".join(map(gzip.compress, records))
+    for data in (joined, apart, joined + apart):
+        got = [(h["warc-type"], p) for h, _, p in warc.inflated_records(io.BytesIO(data), chunk)]
+        assert got == [("response", p) for p in payloads] * (2 if data == joined + apart else 1)
+    assert list(warc.inflated_records(io.BytesIO(b""), chunk)) == []
+    for cut in (5, len(joined) // 2, len(joined) - 1):
+        with pytest.raises(ValueError):
+            list(warc.inflated_records(io.BytesIO(joined[:cut]), chunk))
+
+
 def test_quality_rules_against_brute_force(spark, docs):
     rows = corpus() + [(90, "a b c d e a b c d e f", "a"), (91, ("x y " * 30), "a"), (92, "the#! of ## and| to", "a"), (93, "l m\nl m\n\nl m", "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_words", F.lit("clash"))

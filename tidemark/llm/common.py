@@ -64,11 +64,11 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(-1))
 
 
-def salted_join(rows: DataFrame, groups: DataFrame, key: str | list[str], spread_by: str, salts: int = 16) -> DataFrame:
+def salted_join(rows: DataFrame, groups: DataFrame, key: str | list[str], spread_by: str, salts: int = 16, how: str = "inner") -> DataFrame:
     """rows JOIN groups on key, where one key may hold a large share of rows and groups has one row a key.
 
     groups is repeated ``salts`` times and rows are dealt over the copies by a hash of spread_by, so a
     hot key is ``salts`` partitions rather than one.
     """
     copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).join(copies, [*([key] if isinstance(key, str) else key), "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).join(copies, [*([key] if isinstance(key, str) else key), "_salt"], how).drop("_salt")

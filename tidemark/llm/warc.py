@@ -12,8 +12,8 @@ executor repeats only its own archives, under new names:
 Files go through pyarrow's file systems by URI (file, hdfs, s3, gs), never a machine-local folder.
 
 Of records with equal payloads of at least 100 bytes the smallest page_id is ``response``; the others
-are ``revisit`` records without payload.  The digest groups are pre-aggregated (min per digest) and
-joined back on the digest of the id-digest pairs alone; a hot digest is split by AQE.  A revisit's
+are ``revisit`` records without payload.  The digest groups are pre-aggregated (min per digest); those
+of several records are repeated over salts and joined back, so a hot digest is many partitions.  A revisit's
 payload figures are those of the record that it refers to, read back from the archives.
 
 Defined results: null html is an empty payload; rows that repeat a page_id with its payload are of one
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_dir, table, written
+from tidemark.llm.common import salted_join, shared_dir, table, written
 
 MIN_REVISIT = 100
 CHUNK = 1 << 20
@@ -105,20 +105,21 @@ def write_monolithic(records: DataFrame, folder: str, roll_bytes: int = 32 << 20
 
 def inflated_records(stream, chunk: int = CHUNK) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
     """(headers, head, payload) of each record of a gzip file of any number of members, inflated once."""
-    inflate, buffer, ended = zlib.decompressobj(wbits=31), bytearray(), False
+    inflate, buffer, data, begun = zlib.decompressobj(wbits=31), bytearray(), b"", False
 
     def more() -> bool:
-        nonlocal inflate, ended
-        data = stream.read(chunk)
-        if not data:
-            ended = True
-            return False
-        while data:
-            buffer.extend(inflate.decompress(data))
-            data = inflate.unused_data
-            if data:
-                inflate = zlib.decompressobj(wbits=31)
-        return True
+        """Inflate up to a chunk more, so that memory is bounded however well the stream was compressed."""
+        nonlocal inflate, data, begun
+        data = data or stream.read(chunk)
+        piece = inflate.decompress(data, chunk)
+        buffer.extend(piece)
+        ended, begun = not data and not piece, begun or bool(data)
+        data = inflate.unconsumed_tail
+        if inflate.eof:
+            data, inflate, begun = inflate.unused_data, zlib.decompressobj(wbits=31), False
+        if ended and begun:
+            raise ValueError("archive ends inside a gzip member")
+        return not ended
 
     while True:
         while (end := buffer.find(b"\r\n\r\n")) < 0:
@@ -195,8 +196,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     pages = pages.withColumn("digest", F.sha2("payload", 256))
     large = F.octet_length("payload") >= MIN_REVISIT
     first = pages.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    first = first.where("n > 1").select(F.col("digest").alias("_digest"), "first")
-    out = pages.join(first, (F.col("digest") == F.col("_digest")) & large, "left")
+    out = salted_join(pages, first.where("n > 1").select("digest", "first"), "digest", "page_id", how="left")
     again = F.col("first").isNotNull() & (F.col("page_id") != F.col("first"))
     return out.select("page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
