@@ -193,8 +193,9 @@ def _pairs_of_large_buckets(split: DataFrame, texts: DataFrame, most: int, thres
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
-    """(doc_id, class_id, n_links): class_id is the smallest doc_id of the document's class, n_links the
-    verified links of its text to other texts.  One row per row of docs."""
+    """(doc_id, class_id, n_links): class_id is the smallest doc_id of the document's class, n_links how many
+    of the other texts that its text was compared with are similar; within a class not all are.  One row
+    per row of docs."""
     docs = docs.select("doc_id", "text")
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
 
