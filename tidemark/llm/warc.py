@@ -35,6 +35,8 @@ from tidemark.llm.common import salted_join, shared_dir, table, written
 
 MIN_REVISIT = 100
 CHUNK = 1 << 20
+#: Most tasks that archives are dealt to; each works through its archives one by one.
+MAX_TASKS = 10_000
 RECORD_TYPES = ("response", "revisit")
 
 
@@ -205,8 +207,10 @@ def round_trip(pages: DataFrame, roll_bytes: int = 32 << 20) -> DataFrame:
     """Write pages as monolithic archives, normalise them, and read every record back by the index."""
     folder = shared_dir(pages.sparkSession)
     manifest = written(write_monolithic(with_revisits(pages), f"{folder}/monolithic", roll_bytes), "manifest")
-    index = written(normalise(manifest.repartition("archive"), f"{folder}/records"), "index")
-    records = read_records(index)
+    # manifest and index are small beside the archives that they name: dealt by number, or Spark would make one task of them
+    tasks = min(MAX_TASKS, max(1, manifest.count()))
+    index = written(normalise(manifest.repartition(tasks), f"{folder}/records"), "index")
+    records = read_records(index.repartition(tasks, "archive").sortWithinPartitions("archive", "offset"))
     stored = records.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "stated_digest")
     revisits = index.where("record_type = 'revisit'").select("page_id", "refers_to")
     # payloads below the limit never have revisits; ids that repeat are one target
