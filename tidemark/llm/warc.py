@@ -74,7 +74,7 @@ def _headers(row) -> dict[str, str]:
     return out
 
 
-def write_monolithic(records: DataFrame, folder: str, roll_bytes: int = 32 << 20, level: int = 1) -> DataFrame:
+def write_monolithic(records: DataFrame, folder: str, roll_bytes: int = 32 << 20, level: int = 6) -> DataFrame:
     """records(page_id, url, payload, digest, record_type, refers_to) -> manifest(archive, n_records)."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,7 +143,7 @@ def inflated_records(stream, chunk: int = CHUNK) -> Iterator[tuple[dict[str, str
 INDEX = "archive string, offset long, length long, page_id long, record_type string, refers_to long"
 
 
-def normalise(manifest: DataFrame, folder: str, level: int = 3) -> DataFrame:
+def normalise(manifest: DataFrame, folder: str, level: int = 6) -> DataFrame:
     """manifest(archive) -> the sidecar index: one row per record, now a gzip member of its own."""
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
