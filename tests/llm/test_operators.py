@@ -370,6 +370,14 @@ def test_toxicity_held_out(spark, monkeypatch):
     assert {5000, 5001} <= kept and 1 in kept and 0 not in kept
 
 
+def test_toxicity_of_many_mild_expressions(spark, monkeypatch):
+    """Every text uses the expression; the classes differ by how often."""
+    rows, labels = labelled(900, lambda w, rng: [x if rng.random() > 0.15 else rng.choice(["achlich", "achkeit"]) for x in w])
+    rows = [(i, f"{text} achlich achkeit") for i, text in rows]
+    with_tables(spark, monkeypatch, toxicity, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert accuracy(toxicity.op4_toxicity(spark, "").collect(), labels) > 0.95
+
+
 def test_shared_counts_are_continuation_counts():
     texts = [b"banana bandana  cabana", b"an ana", b"", None]
     got = {r.cell: (r.n, r.follows) for part in toxicity._shared_counts(iter([pd.DataFrame({"text": texts})])) for r in part.itertuples()}

@@ -1,28 +1,35 @@
-r"""Toxicity: class-conditional Kneser-Ney models of character expressions.
-
-Words may be new although their parts are not, so the models predict characters.  Both classes have a
-6-gram model (document frequencies, absolute discount) whose lower order, a 4-gram distribution, is
-shared: its counts come from all documents, labelled or not, so an expression rare in a class is
-smoothed by how the whole corpus continues it.  Contexts end at the space that begins the word:
-
-    P_c(x | h5) = (max(n_c(h5 x) - D, 0) + (sum over y of min(n_c(h5 y), D)) * P(x | h3)) / n_c(h5 .)
-    P(x | h3)   = (max(k(h3 x) - d, 0) + d * N(h3 .) / 64) / k(h3 .)
-
-k is the Kneser-Ney continuation count: after how many different characters h3 x occurs, told apart by
+r"""Toxicity: how class-conditional character models differ over a whole text and over its worst span.
+
+Words may be new although their parts are not, so the models predict characters.  All occurrences of
+6-grams are counted for both classes; contexts end at the space that begins the word, so all words start
+from one context and the product along a word's beginning is the rate of words that begin so.  Both
+classes are measured against one Kneser-Ney model of the two together, whose lower order, a 4-gram
+distribution, comes from all documents, labelled or not:
+
+    P(x | h5) = (max(n(h5 x) - D, 0) + (sum over y of min(n(h5 y), D)) * P(x | h3)) / n(h5 .)
+    P(x | h3) = (max(k(h3 x) - d, 0) + d * N(h3 .) / 64) / k(h3 .)
+    r_c(h5 x) = (n_c(h5 x) / b + K) / (n_c(h5 .) * P(x | h5) / b + K)
+
+n is the sum of both classes.  b is how often a document that holds h5 x repeats it, so what one
+document repeats counts as one observation, and K observations of the common model are added: rates
+that few documents tell apart stay near 1, and a 6-gram of no labelled document says nothing.  k is the
+Kneser-Ney continuation count: after how many different characters h3 x occurs, told apart by
 their low six bits, so that counts of tasks merge by a bitwise or.  Where h3 begins with the space
 that begins the word nothing can stand before it, and k is the number of documents.
 
-The log-likelihood ratio of a span of 12 characters, about a word, is divided by that length; a
-document's raw score is that of its worst span, so neither a long nor a short document is favoured.
-A logistic curve, fitted on labelled documents that the counts have not seen, maps it to 0..1.
+The log ratio of a character is log r_toxic - log r_ordinary.  Three values describe a text: the sum over
+its worst span of 12 characters, about a word, divided by that length; the sum over all characters,
+divided by their number; and the sum over all words of what exceeds ``EXPRESSION``, likewise divided, as
+the many words of no weight would drown how often the text uses toxic ones.  A logistic curve of the
+three, fitted on labelled documents that the counts have not seen, maps them to 0..1.
 
 Counting is one pass per purpose: each task adds up hashed n-grams in arrays of fixed size and emits
 the filled cells, Spark sums them, and the summed tables (at most 2**22 and 2**20 cells whatever the
-corpus, documented bounds) are turned into two tables of log ratios and broadcast.  All labelled rows
-and all documents are counted.
+corpus, documented bounds) are turned into a table of log ratios and broadcast.  All labelled rows
+that do not fit the curve are counted, and all documents.
 
-Only labels whose crc32(doc_id) mod 3 is not 1 are used.  Defined results: null or empty texts have raw
-score 0; labels that are null are ignored and repeated labels of a document count once, as toxic if any
+Only labels whose crc32(doc_id) mod 3 is not 1 are used.  Defined results: null or empty texts have the
+values 0; labels that are null are ignored and repeated labels of a document count once, as toxic if any
 is; without any usable label of both classes every score is 0.5 and predicted is 0; repeated rows are
 each scored; extra columns are not read.
 """
@@ -42,9 +49,12 @@ from tidemark.llm.common import crc_mod, table
 HIGH, LOW = 6, 4
 #: Cells (powers of two) of hashed 6-grams, of their 5-character contexts, and of 4-grams and theirs.
 HIGH_BITS, LOW_BITS = 22, 20
-#: Taken from each count of a class, or all of a smaller one; and from each shared count.
+#: Taken from each count of the classes together, or all of a smaller one; and from each shared count.
 DISCOUNT, LOW_DISCOUNT = 1.8, 0.9
-SPAN = 12
+#: Observations of the common model that are added to each class.
+PRIOR = 4
+#: Characters of a span, and the log ratio above which a word counts as an expression.
+SPAN, EXPRESSION = 12, 1.5
 #: Share of usable labels kept from the counts to fit the curve, and most rows of it that are used.
 CURVE_FOLDS, CURVE_ROWS = 5, 20_000
 
@@ -79,16 +89,18 @@ def word_starts(chars: np.ndarray, n: int) -> np.ndarray:
 
 
 def _class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents of each class that hold each 6-gram, with the cells of its context and its 4-gram."""
-    toxic, ordinary, context, low = (np.zeros(1 << HIGH_BITS, np.int32) for _ in range(4))
+    """Occurrences of each 6-gram in each class, the documents that hold it, and the cells of its context and its 4-gram."""
+    toxic, ordinary, documents, context, low = (np.zeros(1 << HIGH_BITS, np.int32) for _ in range(5))
     for frame in batches:
         for text, label in zip(frame["text"], frame["toxic"]):
             chars = characters(text)
             g, h = cells(chars, HIGH, HIGH_BITS, LOW_BITS)
-            (toxic if label else ordinary)[g] += 1  # once per distinct cell
-            context[g] = h
-            low[g] = cells(chars, LOW, LOW_BITS, LOW_BITS)[0]
-    yield from _filled({"context": context, "low": low, "toxic": toxic, "ordinary": ordinary}, toxic + ordinary > 0)
+            found, at, times = np.unique(g, return_index=True, return_counts=True)
+            (toxic if label else ordinary)[found] += times.astype(np.int32)
+            documents[found] += 1
+            context[found] = h[at]
+            low[found] = cells(chars, LOW, LOW_BITS, LOW_BITS)[0][at]
+    yield from _filled({"context": context, "low": low, "toxic": toxic, "ordinary": ordinary, "documents": documents}, documents > 0)
 
 
 def _shared_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,61 +135,73 @@ def _summed(counts: DataFrame, size: int, places: list[str], sums: list[str], bi
     return out
 
 
-def log_ratios(high: dict[str, np.ndarray], low: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Toxic over ordinary: per 6-gram cell (NaN where no class has it), and per context cell for those."""
+def log_ratios(high: dict[str, np.ndarray], low: dict[str, np.ndarray]) -> np.ndarray:
+    """Toxic over ordinary per 6-gram cell, 0 where no class has it."""
     size = 1 << LOW_BITS
-    at = np.flatnonzero(high["toxic"] + high["ordinary"])
+    at = np.flatnonzero(high["documents"])
     g, h = high["low"][at], high["context"][at]
     continuations = np.where(low["follows"] == 0, low["n"], np.bitwise_count(low["follows"].view(np.uint64)))
     total, kinds = np.bincount(low["context"], continuations, size), np.bincount(low["context"], continuations > 0, size)
     back = low["context"][g]
     shared = (np.maximum(continuations[g] - LOW_DISCOUNT, 0) + LOW_DISCOUNT * kinds[back] / 64) / np.maximum(total[back], 1)
-    logs, rests = [], []
+    n = (high["toxic"] + high["ordinary"])[at]
+    rest = np.bincount(h, np.minimum(n, DISCOUNT), size)
+    common = (np.maximum(n - DISCOUNT, 0) + rest[h] * shared) / np.bincount(h, n, size)[h]
+    repeats = n / high["documents"][at]
+    logs = []
     for c in ("toxic", "ordinary"):
-        n = high[c]
-        total = np.bincount(high["context"], n, size)
-        rest = np.where(total > 0, np.bincount(high["context"], np.minimum(n, DISCOUNT), size) / np.maximum(total, 1), 1.0)
-        logs.append(np.log(np.maximum(n[at] - DISCOUNT, 0) / np.maximum(total[h], 1) + rest[h] * shared + 1e-12))
-        rests.append(np.log(rest))
-    ratio = np.full(1 << HIGH_BITS, np.nan, np.float16)
+        own = high[c][at]
+        logs.append(np.log((own / repeats + PRIOR) / (np.bincount(h, own, size)[h] * common / repeats + PRIOR)))
+    ratio = np.zeros(1 << HIGH_BITS, np.float16)
     ratio[at] = logs[0] - logs[1]
-    return ratio, (rests[0] - rests[1]).astype(np.float16)
+    return ratio
 
 
-def worst_span(text: bytes | None, ratio: np.ndarray, unseen: np.ndarray) -> float:
-    g, h = cells(characters(text), HIGH, HIGH_BITS, LOW_BITS)
+def values(text: bytes | None, ratio: np.ndarray) -> tuple[float, float, float]:
+    """Log ratio a character of the worst span, of the whole text, and of its expressions."""
+    chars = characters(text)
+    g, _ = cells(chars, HIGH, HIGH_BITS, LOW_BITS)
     if len(g) < 2:  # no word
-        return 0.0
-    r = ratio[g].astype(np.float32)
-    r = np.where(np.isnan(r), unseen[h], r)
-    sums = np.concatenate([np.zeros(1), np.cumsum(r, dtype=np.float64)])
+        return 0.0, 0.0, 0.0
+    r = ratio[g].astype(np.float64)
+    sums = np.concatenate([np.zeros(1), np.cumsum(r)])
     span = min(SPAN, len(r))
-    return float((sums[span:] - sums[:-span]).max() / SPAN)
+    words = np.add.reduceat(r, np.flatnonzero(chars[:-1] == 32))
+    return float((sums[span:] - sums[:-span]).max() / SPAN), float(sums[-1] / len(r)), float(np.maximum(words - EXPRESSION, 0).sum() / len(r))
 
 
-def logistic_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(slope, intercept) of Platt's curve, with his smoothed targets, by Newton steps."""
+def logistic_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slopes of the columns of x, and the intercept, of Platt's curve, with his smoothed targets, by Newton steps."""
     up, down = float(y.sum()), float(len(y) - y.sum())
     target = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
-    scale = max(float(x.std()), 1e-6)
-    design, w = np.stack([(x - x.mean()) / scale, np.ones(len(x))], 1), np.zeros(2)
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
+    design = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    w = np.zeros(design.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        hessian = design.T @ (design * (p * (1 - p) + 1e-6)[:, None]) + 1e-3 * np.eye(2)
+        hessian = design.T @ (design * (p * (1 - p) + 1e-6)[:, None]) + 1e-3 * np.eye(len(w))
         step = np.linalg.solve(hessian, design.T @ (target - p) - 1e-3 * w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
-    return w[0] / scale, w[1] - w[0] * x.mean() / scale
+    return np.append(w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum())
+
+
+def _measurer(shared: Broadcast):
+    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([list(values(x, shared.value)) for x in texts], dtype="object")
+
+    return F.pandas_udf(measure, "array<double>")
 
 
-def _scorer(shared: Broadcast):
-    def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ratio, unseen = shared.value
+def _scorer(shared: Broadcast, curve: np.ndarray):
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([worst_span(x, ratio, unseen) for x in texts], dtype="float64")
+            x = np.array([values(t, shared.value) for t in texts]).reshape(-1, 3)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(x @ curve[:-1] + curve[-1], -700, 700))), dtype="float64")
 
-    return F.pandas_udf(raw, "double")
+    return F.pandas_udf(score, "double")
 
 
 class Toxicity:
@@ -192,21 +216,21 @@ class Toxicity:
         usable = usable.withColumn("curve", F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(1_000_000)) < int(share * 1_000_000))
         # labels grow with the corpus: merged, never broadcast
         counted = docs.join(usable.where("NOT curve").hint("merge"), "doc_id").select("text", "toxic")
-        high = _summed(counted.mapInPandas(_class_counts, "cell int, context int, low int, toxic int, ordinary int"), 1 << HIGH_BITS, ["context", "low"], ["toxic", "ordinary"])
+        high = _summed(counted.mapInPandas(_class_counts, "cell int, context int, low int, toxic int, ordinary int, documents int"), 1 << HIGH_BITS, ["context", "low"], ["toxic", "ordinary", "documents"])
         low = _summed(docs.select("text").mapInPandas(_shared_counts, "cell int, context int, n int, follows long"), 1 << LOW_BITS, ["context"], ["n"], ("follows",))
-        self._raw = _scorer(spark.sparkContext.broadcast(log_ratios(high, low)))
+        ratio = spark.sparkContext.broadcast(log_ratios(high, low))
+        measured = _measurer(ratio)("text").alias("x")
         # about CURVE_ROWS keys at most
-        scored = docs.join(F.broadcast(usable.where("curve")), "doc_id").select("toxic", self._raw("text").alias("raw")).toPandas()
+        scored = docs.join(F.broadcast(usable.where("curve")), "doc_id").select("toxic", measured).toPandas()
         if scored["toxic"].nunique() < 2:  # too few labels to keep any apart
             few = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS)
-            scored = docs.join(F.broadcast(few), "doc_id").select("toxic", self._raw("text").alias("raw")).toPandas()
-        self.curve = logistic_curve(scored["raw"].to_numpy(), scored["toxic"].to_numpy()) if scored["toxic"].nunique() == 2 else None
+            scored = docs.join(F.broadcast(few), "doc_id").select("toxic", measured).toPandas()
+        self._score = None
+        if scored["toxic"].nunique() == 2:
+            self._score = _scorer(ratio, logistic_curve(np.array(scored["x"].tolist()), scored["toxic"].to_numpy()))
 
     def score(self, text: Column) -> Column:
-        if self.curve is None:
-            return F.lit(0.5)
-        slope, intercept = self.curve
-        return 1 / (1 + F.exp(-(self._raw(F.lower(text).cast("binary")) * slope + intercept)))
+        return self._score(F.lower(text).cast("binary")) if self._score else F.lit(0.5)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
