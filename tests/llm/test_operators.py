@@ -378,6 +378,23 @@ def test_toxicity_of_many_mild_expressions(spark, monkeypatch):
     assert accuracy(toxicity.op4_toxicity(spark, "").collect(), labels) > 0.95
 
 
+def test_toxicity_tells_all_expressions_apart():
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(3000)) for _ in range(8)]
+    held = set()
+    for text in texts:
+        s = f" {text} "
+        held.update(s[max(s.rindex(" ", 0, i), i - 5) : i + 1] for i in range(1, len(s)))
+    frame = pd.DataFrame({"text": [x.encode() for x in texts], "toxic": [i % 2 for i in range(8)]})
+    parts = list(toxicity._class_counts(iter([frame])))
+    assert sum(map(len, parts)) == len(held)
+    counted = pd.concat(parts)
+    gram, value = counted["gram"].to_numpy(), counted["toxic"].to_numpy() + 1.0
+    assert set(gram) == {int.from_bytes(x.encode(), "big") for x in held}
+    ratios = toxicity.Ratios(gram[::2], value[::2])
+    assert (ratios.of(gram[::2]) == value[::2]).all() and not ratios.of(gram[1::2]).any()
+
+
 def test_shared_counts_are_continuation_counts():
     texts = [b"banana bandana  cabana", b"an ana", b"", None]
     got = {r.cell: (r.n, r.follows) for part in toxicity._shared_counts(iter([pd.DataFrame({"text": texts})])) for r in part.itertuples()}

@@ -13,8 +13,8 @@ distribution, comes from all documents, labelled or not:
 n is the sum of both classes.  b is how often a document that holds h5 x repeats it, so what one
 document repeats counts as one observation, and K observations of the common model are added: rates
 that few documents tell apart stay near 1, and a 6-gram of no labelled document says nothing.  k is the
-Kneser-Ney continuation count: after how many different characters h3 x occurs, told apart by
-their low six bits, so that counts of tasks merge by a bitwise or.  Where h3 begins with the space
+Kneser-Ney continuation count: after how many different characters h3 x occurs, kept as a bit of each of
+the 256, so that counts of tasks merge by a bitwise or.  Where h3 begins with the space
 that begins the word nothing can stand before it, and k is the number of documents.
 
 The log ratio of a character is log r_toxic - log r_ordinary.  Three values describe a text: the sum over
@@ -23,10 +23,12 @@ divided by their number; and the sum over all words of what exceeds ``EXPRESSION
 the many words of no weight would drown how often the text uses toxic ones.  A logistic curve of the
 three, fitted on labelled documents that the counts have not seen, maps them to 0..1.
 
-Counting is one pass per purpose: each task adds up hashed n-grams in arrays of fixed size and emits
-the filled cells, Spark sums them, and the summed tables (at most 2**22 and 2**20 cells whatever the
-corpus, documented bounds) are turned into a table of log ratios and broadcast.  All labelled rows
-that do not fit the curve are counted, and all documents.
+Counting is one pass per purpose.  An n-gram is its own key, as six characters fit in 64 bits, so none
+are taken for each other.  Each task adds up its n-grams before Spark sums them, and the two models are
+joined as tables that grow with the corpus.  The log ratios of all 6-grams of labelled documents are
+then sent to every task in a table sized by their number, at 24 to 48 bytes each: the one thing held in
+memory that grows, with the distinct 6-grams and not with the text.  All labelled rows that do not fit
+the curve are counted, and all documents.
 
 Only labels whose crc32(doc_id) mod 3 is not 1 are used.  Defined results: null or empty texts have the
 values 0; labels that are null are ignored and repeated labels of a document count once, as toxic if any
@@ -44,11 +46,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, table
+from tidemark.llm.common import crc_mod, table, written
 
 HIGH, LOW = 6, 4
-#: Cells (powers of two) of hashed 6-grams, of their 5-character contexts, and of 4-grams and theirs.
-HIGH_BITS, LOW_BITS = 22, 20
+#: N-grams of single documents that a task gathers before it adds them up.
+GATHERED = 1 << 20
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Taken from each count of the classes together, or all of a smaller one; and from each shared count.
 DISCOUNT, LOW_DISCOUNT = 1.8, 0.9
 #: Observations of the common model that are added to each class.
@@ -64,22 +67,24 @@ def characters(text: bytes | None) -> np.ndarray:
     return np.frombuffer(b" " + b" ".join((text or b"").split()) + b" ", np.uint8)
 
 
-def cells(chars: np.ndarray, n: int, gram_bits: int, context_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(cell of each character with its context, cell of the context) for every character but the first.
+def grams(chars: np.ndarray, n: int) -> np.ndarray:
+    """Every character but the first, in the low byte, behind its context.
 
     The context is the n-1 characters before, cut at the space that begins the word.
     """
     size = len(chars) - 1
     place = np.arange(size)
     begins = np.maximum.accumulate(np.where(chars[:-1] == 32, place, 0))
-    length = np.minimum(place + 1 - begins, n - 1).astype(np.uint64)
-    h = np.zeros(size, np.uint64)
+    length = np.minimum(place + 1 - begins, n - 1)
+    h = np.zeros(size, np.int64)
     for j in range(min(n - 1, size)):
-        h[j:] |= chars[: size - j].astype(np.uint64) << np.uint64(8 * j)
-    h &= (np.uint64(1) << (length * np.uint64(8))) - np.uint64(1)
-    g = h << np.uint64(8) | chars[1:]
-    spread = np.uint64(0x9E3779B97F4A7C15)
-    return ((g * spread) >> np.uint64(64 - gram_bits)).astype(np.int64), ((h * spread) >> np.uint64(64 - context_bits)).astype(np.int64)
+        h[j:] |= chars[: size - j].astype(np.int64) << (8 * j)
+    h &= (np.int64(1) << (length * 8)) - 1
+    return h << 8 | chars[1:]
+
+
+def places(gram: np.ndarray, bits: int) -> np.ndarray:
+    return ((gram.astype(np.uint64) * SPREAD) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def word_starts(chars: np.ndarray, n: int) -> np.ndarray:
@@ -88,82 +93,112 @@ def word_starts(chars: np.ndarray, n: int) -> np.ndarray:
     return place - np.maximum.accumulate(np.where(chars[:-1] == 32, place, 0)) < n - 1
 
 
+def _gathered(parts: Iterator[tuple]) -> Iterator[list[np.ndarray]]:
+    """Tuples of arrays of equal length, joined to about GATHERED rows."""
+    held, rows = [], 0
+    for part in parts:
+        held.append(part)
+        rows += len(part[0])
+        if rows >= GATHERED:
+            yield [np.concatenate(x) for x in zip(*held)]
+            held, rows = [], 0
+    if rows:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
 def _class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Occurrences of each 6-gram in each class, the documents that hold it, and the cells of its context and its 4-gram."""
-    toxic, ordinary, documents, context, low = (np.zeros(1 << HIGH_BITS, np.int32) for _ in range(5))
-    for frame in batches:
-        for text, label in zip(frame["text"], frame["toxic"]):
-            chars = characters(text)
-            g, h = cells(chars, HIGH, HIGH_BITS, LOW_BITS)
-            found, at, times = np.unique(g, return_index=True, return_counts=True)
-            (toxic if label else ordinary)[found] += times.astype(np.int32)
-            documents[found] += 1
-            context[found] = h[at]
-            low[found] = cells(chars, LOW, LOW_BITS, LOW_BITS)[0][at]
-    yield from _filled({"context": context, "low": low, "toxic": toxic, "ordinary": ordinary, "documents": documents}, documents > 0)
+    """Occurrences of each 6-gram in each class, and the documents that hold it."""
+
+    def parts() -> Iterator[tuple]:
+        for frame in batches:
+            for text, label in zip(frame["text"], frame["toxic"]):
+                found, times = np.unique(grams(characters(text), HIGH), return_counts=True)
+                yield found, times, np.full(len(found), bool(label))
+
+    for gram, times, toxic in _gathered(parts()):
+        found, at, documents = np.unique(gram, return_inverse=True, return_counts=True)
+        of_toxic, of_all = (np.bincount(at, w, len(found)).astype(np.int64) for w in (times * toxic, times))
+        yield pd.DataFrame({"gram": found, "toxic": of_toxic, "ordinary": of_all - of_toxic, "documents": documents})
+
+
+BEFORE = [f"before{q}" for q in range(4)]
 
 
 def _shared_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each 4-gram the documents that hold it, the characters it follows (a bit each), and the cell of its context."""
-    n, context = np.zeros(1 << LOW_BITS, np.int32), np.zeros(1 << LOW_BITS, np.int32)
-    follows = np.zeros((1 << LOW_BITS) * 64, np.uint8)
-    for frame in batches:
-        for text in frame["text"]:
-            chars = characters(text)
-            g, h = cells(chars, LOW, LOW_BITS, LOW_BITS)
-            n[g] += 1
-            context[g] = h
-            inside = np.flatnonzero(~word_starts(chars, LOW))
-            follows[g[inside] * 64 + (chars[inside - (LOW - 1)] & 63)] = 1
-    bits = np.packbits(follows, bitorder="little").view(np.int64)
-    yield from _filled({"context": context, "n": n, "follows": bits}, n > 0)
-
-
-def _filled(columns: dict[str, np.ndarray], where: np.ndarray) -> Iterator[pd.DataFrame]:
-    cell = np.flatnonzero(where)
-    for part in np.array_split(cell, len(cell) // 100_000 + 1):
-        yield pd.DataFrame({"cell": part.astype(np.int32)} | {k: v[part] for k, v in columns.items()})
-
-
-def _summed(counts: DataFrame, size: int, places: list[str], sums: list[str], bits: tuple[str, ...] = ()) -> dict[str, np.ndarray]:
-    """The counts summed in Spark, and bits united, as arrays of fixed size."""
-    rows = counts.groupBy("cell").agg(*[F.max(x).alias(x) for x in places], *[F.sum(x).alias(x) for x in sums], *[F.bit_or(x).alias(x) for x in bits]).toArrow()
-    out, cell = {}, rows["cell"].to_numpy()
-    for x in [*places, *sums, *bits]:
-        out[x] = np.zeros(size, np.int32 if x in places else np.int64)
-        out[x][cell] = rows[x].to_numpy()
-    return out
-
-
-def log_ratios(high: dict[str, np.ndarray], low: dict[str, np.ndarray]) -> np.ndarray:
-    """Toxic over ordinary per 6-gram cell, 0 where no class has it."""
-    size = 1 << LOW_BITS
-    at = np.flatnonzero(high["documents"])
-    g, h = high["low"][at], high["context"][at]
-    continuations = np.where(low["follows"] == 0, low["n"], np.bitwise_count(low["follows"].view(np.uint64)))
-    total, kinds = np.bincount(low["context"], continuations, size), np.bincount(low["context"], continuations > 0, size)
-    back = low["context"][g]
-    shared = (np.maximum(continuations[g] - LOW_DISCOUNT, 0) + LOW_DISCOUNT * kinds[back] / 64) / np.maximum(total[back], 1)
-    n = (high["toxic"] + high["ordinary"])[at]
-    rest = np.bincount(h, np.minimum(n, DISCOUNT), size)
-    common = (np.maximum(n - DISCOUNT, 0) + rest[h] * shared) / np.bincount(h, n, size)[h]
-    repeats = n / high["documents"][at]
-    logs = []
-    for c in ("toxic", "ordinary"):
-        own = high[c][at]
-        logs.append(np.log((own / repeats + PRIOR) / (np.bincount(h, own, size)[h] * common / repeats + PRIOR)))
-    ratio = np.zeros(1 << HIGH_BITS, np.float16)
-    ratio[at] = logs[0] - logs[1]
-    return ratio
-
-
-def values(text: bytes | None, ratio: np.ndarray) -> tuple[float, float, float]:
+    """Of each 4-gram the documents that hold it and the characters it follows, a bit each.
+
+    The bits are in four longs by the characters' high two bits; follows unites these, and is 0 at the
+    beginning of a word.  cell is a short hash of the 4-gram for display, by which nothing is summed.
+    """
+
+    def parts() -> Iterator[tuple]:
+        for frame in batches:
+            for text in frame["text"]:
+                chars = characters(text)
+                inside = np.flatnonzero(~word_starts(chars, LOW))
+                before, is_inside = np.zeros((2, len(chars) - 1), np.int64)
+                before[inside], is_inside[inside] = chars[inside - (LOW - 1)], 1
+                found = np.unique(grams(chars, LOW) << 9 | before << 1 | is_inside)
+                yield found, np.diff(found >> 9, prepend=-1) != 0  # whether first of its 4-gram in the document
+
+    for found, first in _gathered(parts()):
+        code, at = np.unique(found, return_inverse=True)
+        documents = np.bincount(at, first, len(code)).astype(np.int64)
+        gram, before, inside = code >> 9, code >> 1 & 255, code & 1
+        begins = np.flatnonzero(np.diff(gram, prepend=-1))
+        bit = inside.astype(np.uint64) << (before & 63).astype(np.uint64)
+        bits = [np.bitwise_or.reduceat(np.where(before >> 6 == q, bit, np.uint64(0)), begins).view(np.int64) for q in range(4)]
+        gram = gram[begins]
+        columns = {"cell": places(gram, 20), "gram": gram, "n": np.add.reduceat(documents, begins), "follows": np.bitwise_or.reduce(bits)}
+        yield pd.DataFrame(columns | dict(zip(BEFORE, bits)))
+
+
+def log_ratios(high: DataFrame, low: DataFrame) -> DataFrame:
+    """(gram, ratio), toxic over ordinary, of all 6-grams; from the sums of _class_counts and _shared_counts."""
+    k = F.when(sum(F.bit_count(c) for c in BEFORE) == 0, F.col("n")).otherwise(sum(F.bit_count(c) for c in BEFORE))
+    low = low.select(F.col("gram").alias("low"), F.shiftright("gram", 8).alias("back"), k.alias("k"))
+    backs = low.groupBy("back").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("kinds"))
+    part = (F.greatest(F.col("k") - LOW_DISCOUNT, F.lit(0.0)) + LOW_DISCOUNT * F.col("kinds") / 64) / F.col("total")
+    shared = low.join(backs, "back").select("low", part.alias("shared"))
+    n = F.col("toxic") + F.col("ordinary")
+    high = high.select("*", n.alias("n"), F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(F.lit((1 << 8 * LOW) - 1)).alias("low"))
+    sums = [F.sum(c).alias(f"all_{c}") for c in ("toxic", "ordinary", "n")]
+    contexts = high.groupBy("context").agg(*sums, F.sum(F.least("n", F.lit(DISCOUNT))).alias("rest"))
+    common = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + F.col("rest") * F.col("shared")) / F.col("all_n")
+    repeats = F.col("n") / F.col("documents")
+    joined = high.join(contexts, "context").join(shared, "low").withColumn("common", common).withColumn("repeats", repeats)
+    logs = [F.log((F.col(c) / F.col("repeats") + PRIOR) / (F.col(f"all_{c}") * F.col("common") / F.col("repeats") + PRIOR)) for c in ("toxic", "ordinary")]
+    return joined.select("gram", (logs[0] - logs[1]).cast("float").alias("ratio"))
+
+
+class Ratios:
+    """Log ratios by 6-gram, 0 for others: a hash table with at least two places a key, told apart by the key."""
+
+    def __init__(self, gram: np.ndarray, ratio: np.ndarray):
+        self.bits = max(8, int(2 * len(gram)).bit_length())
+        home = places(gram, self.bits)
+        order = np.argsort(home)
+        at = np.arange(len(order))
+        at += np.maximum.accumulate(home[order] - at)  # the next free place
+        size = max(1 << self.bits, int(at[-1]) + 2 if len(at) else 0)
+        self.key, self.ratio = np.full(size, -1, np.int64), np.zeros(size, np.float32)
+        self.key[at], self.ratio[at] = gram[order], ratio[order]
+
+    def of(self, gram: np.ndarray) -> np.ndarray:
+        at = places(gram, self.bits)
+        key = self.key[at]
+        while len(other := np.flatnonzero((key != gram) & (key >= 0))):
+            at[other] += 1
+            key[other] = self.key[at[other]]
+        return np.where(key == gram, self.ratio[at], 0).astype(np.float64)
+
+
+def values(text: bytes | None, ratios: Ratios) -> tuple[float, float, float]:
     """Log ratio a character of the worst span, of the whole text, and of its expressions."""
     chars = characters(text)
-    g, _ = cells(chars, HIGH, HIGH_BITS, LOW_BITS)
-    if len(g) < 2:  # no word
+    if len(chars) < 3:  # no word
         return 0.0, 0.0, 0.0
-    r = ratio[g].astype(np.float64)
+    r = ratios.of(grams(chars, HIGH))
     sums = np.concatenate([np.zeros(1), np.cumsum(r)])
     span = min(SPAN, len(r))
     words = np.add.reduceat(r, np.flatnonzero(chars[:-1] == 32))
@@ -216,9 +251,12 @@ class Toxicity:
         usable = usable.withColumn("curve", F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(1_000_000)) < int(share * 1_000_000))
         # labels grow with the corpus: merged, never broadcast
         counted = docs.join(usable.where("NOT curve").hint("merge"), "doc_id").select("text", "toxic")
-        high = _summed(counted.mapInPandas(_class_counts, "cell int, context int, low int, toxic int, ordinary int, documents int"), 1 << HIGH_BITS, ["context", "low"], ["toxic", "ordinary", "documents"])
-        low = _summed(docs.select("text").mapInPandas(_shared_counts, "cell int, context int, n int, follows long"), 1 << LOW_BITS, ["context"], ["n"], ("follows",))
-        ratio = spark.sparkContext.broadcast(log_ratios(high, low))
+        sums = [F.sum(c).alias(c) for c in ("toxic", "ordinary", "documents")]
+        high = counted.mapInPandas(_class_counts, "gram long, toxic long, ordinary long, documents long").groupBy("gram").agg(*sums)
+        low = docs.select("text").mapInPandas(_shared_counts, "cell long, gram long, n long, follows long, " + ", ".join(f"{c} long" for c in BEFORE))
+        low = low.groupBy("gram").agg(F.sum("n").alias("n"), *[F.bit_or(c).alias(c) for c in BEFORE])
+        rows = log_ratios(written(high, "classes"), written(low, "shared")).toArrow()
+        ratio = spark.sparkContext.broadcast(Ratios(rows["gram"].to_numpy(), rows["ratio"].to_numpy()))
         measured = _measurer(ratio)("text").alias("x")
         # about CURVE_ROWS keys at most
         scored = docs.join(F.broadcast(usable.where("curve")), "doc_id").select("toxic", measured).toPandas()
