@@ -137,6 +137,15 @@ def test_levels_and_cycles(spark):
     assert {r.level: r.bytes for r in f.collect()} == {0: 10, 1: 15, 2: 10}
 
 
+def test_closure_has_no_limit_but_hops(spark, monkeypatch):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(4)], "parent long, child long")
+    assert graph.closure(chain, 0).count() == 0
+    assert graph.closure(chain, 1).count() == 4
+    # a range is bounded beforehand; without hops the frontier alone ends the search
+    monkeypatch.setattr(graph, "range", lambda a, b: range(a, min(b, 3)), raising=False)
+    assert {(r.ancestor, r.node, r.distance) for r in graph.closure(chain).collect()} == {(i, j, j - i) for i in range(5) for j in range(i + 1, 5)}
+
+
 def test_empty_reductions(spark):
     df = spark.createDataFrame([(1, None)], "s int, v double")
     r = overall(df, F.col("s"), F.col("s"), *[Reduce(n, F.col("v"), n) for n in ("COUNT", "SUM", "MIN", "MAX", "AVERAGE", "FIRST", "UNIQUE")]).first()

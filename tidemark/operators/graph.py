@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,12 +48,14 @@ def guaranteed_width(links: DataFrame) -> DataFrame:
     return only.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("width"))
 
 
-def closure(links: DataFrame, hops: int | None = None, max_rounds: int = 1000) -> DataFrame:
+def closure(links: DataFrame, hops: int | None = None) -> DataFrame:
     """(ancestor, node, distance): shortest distances up to ``hops`` (all if None)."""
     links = links.select("parent", "child").distinct()
     reached = links.select(F.col("parent").alias("ancestor"), F.col("child").alias("node"), F.lit(1).alias("distance"))
+    if hops is not None and hops < 1:
+        return reached.limit(0)
     frontier = reached
-    for d in range(2, (hops or max_rounds) + 1):
+    for d in itertools.count(2) if hops is None else range(2, hops + 1):
         step = frontier.join(links, frontier["node"] == links["parent"]).select("ancestor", F.col("child").alias("node"), F.lit(d).alias("distance")).distinct()
         frontier = _checkpointed(step.join(reached, ["ancestor", "node"], "left_anti"))
         if not frontier.limit(1).count():
