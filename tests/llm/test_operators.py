@@ -271,7 +271,7 @@ def test_permutation_is_one():
 
 def pages():
     big = "<p>" + "é" * 300 + "</p>"
-    return [(1, "u1", big), (2, "u2", big), (3, None, None), (4, "u\r\n4", ""), (5, "u5", "short"), (6, "u6", "short"), (7, "u7", big), (8, "u8", "z" * 200_000), (9, "u9", "a" * 99), (10, "u0", "a" * 99), (11, "v", "b" * 100), (12, "v", "b" * 100), (12, "v", "b" * 100), (None, "n", "c" * 200), (13, "n", "c" * 200), (None, None, None)]
+    return [(1, "u1", big), (2, "u2", big), (3, None, None), (4, "u\r\n4", ""), (5, "u5", "short"), (6, "u6", "short"), (7, "u7", big), (8, "u8", "z" * 200_000), (9, "u9", "a" * 99), (10, "u0", "a" * 99), (11, "v", "b" * 100), (12, "v", "b" * 100), (12, "v", "b" * 100), (None, "n", "c" * 200), (13, "n", "c" * 200), (None, None, None), (1, "u1", "d" * 150), (14, "w", "d" * 150), (2, "u2", "e" * 120), (2, "u2", "d" * 150)]
 
 
 def test_warc_round_trip(spark):
@@ -295,8 +295,10 @@ def test_warc_members_and_index(spark, tmp_path):
     df = spark.createDataFrame(pages(), "page_id long, url string, html string")
     folder = f"file://{tmp_path}"
     manifest = warc.write_monolithic(warc.with_revisits(df), f"{folder}/m", roll_bytes=500).collect()
-    index = warc.normalise(spark.createDataFrame(manifest), f"{folder}/r").collect()
-    assert len(index) == len(pages())
+    members = warc.normalise(spark.createDataFrame(manifest), f"{folder}/r").collect()
+    (tmp_path / "r" / "left_by_a_lost_executor.warc.gz.idx").write_text("0 1 response x - -\n")
+    index = warc.read_index(spark.createDataFrame(members)).collect()
+    assert len(index) == len(pages()) == sum(m.n_records for m in members)
     for r in index:
         data = open(r.archive.removeprefix("file://"), "rb").read()[r.offset : r.offset + r.length]
         head = gzip.decompress(data).split(b"\r\n\r\n")[0].decode()

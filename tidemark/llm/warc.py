@@ -6,18 +6,20 @@ executor repeats only its own archives, under new names:
 1. ``write_monolithic``: every task writes its rows as WARC/1.1 records into archives that are one gzip
    stream each (the form that has no random access), a new archive every ``roll_bytes`` of payload.
 2. ``normalise``: an archive is inflated once as a stream, in chunks; every record becomes a gzip member
-   of its own, and a sidecar index lists offset, length and headers of each member.
-3. ``read_records``: members are fetched by offset, grouped by archive; the payload is hashed again.
+   of its own, and a sidecar file lists offset, length, type, digest and ids of each member.
+3. ``read_index`` reads the sidecars, of the manifest's archives only; ``read_records`` fetches members by
+   offset, grouped by archive, and hashes the payload again.
 
 Files go through pyarrow's file systems by URI (file, hdfs, s3, gs), never a machine-local folder.
 
 Of records with equal payloads of at least 100 bytes the smallest page_id is ``response``; the others
 are ``revisit`` records without payload.  The digest groups are pre-aggregated (min per digest); those
 of several records are repeated over salts and joined back, so a hot digest is many partitions.  A revisit's
-payload figures are those of the record that it refers to, read back from the archives.
+payload figures are those of the record with its id and digest that it refers to, read back from the archives.
 
 Defined results: null html is an empty payload; rows that repeat a page_id with its payload are of one
-type; a row without page_id is a response and nobody's target; extra columns are not read.
+type, rows that repeat it with another payload are told apart by the digest; a row without page_id is a
+response and nobody's target; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -140,11 +142,13 @@ def inflated_records(stream, chunk: int = CHUNK) -> Iterator[tuple[dict[str, str
         yield headers, head, payload
 
 
-INDEX = "archive string, offset long, length long, page_id long, record_type string, refers_to long"
+#: Columns of the index; in a sidecar a line holds all but the first, "-" for null.
+INDEX = "archive string, offset long, length long, record_type string, digest string, page_id long, refers_to long"
+SIDECAR = ".idx"
 
 
 def normalise(manifest: DataFrame, folder: str, level: int = 6) -> DataFrame:
-    """manifest(archive) -> the sidecar index: one row per record, now a gzip member of its own."""
+    """manifest(archive) -> manifest(archive, n_records) of archives whose records are gzip members, with a sidecar each."""
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, root = _open(folder)
@@ -152,21 +156,38 @@ def normalise(manifest: DataFrame, folder: str, level: int = 6) -> DataFrame:
         for rows in batches:
             for source in rows["archive"]:
                 from_system, path = _open(source)
-                name, at, index = f"{uuid.uuid4().hex}.warc.gz", 0, []
-                with from_system.open_input_stream(path, compression=None) as stream, system.open_output_stream(f"{root}/{name}", compression=None) as out:
+                name, at, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                with (
+                    from_system.open_input_stream(path, compression=None) as stream,
+                    system.open_output_stream(f"{root}/{name}", compression=None) as out,
+                    system.open_output_stream(f"{root}/{name}{SIDECAR}", compression=None) as sidecar,
+                ):
                     for headers, head, payload in inflated_records(stream):
                         squeeze = zlib.compressobj(level, wbits=31)
                         member = squeeze.compress(head + b"\r\n\r\n" + payload + b"\r\n\r\n") + squeeze.flush()
                         out.write(member)
-                        index.append((f"{folder}/{name}", at, len(member), _number(headers.get("warc-page-id")), headers["warc-type"], _number(headers.get("warc-refers-to-page-id"))))
-                        at += len(member)
-                frame = pd.DataFrame(index, columns=[x.split()[0] for x in INDEX.split(", ")])
-                frame = frame.astype({"page_id": "Int64", "refers_to": "Int64"})
-                with system.open_output_stream(f"{root}/{name}.idx", compression=None) as out:
-                    out.write("".join(f"{r.page_id} {r.offset} {r.length} {r.record_type}\n" for r in frame.itertuples()).encode())
-                yield frame
+                        digest = headers["warc-payload-digest"].removeprefix("sha256:")
+                        line = (at, len(member), headers["warc-type"], digest, headers.get("warc-page-id", "-"), headers.get("warc-refers-to-page-id", "-"))
+                        sidecar.write((" ".join(map(str, line)) + "\n").encode())
+                        at, n = at + len(member), n + 1
+                yield pd.DataFrame([(f"{folder}/{name}", n)], columns=["archive", "n_records"])
 
-    return manifest.select("archive").mapInPandas(rewrite, INDEX)
+    return manifest.select("archive").mapInPandas(rewrite, "archive string, n_records long")
+
+
+def read_index(manifest: DataFrame) -> DataFrame:
+    """manifest(archive) -> the index of all members, from the sidecars beside the archives."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for archive in rows["archive"]:
+                system, path = _open(archive + SIDECAR)
+                with system.open_input_stream(path, compression=None) as stream:
+                    lines = [x.split(" ") for x in stream.read().decode().splitlines()]
+                out = [(archive, int(at), int(size), kind, digest, _number(page), _number(target)) for at, size, kind, digest, page, target in lines]
+                yield pd.DataFrame(out, columns=[x.split()[0] for x in INDEX.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
+
+    return manifest.select("archive").mapInPandas(read, INDEX)
 
 
 def read_records(index: DataFrame) -> DataFrame:
@@ -204,20 +225,20 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, roll_bytes: int = 32 << 20) -> DataFrame:
-    """Write pages as monolithic archives, normalise them, and read every record back by the index."""
+    """Write pages as monolithic archives, normalise them, and read every record back by the sidecar indexes."""
     folder = shared_dir(pages.sparkSession)
     manifest = written(write_monolithic(with_revisits(pages), f"{folder}/monolithic", roll_bytes), "manifest")
-    # manifest and index are small beside the archives that they name: dealt by number, or Spark would make one task of them
+    # manifests are small beside the archives that they name: dealt by number, or Spark would make one task of them
     tasks = min(MAX_TASKS, max(1, manifest.count()))
-    index = written(normalise(manifest.repartition(tasks), f"{folder}/records"), "index")
-    records = read_records(index.repartition(tasks, "archive").sortWithinPartitions("archive", "offset"))
-    stored = records.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "stated_digest")
-    revisits = index.where("record_type = 'revisit'").select("page_id", "refers_to")
-    # payloads below the limit never have revisits; ids that repeat are one target
-    targets = stored.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").where(F.col("payload_bytes") >= MIN_REVISIT)
-    targets = targets.join(revisits.select("refers_to").distinct(), "refers_to", "left_semi").dropDuplicates(["refers_to"])
-    seen = revisits.join(targets, "refers_to").select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to")
-    first = stored.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    members = written(normalise(manifest.repartition(tasks), f"{folder}/records"), "members")
+    records = written(read_records(read_index(members.repartition(tasks))), "records")
+    first = records.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # payloads below the limit never have revisits; of rows that repeat an id and a payload any is the target
+    targets = first.where(F.col("payload_bytes") >= MIN_REVISIT).select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated_digest"), "payload_bytes", "payload_digest")
+    revisits = records.where("record_type = 'revisit'").select("page_id", "refers_to", "stated_digest")
+    wanted = revisits.select("refers_to", "stated_digest").distinct()
+    targets = targets.join(wanted, ["refers_to", "stated_digest"], "left_semi").dropDuplicates(["refers_to", "stated_digest"])
+    seen = salted_join(revisits, targets, ["refers_to", "stated_digest"], "page_id").select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to")
     return first.unionByName(seen)
 
 
