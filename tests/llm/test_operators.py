@@ -159,6 +159,16 @@ def family(n, edits, seed):
     return out
 
 
+def test_near_duplicates_of_an_id_with_several_texts(spark):
+    a, b, c = (prose(600 + i, 80) for i in range(3))
+    close = [" ".join(["new", *t.split()[1:]]) for t in (a, b)]
+    rows = [(1, a), (1, b), (2, close[0]), (3, close[1]), (7, a), (7, c), (7, c), (8, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("same", F.lit(0))
+    got = Counter((r.doc_id, r.class_id) for r in near_dedup.near_duplicates(df).collect())
+    assert got == Counter([(1, 1), (1, 1), (2, 1), (3, 1), (7, 1), (7, 7), (7, 7), (8, 7)])
+    assert Counter((r.doc_id, r.text) for r in near_dedup.one_of_each(df).collect()) == Counter([(1, a), (1, b), (7, c)])
+
+
 @pytest.mark.parametrize("small", [2, 32])
 def test_near_duplicates_lose_no_link_in_large_groups(spark, monkeypatch, small):
     monkeypatch.setattr(near_dedup, "SMALL", small)  # 2: the prefix filter finds every pair left

@@ -18,9 +18,11 @@ same dart is their weighted Jaccard similarity.  A coordinate left empty doubles
    buckets, and in large ones those that pass an exact prefix filter on rare shingles.
 
 Words are ``[^\x20\x09-\x0D]+`` of the lower-cased text; a text of one to four words is one shingle.
+A text stands in the link graph by the smallest doc_id that holds it, its id.
 Defined results: texts without words are near nothing but equal texts; null texts and rows with a null
-doc_id are classes of their own; rows of one doc_id and text are one document; extra columns are not
-read.  A pair of similarity 0.8 shares no band with a chance of (1 - 0.8**5)**30 = 7e-6.
+doc_id are classes of their own; rows of one doc_id and text are one document; where one doc_id has rows of
+several texts each row has the class of its text, and an id that stands for several texts is linked by any
+of them; extra columns are not read.  A pair of similarity 0.8 shares no band with a chance of (1 - 0.8**5)**30 = 7e-6.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import byte_words, salted_join, table, written
@@ -113,15 +115,15 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, n: int, weights: str) -> DataFrame:
-    """pairs(a, b) whose texts(id, text) are at least threshold similar, with their similarity."""
+    """pairs(a, b) of which a text of texts(id, text) each is at least threshold similar, with the similarity."""
 
-    def verify(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        last, last_id = None, None
-        for ids, centres, others in batches:
+    def verify(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        last, last_text = None, None
+        for centres, others in batches:
             out = []
-            for i, x, y in zip(ids, centres, others):
-                if i != last_id:  # rows come sorted by the centre
-                    last, last_id = weighted_shingles(x, n, weights), i
+            for x, y in zip(centres, others):
+                if x != last_text:  # rows come sorted by the centre
+                    last, last_text = weighted_shingles(x, n, weights), x
                 other = weighted_shingles(y, n, weights)
                 low, high = sorted((last[1].sum(), other[1].sum()))
                 out.append(similarity(last, other) if low >= threshold * high else 0.0)
@@ -129,7 +131,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, n: int, weig
 
     ta, tb = texts.select(F.col("id").alias("a"), F.col("text").alias("_ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("_tb"))
     both = pairs.join(ta, "a").join(tb, "b")
-    return both.select("a", "b", F.pandas_udf(verify, "double")("b", "_tb", "_ta").alias("similarity")).where(F.col("similarity") >= threshold)
+    return both.select("a", "b", F.pandas_udf(verify, "double")("_tb", "_ta").alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def _split(shared: DataFrame, found: DataFrame) -> DataFrame:
@@ -192,11 +198,8 @@ def _pairs_of_large_buckets(split: DataFrame, texts: DataFrame, most: int, thres
     return x.join(y, "shingle").where((F.col("x_id") > F.col("y_id")) & (F.col("x_component") != F.col("y_component")) & fits).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
-    """(doc_id, class_id, n_links): class_id is the smallest doc_id of the document's class, n_links how many
-    of the other texts that its text was compared with are similar; within a class not all are.  One row
-    per row of docs."""
-    docs = docs.select("doc_id", "text")
+def _classes(docs: DataFrame, threshold: float, n: int, bands: int, rows: int, weights: str) -> DataFrame:
+    """(doc_id, same, class_id) of the rows of docs(doc_id, text) that have both; same is the text's digest."""
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,43 +211,50 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands:
             frame["bands"] = out
             yield frame
 
-    signed = texts.select("doc_id", F.unhex(F.md5("text")).alias("same"), lower_bytes(F.col("text")).alias("_low")).mapInPandas(sign, "doc_id long, same binary, bands array<long>")
+    signed = texts.select("doc_id", _digest(F.col("text")).alias("same"), lower_bytes(F.col("text")).alias("_low")).mapInPandas(sign, "doc_id long, same binary, bands array<long>")
     signed = written(signed, "signatures")
     ids = signed.groupBy("same").agg(F.min("doc_id").alias("id"))
-    members = written(salted_join(signed.select("doc_id", "same", "bands"), ids, "same", "doc_id").select("doc_id", "id", F.when(F.col("doc_id") == F.col("id"), F.col("bands")).alias("bands")), "members")
-    buckets = members.where("bands IS NOT NULL").dropDuplicates(["id"]).select("id", F.explode("bands").alias("band"))
+    members = written(salted_join(signed.select("doc_id", "same", "bands"), ids, "same", "doc_id").select("doc_id", "same", "id", F.when(F.col("doc_id") == F.col("id"), F.col("bands")).alias("bands")), "members")
+    buckets = members.where("bands IS NOT NULL").select("id", F.explode("bands").alias("band")).distinct()
     centres = buckets.groupBy("band").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(salted_join(buckets, centres, "band", "id"), "buckets")
 
     wanted = shared.select(F.col("id").alias("doc_id")).distinct()
-    # an id may have rows of different texts; the smallest text stands for it
-    near = texts.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), lower_bytes(F.col("text")).alias("text"))
-    near = written(near.groupBy("id").agg(F.min("text").alias("text")), "texts")
+    # the rows whose doc_id stands for their text, once each; an id that stands for several texts has several rows
+    own = members.where("doc_id = id").select("doc_id", "same").distinct().join(wanted, "doc_id", "left_semi")
+    near = texts.withColumn("same", _digest(F.col("text"))).join(own, ["doc_id", "same"], "left_semi")
+    near = written(near.select(F.col("doc_id").alias("id"), "same", lower_bytes(F.col("text")).alias("text")).dropDuplicates(["id", "same"]).drop("same"), "texts")
     star = shared.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     links = written(_verified(star, near, threshold, n, weights), "links")
     found = components(links)
+    split = written(_split(shared, found), "split_buckets")
 
     tested = star
     for _ in range(HUB_ROUNDS):
-        pairs = written(_hub_pairs(_split(shared, found), _degrees(links)).join(tested, ["a", "b"], "left_anti"), "hub_pairs")
+        if split.isEmpty():
+            break
+        pairs = written(_hub_pairs(split, _degrees(links)).join(tested, ["a", "b"], "left_anti"), "hub_pairs")
         more = written(_verified(pairs, near, threshold, n, weights), "hub_links")
         tested = tested.unionByName(pairs)
-        if not more.limit(1).count():
+        if more.isEmpty():
             break
         links = links.unionByName(more)
         found = components(links)
-    split = written(_split(shared, found), "split_buckets")
-    rest = _pairs_of_small_buckets(split, SMALL).union(_pairs_of_large_buckets(split, near, SMALL, threshold, n, weights))
-    rest = rest.distinct().join(tested, ["a", "b"], "left_anti")
-    more = written(_verified(rest, near, threshold, n, weights), "more_links")
-    if more.limit(1).count():
-        links = links.unionByName(more)
-        found = components(links)
-    degree = _degrees(links)
-    classes = found.join(degree, "id")
-    out = members.select("doc_id", "id").join(classes, "id", "left").select("doc_id", F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    alone = docs.where("doc_id IS NULL OR text IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(alone)
+        split = written(_split(shared, found), "split_buckets")
+    if not split.isEmpty():
+        rest = _pairs_of_small_buckets(split, SMALL).union(_pairs_of_large_buckets(split, near, SMALL, threshold, n, weights))
+        rest = rest.distinct().join(tested, ["a", "b"], "left_anti")
+        more = written(_verified(rest, near, threshold, n, weights), "more_links")
+        if not more.isEmpty():
+            found = components(links.unionByName(more))
+    return members.select("doc_id", "same", "id").join(found, "id", "left").select("doc_id", "same", F.coalesce("component", "id").alias("class_id"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
+    """(doc_id, class_id), one row per row of docs: class_id is the smallest doc_id of the class of the row's text."""
+    docs = docs.select("doc_id", "text")
+    alone = docs.where("doc_id IS NULL OR text IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
+    return _classes(docs, threshold, n, bands, rows, weights).select("doc_id", "class_id").unionByName(alone)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,12 +262,13 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of every class the document of the smallest doc_id stays, all columns as they are.
+    """Pipeline stage: of every class the rows of the smallest doc_id stay, all columns as they are.
 
-    Repeated rows of a doc_id become one row (of the smallest text); rows without doc_id or text have no
-    near duplicates and stay.
+    Rows that repeat a doc_id and its text become one of them; rows of one doc_id with several texts are judged
+    one by one; rows without doc_id or text have no near duplicates and stay.
     """
-    gone = near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").groupBy("doc_id")
-    kept = kept.agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.coalesce("text", F.lit(""))).alias("_row")).select("_row.*")
+    gone = _classes(docs.select("doc_id", "text"), 0.8, 5, BANDS, ROWS, "set").where("doc_id <> class_id").select("doc_id", "same").distinct()
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    kept = docs.where("doc_id IS NOT NULL").select("doc_id", _digest(F.col("text")).alias("same"), row)
+    kept = kept.join(gone, ["doc_id", "same"], "left_anti").dropDuplicates(["doc_id", "same"]).select("row.*")
     return kept.unionByName(docs.where("doc_id IS NULL"))
