@@ -3,6 +3,9 @@
 Each text is encoded whole by a public byte-level BPE vocabulary, a file whose path is a parameter; its
 bytes, about 1 MB whatever the corpus, are broadcast and turned into an encoder once per task.
 
+The vocabulary's pattern looks ahead after white space, which its matcher does by recursion, so long runs of
+white space are cut out at the borders where the pattern itself would cut, and encoded as pieces.
+
 Documents are then aggregated by length (partial sums before the shuffle, so no hot key).  Suffix sums
 over the distinct lengths answer every context limit L:  sum(min(length, L)) = tokens in documents of
 at most L tokens + L * documents longer than L.
@@ -22,23 +25,37 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import table, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern that belongs to this public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space that is cut out from this many characters on.
+LONG_RUN = 512
 #: Lengths per range of the two-level running sums.
 RANGE = 4096
 
 
 def encoded_length(vocabulary: bytes):
     """A function text -> number of tokens, for use inside one worker."""
+    import regex
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in vocabulary.splitlines() if x)}
     codec = tiktoken.Encoding("lengths", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    piece = tiktoken.Encoding("piece", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+    runs = regex.compile(rf"\p{{White_Space}}{{{LONG_RUN},}}")
+
+    def length(text: str | None) -> int:
+        n, at = 0, 0
+        for run in runs.finditer(text or ""):
+            # the last character of a run that a word follows belongs to the next piece
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            n += len(codec.encode_ordinary(text[at : run.start()])) + len(piece.encode_ordinary(text[run.start() : end]))
+            at = end
+        return n + len(codec.encode_ordinary(text[at:] if at else text)) if text else 0
 
-    return lambda text: len(codec.encode_ordinary(text)) if text else 0
+    return length
 
 
 def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -60,7 +77,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     the suffix sums.  truncated_tokens: what a context limit of n_tokens keeps of all documents.
     quantile: share of documents of at most n_tokens.
     """
-    by_length = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("part", F.floor(F.col("n_tokens") / RANGE))
+    # read twice below, and encoding is what costs
+    by_length = written(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")), "lengths").withColumn("part", F.floor(F.col("n_tokens") / RANGE))
     parts = by_length.groupBy("part").agg(F.sum("n_docs").alias("part_docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("part_tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
