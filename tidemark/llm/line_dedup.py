@@ -1,25 +1,26 @@
 r"""Line dedup: drop lines that many documents share, keep one carrier, reassemble by position.
 
-Lines are exploded once as 128-bit hashes of their normalised form (stripped of ``[\x20\x09-\x0D]``,
-A-Z lower-cased).  ``count(DISTINCT doc)`` is pre-aggregated before its shuffles, so a line in a third
-of all documents costs one row per task.  The hashes over the threshold, few against the lines, are
-repeated over salts and joined back to the lines, so a hot hash is many partitions; what a document
-loses is gathered, and each whole text is cut in one pass over its own lines.
+Lines are exploded once with their positions; those whose normalised form (stripped of
+``[\x20\x09-\x0D]``, A-Z lower-cased) is long enough are written as (document, position, 128-bit hash).
+``count(DISTINCT doc)`` is pre-aggregated before its shuffles, so a line in a third of all documents costs
+one row per task.  The hashes over the threshold, few against the lines, are repeated over salts and joined
+back to the written lines, so a hot hash is many partitions; the positions that a document loses are
+gathered, and each whole text is put together again from the others.
 
 Defined results: null or empty text is one empty line; rows with a null doc_id neither count nor lose
-lines; repeated rows of a document count once and are each returned; extra columns are not read.
+lines; repeated rows of a document count once and are each returned; rows of one doc_id with several texts
+are told apart by a 64-bit hash of the text; extra columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, salted_join, table
+from tidemark.llm.common import SPACE, salted_join, table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,42 +29,46 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, LOWER)
 
 
-def _cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+def _without(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Texts without the lines at the positions that go; those that lose none as they are."""
     for texts, drops in batches:
-        rows = []
+        out = []
         for text, drop in zip(texts, drops):
-            if text is None:
-                rows.append((0, None))
-                continue
-            gone = {bytes(x) for x in drop}
-            lines = text.split("\n")
-            kept = [x for x in lines if hashlib.md5(x.strip(SPACE).encode().lower()).digest() not in gone]
-            rows.append((len(lines) - len(kept), "\n".join(kept)))
-        yield pd.DataFrame(rows, columns=["n_dropped", "kept"])
+            if drop is not None and text is not None:
+                gone = set(drop)
+                text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+            out.append(text)
+        yield pd.Series(out, dtype="object")
+
+
+def _tie(text: str) -> Column:
+    return F.xxhash64(text)
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """(doc_id, drop: hashes of the lines that this document loses)."""
-    keys = F.transform(F.split(F.col("text"), "\n"), lambda x: line_key(x))
-    long_keys = F.transform(F.filter(keys, lambda k: F.length(k) >= min_chars), lambda k: F.unhex(F.md5(k)))
-    lines = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.explode(F.array_distinct(long_keys)).alias("line"))
+    """(doc_id, tie, drop): positions of the lines that the document of this doc_id and hash of its text loses."""
+    docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    lines = docs.select("doc_id", _tie("text").alias("tie"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "tie", "pos", line_key(F.col("line")).alias("key"))
+    lines = written(lines.where(F.length("key") >= min_chars).select("doc_id", "tie", "pos", F.unhex(F.md5("key")).alias("line")), "lines")
     common = lines.groupBy("line").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("line", "keeper")
-    return salted_join(lines, common, "line", "doc_id").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("line").alias("drop"))
+    return salted_join(lines, common, "line", "doc_id").where("doc_id <> keeper").groupBy("doc_id", "tie").agg(F.collect_set("pos").alias("drop"))
+
+
+def _reassembled(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """(row: a row of docs as it was, drop, kept: its text without what it loses)."""
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    rows = docs.select("doc_id", _tie("text").alias("tie"), row)
+    rows = rows.join(dropped_lines(docs.select("doc_id", "text"), min_chars, min_docs), ["doc_id", "tie"], "left")
+    loses = F.col("drop").isNotNull()
+    kept = F.pandas_udf(_without, "string")(F.when(loses, F.col("row.text")), F.col("drop"))
+    return rows.select("row", "drop", F.when(loses, kept).otherwise(F.col("row.text")).alias("kept"))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_lines, n_dropped, kept (the text that stays; null stays null)."""
-    docs = docs.select("doc_id", "text")
-    cut = F.pandas_udf(_cut, "n_dropped long, kept string")
-    out = docs.join(dropped_lines(docs, min_chars, min_docs), "doc_id", "left")
-    out = out.withColumn("cut", cut(F.when(F.col("drop").isNotNull(), F.col("text")), F.coalesce("drop", F.array().cast("array<binary>"))))
-    n_lines = F.length("text") - F.length(F.translate(F.col("text"), "\n", "")) + 1
-    return out.select(
-        "doc_id",
-        F.coalesce(n_lines, F.lit(1)).cast("long").alias("n_lines"),
-        F.col("cut.n_dropped").alias("n_dropped"),
-        F.when(F.col("drop").isNotNull(), F.col("cut.kept")).otherwise(F.col("text")).alias("kept"),
-    )
+    out = _reassembled(docs.select("doc_id", "text"), min_chars, min_docs)
+    n_lines = F.length("row.text") - F.length(F.translate("row.text", "\n", "")) + 1
+    return out.select("row.doc_id", F.coalesce(n_lines, F.lit(1)).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), "kept")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,20 +76,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: docs with shared lines cut from text, other columns as they are; n_chars follows the text.
-
-    The cut is joined on doc_id alone, so repeated rows keep their own text.
-    """
-    drops = dropped_lines(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_drop_id"), F.col("drop").alias("_drop"))
-    cut = F.pandas_udf(_cut, "n_dropped long, kept string")
-    out = docs.join(drops, F.col("doc_id") == F.col("_drop_id"), "left")
-    out = out.withColumn("_cut", cut(F.when(F.col("_drop").isNotNull(), F.col("text")), F.coalesce("_drop", F.array().cast("array<binary>"))))
-    text = F.when(F.col("_drop").isNotNull(), F.col("_cut.kept")).otherwise(F.col("text"))
-    cols = {"text": text.alias("text")}
+def cleaned(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """Pipeline stage: docs with shared lines cut from text, other columns as they are; n_chars follows the text."""
+    out = _reassembled(docs, min_chars, min_docs)
+    cols = {"text": F.col("kept").alias("text")}
     if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(F.col("_drop").isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
-    return out.select(*[cols.get(c, F.col(c)) for c in docs.columns])
+        cols["n_chars"] = F.when(F.col("drop").isNotNull(), F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")).alias("n_chars")
+    return out.select(*[cols.get(c, F.col("row")[c].alias(c)) for c in docs.columns])
 
 
 SQL = r"""
