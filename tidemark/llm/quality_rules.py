@@ -50,12 +50,11 @@ BASE = (
 )
 RULES = (
     *BASE,
-    Rule("max_words", "n_words", None, None, 1_000_000),
     Rule("mean_word_chars", "word_chars", "n_words", 2, 14),
     Rule("symbols", "n_symbols", "n_words", None, 0.10),
     Rule("dup_lines", "n_dup_lines", "n_lines", None, 0.50),
     Rule("upper_case", "n_upper", "word_chars", None, 0.40),
-    Rule("stop_words", "n_stop_kinds", None, 2, None, 50),
+    Rule("stop_words", "n_stop_words", "n_words", 0.05, None, 50),
 )
 
 
@@ -117,7 +116,7 @@ def measures(docs: DataFrame) -> DataFrame:
             (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
             repeat_words(ws).alias("n_repeat_words"),
             F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
-            F.size(F.array_intersect(F.lit(STOP_WORDS), ws)).cast("long").alias("n_stop_kinds"),
+            F.size(F.filter(ws, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
         )
     )
 
@@ -169,13 +168,13 @@ m AS (
          length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) AS n_upper,
          len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
          coalesce(repeated.n, 0) AS n_repeat_words,
-         len(list_filter([__STOP__], lambda x: list_contains(ws, x))) AS n_stop_kinds
+         len(list_filter(ws, lambda x: lower(x) IN (__STOP__))) AS n_stop_words
   FROM w LEFT JOIN repeated USING (doc_id)),
 j AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND n_words <= 1000000 AND word_chars BETWEEN 2 * n_words AND 14 * n_words
+       NOT base_failed AND word_chars BETWEEN 2 * n_words AND 14 * n_words
          AND n_symbols <= 0.10 * n_words AND n_dup_lines <= 0.50 * n_lines AND n_upper <= 0.40 * word_chars
-         AND (n_words < 50 OR n_stop_kinds >= 2) AS kept
+         AND (n_words < 50 OR n_stop_words >= 0.05 * n_words) AS kept
 FROM j
 """.replace("__STOP__", ", ".join(f"'{x}'" for x in STOP_WORDS))
