@@ -9,7 +9,8 @@ share and emits the filled slots, Spark sums them column by column, and the summ
 Pooling.  A document is the mean and the standard deviation of the vectors of all its words.
 
 Network.  One hidden tanh layer and a logistic output in numpy, fitted by Adam on at most
-``TRAIN_ROWS`` labelled documents chosen by a hash of doc_id; a fifth of them is kept apart to choose
+``TRAIN_ROWS`` labelled documents chosen by a hash of doc_id, up to half of them of each label, so that a
+rare label is not lost, with weights that restore the labels' shares; a fifth of them is kept apart to choose
 the temperature by which the logits are divided, so that scores are calibrated probabilities.
 
 Words are ``[^\x20\x09-\x0D]+``, unchanged.  Only labels whose crc32(doc_id) mod 5 is not 0 are used.
@@ -57,7 +58,7 @@ def add_contexts(total: np.ndarray, slots: np.ndarray, vectors: np.ndarray) -> N
         low, high = max(0, begin - REACH), min(len(slots), begin + STRETCH + REACH)
         near = vectors[slots[low:high]]
         context = np.zeros_like(near)
-        for d in range(1, REACH + 1):
+        for d in range(1, min(REACH, len(near) - 1) + 1):
             context[d:] += near[:-d]
             context[:-d] += near[d:]
         own = slots[begin : begin + STRETCH]
@@ -74,9 +75,7 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total, vectors = np.zeros((1 << SLOT_BITS, DIMENSIONS), np.int64), index_vectors()
     for frame in batches:
         for text in frame["text"]:
-            slots = slots_of(text)
-            if len(slots) > REACH:
-                add_contexts(total, slots, vectors)
+            add_contexts(total, slots_of(text), vectors)
     filled = np.flatnonzero(total.any(1))
     yield pd.DataFrame({"slot": filled.astype(np.int32)} | {c: total[filled, i] for i, c in enumerate(COLUMNS)})
 
@@ -109,7 +108,7 @@ def pooled(text: bytes | None, vectors: np.ndarray) -> np.ndarray:
 class Network:
     """x -> standardise -> tanh layer -> logit / temperature."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray):
         rng = np.random.default_rng(SEED)
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
         self.temperature = 1.0
@@ -123,7 +122,7 @@ class Network:
             for begin in range(0, len(order), BATCH):
                 i, step = order[begin : begin + BATCH], step + 1
                 hidden = np.tanh(x[i] @ p[0] + p[1])
-                error = (1 / (1 + np.exp(-np.clip(hidden @ p[2] + p[3], -30, 30))) - y[i]) / len(i)
+                error = (1 / (1 + np.exp(-np.clip(hidden @ p[2] + p[3], -30, 30))) - y[i]) * weight[i] / len(i)
                 back = np.outer(error, p[2]) * (1 - hidden * hidden)
                 rate = RATE * (1 - epoch / EPOCHS)
                 for k, g in enumerate((x[i].T @ back, back.sum(0), hidden.T @ error, error.sum(keepdims=True))):
@@ -133,7 +132,7 @@ class Network:
                     p[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
         if len(apart):
             logits, truth = self._logits(x[apart]), y[apart]
-            loss = lambda t: float(np.mean(np.logaddexp(0, logits / t) - truth * logits / t))
+            loss = lambda t: float(np.average(np.logaddexp(0, logits / t) - truth * logits / t, weights=weight[apart]))
             self.temperature = min(np.exp(np.linspace(-1, 3, 81)), key=loss)
 
     def _logits(self, x: np.ndarray) -> np.ndarray:
@@ -169,12 +168,14 @@ class Quality:
         vectors = word_vectors(docs)
         usable = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(crc_mod(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))
         # about TRAIN_ROWS keys at most, so the sample may be broadcast
-        share = min(1.0, 0.95 * TRAIN_ROWS / max(usable.count(), 1))
-        sample = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000))
+        shares = {r["quality"]: min(1.0, 0.95 * TRAIN_ROWS / 2 / r["n"]) for r in usable.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+        drawn = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000))
+        sample = usable.where(F.coalesce(*[F.when(F.col("quality") == k, drawn < int(v * 1_000_000)) for k, v in shares.items()], F.lit(False)))
         rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", _pooler(sc.broadcast(vectors))("text").alias("x")).toPandas().sort_values("doc_id")
         self._score = None
         if rows["quality"].nunique() == 2:
-            network = Network(np.array(rows["x"].tolist()), rows["quality"].to_numpy(float))
+            weight = 1 / rows["quality"].map(shares).to_numpy(float)
+            network = Network(np.array(rows["x"].tolist()), rows["quality"].to_numpy(float), weight / weight.mean())
             self._score = _scorer(sc.broadcast((vectors, network)))
 
     def score(self, text: Column) -> Column:
