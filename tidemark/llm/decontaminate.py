@@ -5,13 +5,16 @@ them, so such a document misses at most floor((1 - threshold) * n).  Ordered by
 k = floor((1 - threshold) * n) + 1 shingles (its bottom-k MinHash sketch) therefore share at least one
 with every document that contains it: the search loses nothing, whatever the length of the document.
 Items are partitioned by size (bounds growing by a quarter), and all items of a partition have the
-sketch length of its upper bound; a document of fewer distinct shingles than a partition's items need
-skips that partition.
+sketch length of its upper bound.  A partition is a table of its own: the hashes of its items' sketches,
+its cutoff, which is the largest of them, and the least number of shingles that a document containing one of
+its items has.  A document is sketched for each partition that it is large enough for: its MinHash sketch
+at the partition's rate is those of its distinct hashes that don't exceed the cutoff, so a long document
+keeps many and a short one few, and none that could match is missed.
 
-Documents are read once and never shuffled: each task hashes the shingles of whole texts, probes the
-sketches, and verifies the few candidates by exact containment of word tuples, not of hashes.  The
-items are a stated query set: they are measured first and go out in blocks of bounded size, one pass
-over the documents per block.
+Documents are read once and never shuffled: each task sketches whole texts, probes the partitions, and
+verifies the few candidates by exact containment of word tuples, not of hashes, taken only from where the
+candidates' hashes stand in the text.  The items are a stated query set: they are measured first and go
+out in blocks of bounded size, one pass over the documents per block.
 
 Words are ``[^\x20\x09-\x0D]+`` of the lower-cased text.  Defined results: items of fewer than five
 words and null or empty texts have no shingles and match nothing; repeated item ids count as one item
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -47,51 +51,70 @@ def lower_bytes(text: Column) -> Column:
     return F.lower(text).cast("binary")
 
 
+@dataclass(frozen=True)
+class Partition:
+    """Items of similar size: sorted hashes of their sketches, and for each hash the items that hold it."""
+
+    least: int
+    hashes: np.ndarray
+    items: list[list[int]]
+
+    def candidates(self, hashes: np.ndarray, size: int) -> set[int]:
+        """Items that share a hash with the sketch of a document of ``size`` distinct, sorted hashes."""
+        if size < self.least:
+            return set()
+        sketch = hashes[: np.searchsorted(hashes, self.hashes[-1], side="right")]
+        at = np.searchsorted(self.hashes, sketch)
+        return {i for x in at[self.hashes[at] == sketch].tolist() for i in self.items[x]}
+
+
 class Items:
-    """The sketches of one block of items, by size partition, and their shingles for the verification."""
+    """One block of items: the tables of its size partitions, and the items' shingles for the verification."""
 
     def __init__(self, texts: dict[int, list[bytes]], n: int, threshold: float):
         self.n, self.threshold = n, threshold
-        self.shingles: dict[int, set[tuple[bytes, ...]]] = defaultdict(set)
+        own: dict[int, set[tuple[bytes, ...]]] = defaultdict(set)
         for item, rows in texts.items():
             for text in rows:
-                self.shingles[item] |= shingles(byte_words(text), n)
-        self.shingles = {k: v for k, v in self.shingles.items() if v}
-        sketch: dict[int, list[int]] = defaultdict(list)
-        low: dict[int, int] = {}
-        for item, own in self.shingles.items():
-            part = int(np.log(len(own)) / np.log(GROWTH))
-            upper = max(len(own), int(GROWTH ** (part + 1)))
-            k = int((1 - threshold) * upper + 1e-9) + 1
-            h = np.sort(np.concatenate([window_hashes(word_hashes(list(x)), n) for x in own]))[:k]
-            for x in h.tolist():
-                sketch[x].append(item)
-                low[x] = min(low.get(x, len(own)), len(own))
-        self.hashes = np.array(sorted(sketch), np.uint64)
-        self.items = [sketch[x] for x in self.hashes.tolist()]
-        self.least = np.array([np.ceil(threshold * low[x] - 1e-9) for x in self.hashes.tolist()])
+                own[item] |= shingles(byte_words(text), n)
+        self.shingles = {k: v for k, v in own.items() if v}
+        self.hashes = {k: np.sort(np.concatenate([window_hashes(word_hashes(list(x)), n) for x in v])) for k, v in self.shingles.items()}
+        sizes: dict[int, list[int]] = defaultdict(list)
+        for item, v in self.shingles.items():
+            sizes[int(np.log(len(v)) / np.log(GROWTH))].append(item)
+        self.partitions = [self._partition(part, items) for part, items in sorted(sizes.items())]
+        #: Which high halves of 32 bits any partition's hashes have: a quick look before the tables.
         self.maybe = np.zeros(1 << 16, bool)
-        self.maybe[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
+        for p in self.partitions:
+            self.maybe[(p.hashes >> np.uint64(48)).astype(np.int64)] = True
+
+    def _partition(self, part: int, items: list[int]) -> Partition:
+        held = [len(self.shingles[i]) for i in items]
+        upper = max(*held, int(GROWTH ** (part + 1)))
+        k = int((1 - self.threshold) * upper + 1e-9) + 1
+        holders: dict[int, list[int]] = defaultdict(list)
+        for item in items:
+            for x in self.hashes[item][:k].tolist():
+                holders[x].append(item)
+        hashes = np.array(sorted(holders), np.uint64)
+        return Partition(int(np.ceil(self.threshold * min(held) - 1e-9)), hashes, [holders[x] for x in hashes.tolist()])
 
     def find(self, text: bytes | None) -> list[tuple[int, int, int]]:
         words = byte_words(text)
-        if len(words) < self.n or not len(self.hashes):
+        if len(words) < self.n or not self.partitions:
             return []
         h = window_hashes(word_hashes(words), self.n)
-        h = h[self.maybe[(h >> np.uint64(48)).astype(np.int64)]]
-        at = np.searchsorted(self.hashes, h)
-        at[at == len(self.hashes)] = 0
-        hit = np.unique(at[self.hashes[at] == h])
-        hit = hit[self.least[hit] <= len(words) - self.n + 1]
-        if not len(hit):
+        seen = np.unique(h[self.maybe[(h >> np.uint64(48)).astype(np.int64)]])
+        if not len(seen):
             return []
-        own, out = shingles(words, self.n), []
-        for item in sorted({i for x in hit.tolist() for i in self.items[x]}):
-            wanted = self.shingles[item]
-            shared = len(wanted & own)
-            if shared >= self.threshold * len(wanted) - 1e-9:
-                out.append((item, len(wanted), shared))
-        return out
+        size = len(np.unique(h))
+        found = sorted(set().union(*(p.candidates(seen, size) for p in self.partitions)))
+        if not found:
+            return []
+        near = np.flatnonzero(np.isin(h, np.concatenate([self.hashes[i] for i in found])))
+        own = {tuple(words[i : i + self.n]) for i in near.tolist()}
+        shared = [(i, len(self.shingles[i]), len(self.shingles[i] & own)) for i in found]
+        return [x for x in shared if x[2] >= self.threshold * x[1] - 1e-9]
 
 
 def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[dict[int, list[bytes]]]:
@@ -115,21 +138,20 @@ def _finder(shared: Broadcast):
 
 
 def _passes(docs: DataFrame, items: DataFrame, n: int, threshold: float, block_words: int) -> Iterator[Column]:
-    """For each block of items, the matches of a row's text with it."""
+    """For each block of items, the matches of a row's text with it; a block is let go when the next is asked for."""
     for texts in item_blocks(items, block_words):
-        yield _finder(docs.sparkSession.sparkContext.broadcast(Items(texts, n, threshold)))(lower_bytes(F.col("text")))
-
-
-def matches(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with _matches added, the items that each row's text contains: every row once for each block of items."""
-    return reduce(DataFrame.unionByName, [docs.withColumn("_matches", x) for x in _passes(docs, items, n, threshold, block_words)])
+        shared = docs.sparkSession.sparkContext.broadcast(Items(texts, n, threshold))
+        yield _finder(shared)(lower_bytes(F.col("text")))
+        shared.unpersist()
 
 
-def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
+def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Pairs: doc_id, item_id, n_shingles (of the item), n_shared, containment."""
-    found = matches(docs.select("doc_id", "text"), items, n, threshold).select("doc_id", F.explode("_matches").alias("m"))
-    found = found.groupBy("doc_id", "m.item_id").agg(F.max("m.n_shingles").alias("n_shingles"), F.max("m.n_shared").alias("n_shared"))
-    return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+    docs, blocks = docs.select("doc_id", "text"), []
+    for found in _passes(docs, items, n, threshold, block_words):
+        pairs = docs.select("doc_id", F.explode(found).alias("m")).groupBy("doc_id", "m.item_id")
+        blocks.append(written(pairs.agg(F.max("m.n_shingles").alias("n_shingles"), F.max("m.n_shared").alias("n_shared")), "contained"))
+    return reduce(DataFrame.unionByName, blocks).withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, block_words: int = BLOCK_WORDS) -> DataFrame:
