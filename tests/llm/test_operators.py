@@ -204,13 +204,28 @@ def test_decontamination(spark, docs):
             if n >= 0.8 * len(sh(t)):
                 want.append((doc, i, len(sh(t)), n))
     for block in (10, 1_000_000):
-        got = [(r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in decontaminate.matches(docs, items, block_words=block).select("doc_id", F.explode("_matches").alias("m")).select("doc_id", "m.*").collect()]
+        got = [(r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in decontaminate.contained_items(docs, items, block_words=block).collect()]
         assert sorted(got) == sorted(want) == [(14, 1, 36, 36), (14, 2, 36, 35)]
     for block in (10, 1_000_000):
         left = decontaminate.decontaminated(clashing(docs), items, block_words=block)
         assert left.columns == clashing(docs).columns and left.count() == len(corpus()) - 1
 
 
+def test_partitions_of_items_miss_nothing():
+    rng = random.Random(4)
+    texts = {i: [prose(i, rng.randint(5, 120)).encode()] for i in range(60)}
+    items = decontaminate.Items(texts, 5, 0.8)
+    assert len(items.partitions) > 8
+    for _ in range(150):
+        own = [w for i in rng.sample(range(60), 3) for w in texts[i][0].split()]
+        for _ in range(rng.randint(0, 12)):
+            own[rng.randrange(len(own))] = b"other"
+        text = b" ".join([*prose(rng.random(), rng.randint(0, 300)).encode().split(), *own])
+        have = decontaminate.shingles(text.split(), 5)
+        want = [(i, len(v), len(v & have)) for i, v in sorted(items.shingles.items()) if len(v & have) >= 0.8 * len(v) - 1e-9]
+        assert items.find(text) == want
+
+
 def test_token_counts(spark, docs):
     import base64
 
@@ -228,6 +243,24 @@ def test_token_counts(spark, docs):
     assert one.kept_tokens == sum(min(x, 100) for x in lengths) and one.truncated_docs == sum(x > 100 for x in lengths)
 
 
+def test_token_counts_of_long_runs():
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(token_counts.VOCABULARY, "rb"))}
+    codec = tiktoken.Encoding("t", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    length = token_counts.encoded_length(open(token_counts.VOCABULARY, "rb").read())
+    rng = random.Random(2)
+    space = [" ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "\r\n", "  "]
+    for _ in range(60):
+        text = "".join(rng.choice(["word", "x", "12", "!?", "é"]) * rng.randint(0, 3) + rng.choice(space) * rng.randint(0, 2000) for _ in range(6)) + rng.choice(["", "end"])
+        assert length(text) == len(codec.encode_ordinary(text))
+    big = 10_000_000
+    assert length(" " * big) + 1 >= length(" " * big + "a") > length(" " * (big - 1000))
+    assert length("a" * 2_000_000) == 2 * length("a" * 1_000_000) and length("Is\n" + "\n" * big + "Is") > 2
+
+
 def brute_targets(sizes, times=3):
     """Reshare step by step."""
     names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
@@ -407,18 +440,102 @@ def test_toxicity_tells_all_expressions_apart():
     assert (ratios.of(gram[::2]) == value[::2]).all() and not ratios.of(gram[1::2]).any()
 
 
-def test_shared_counts_are_continuation_counts():
-    texts = [b"banana bandana  cabana", b"an ana", b"", None]
-    got = {r.cell: (r.n, r.follows) for part in toxicity._shared_counts(iter([pd.DataFrame({"text": texts})])) for r in part.itertuples()}
-    held, follows = {}, {}
-    for k, text in enumerate(texts):
-        s = b" " + b" ".join((text or b"").split()) + b" "
+def brute_model(texts, labels):
+    """The continuation counts, and a function for the log ratio of a word, by the formulas of the module."""
+    import math
+
+    def pieces(text, n):
+        s = b" " + b" ".join(text.split()) + b" "
+        return [s[max(s.rindex(b" ", 0, i), i - n + 1) : i + 1] for i in range(1, len(s))]
+
+    count, documents = [Counter(), Counter()], Counter()
+    for i, y in labels.items():
+        held = pieces(texts[i], 6)
+        count[y].update(held)
+        documents.update(set(held))
+    both = count[0] + count[1]
+    of_context = [Counter(), Counter()]
+    for y in (0, 1):
+        for g, n in count[y].items():
+            of_context[y][g[:-1]] += n
+    rest = Counter()
+    for g, n in both.items():
+        rest[g[:-1]] += min(n, toxicity.DISCOUNT)
+    begins, before = Counter(), defaultdict(set)
+    for w in {w for t in texts.values() for w in t.split()}:
+        s = b" " + w + b" "
         for i in range(1, len(s)):
             low = max(s.rindex(b" ", 0, i), i - 3)
-            cell = (int.from_bytes(s[low : i + 1], "big") * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 44
-            held.setdefault(cell, set()).add(k)
-            follows.setdefault(cell, set()).update([] if s[low] == 32 else [s[low - 1] & 63])
-    assert got == {c: (len(held[c]), sum(1 << b for b in follows[c])) for c in held}
+            g = s[low : i + 1]
+            if low == 0:
+                begins[g] += 1
+            else:
+                before[g].add(s[low - 1])
+    k = {g: begins[g] + len(before[g]) for g in {*begins, *before}}
+    total, kinds = Counter(), Counter()
+    for g, n in k.items():
+        total[g[:-1]] += n
+        kinds[g[:-1]] += 1
+    d, prior = toxicity.LOW_DISCOUNT, toxicity.PRIOR
+
+    def ratio(word):
+        out = 0.0
+        for g in set(pieces(word, 6)) & set(both):
+            low, h = g[-4:], g[:-1]
+            shared = (max(k[low] - d, 0) + d * kinds[low[:-1]] / 64) / total[low[:-1]]
+            common = (max(both[g] - toxicity.DISCOUNT, 0) + rest[h] * shared) / (of_context[0][h] + of_context[1][h])
+            b = both[g] / documents[g]
+            log = [math.log((count[y][g] / b + prior) / (of_context[y][h] * common / b + prior)) for y in (0, 1)]
+            out += (log[1] - log[0]) * pieces(word, 6).count(g)
+        return out
+
+    return k, ratio
+
+
+@pytest.mark.parametrize("block", [40, 1 << 21])
+def test_toxicity_values_against_brute_force(spark, monkeypatch, block):
+    rows, labels = labelled(60, lambda w, rng: [x if rng.random() > 0.2 else rng.choice(["grobian", "grobiante", "\u00e9rdö"]) for x in w])
+    rows = [*rows, (60, "grobian x " * 3000), (61, rows[0][1]), (62, None), (62, ""), (63, "\n \t")]
+    texts = {i: (t or "").lower().encode() for i, t in rows}
+    monkeypatch.setattr(toxicity, "BLOCK_GRAMS", block)
+    monkeypatch.setattr(toxicity.expressions, "__defaults__", (block,))
+    monkeypatch.setattr(toxicity, "crc_mod", lambda c, n: F.lit(0))
+    tags = spark.createDataFrame([(i, y) for i, y in labels if i % 3], "doc_id long, toxic int")
+    usable = tags.withColumn("curve", F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(1_000_000)) < 200_000)
+    counted = {r.doc_id: r.toxic for r in usable.where("NOT curve").collect()}
+    assert 10 < len(counted) < 40 and set(counted.values()) == {0, 1}
+    docs = spark.createDataFrame([*rows, rows[0], rows[60], rows[60]], "doc_id long, text string")
+    model = toxicity.Toxicity(docs, tags)
+    got = {r.key: (r.level0, r.level1) for r in model.values.collect()}
+    ratio = brute_model(texts, counted)[1]
+    known = {w: ratio(w) for t in texts.values() for w in set(t.split())}
+    for i, text in texts.items():
+        own = text.split()
+        want = [sum(min(max(known[w] - x, 0), 1) for w in own) / max(1, len(own)) for x in toxicity.LEVELS]
+        assert got.get(i, (0, 0)) == pytest.approx(tuple(want), abs=1e-6)
+    assert got[60][0] > 0 and 62 not in got
+
+
+def test_continuation_counts(spark):
+    texts = {1: b"banana bandana  cabana", 2: b"an ana", 3: b""}
+    words = spark.createDataFrame([(bytearray(w),) for w in {w for t in texts.values() for w in t.split()}], "word binary")
+    k, _ = brute_model(texts, {1: 0, 2: 1})
+    assert {r.gram: r.k for r in toxicity.continuations(words).collect()} == {int.from_bytes(g, "big"): n for g, n in k.items()}
+
+
+def test_toxicity_in_several_languages(spark, monkeypatch):
+    """A toxic beginning of words in each language, in new words each time; the ordinary texts use it now and then."""
+    rng, rows, labels = random.Random(8), [], []
+    stems = {"de": "achlich", "fr": "réeux", "es": "bomen"}
+    for i in range(1500):
+        lang, toxic = rng.choice([*stems]), i % 4 == 0
+        w = [lang + rng.choice(WORDS) for _ in range(120)]
+        for _ in range(4 if toxic else rng.random() < 0.2):
+            w[rng.randrange(len(w))] = stems[lang] + "".join(rng.choices("abcdefghij", k=4))
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    with_tables(spark, monkeypatch, toxicity, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert accuracy(toxicity.op4_toxicity(spark, "").collect(), labels) > 0.97
 
 
 def test_toxicity_without_labels(spark, monkeypatch, docs):

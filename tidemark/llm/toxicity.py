@@ -1,4 +1,4 @@
-r"""Toxicity: how class-conditional character models differ over a whole text and over its worst span.
+r"""Toxicity: class-conditional Kneser-Ney models of characters, compared word by word over whole texts.
 
 Words may be new although their parts are not, so the models predict characters.  All occurrences of
 6-grams are counted for both classes; contexts end at the space that begins the word, so all words start
@@ -13,51 +13,61 @@ distribution, comes from all documents, labelled or not:
 n is the sum of both classes.  b is how often a document that holds h5 x repeats it, so what one
 document repeats counts as one observation, and K observations of the common model are added: rates
 that few documents tell apart stay near 1, and a 6-gram of no labelled document says nothing.  k is the
-Kneser-Ney continuation count: after how many different characters h3 x occurs, kept as a bit of each of
-the 256, so that counts of tasks merge by a bitwise or.  Where h3 begins with the space
-that begins the word nothing can stand before it, and k is the number of documents.
-
-The log ratio of a character is log r_toxic - log r_ordinary.  Three values describe a text: the sum over
-its worst span of 12 characters, about a word, divided by that length; the sum over all characters,
-divided by their number; and the sum over all words of what exceeds ``EXPRESSION``, likewise divided, as
-the many words of no weight would drown how often the text uses toxic ones.  A logistic curve of the
-three, fitted on labelled documents that the counts have not seen, maps them to 0..1.
-
-Counting is one pass per purpose.  An n-gram is its own key, as six characters fit in 64 bits, so none
-are taken for each other.  Each task adds up its n-grams before Spark sums them, and the two models are
-joined as tables that grow with the corpus.  The log ratios of all 6-grams of labelled documents are
-then sent to every task in a table sized by their number, at 24 to 48 bytes each: the one thing held in
-memory that grows, with the distinct 6-grams and not with the text.  All labelled rows that do not fit
-the curve are counted, and all documents.
-
-Only labels whose crc32(doc_id) mod 3 is not 1 are used.  Defined results: null or empty texts have the
-values 0; labels that are null are ignored and repeated labels of a document count once, as toxic if any
-is; without any usable label of both classes every score is 0.5 and predicted is 0; repeated rows are
-each scored; extra columns are not read.
+Kneser-Ney continuation count over the vocabulary of all documents: after how many different characters
+h3 x occurs, or, where h3 begins with the space that begins the word and nothing can stand before it, in how
+many different words.
+
+A word's log ratio is the sum over its characters of log r_toxic - log r_ordinary: its log likelihood in the
+toxic model less that in the ordinary one.  A text is described by the mean over all its words of what
+their log ratios exceed 1 by, and of what they exceed 2 by, each at most 1: log likelihoods normalised by
+length, in which no word counts for more than another that is as surely toxic.  A logistic curve of the two,
+fitted on labelled documents that the counts have not seen, maps them to 0..1.
+
+A word's log ratio depends on the word alone, so the work is four joins of tables that grow with the
+corpus, and every broadcast has a fixed bound:
+
+1. The 6-grams of labelled documents, summed by task and then by Spark.
+2. The vocabulary: every distinct word of all documents; its 4-grams give the lower order.
+3. The log ratios go to the vocabulary's tasks in blocks of at most about ``BLOCK_GRAMS``, one pass over the
+   vocabulary a block, and are added up by word.  Words above 1 are the expressions.
+4. Documents are read once more: each task sends on the words whose bit is set in a bitmap of 2**26 bits
+   made from the expressions, and these few meet the expressions in a join, where those that share a bit
+   with another word drop out; then they are summed by document.
+
+Only labels whose crc32(doc_id) mod 3 is not 1 are used: a fifth of them, at most about ``CURVE_ROWS`` and up
+to half of those of each class, for the curve, whose intercept restores the classes' shares, and all others
+for the counts.  Defined results: null or empty texts have the values 0; labels that are null are ignored and
+repeated labels of a document count once, as toxic if any is; without any usable label of both classes every
+score is 0.5 and predicted is 0; repeated rows are each scored; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, table, written
+from tidemark.llm.common import crc_mod, salted_join, table, written
+from tidemark.llm.shingles import word_hashes
 
 HIGH, LOW = 6, 4
-#: N-grams of single documents that a task gathers before it adds them up.
+#: N-grams of single documents, or distinct words, that a task gathers before it adds them up.
 GATHERED = 1 << 20
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Taken from each count of the classes together, or all of a smaller one; and from each shared count.
 DISCOUNT, LOW_DISCOUNT = 1.8, 0.9
 #: Observations of the common model that are added to each class.
 PRIOR = 4
-#: Characters of a span, and the log ratio above which a word counts as an expression.
-SPAN, EXPRESSION = 12, 1.5
+#: What a word's log ratio must exceed to count, and how much of the excess counts at most.
+LEVELS, MOST = (1.0, 2.0), 1.0
+#: Log ratios in a broadcast block, at 24 to 48 bytes each; and the bits of the expressions' bitmap.
+BLOCK_GRAMS, FILTER_BITS = 1 << 21, 26
 #: Share of usable labels kept from the counts to fit the curve, and most rows of it that are used.
 CURVE_FOLDS, CURVE_ROWS = 5, 20_000
 
@@ -121,42 +131,38 @@ def _class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"gram": found, "toxic": of_toxic, "ordinary": of_all - of_toxic, "documents": documents})
 
 
-BEFORE = [f"before{q}" for q in range(4)]
+def _vocabulary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct words of a task's texts."""
+    held: set[bytes] = set()
+    for frame in batches:
+        for text in frame["text"]:
+            held.update((text or b"").split())
+            if len(held) >= GATHERED:
+                yield pd.DataFrame({"word": list(held)})
+                held = set()
+    yield pd.DataFrame({"word": list(held)})
 
 
 def _shared_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each 4-gram the documents that hold it and the characters it follows, a bit each.
+    """Of distinct words their 4-grams, with the character before (-1 at the beginning of a word) and in how many words."""
+    for frame in batches:
+        chars = np.frombuffer(b" " + b" ".join(frame["word"]) + b" ", np.uint8)
+        gram, before = grams(chars, LOW), np.full(len(chars) - 1, -1)
+        inside = np.flatnonzero(~word_starts(chars, LOW))
+        before[inside] = chars[inside - (LOW - 1)]
+        found, n = np.unique(np.stack([gram, before]), axis=1, return_counts=True)
+        yield pd.DataFrame({"gram": found[0], "before": found[1].astype(np.int16), "n": n})
 
-    The bits are in four longs by the characters' high two bits; follows unites these, and is 0 at the
-    beginning of a word.  cell is a short hash of the 4-gram for display, by which nothing is summed.
-    """
 
-    def parts() -> Iterator[tuple]:
-        for frame in batches:
-            for text in frame["text"]:
-                chars = characters(text)
-                inside = np.flatnonzero(~word_starts(chars, LOW))
-                before, is_inside = np.zeros((2, len(chars) - 1), np.int64)
-                before[inside], is_inside[inside] = chars[inside - (LOW - 1)], 1
-                found = np.unique(grams(chars, LOW) << 9 | before << 1 | is_inside)
-                yield found, np.diff(found >> 9, prepend=-1) != 0  # whether first of its 4-gram in the document
-
-    for found, first in _gathered(parts()):
-        code, at = np.unique(found, return_inverse=True)
-        documents = np.bincount(at, first, len(code)).astype(np.int64)
-        gram, before, inside = code >> 9, code >> 1 & 255, code & 1
-        begins = np.flatnonzero(np.diff(gram, prepend=-1))
-        bit = inside.astype(np.uint64) << (before & 63).astype(np.uint64)
-        bits = [np.bitwise_or.reduceat(np.where(before >> 6 == q, bit, np.uint64(0)), begins).view(np.int64) for q in range(4)]
-        gram = gram[begins]
-        columns = {"cell": places(gram, 20), "gram": gram, "n": np.add.reduceat(documents, begins), "follows": np.bitwise_or.reduce(bits)}
-        yield pd.DataFrame(columns | dict(zip(BEFORE, bits)))
+def continuations(words: DataFrame) -> DataFrame:
+    """(gram, k) of the distinct words' 4-grams: the Kneser-Ney continuation counts."""
+    pairs = words.mapInPandas(_shared_counts, "gram long, before short, n long").groupBy("gram", "before").agg(F.sum("n").alias("n"))
+    return pairs.groupBy("gram").agg(F.sum(F.when(F.col("before") < 0, F.col("n")).otherwise(1)).alias("k"))
 
 
 def log_ratios(high: DataFrame, low: DataFrame) -> DataFrame:
-    """(gram, ratio), toxic over ordinary, of all 6-grams; from the sums of _class_counts and _shared_counts."""
-    k = F.when(sum(F.bit_count(c) for c in BEFORE) == 0, F.col("n")).otherwise(sum(F.bit_count(c) for c in BEFORE))
-    low = low.select(F.col("gram").alias("low"), F.shiftright("gram", 8).alias("back"), k.alias("k"))
+    """(gram, ratio), toxic over ordinary, of all 6-grams; from the sums of _class_counts and the continuations."""
+    low = low.select(F.col("gram").alias("low"), F.shiftright("gram", 8).alias("back"), "k")
     backs = low.groupBy("back").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("kinds"))
     part = (F.greatest(F.col("k") - LOW_DISCOUNT, F.lit(0.0)) + LOW_DISCOUNT * F.col("kinds") / 64) / F.col("total")
     shared = low.join(backs, "back").select("low", part.alias("shared"))
@@ -193,16 +199,70 @@ class Ratios:
         return np.where(key == gram, self.ratio[at], 0).astype(np.float64)
 
 
-def values(text: bytes | None, ratios: Ratios) -> tuple[float, float, float]:
-    """Log ratio a character of the worst span, of the whole text, and of its expressions."""
-    chars = characters(text)
-    if len(chars) < 3:  # no word
-        return 0.0, 0.0, 0.0
-    r = ratios.of(grams(chars, HIGH))
-    sums = np.concatenate([np.zeros(1), np.cumsum(r)])
-    span = min(SPAN, len(r))
-    words = np.add.reduceat(r, np.flatnonzero(chars[:-1] == 32))
-    return float((sums[span:] - sums[:-span]).max() / SPAN), float(sums[-1] / len(r)), float(np.maximum(words - EXPRESSION, 0).sum() / len(r))
+def word_ratios(words: list[bytes], ratios: Ratios) -> np.ndarray:
+    """The log ratio of each word: the sum over its characters and the space that ends it."""
+    chars = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+    return np.add.reduceat(ratios.of(grams(chars, HIGH)), np.flatnonzero(chars[:-1] == 32))
+
+
+def expressions(words: DataFrame, ratios: DataFrame, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """(word, place, level0, level1) of the words(word) that count: their place in the bitmap and the excess over each level."""
+    spark, parts = words.sparkSession, []
+    n_blocks = max(1, -(-ratios.count() // block_grams))
+    for b in range(n_blocks):
+        rows = ratios.where(F.pmod(F.xxhash64("gram"), F.lit(n_blocks)) == b).toArrow()
+        shared = spark.sparkContext.broadcast(Ratios(rows["gram"].to_numpy(), rows["ratio"].to_numpy()))
+        parts.append(written(words.mapInPandas(_adder(shared, None if n_blocks > 1 else LEVELS[0]), "word binary, ratio double"), "word_ratios"))
+        shared.unpersist()
+    total = parts[0] if n_blocks == 1 else reduce(DataFrame.unionByName, parts).groupBy("word").agg(F.sum("ratio").alias("ratio"))
+    levels = [F.greatest(F.lit(0.0), F.least(F.lit(MOST), F.col("ratio") - x)).alias(f"level{i}") for i, x in enumerate(LEVELS)]
+    return total.where(F.col("ratio") > LEVELS[0]).select("word", F.pandas_udf(_places, "long")("word").alias("place"), *levels)
+
+
+def _adder(shared, above: float | None):
+    """Of each word what a block of log ratios adds up to; only words above a limit, or not 0."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            ratio = word_ratios(list(frame["word"]), shared.value) if len(frame) else np.zeros(0)
+            keep = ratio > above if above is not None else ratio != 0
+            yield pd.DataFrame({"word": frame["word"][keep], "ratio": ratio[keep]})
+
+    return add
+
+
+def _places(words: pd.Series) -> pd.Series:
+    return pd.Series((word_hashes(list(words)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64))
+
+
+def bitmap(found: DataFrame) -> np.ndarray:
+    """The bits of found(place) as 2**FILTER_BITS / 64 words, whatever the number of places."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(63).cast("int"))
+    rows = found.groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _hits(shared):
+    """Of each text its words that may be expressions, with their shares of all its words, and a row b"" that counts the text."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            keys, ties, words, shares = [], [], [], []
+            for key, tie, text in zip(frame["key"], frame["tie"], frame["text"]):
+                own = (text or b"").split()
+                place = word_hashes(own) >> np.uint64(64 - FILTER_BITS)
+                maybe = np.flatnonzero(shared.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1))
+                times = Counter(own[i] for i in maybe.tolist())
+                if times:
+                    words += [b"", *times]
+                    shares += [1.0, *(x / len(own) for x in times.values())]
+                    keys += [key] * (len(times) + 1)
+                    ties += [tie] * (len(times) + 1)
+            yield pd.DataFrame({"key": np.array(keys, np.int64), "tie": np.array(ties, np.int64), "word": words, "share": np.array(shares, float)})
+
+    return find
 
 
 def logistic_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -222,63 +282,86 @@ def logistic_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.append(w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum())
 
 
-def _measurer(shared: Broadcast):
-    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([list(values(x, shared.value)) for x in texts], dtype="object")
-
-    return F.pandas_udf(measure, "array<double>")
-
-
-def _scorer(shared: Broadcast, curve: np.ndarray):
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            x = np.array([values(t, shared.value) for t in texts]).reshape(-1, 3)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(x @ curve[:-1] + curve[-1], -700, 700))), dtype="float64")
-
-    return F.pandas_udf(score, "double")
+def _key() -> list[Column]:
+    """What a document's values are kept by; they depend on the text alone, so rows without doc_id may share a key."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("key"), F.xxhash64("text").alias("tie")]
 
 
 class Toxicity:
-    """Counts, tables and curve learned from docs(doc_id, text) and labels(doc_id, toxic)."""
+    """Learned from docs(doc_id, text) and labels(doc_id, toxic).
+
+    ``values`` has a row (key, tie, level0, level1) for every document of docs that holds an expression; all others have
+    the values 0.  ``score`` maps them to 0..1.
+    """
 
     def __init__(self, docs: DataFrame, labels: DataFrame):
         spark = docs.sparkSession
-        docs = docs.select("doc_id", F.lower("text").cast("binary").alias("text"))
-        usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(crc_mod(F.col("doc_id"), 3) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        n = usable.count()
-        share = min(1 / CURVE_FOLDS, CURVE_ROWS / max(n, 1))
-        usable = usable.withColumn("curve", F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(1_000_000)) < int(share * 1_000_000))
+        keys = docs.select("doc_id", *_key())
+        docs = docs.select("doc_id", *_key(), F.lower("text").cast("binary").alias("text"))
+        usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(crc_mod(F.col("doc_id"), 3) != 1)
+        usable = usable.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+        n = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+        share = [min(1 / CURVE_FOLDS, CURVE_ROWS / 2 / max(n.get(k, 0), 1)) for k in (0, 1)]
+        drawn = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(1_000_000))
+        usable = usable.withColumn("curve", drawn < F.when(F.col("toxic") == 1, int(share[1] * 1_000_000)).otherwise(int(share[0] * 1_000_000)))
         # labels grow with the corpus: merged, never broadcast
         counted = docs.join(usable.where("NOT curve").hint("merge"), "doc_id").select("text", "toxic")
         sums = [F.sum(c).alias(c) for c in ("toxic", "ordinary", "documents")]
-        high = counted.mapInPandas(_class_counts, "gram long, toxic long, ordinary long, documents long").groupBy("gram").agg(*sums)
-        low = docs.select("text").mapInPandas(_shared_counts, "cell long, gram long, n long, follows long, " + ", ".join(f"{c} long" for c in BEFORE))
-        low = low.groupBy("gram").agg(F.sum("n").alias("n"), *[F.bit_or(c).alias(c) for c in BEFORE])
-        rows = log_ratios(written(high, "classes"), written(low, "shared")).toArrow()
-        ratio = spark.sparkContext.broadcast(Ratios(rows["gram"].to_numpy(), rows["ratio"].to_numpy()))
-        measured = _measurer(ratio)("text").alias("x")
-        # about CURVE_ROWS keys at most
-        scored = docs.join(F.broadcast(usable.where("curve")), "doc_id").select("toxic", measured).toPandas()
-        if scored["toxic"].nunique() < 2:  # too few labels to keep any apart
-            few = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS)
-            scored = docs.join(F.broadcast(few), "doc_id").select("toxic", measured).toPandas()
-        self._score = None
-        if scored["toxic"].nunique() == 2:
-            self._score = _scorer(ratio, logistic_curve(np.array(scored["x"].tolist()), scored["toxic"].to_numpy()))
-
-    def score(self, text: Column) -> Column:
-        return self._score(F.lower(text).cast("binary")) if self._score else F.lit(0.5)
+        high = written(counted.mapInPandas(_class_counts, "gram long, toxic long, ordinary long, documents long").groupBy("gram").agg(*sums), "classes")
+        words = written(docs.select("text").mapInPandas(_vocabulary, "word binary").distinct(), "words")
+        ratios = written(log_ratios(high, continuations(words)), "ratios")
+        found = written(expressions(words, ratios), "expressions")
+        shared = spark.sparkContext.broadcast(bitmap(found))
+        hits = docs.select("key", "tie", "text").mapInPandas(_hits(shared), "key long, tie long, word binary, share double")
+        # a frequent expression is many partitions
+        levels = [f"level{i}" for i in range(len(LEVELS))]
+        marker = spark.range(1).select(F.lit(b"").alias("word"), *[F.lit(0.0).alias(c) for c in levels])
+        met = salted_join(hits, found.select("word", *levels).unionByName(marker).hint("merge"), "word", "tie")
+        rows = F.sum(F.when(F.octet_length("word") == 0, 1))
+        self.values = written(met.groupBy("key", "tie").agg(*[(F.sum(F.col("share") * F.col(c)) / rows).alias(c) for c in levels]).where(f"{levels[0]} > 0"), "values")
+
+        def measured(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            """Values and classes of the documents of a bounded sample of labels."""
+            rows = keys.join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").distinct().join(self.values, ["key", "tie"], "left")
+            rows = rows.select("toxic", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in levels]).toPandas()
+            return rows[levels].to_numpy(float), rows["toxic"].to_numpy(float)
+
+        x, y = measured(usable.where("curve"))
+        if len(set(y)) < 2:  # too few labels to keep any apart
+            few = usable.orderBy(F.xxhash64("doc_id"), "doc_id")
+            x, y = measured(few.where("toxic = 1").limit(CURVE_ROWS // 2).unionByName(few.where("toxic = 0").limit(CURVE_ROWS // 2)))
+            share = [min(1.0, CURVE_ROWS / 2 / max(n.get(k, 0), 1)) for k in (0, 1)]
+        self.curve = None
+        if len(set(y)) == 2:
+            self.curve = logistic_curve(x, y)
+            self.curve[-1] -= math.log(share[1] / share[0])  # the classes as often as among all labels
+
+    @property
+    def plain(self) -> float:
+        """The score of a text without expressions."""
+        return 0.5 if self.curve is None else 1 / (1 + math.exp(-self.curve[-1]))
+
+    def score(self) -> Column:
+        """0 to 1 for the columns of values, null for 0."""
+        if self.curve is None:
+            return F.lit(0.5)
+        z = reduce(Column.__add__, [float(w) * F.coalesce(f"level{i}", F.lit(0.0)) for i, w in enumerate(self.curve[:-1])], F.lit(float(self.curve[-1])))
+        return 1 / (1 + F.exp(-z))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = Toxicity(docs, table(spark, sf_dir, "labels"))
-    out = docs.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), model.score(F.col("text")).alias("score"))
+    out = docs.select("doc_id", *_key()).join(model.values, ["key", "tie"], "left")
+    out = out.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), model.score().alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
 
 
-def harmless(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pipeline stage: the rows of docs that score under 0.7, all columns as they are."""
+def harmless(docs: DataFrame, labels: DataFrame, limit: float = 0.7) -> DataFrame:
+    """Pipeline stage: the rows of docs that score under the limit, all columns as they are."""
     model = Toxicity(docs.select("doc_id", "text"), labels)
-    return docs.where(model.score(F.col("text")) < 0.7)
+    rejected = model.values.where(model.score() >= limit).select("key", "tie")
+    rows = docs.select(*_key(), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    if model.plain < limit:
+        return rows.join(rejected, ["key", "tie"], "left_anti").select("row.*")
+    return rows.join(model.values.join(rejected, ["key", "tie"], "left_anti"), ["key", "tie"], "left_semi").select("row.*")
