@@ -118,3 +118,16 @@ def test_expiry_uses_the_smaller_lifetime(spark):
     h = spark.createDataFrame([("a", 0, None), ("a", 100, 30), ("a", 140, None), ("b", 0, 500)], "key string, ts long, own long")
     got = {(r.key, r.last_heard, r.expired_at) for r in history.expiries(h, 60, "own", until=1000).collect()}
     assert got == {("a", 0, 60), ("a", 100, 130), ("a", 140, 200), ("b", 0, 60)}
+
+
+def test_firing_markers_over_many_spans(spark):
+    rng = random.Random(6)
+    for every in (1, 3, 10):
+        marks = sorted({rng.randint(0, 120_000) for _ in range(300)} | set(range(50_000, 50_040)))
+        due, want = 5, []
+        for ts in marks:
+            if ts >= due:
+                want.append(ts)
+                due += every
+        got = sorted(r.ts for r in history.firing_markers(spark.createDataFrame([(x,) for x in marks], "ts long"), 5, every).collect())
+        assert got == want

@@ -19,19 +19,29 @@ def firing_markers(markers: DataFrame, start: int, every: int, stop: int | None
     A marker fires if it has reached the next display time, which then moves on by ``every`` once.  In
     closed form: number the markers from ``start``, c = (ts - start) // every + 1 is how many displays
     are due by then, d_i = i + min(0, min over j <= i of (c_j - j)) how many have happened, and marker i
-    fires where d grows.  One running minimum, no loop.
+    fires where d grows.  The numbers and the running minimum are taken in two levels: over spans of 4,096
+    steps, of which there are few, and inside each span, so no task holds all markers.
     """
     m = markers.select("ts").where(F.col("ts") >= start)
     if stop is not None:
         m = m.where(F.col("ts") <= stop)
     if not every:
         return m
-    by = Window.orderBy("ts", "_id")
-    m = m.withColumn("_id", F.monotonically_increasing_id()).withColumn("_i", F.row_number().over(by).cast("long"))
-    due = F.floor((F.col("ts") - start) / every) + 1
-    m = m.withColumn("_d", F.col("_i") + F.least(F.lit(0), F.min(due - F.col("_i")).over(by.rowsBetween(Window.unboundedPreceding, 0))))
-    m = m.withColumn("_before", F.coalesce(F.lag("_d").over(by), F.lit(0)))
-    return m.where(F.col("_d") > F.col("_before")).select("ts")
+    m = m.select("ts", F.floor((F.col("ts") - start) / every).alias("_step"))
+    m = m.withColumn("_span", F.floor(F.col("_step") / 4096)).withColumn("_due", F.col("_step") + 1)
+    inside = Window.partitionBy("_span").orderBy("ts")
+    m = m.withColumn("_n", F.row_number().over(inside).cast("long"))
+    spans = m.groupBy("_span").agg(F.max("_n").alias("_size"), F.min(F.col("_due") - F.col("_n")).alias("_low"))
+    earlier = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("_base", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    spans = spans.withColumn("_floor", F.coalesce(F.min(F.col("_low") - F.col("_base")).over(earlier), F.lit(0)))
+    m = m.join(spans.select("_span", "_base", "_floor"), "_span")
+    inside = Window.partitionBy("_span").orderBy("_n")  # equal times in the order that they were numbered in
+    low = F.min(F.col("_due") - F.col("_n")).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_base")
+    m = m.withColumn("_lag", F.least(F.lit(0), F.col("_floor"), low))
+    # how many have happened grows by one at a marker unless the minimum falls there
+    m = m.withColumn("_before", F.coalesce(F.lag("_lag").over(inside), F.least(F.lit(0), F.col("_floor"))))
+    return m.where(F.col("_lag") == F.col("_before")).select("ts")
 
 
 def effective(events: DataFrame, static_filter: Column | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ DAY = 86400
 
 
 def as_history(spark, sf):
-    """events as a change log: the first row of a user creates, others merge; purchases update, one type removes."""
+    """events as a change log: the first row of a user creates, others merge; purchases update, one type removes; a day is a part."""
     e = t(spark, sf, "events")
     first = e.groupBy("user_id").agg(F.min(F.struct("ts", "event_id"))["event_id"].alias("first"))
     e = e.join(first, "user_id")
@@ -24,7 +24,7 @@ def as_history(spark, sf):
     op = F.when(born, "C").when(kind == 3, "D").when(kind == 5, "C").when(kind == 7, "R").when(kind == 9, "U").otherwise("M")
     attrs = F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("event"), F.col("event_id").cast("string"))
     return e.select(
-        F.lit("").alias("part"), F.col("event_id").alias("seq"), F.unix_timestamp("ts").alias("ts"), op.alias("op"), F.col("user_id").cast("string").alias("key"),
+        F.date_format("ts", "yyyy-MM-dd").alias("part"), F.col("event_id").alias("seq"), F.unix_timestamp("ts").alias("ts"), op.alias("op"), F.col("user_id").cast("string").alias("key"),
         F.when(op.isin("U", "R"), F.lit("event")).alias("name"), F.when(op == "U", F.concat(F.lit("u"), F.col("event_id"))).alias("value"), F.when(op.isin("C", "M"), attrs).alias("attrs"),
     )
 
