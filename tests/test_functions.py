@@ -50,8 +50,10 @@ def test_strings(spark):
     assert one(spark, strings.basename(L("/x/y.txt"), ".txt"), strings.join(F.array(L("a"), L("b"))), strings.shell_escape(L('a"$b`\\')), strings.template("{x}-{{y}}", x=L(3))) == ("y", "a b", '"a\\"\\$b\\`\\\\"', "3-{y}")
     assert one(spark, strings.fnmatch(L("abc.txt"), "*.t?t"), strings.fnmatch(L("abc.txt"), "b*")) == (True, False)
     assert one(spark, strings.byte_size(L(1536)), strings.byte_size(L(0)), strings.byte_size(L(1 << 40))) == ("1.50 KB", "0.00 B", "1.00 TB")
-    with pytest.raises(ValueError):
-        strings.template("{nope}")
+    assert one(spark, *[strings.fnmatch(L(x), "x[!ab]?") for x in ("xc1", "xa1", "x!1")], strings.fnmatch(L("a]b"), "a[]]b"), strings.fnmatch(L("a^"), "a[^]"), strings.fnmatch(L("a[b"), "a[b")) == (True, False, True, True, True, True)
+    for wrong in ("{nope}", "a { b", "a }"):
+        with pytest.raises(ValueError):
+            strings.template(wrong)
 
 
 @pytest.mark.parametrize("v", [0.1, 1.0, 100000.0, 1e6, 123456789.0, 1.5e-5, 0.0001, -2.5])

@@ -110,6 +110,51 @@ def test_greedy_buckets_split_distant_values(spark):
     assert got == [("a", 10.0, 20), ("a", 100.0, 5), ("b", 7.0, 1)]
 
 
+def test_greedy_buckets_weigh_every_run(spark):
+    import random
+
+    def split(runs):
+        """Ends by the definition, over single runs: what each run is given if the next one falls low or high."""
+        top = max(runs)
+        whole, best, at = sum(top - v for v in runs) / len(runs), None, None
+        for b in sorted(set(runs))[:-1]:
+            low, high = [v for v in runs if v <= b], [v for v in runs if v > b]
+            p, q = len(low) / len(runs), len(high) / len(runs)
+            mean = lambda x: sum(x) / len(x)
+            cost = p * p * (b - mean(low)) + p * q * (top - mean(low)) + q * p * (b + top - mean(high)) + q * q * (top - mean(high))
+            if best is None or round(cost, 9) <= round(best, 9):
+                best, at = cost, b
+        if at is None or round(best, 9) >= round(whole, 9):
+            return [top]
+        return split([v for v in runs if v <= at]) + split([v for v in runs if v > at])
+
+    rng, rows = random.Random(3), []
+    groups = {f"g{i}": [float(rng.choice([1, 2, 3, 10, 11, 40, 41, 90])) for _ in range(rng.randint(1, 60))] for i in range(25)}
+    groups |= {"low": [1.0] * 1000 + [2.0, 3.0, 10.0], "high": [1.0, 2.0, 3.0] + [10.0] * 1000}
+    rows = [(k, v) for k, x in groups.items() for v in x]
+    got = {}
+    for r in stats.greedy_buckets(spark.createDataFrame(rows, "k string, v double"), "k", "v", 1.0).collect():
+        got.setdefault(r.k, []).append((r.upper, r.n))
+    for k, runs in groups.items():
+        ends = split(runs)
+        assert sorted(u for u, _ in got[k]) == ends and sum(n for _, n in got[k]) == len(runs)
+    assert got["low"] != got["high"]
+
+
+def test_trees_and_prefixes(spark):
+    rows = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 9), (5, 6), (6, 5)], "n int, p int")
+    assert {(r.node, r.root, r.depth) for r in graph.tree(rows, "n", "p").collect()} == {(1, 1, 0), (2, 1, 1), (3, 1, 2), (4, 4, 0)}
+    lists = spark.createDataFrame([("a", ["x", "y", "z"]), ("a", ["x", "y"]), ("b", ["q"]), ("b", ["r"]), ("c", ["s", "t"])], "k string, items array<string>")
+    assert {r.k: r.prefix for r in graph.common_prefix(lists, "k", "items").collect()} == {"a": ["x", "y"], "b": [], "c": ["s", "t"]}
+    files = spark.createDataFrame([(1, 2), (2, 1), (3, 0)], "f int, least int")
+    assert {tuple(r) for r in graph.degraded(files, spark.createDataFrame([(1,), (2,)], "f int"), "f", "least").collect()} == {(1, 1, 1)}
+
+
+def test_performance_log_takes_the_widest_header(spark, tmp_path):
+    (tmp_path / "p").write_text("# timestamp tasks\n1000 1\n# timestamp tasks bytes\n2000 4 9\n")
+    assert [tuple(r) for r in logs.performance(spark, str(tmp_path / "p")).orderBy("timestamp").collect()] == [(1000, 1.0, None), (2000, 4.0, 9.0)]
+
+
 def test_summary_merges(spark):
     df = spark.createDataFrame([("g", 1, -1, 4), ("g", 2, 3, -1), ("g", 3, 5, -1), ("h", 4, -1, -1)], "g string, at int, x int, y int")
     get = lambda how: {r.g: (r.x, r.y) for r in stats.merge_summaries(df, ["g"], how, ["x", "y"], "at").collect()}
@@ -132,7 +177,7 @@ def test_levels_and_cycles(spark):
     assert tuple(graph.depth_and_width(lv).first()) == (4, 2)
     cyclic = spark.createDataFrame([(0, 1), (1, 2), (2, 1)], "parent int, child int")
     with pytest.raises(ValueError):
-        graph.levels(nodes, cyclic, max_rounds=6)
+        graph.levels(nodes, cyclic)
     f = graph.footprint(nodes, spark.createDataFrame([("a", 10, 0, 2), ("b", 5, 1, 1)], "file string, size int, made_level int, last_level int"))
     assert {r.level: r.bytes for r in f.collect()} == {0: 10, 1: 15, 2: 10}
 
@@ -149,7 +194,9 @@ def test_closure_has_no_limit_but_hops(spark, monkeypatch):
 def test_empty_reductions(spark):
     df = spark.createDataFrame([(1, None)], "s int, v double")
     r = overall(df, F.col("s"), F.col("s"), *[Reduce(n, F.col("v"), n) for n in ("COUNT", "SUM", "MIN", "MAX", "AVERAGE", "FIRST", "UNIQUE")]).first()
-    assert tuple(r)[1:] == (0, 0.0, 0.0, 0.0, 0.0, None, [])
+    assert tuple(r)[1:] == (1, 1.0, 0.0, 0.0, 0.0, None, [])
+    t = spark.createDataFrame([(1, "2.5"), (1, "word"), (1, None)], "s int, v string")
+    assert tuple(overall(t, F.col("s"), F.col("v"), Reduce("COUNT", F.col("v"), "n"), Reduce("SUM", F.col("v"), "total")).first()) == (1, 3, 4.5)
 
 
 def test_roc_bounds(spark):

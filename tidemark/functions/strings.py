@@ -79,21 +79,37 @@ def _general(value: Column, spec: str) -> Column:
 
 def template(text: str, **values: Column) -> Column:
     """{name} substitution; {{ and }} stand for braces; an unknown name is an error."""
-    parts = []
-    for lit, name in re.findall(r"((?:[^{}]|\{\{|\}\})+)|\{(\w+)\}", text):
-        if name:
-            if name not in values:
-                raise ValueError(f"template: {name} is not defined")
-            parts.append(values[name].cast("string"))
+    parts, at = [], 0
+    for m in re.finditer(r"((?:[^{}]|\{\{|\}\})+)|\{(\w+)\}", text):
+        if m.start() != at:
+            break
+        at = m.end()
+        if m[2]:
+            if m[2] not in values:
+                raise ValueError(f"template: {m[2]} is not defined")
+            parts.append(values[m[2]].cast("string"))
         else:
-            parts.append(F.lit(lit.replace("{{", "{").replace("}}", "}")))
+            parts.append(F.lit(m[1].replace("{{", "{").replace("}}", "}")))
+    if at != len(text):
+        raise ValueError(f"template: a single brace at {at}")
     return F.concat(*parts) if parts else F.lit("")
 
 
 def fnmatch(text: Column, pattern: str) -> Column:
     """Shell wildcards over the whole string."""
-    out = "".join({"*": ".*", "?": "."}.get(c, c if c in "[]" else re.escape(c)) for c in pattern)
-    return text.rlike(f"^(?:{out})$")
+    out, at = "", 0
+    while at < len(pattern):
+        c, end = pattern[at], pattern.find("]", at + (3 if pattern[at + 1 : at + 2] == "!" else 2))
+        if c == "[" and end > 0:
+            inside = pattern[at + 1 : end]
+            negated = inside.startswith("!")
+            inside = re.sub(r"([\\\[\]^&~])", r"\\\1", inside[negated:])
+            out += f"[{'^' * negated}{inside}]"
+            at = end + 1
+            continue
+        out += {"*": ".*", "?": "."}.get(c) or re.escape(c)
+        at += 1
+    return text.rlike(f"(?s)^(?:{out})$")
 
 
 def duration(text: str) -> int:
@@ -120,7 +136,7 @@ def epoch(text: str, now: float | None = None) -> int:
 
 
 def byte_size(n: Column) -> Column:
-    """1024-based with two decimals: 1536 -> '1.50 KB'."""
+    """1024-based with two decimals, halves to even as C prints them: 1536 -> '1.50 KB'."""
     power = F.when(n >= 1, F.least(F.floor(F.log2(n.cast("double")) / 10 + 1e-12), F.lit(5))).otherwise(0)
     unit = F.get(F.array(*[F.lit(u) for u in ("B", "KB", "MB", "GB", "TB", "PB")]), power.cast("int"))
-    return F.concat(F.format_string("%.2f", n.cast("double") / F.pow(F.lit(1024.0), power)), F.lit(" "), unit)
+    return F.concat(F.format_string("%.2f", F.bround(n.cast("double") / F.pow(F.lit(1024.0), power), 2)), F.lit(" "), unit)

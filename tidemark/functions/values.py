@@ -97,3 +97,11 @@ def json_type(text: Column) -> Column:
         .when(t.startswith("{"), "object")
         .otherwise("string")
     )
+
+
+def dictionary(items: Column, key, value, keep=None) -> Column:
+    """{key(x): value(x) for x in items if keep(x)}; of equal keys the last one's value."""
+    rows = F.filter(items, keep) if keep else items
+    pairs = F.transform(rows, lambda x: F.struct(key(x).alias("key"), value(x).alias("value")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(last)

@@ -1,15 +1,17 @@
 """Parallel collection operators: map, pairs, all-pairs, reduce, merge, map-reduce, linkage.
 
-Cross products here are the operation itself: both sides are stated and the smaller one's size is
-checked, so it is broadcast when small and joined as a nested loop over partitions when not.
+Cross products here are the operation itself, whose result holds a row for every pair: Spark broadcasts
+the smaller side where its size is below the session's threshold and joins by partitions where not.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidemark.operators.stats import ranked
 
@@ -24,6 +26,13 @@ def all_pairs(left: DataFrame, right: DataFrame, i: str, j: str, value: Column,
     return left.crossJoin(right).select(F.col(i), F.col(j), value.alias(alias))
 
 
+def ordered_pairs(left: DataFrame, right: DataFrame, i: str, j: str, value: Column) -> DataFrame:
+    """(at, value): the flat list of a function over all pairs, row by row; keys i and j count from 0 without gaps."""
+    width = right.agg((F.max(j) + 1).alias("_width"))
+    pairs = left.crossJoin(right).crossJoin(F.broadcast(width))
+    return pairs.select((F.col(i) * F.col("_width") + F.col(j)).alias("at"), value.alias("value"))
+
+
 def matrix_rows(pairs: DataFrame, i: str, j: str, value: str) -> DataFrame:
     """One row per i with its values ordered by j."""
     return pairs.groupBy(i).agg(F.transform(F.array_sort(F.collect_list(F.struct(j, value))), lambda x: x[value]).alias("row"))
@@ -42,6 +51,32 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
+@F.pandas_udf(DoubleType())
+def jaro_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Jaro: equal characters within half the longer length, and half of those out of order."""
+
+    def one(x: str | None, y: str | None) -> float | None:
+        if x is None or y is None:
+            return None
+        if not x or not y:
+            return float(x == y)
+        reach, used, mine = max(len(x), len(y)) // 2 - 1, [False] * len(y), []
+        for i, c in enumerate(x):
+            for k in range(max(0, i - reach), min(len(y), i + reach + 1)):
+                if not used[k] and y[k] == c:
+                    used[k] = True
+                    mine.append(c)
+                    break
+        if not mine:
+            return 0.0
+        theirs = [c for c, u in zip(y, used) if u]
+        moved = sum(p != q for p, q in zip(mine, theirs)) / 2
+        m = len(mine)
+        return (m / len(x) + m / len(y) + (m - moved) / m) / 3
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
 def map_reduce(df: DataFrame, key: Column, *aggregates: Column) -> DataFrame:
     """Group by a mapped key and reduce; Spark combines on the map side."""
     return df.groupBy(key.alias("key")).agg(*aggregates)
@@ -101,25 +136,31 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], on: str, columns: li
 
 
 def reduce_with(df: DataFrame, value: str, fn: Callable[[list], float], arity: int = 1000) -> DataFrame:
-    """A tree reduction by an associative Python function of a list: rounds of ``arity`` values until one is left.
+    """A tree reduction by an associative and commutative Python function of a list.
 
-    A round is a grouped job, so no task ever holds more than ``arity`` values at once; one value is
-    returned as it is.  Sums, extrema and the like belong in ``agg``, which Spark reduces by itself.
+    Every task reduces its own rows, ``arity`` values at a time, to one; each round then deals these to
+    1/``arity`` of the tasks, which do the same, until one task is left.  One value is returned as it is.
+    Sums, extrema and the like belong in ``agg``, which Spark reduces by itself.
     """
-    import pandas as pd
+    arity = max(arity, 2)
 
     def partial(frames):
         left: list = []
         for frame in frames:
             for x in frame["value"]:
                 left.append(x)
-                if len(left) >= max(arity, 2):
+                if len(left) >= arity:
                     left = [fn(left)]
         if left:
             yield pd.DataFrame({"value": [fn(left) if len(left) > 1 else left[0]]})
 
-    out = df.select(F.col(value).cast("double").alias("value")).mapInPandas(partial, "value double")
-    return out.coalesce(1).mapInPandas(partial, "value double")  # a value per task is left
+    source = df.select(F.col(value).cast("double").alias("value"))
+    tasks = source.rdd.getNumPartitions()
+    out = source.mapInPandas(partial, "value double")
+    while tasks > 1:
+        tasks = -(-tasks // arity)
+        out = out.repartition(tasks).mapInPandas(partial, "value double")
+    return out
 
 
 def windows_of(df: DataFrame, order: str, value: str, domain: int) -> DataFrame:
@@ -133,14 +174,17 @@ def wavefront(top: DataFrame, left: DataFrame, n: int, cell: Callable[[Column, C
 
     top(j, value) and left(i, value) start it; each anti-diagonal is one join of the two before it.
     """
+    spark = top.sparkSession
+    if not spark.sparkContext.getCheckpointDir() and (shared := spark.conf.get("spark.checkpoint.dir", None)):
+        spark.sparkContext.setCheckpointDir(shared)
     start = top.select(F.lit(0).alias("i"), "j", "value").unionByName(left.where("i > 0").select("i", F.lit(0).alias("j"), "value"))
-    done = start
+    diagonal = lambda d: start.where(F.col("i") + F.col("j") == d)
+    done, before, last = start, diagonal(0), diagonal(1)
     for d in range(2, 2 * n - 1):
-        cells = done.sparkSession.range(max(1, d - n + 1), min(d, n)).select(F.col("id").cast("int").alias("i"), (F.lit(d) - F.col("id")).cast("int").alias("j"))
-        at = lambda di, dj, name: done.select((F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j"), F.col("value").alias(name))
-        step = cells.join(at(1, 0, "_u"), ["i", "j"]).join(at(0, 1, "_l"), ["i", "j"]).join(at(1, 1, "_d"), ["i", "j"])
+        # a cell meets its upper and left neighbours on the last diagonal and the corner on the one before
+        to = lambda f, di, dj, name: f.select((F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j"), F.col("value").alias(name))
+        step = to(last, 1, 0, "_u").join(to(last, 0, 1, "_l"), ["i", "j"]).join(to(before, 1, 1, "_d"), ["i", "j"])
         step = step.select("i", "j", cell(F.col("_u"), F.col("_l"), F.col("_d")).alias("value"))
-        done = done.unionByName(step)
-        if d % 4 == 0:
-            done = done.checkpoint() if done.sparkSession.sparkContext.getCheckpointDir() else done.cache()
+        step = step.checkpoint() if spark.sparkContext.getCheckpointDir() else step.cache()
+        done, before, last = done.unionByName(step), last, step.unionByName(diagonal(d))
     return done

@@ -42,11 +42,11 @@ class Dataset:
     def from_sql(cls, spark: SparkSession, query: str) -> Dataset:
         return cls(spark.sql(query))
 
-    def query(self, *filters: Column, limit: int = 0) -> Dataset:
-        """All filters hold; limit 0 means all rows."""
+    def query(self, *filters: Column | str, limit: int = 0) -> Dataset:
+        """All filters, columns or SQL conditions, hold; limit 0 means all rows."""
         df = self.df
         for f in filters:
-            df = df.where(passes(f))
+            df = df.where(passes(F.expr(f) if isinstance(f, str) else f))
         return Dataset(df.limit(limit) if limit else df)
 
 

@@ -18,24 +18,28 @@ def source_files(needed: DataFrame, created: DataFrame) -> DataFrame:
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the shared folder that the session names; only cached where it names none."""
     sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir() and (shared := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        sc.setCheckpointDir(shared)
     return df.checkpoint() if sc.getCheckpointDir() else df.cache()
 
 
-def levels(nodes: DataFrame, links: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def levels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """nodes(node) -> (node, level): longest path from a node without parents; a frontier join per level.
 
-    A cycle is an error.
+    A cycle is an error: no path can have more links than there are nodes.
     """
+    n_nodes = nodes.select("node").distinct().count()
     links = links.select("parent", "child").distinct()
     frontier = nodes.select("node").distinct().join(links.select(F.col("child").alias("node")), "node", "left_anti").withColumn("level", F.lit(0))
     out = frontier
-    for _ in range(max_rounds):
+    for _ in range(n_nodes + 1):
         frontier = _checkpointed(frontier.join(links, frontier["node"] == links["parent"]).select(F.col("child").alias("node"), (F.col("level") + 1).alias("level")).distinct())
         if not frontier.limit(1).count():
             return out.groupBy("node").agg(F.max("level").alias("level"))
         out = out.unionByName(frontier)
-    raise ValueError("the graph has a cycle or more levels than max_rounds")
+    raise ValueError("the graph has a cycle")
 
 
 def depth_and_width(leveled: DataFrame) -> DataFrame:
@@ -81,3 +85,47 @@ def to_dot(links: DataFrame) -> DataFrame:
     body = links.select(F.lit(1).alias("at"), F.format_string('"%s" -> "%s";', F.col("parent").cast("string"), F.col("child").cast("string")).alias("line"))
     spark = links.sparkSession
     return spark.createDataFrame([(0, "digraph {"), (2, "}")], "at int, line string").unionByName(body).orderBy("at", "line").select("line")
+
+
+def tree(rows: DataFrame, node: str, parent: str) -> DataFrame:
+    """(node, root, depth) of parent-child rows: a row whose parent is no row's node is a root of depth 0; rows in a cycle have none."""
+    r = rows.select(F.col(node).alias("node"), F.col(parent).alias("parent")).distinct()
+    roots = r.join(r.select(F.col("node").alias("parent")).distinct(), "parent", "left_anti")
+    frontier = roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"))
+    out = frontier
+    for d in itertools.count(1):
+        frontier = _checkpointed(r.join(frontier.select(F.col("node").alias("parent"), "root"), "parent").select("node", "root", F.lit(d).alias("depth")))
+        if frontier.isEmpty():
+            return out
+        out = out.unionByName(frontier)
+
+
+def degraded(files: DataFrame, replicas: DataFrame, file: str, minimum: str) -> DataFrame:
+    """Files with fewer replicas than they ask for, none at all included, and how many are missing."""
+    n = replicas.groupBy(file).agg(F.count(F.lit(1)).alias("n"))
+    have = files.join(n, file, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return have.where(F.col("n") < F.col(minimum)).select(file, "n", (F.col(minimum) - F.col("n")).alias("missing"))
+
+
+def common_prefix(lists: DataFrame, by: str, items: str) -> DataFrame:
+    """The longest list that every row's list of a group begins with."""
+    place = lists.select(by, F.posexplode(items).alias("at", "item"))
+    n = lists.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    same = place.groupBy(by, "at").agg(F.count(F.lit(1)).alias("have"), F.min("item").alias("item"), F.max("item").alias("_max")).join(n, by)
+    ends = same.where((F.col("have") < F.col("n")) | (F.col("item") != F.col("_max"))).groupBy(by).agg(F.min("at").alias("_end"))
+    kept = same.join(ends, by, "left").where(F.col("_end").isNull() | (F.col("at") < F.col("_end"))).where("have = n AND item = _max")
+    found = kept.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias("prefix"))
+    return n.select(by).join(found, by, "left").withColumn("prefix", F.coalesce("prefix", F.array().cast("array<string>")))
+
+
+def residuals(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """(node, level, inputs, outputs, least, most): bytes of a node's files, and the least and most that its level may hold.
+
+    files(file, size, node, direction) of nodes(node, level).  The least is what one node of the level needs while it
+    runs, the largest of them; the most is all nodes of the level at once.
+    """
+    side = lambda d: F.coalesce(F.sum(F.when(F.col("direction") == d, F.col("size"))), F.lit(0))
+    own = nodes.join(files, "node", "left").groupBy("node", "level").agg(side("IN").alias("inputs"), side("OUT").alias("outputs"))
+    held = F.col("inputs") + F.col("outputs")
+    level = own.groupBy("level").agg(F.max(held).alias("least"), F.sum(held).alias("most"))
+    return own.join(level, "level").select("node", "level", "inputs", "outputs", "least", "most")

@@ -16,7 +16,10 @@ NAMES = ("COUNT", "SUM", "MIN", "MAX", "AVERAGE", "FIRST", "LAST", "INC", "UNIQU
 
 @dataclass(frozen=True)
 class Reduce:
-    """A reduction of a numeric (or, for COUNT and UNIQUE, any) expression; order decides FIRST, LAST, INC."""
+    """A reduction of an expression; order decides FIRST, LAST, INC.
+
+    COUNT counts every row, SUM takes what is no number (null too) as 1; the others pass over null.
+    """
 
     name: str
     value: Column
@@ -25,11 +28,11 @@ class Reduce:
     def column(self, order: Column) -> Column:
         v = self.value
         kind = self.name.upper()
-        zero = F.lit(0.0)
+        zero, number = F.lit(0.0), F.coalesce(v.try_cast("double"), F.lit(1.0))
         first, last = F.min_by(v, F.when(v.isNotNull(), order)), F.max_by(v, F.when(v.isNotNull(), order))
         out = {
-            "COUNT": lambda: F.count(v),
-            "SUM": lambda: F.coalesce(F.sum(v), zero),
+            "COUNT": lambda: F.count(F.lit(1)),
+            "SUM": lambda: F.coalesce(F.sum(number), zero),
             "MIN": lambda: F.coalesce(F.min(v), zero),
             "MAX": lambda: F.coalesce(F.max(v), zero),
             "AVERAGE": lambda: F.coalesce(F.avg(v), zero),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,22 +104,30 @@ def quantized_buckets(df: DataFrame, value: str, order: list[str], n: int) -> Da
     return r.withColumn("bucket", number).groupBy("bucket").agg(F.max(value).alias("upper"), F.count(F.lit(1)).alias("n"))
 
 
-def _greedy(values: list[float], low: int, high: int) -> list[int]:
-    """Ends (indices into sorted values) of buckets that a top-down split keeps while it lowers expected waste."""
-    n = high - low + 1
-    if n == 1:
-        return [high]
-    total, best, at = sum(values[low : high + 1]), n * values[high] - sum(values[low : high + 1]), None
-    left = 0.0
-    for i in range(low, high):
-        left += values[i]
-        k = i - low + 1
-        p, q = k / n, (n - k) / n
-        mean_low, mean_high = left / k, (total - left) / (n - k)
-        cost = p * (values[i] - mean_low) + q * (values[high] - mean_high) + q * values[i]
-        if n * cost < best - 1e-12:
-            best, at = n * cost, i
-    return [high] if at is None else _greedy(values, low, at) + _greedy(values, at + 1, high)
+def _greedy(values: np.ndarray, weights: np.ndarray) -> list[int]:
+    """Ends (indices into sorted values) of the buckets of a top-down split that lowers the expected waste.
+
+    A run falls in the lower part with probability p, in the upper one with q, by weight; its try is given the
+    part's largest value, and one that was given the lower part's and needs more is given the largest after it.
+    So the waste of a split at value b of values up to m is  p*p*(b - low) + p*q*(m - low) + q*p*(b + m - high)
+    + q*q*(m - high), low and high being the parts' weighted means; no split is worth m - mean.
+    """
+    n, total = (np.concatenate([[0.0], np.cumsum(x)]) for x in (weights, weights * values))
+    ends, open_ = [], [(0, len(values) - 1)]
+    while open_:
+        first, last = open_.pop()
+        m, at = values[last], np.arange(first, last)
+        p = (n[at + 1] - n[first]) / (n[last + 1] - n[first])
+        low = (total[at + 1] - total[first]) / (n[at + 1] - n[first])
+        high = (total[last + 1] - total[at + 1]) / (n[last + 1] - n[at + 1])
+        b, q = values[at], 1 - p
+        cost = np.append(p * p * (b - low) + p * q * (m - low) + q * p * (b + m - high) + q * q * (m - high), m - (total[last + 1] - total[first]) / (n[last + 1] - n[first]))
+        best = len(at) - int(np.argmin(np.round(cost, 9)[::-1]))  # of equal ones the last, so none is cut for nothing
+        if best == len(at):
+            ends.append(last)
+        else:
+            open_ += [(first, first + best), (first + best + 1, last)]
+    return sorted(ends)
 
 
 def greedy_buckets(df: DataFrame, by: str, value: str, resolution: float) -> DataFrame:
@@ -132,7 +141,7 @@ def greedy_buckets(df: DataFrame, by: str, value: str, resolution: float) -> Dat
     def split(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("step")
         values = g["step"].tolist()
-        ends = _greedy(values, 0, len(values) - 1)
+        ends = _greedy(g["step"].to_numpy(float), g["n"].to_numpy(float))
         cumulative, rows, before = g["n"].cumsum().tolist(), [], 0
         for e in ends:
             rows.append((g[by].iloc[0], values[e], cumulative[e] - before))
@@ -142,8 +151,8 @@ def greedy_buckets(df: DataFrame, by: str, value: str, resolution: float) -> Dat
     return steps.groupBy(by).applyInPandas(split, f"{by} {df.schema[by].dataType.simpleString()}, upper double, n long")
 
 
-def merge_summaries(df: DataFrame, by: list[str], how: str, columns: list[str], order: str | None = None) -> DataFrame:
-    """Elementwise merge of summaries in which -1 means undefined: max, min, add, override (last), default (first)."""
+def merged(how: str, columns: list[str], order: str | None = None, suffix: str = "") -> list[Column]:
+    """Elementwise merges of summaries in which -1 means undefined: max, min, add, override (last), default (first)."""
     known = lambda c: F.when(F.col(c) != -1, F.col(c))
     at = lambda c: F.when(F.col(c) != -1, F.col(order))
     merge = {
@@ -153,7 +162,11 @@ def merge_summaries(df: DataFrame, by: list[str], how: str, columns: list[str],
         "override": lambda c: F.coalesce(F.max_by(known(c), at(c)), F.lit(-1)),
         "default": lambda c: F.coalesce(F.min_by(known(c), at(c)), F.lit(-1)),
     }[how]
-    return df.groupBy(*by).agg(*[merge(c).alias(c) for c in columns])
+    return [merge(c).alias(c + suffix) for c in columns]
+
+
+def merge_summaries(df: DataFrame, by: list[str], how: str, columns: list[str], order: str | None = None) -> DataFrame:
+    return df.groupBy(*by).agg(*merged(how, columns, order))
 
 
 def peaks(df: DataFrame, by: list[str], time: str, columns: list[str]) -> DataFrame:
@@ -205,3 +218,30 @@ def predicted_allocation(buckets: DataFrame, by: str, needed: Column, share: flo
     w = Window.partitionBy(by).orderBy("upper").rowsBetween(Window.unboundedPreceding, 0)
     b = buckets.withColumn("_share", F.sum("n").over(w) / F.sum("n").over(Window.partitionBy(by)))
     return b.where((F.col("_share") >= share) & needed).groupBy(by).agg(F.min("upper").alias("allocation"))
+
+
+def counters(events: DataFrame, name: str, op: str, value: str, order: str) -> DataFrame:
+    """Named integers after ``set`` and ``inc`` events in order: the last value set plus what was added since."""
+    is_set = F.col(op) == "set"
+    last = events.where(is_set).groupBy(name).agg(F.max(order).alias("_at"), F.max_by(value, order).alias("_set"))
+    rest = events.where(~is_set).join(last, name, "left").where(F.col("_at").isNull() | (F.col(order) > F.col("_at")))
+    added = rest.groupBy(name).agg(F.sum(value).alias("_added"))
+    names = events.select(name).distinct()
+    return names.join(last, name, "left").join(added, name, "left").select(name, (F.coalesce("_set", F.lit(0)) + F.coalesce("_added", F.lit(0))).alias("value"))
+
+
+def first_allocations_by(buckets: DataFrame, by: str) -> DataFrame:
+    """``first_allocations`` fitted for every category: buckets(by, bucket, n, mean_time), and which is of least waste."""
+    up = Window.partitionBy(by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    above = Window.partitionBy(by).orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy(by)
+    spent = F.col("mean_time") * F.col("n")
+    t = buckets.select("*", (F.coalesce(F.sum(spent).over(above), F.lit(0.0)) / F.sum("n").over(own)).alias("tail_time"), (F.sum(spent).over(own) / F.sum("n").over(own)).alias("tau"), F.max("bucket").over(own).alias("most"), F.sum("n").over(up).alias("cumulative"))
+    return t.select(by, "bucket", "cumulative", (F.col("bucket") * F.col("tau") + F.col("most") * F.col("tail_time")).alias("waste"))
+
+
+def refits(df: DataFrame, by: str, order: str, value: str, every: int = 25) -> DataFrame:
+    """The largest value of each category after every ``every`` completions: what a re-fit at that moment would know."""
+    w = Window.partitionBy(by).orderBy(order)
+    seen = df.select(by, F.row_number().over(w).alias("completed"), F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("known"))
+    return seen.where(F.col("completed") % every == 0)

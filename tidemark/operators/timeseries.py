@@ -82,3 +82,43 @@ def slots(df: DataFrame, worker: str, start: str, end: str) -> DataFrame:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", slot int"
     return df.groupBy(worker).applyInPandas(assign, schema)
+
+
+def rebased(df: DataFrame, columns: list[str], origin: str, last: bool = False) -> DataFrame:
+    """Times counted from the smallest (or, with ``last``, the largest) value of a column."""
+    at = df.agg((F.max if last else F.min)(origin).alias("_origin"))
+    return df.crossJoin(F.broadcast(at)).select(*[(F.col(c) - F.col("_origin")).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def stacked_at(df: DataFrame, time: str, order: list[str], value: str) -> DataFrame:
+    """Each row's value on top of those before it at the same time, and the time's total."""
+    at = Window.partitionBy(time)
+    return df.select("*", F.sum(value).over(at.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)).alias("stacked"), F.sum(value).over(at).alias("total"))
+
+
+def shared_time(df: DataFrame, task: str, accumulated: str, every: int) -> DataFrame:
+    """(task, seconds) for every task id: the growth of an accumulated time between two logged ids, shared evenly among
+    the ids from the first up to the next.
+
+    ``every`` bounds how many ids one row may stand for before it is cut into pieces of that many.
+    """
+    # ids fall in ranges, so that only the first of each range looks into the next one
+    rows = df.groupBy(task).agg(F.min(accumulated).alias("acc")).withColumn("_range", F.floor(F.col(task) / every))
+    first = rows.groupBy("_range").agg(F.min_by(F.struct(task, "acc"), task).alias("_first"))
+    ahead = first.select("_range", F.lead("_first").over(Window.orderBy("_range")).alias("_ahead"))
+    inside = F.lead(F.struct(task, "acc")).over(Window.partitionBy("_range").orderBy(task))
+    rows = rows.join(ahead, "_range").withColumn("_next", F.coalesce(inside, F.col("_ahead"))).where("_next IS NOT NULL")
+    gap = F.col("_next")[task] - F.col(task)
+    rows = rows.select(F.explode(F.sequence(F.col(task), F.col("_next")[task] - 1, F.lit(every).cast("long"))).alias("_from"), F.col("_next")[task].alias("_to"), ((F.col("_next")["acc"] - F.col("acc")) / gap).alias("seconds"))
+    return rows.select(F.explode(F.sequence("_from", F.least(F.col("_from") + every, F.col("_to")) - 1)).alias("task"), "seconds")
+
+
+def band_share(df: DataFrame, value: str) -> DataFrame:
+    """mean, deviation, share: how many percent of the values lie within one deviation of the mean.
+
+    The variance is the sum of squares over the square root of n - 1, as the tool that this stands for has it.
+    """
+    m = df.agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+    d = df.crossJoin(F.broadcast(m)).groupBy("mean", "n").agg(F.sqrt(F.sum((F.col(value) - F.col("mean")) ** 2) / F.sqrt(F.first("n") - 1)).alias("deviation"))
+    inside = F.abs(F.col(value) - F.col("mean")) <= F.col("deviation")
+    return df.crossJoin(F.broadcast(d)).groupBy("mean", "deviation").agg((100.0 * F.sum(inside.cast("long")) / F.first("n")).alias("share"))

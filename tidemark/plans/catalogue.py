@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import logs, records, relational, statistics, temporal
+from tidemark.plans import live, logs, records, relational, reports, statistics, temporal
 
-ALL = records.QUERIES | temporal.QUERIES | relational.QUERIES | statistics.QUERIES | logs.QUERIES
+ALL = records.QUERIES | temporal.QUERIES | relational.QUERIES | statistics.QUERIES | logs.QUERIES | live.QUERIES | reports.QUERIES
 
 
 def queries() -> dict:

@@ -8,7 +8,6 @@ from tidemark.operators import collect, stats, timeseries
 from tidemark.plans.temporal import as_history
 from tidemark.sources import eventlog, logs
 from tidemark.sources.tables import table as t
-from tidemark.streaming import keyed_state
 
 
 def _transaction_lines(spark, sf):
@@ -52,17 +51,6 @@ def _file_order():
     return Window.partitionBy("part").orderBy("seq", F.col("line").startswith("T ").desc())
 
 
-def stream_hourly_counts(spark, sf):
-    e = t(spark, sf, "events")
-    stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    steps = keyed_state.stepped(stream, "ts", "1 hour", "30 days", F.count(F.lit(1)).alias("n"), F.max("value").alias("high"))
-    name = "stream_hourly_counts"
-    q = steps.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.unix_timestamp("window.start").alias("step"), "n", "high")
-
-
 def latest_attempt_per_task(spark, sf):
     e = t(spark, sf, "events").select("user_id", "event_id", F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("attempt"))
     return timeseries.latest_attempt(e, "user_id", ["event_id"], "attempt").select("event_id", "attempt")
@@ -126,7 +114,6 @@ QUERIES = {
         f"""WITH l AS (SELECT {S} AS s, user_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 THEN 'C' WHEN event_id % 17 = 3 THEN 'D' WHEN event_id % 17 = 5 THEN 'C' WHEN event_id % 17 = 7 THEN 'R' WHEN event_id % 17 = 9 THEN 'U' ELSE 'M' END AS op FROM events)
         SELECT op, count(*) AS n, CAST(sum(s) AS BIGINT) AS sum_ts, count(DISTINCT user_id) AS keys FROM l GROUP BY 1""",
     ),
-    "stream_hourly_counts": (stream_hourly_counts, "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS step, count(*) AS n, max(value) AS high FROM events GROUP BY 1"),
     "latest_attempt_per_task": (latest_attempt_per_task, "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS attempt FROM events"),
     "fill_missing_end": (
         fill_missing_end,

@@ -20,7 +20,7 @@ def json_props_lookup(spark, sf):
 
 
 def like_regex_filter(spark, sf):
-    return t(spark, sf, "part").where(F.col("p_name").rlike("(1|3)[0-9]*5$")).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.min("p_name").alias("first_name"))
+    return t(spark, sf, "part").where(F.col("p_name").rlike("^(cold|large) .*[lt]$")).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.min("p_name").alias("first_name"))
 
 
 def string_functions(spark, sf):
@@ -96,7 +96,7 @@ def group_concat_list(spark, sf):
 
 
 def set_difference(spark, sf):
-    return t(spark, sf, "customer").select(F.col("c_nationkey").alias("nationkey")).distinct().exceptAll(t(spark, sf, "supplier").select(F.col("s_nationkey").alias("nationkey")).distinct())
+    return t(spark, sf, "customer").select(F.col("c_nationkey").alias("nationkey")).distinct().exceptAll(t(spark, sf, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("nationkey")).distinct())
 
 
 def merged_counts(spark, sf):
@@ -140,7 +140,7 @@ WORDS = "unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambd
 QUERIES = {
     "where_project_records": (where_project_records, "SELECT event_id, user_id, value * 2 AS doubled FROM events WHERE coalesce(event_type = 'click' AND value > 50, false)"),
     "json_props_lookup": (json_props_lookup, "SELECT event_id, k, k % 7 AS k_mod FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE k >= 50"),
-    "like_regex_filter": (like_regex_filter, "SELECT p_brand, count(*) AS n, min(p_name) AS first_name FROM part WHERE regexp_matches(p_name, '(1|3)[0-9]*5$') GROUP BY p_brand"),
+    "like_regex_filter": (like_regex_filter, "SELECT p_brand, count(*) AS n, min(p_name) AS first_name FROM part WHERE regexp_matches(p_name, '^(cold|large) .*[lt]$') GROUP BY p_brand"),
     "string_functions": (
         string_functions,
         r"""WITH p AS (SELECT page_id, url, regexp_replace(url, '[?#].*$', '') AS path FROM pages)
@@ -171,7 +171,7 @@ QUERIES = {
     "tree_reduce_sum_max": (tree_reduce_sum_max, "SELECT CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total, max(CAST(l_quantity AS BIGINT)) AS high, min(CAST(l_quantity AS BIGINT)) AS low, count(*) AS n FROM lineitem"),
     "union_all_tables": (union_all_tables, "SELECT n_name AS name, 'nation' AS kind FROM nation UNION ALL SELECT r_name, 'region' FROM region"),
     "group_concat_list": (group_concat_list, "SELECT n_regionkey, string_agg(n_name, chr(9) ORDER BY n_name) AS names FROM nation GROUP BY 1"),
-    "set_difference": (set_difference, "SELECT c_nationkey AS nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier"),
+    "set_difference": (set_difference, "SELECT c_nationkey AS nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000"),
     "merged_counts": (merged_counts, "SELECT key, count(*) AS n FROM (SELECT c_nationkey AS key FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY key"),
     "directory_rollup_topk": (directory_rollup_topk, "SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) AS freq, CAST(sum(strlen(html)) AS BIGINT) AS bytes, CAST(sum(CASE WHEN contains(url, '?') THEN strlen(html) ELSE 0 END) AS BIGINT) AS query_bytes FROM pages GROUP BY 1 ORDER BY bytes DESC, host LIMIT 10"),
     "audit_cube": (audit_cube, "SELECT c_mktsegment, c_nationkey, CAST(grouping_id(c_mktsegment, c_nationkey) AS BIGINT) AS level, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)"),

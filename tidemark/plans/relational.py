@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import catalog, collect, dataset, graph
@@ -15,7 +16,7 @@ def equi_join_inner(spark, sf):
 
 def left_join_having_zero(spark, sf):
     c, o = t(spark, sf, "customer"), t(spark, sf, "orders")
-    return c.join(o.select("o_custkey"), c.c_custkey == o.o_custkey, "left").groupBy("c_custkey").agg(F.count("o_custkey").alias("n")).where("n < 1").select("c_custkey")
+    return c.join(o.where("o_totalprice > 300000 AND o_orderstatus = 'P'").select("o_custkey"), c.c_custkey == o.o_custkey, "left").groupBy("c_custkey").agg(F.count("o_custkey").alias("n")).where("n < 1").select("c_custkey")
 
 
 def semi_join_in(spark, sf):
@@ -98,9 +99,11 @@ def newest_per_key(spark, sf):
 
 def placement_order(spark, sf):
     s = t(spark, sf, "supplier")
-    n = t(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
-    p = s.join(n, s.s_suppkey == n.l_suppkey, "left").select("s_suppkey", F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1) + 1e-12).alias("load"), F.coalesce("n", F.lit(0)).alias("n"))
-    return p.orderBy("load", F.desc("n"), "s_suppkey")
+    n = t(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("bytes"))
+    log = lambda c: F.floor(F.log(c + 1) + 1e-12)
+    p = s.join(n, s.s_suppkey == n.l_suppkey, "left").select("s_suppkey", log(F.coalesce("n", F.lit(0))).alias("load"), log(F.greatest("s_acctbal", F.lit(0.0))).alias("room"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
+    place = Window.orderBy("load", F.desc("room"), "bytes", "s_suppkey")
+    return p.withColumn("place", F.row_number().over(place).cast("long"))
 
 
 def catalog_status_totals(spark, sf):
@@ -170,7 +173,7 @@ def source_files(spark, sf):
 E = """e AS (SELECT DISTINCT f AS parent, node AS child FROM (SELECT p_partkey AS node, unnest([p_partkey // 2, p_partkey // 3]) AS f FROM part WHERE p_partkey > 1) WHERE f > 0)"""
 QUERIES = {
     "equi_join_inner": (equi_join_inner, "SELECT c_mktsegment, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
-    "left_join_having_zero": (left_join_having_zero, "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1 HAVING count(o_custkey) < 1"),
+    "left_join_having_zero": (left_join_having_zero, "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000 AND o_orderstatus = 'P' GROUP BY 1 HAVING count(o_custkey) < 1"),
     "semi_join_in": (semi_join_in, "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 50)"),
     "anti_join_missing": (anti_join_missing, "SELECT p_partkey, p_brand FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)"),
     "natural_join_using": (natural_join_using, "SELECT n_regionkey AS regionkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
@@ -199,7 +202,7 @@ QUERIES = {
     "free_slots_having": (free_slots_having, "SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'O') AS open FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderstatus = 'O') < 3 AND count(*) >= 5"),
     "claim_next": (claim_next, "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 25"),
     "newest_per_key": (newest_per_key, "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1"),
-    "placement_order": (placement_order, "SELECT s_suppkey, CAST(floor(log2(coalesce(n, 0) + 1) + 1e-12) AS BIGINT) AS load, coalesce(n, 0) AS n FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey ORDER BY load, n DESC, s_suppkey"),
+    "placement_order": (placement_order, "SELECT *, row_number() OVER (ORDER BY load, room DESC, bytes, s_suppkey) AS place FROM (SELECT s_suppkey, CAST(floor(ln(coalesce(n, 0) + 1) + 1e-12) AS BIGINT) AS load, CAST(floor(ln(greatest(s_acctbal, 0.0) + 1) + 1e-12) AS BIGINT) AS room, coalesce(bytes, 0) AS bytes FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS bytes FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey)"),
     "catalog_status_totals": (catalog_status_totals, "SELECT s_nationkey, CAST(sum(c) AS BIGINT) AS total, CAST(sum(greatest(c, 0)) AS BIGINT) AS avail, count(*) AS n FROM (SELECT s_nationkey, CAST(round(s_acctbal * 100) AS BIGINT) AS c FROM supplier) GROUP BY 1"),
     "catalog_sorted_view": (catalog_sorted_view, "SELECT s_suppkey, s_name FROM supplier ORDER BY lower(coalesce(s_name, 'unknown')), s_suppkey"),
     "catalog_status_filters": (catalog_status_filters, "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer WHERE (c_mktsegment = 'BUILDING' OR regexp_full_match(c_name, '.*7.')) AND c_acctbal > 1000"),

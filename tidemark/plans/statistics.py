@@ -55,11 +55,8 @@ def _summaries(spark, sf):
 
 
 def summary_merge_max_min_add(spark, sf):
-    s, by, c = _summaries(spark, sf), ["p_brand"], ["cores", "memory"]
-    out = stats.merge_summaries(s, by, "max", c)
-    for how in ("min", "add", "override", "default"):
-        out = out.join(stats.merge_summaries(s, by, how, c, "p_partkey").select("p_brand", *[F.col(x).alias(f"{x}_{how}") for x in c]), "p_brand")
-    return out
+    columns = [m for how in ("max", "min", "add", "override", "default") for m in stats.merged(how, ["cores", "memory"], "p_partkey", "" if how == "max" else f"_{how}")]
+    return _summaries(spark, sf).groupBy("p_brand").agg(*columns)
 
 
 def max_with_peak_time(spark, sf):

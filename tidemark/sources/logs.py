@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: The fields of a resource summary.
 RESOURCES = (
     "start end wall_time cpu_time memory virtual_memory swap_memory disk bytes_read bytes_written bytes_received bytes_sent bandwidth gpus cores cores_avg machine_cpus machine_load "
     "context_switches max_concurrent_processes total_processes total_files fs_nodes workers"
@@ -70,13 +71,25 @@ def task_range(column: Column, ranges: str) -> Column:
     return out
 
 
+def summary_log(lines: DataFrame) -> DataFrame:
+    """Successful tasks of a log of resource summaries: their id, and cores, memory, disk and wall time by name."""
+    v = F.col("value")
+    number = lambda name: F.regexp_extract(v, rf'"{name}":\s*\[\s*(-?[\d.eE+]+)', 1).try_cast("double")
+    done = lines.where(v.rlike(r"TASK \S+ DONE SUCCESS\s+0"))
+    return done.select(F.regexp_extract(v, r"TASK (\d+) DONE", 1).cast("long").alias("task"), number("cores_avg").alias("cores"), number("memory").alias("memory"), number("disk").alias("disk"), number("wall_time").alias("time"))
+
+
 def performance(spark: SparkSession, path: str) -> DataFrame:
-    """A log whose last ``#`` header names the columns; every other line is numbers (the first a time in us)."""
-    raw = spark.read.text(path)
-    header = raw.where(F.col("value").startswith("#")).limit(1).first()
+    """A log whose ``#`` header names the columns; every other line is numbers (the first a time in us)."""
+    return performance_rows(spark.read.text(path))
+
+
+def performance_rows(raw: DataFrame) -> DataFrame:
+    """The rows of a log given as lines(value); of several headers the longest holds, as later ones add columns."""
+    header = raw.where(F.col("value").startswith("#")).agg(F.max(F.struct(F.size(F.split(F.trim("value"), r"\s+")), "value"))["value"]).first()[0]
     if header is None:
         raise ValueError("a performance log opens with a # header")
-    names = header[0].lstrip("# ").split()
+    names = header.lstrip("# ").split()
     f = F.split(F.trim("value"), r"\s+")
     return raw.where(F.col("value").rlike(r"^\s*\d")).select(*[F.get(f, F.lit(i)).cast("double" if i else "long").alias(n) for i, n in enumerate(names)])
 
@@ -140,6 +153,10 @@ def directory_totals(calls: DataFrame, depth: int = 2, n: int = 10) -> DataFrame
 def resource_summaries(spark: SparkSession, path: str) -> DataFrame:
     """JSON summaries in which a resource is a number or [number, unit]; -1 is undefined and becomes NULL."""
     head = "category string, taskid string, exit_type string"
-    raw = spark.read.schema(head + ", " + ", ".join(f"`{r}` string" for r in RESOURCES)).json(path)
+    return summary_rows(spark.read.schema(head + ", " + ", ".join(f"`{r}` string" for r in RESOURCES)).json(path))
+
+
+def summary_rows(raw: DataFrame) -> DataFrame:
+    """Resource summaries whose values are JSON text, as numbers."""
     number = lambda r: F.regexp_extract(F.col(f"`{r}`"), r"^\s*\[?\s*(-?[\d.eE+]+)", 1).try_cast("double")
     return raw.select("category", "taskid", "exit_type", *[F.when(number(r) != -1, number(r)).alias(r) for r in RESOURCES])
