@@ -48,7 +48,9 @@ def _tie(text: str) -> Column:
 def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(doc_id, tie, drop): positions of the lines that the document of this doc_id and hash of its text loses."""
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = docs.select("doc_id", _tie("text").alias("tie"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "tie", "pos", line_key(F.col("line")).alias("key"))
+    # the hash of the text is taken before the explosion, or each line would take it again
+    lines = docs.select("doc_id", _tie("text").alias("tie"), F.split("text", "\n").alias("lines")).select("doc_id", "tie", F.posexplode("lines").alias("pos", "line"))
+    lines = lines.select("doc_id", "tie", "pos", line_key(F.col("line")).alias("key"))
     lines = written(lines.where(F.length("key") >= min_chars).select("doc_id", "tie", "pos", F.unhex(F.md5("key")).alias("line")), "lines")
     common = lines.groupBy("line").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("line", "keeper")
     return salted_join(lines, common, "line", "doc_id").where("doc_id <> keeper").groupBy("doc_id", "tie").agg(F.collect_set("pos").alias("drop"))
