@@ -9,13 +9,16 @@ Index.  The reference index maps each distinct block of an anchor that several d
 smallest document holding it.  Grouping is by (anchor hash, block hash), 128 bits together, with min
 pre-aggregated before the shuffle; anchors of one document only are dropped at once.
 
-Parse.  A document's block that equals a reference block of a smaller document is copied whole; runs of
-overlapping copied blocks are its factors, as long as the text repeats: greedy, left to right.
+Parse.  A document's block that equals a reference block of a smaller document can be copied whole.  From
+left to right each factor takes the leftmost words not yet copied and is extended greedily, block by
+block, as long as the next block overlaps it and names the same reference document; then the next factor
+begins where it ends.  ``factors`` holds them with their references, and those of at least 50 words, or next to
+one another, are duplicate spans, since every word of a copied block lies in one of its windows.
 
 Factor boundaries.  Where a passage begins or ends inside a block the blocks differ.  Only for anchors
 with more than one distinct block, and only in the smallest document of each such block, the windows
 that chose the anchor and lie in no copied block are indexed one by one; a window that also starts in a
-smaller document extends the factor.  Copies never reach this step, so it grows with distinct texts,
+smaller document extends the span.  Copies never reach this step, so it grows with distinct texts,
 not with the size of a group of copies.
 
 The union of both is exactly the words covered by a window that starts in a smaller document.
@@ -40,7 +43,7 @@ from tidemark.llm.shingles import MULTIPLIER, SECOND_MULTIPLIER, mixed, window_h
 
 WINDOW, ANCHOR = 50, 20
 SIDE = WINDOW - ANCHOR
-CUT = "n_words long, n_removed long, kept string, spans array<struct<start: int, length: int>>"
+CUT = "n_words long, n_removed long, kept string, spans array<struct<start: int, length: int>>, factors array<struct<start: int, length: int, source: long>>"
 
 
 def anchors_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,50 +140,76 @@ def _boundary_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
             yield pd.concat(parts)
 
 
-def _cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for texts, blocks, windows in batches:
+def factors_of(n: int, places: np.ndarray, sources: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, length, source) of the greedy parse: copied blocks around ordered places, and what each was copied from."""
+    out: list[list[int]] = []
+    for place, source in zip(places.tolist(), sources.tolist()):
+        start, end = max(place - SIDE, 0), min(place + WINDOW, n)
+        if out and start <= out[-1][1]:
+            if source == out[-1][2]:
+                out[-1][1] = max(end, out[-1][1])
+                continue
+            start = out[-1][1]
+        if start < end:
+            out.append([start, end, source])
+    return [(start, end - start, source) for start, end, source in out]
+
+
+def _cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for texts, blocks, sources, windows in batches:
         rows = []
-        for text, copied, again in zip(texts, blocks, windows):
+        for text, copied, source, again in zip(texts, blocks, sources, windows):
             words = byte_words(text)
-            n, spans = len(words), []
+            n, spans, factors = len(words), [], []
             if n >= WINDOW and (copied is not None or again is not None):
                 p = Parse(words)
-                places = p.places_of(copied if copied is not None else [])
-                starts = np.flatnonzero(np.isin(p.windows(), np.asarray(again, np.int64))) if again is not None else places[:0]
-                gone = _marked(n, np.concatenate([places - SIDE, starts]), np.concatenate([places + WINDOW, starts + WINDOW]))
+                if copied is not None:
+                    copied, source = np.asarray(copied, np.int64), np.asarray(source, np.int64)
+                    order = np.argsort(copied)
+                    own = p.blocks.astype(np.int64)
+                    at = np.minimum(np.searchsorted(copied[order], own), len(copied) - 1)
+                    found = copied[order][at] == own
+                    factors = factors_of(n, p.places[found], source[order][at[found]])
+                starts = np.flatnonzero(np.isin(p.windows(), np.asarray(again, np.int64))) if again is not None else np.zeros(0, np.int64)
+                begin = np.array([f[0] for f in factors], np.int64)
+                end = np.array([f[0] + f[1] for f in factors], np.int64)
+                gone = _marked(n, np.concatenate([begin, starts]), np.concatenate([end, starts + WINDOW]))
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 spans = [{"start": int(a), "length": int(b - a)} for a, b in zip(edge[::2], edge[1::2])]
                 words = [words[i] for i in np.flatnonzero(~gone)]
-            rows.append((n, n - len(words), b" ".join(words).decode(), spans))
-        yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept", "spans"])
+            rows.append((n, n - len(words), b" ".join(words).decode(), spans, [dict(zip(("start", "length", "source"), f)) for f in factors]))
+        yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept", "spans", "factors"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text as binary) -> doc_id, copied (hashes of copied blocks), again (of boundary windows)."""
+    """docs(doc_id, text as binary) -> doc_id, copied (hashes of copied blocks), sources (where each is copied from),
+    again (hashes of boundary windows)."""
     anchors = docs.where("doc_id IS NOT NULL").mapInPandas(_anchors, "anchor long, block long, doc_id long")
     several = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     shared = written(salted_join(anchors, several, "anchor", "doc_id"), "shared_anchors")
     index = shared.groupBy("anchor", "block").agg(F.min("doc_id").alias("first"))
     varied = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_blocks")).where("n_blocks > 1").select("anchor", F.lit(True).alias("varied"))
-    index = salted_join(index.withColumn("spread", F.col("block")), varied, "anchor", "spread").drop("spread").unionByName(index.join(varied, "anchor", "left_anti").withColumn("varied", F.lit(False)))
+    index = salted_join(index, varied, "anchor", "block", how="left").withColumn("varied", F.coalesce("varied", F.lit(False)))
     index = written(index, "reference_blocks")
     judged = salted_join(shared, index, ["anchor", "block"], "doc_id").where("first < doc_id OR varied")
     copy = F.col("first") < F.col("doc_id")
-    parse = judged.groupBy("doc_id").agg(F.collect_set(F.when(copy, F.col("block"))).alias("copied"), F.collect_set(F.when(~copy, F.col("block"))).alias("open"))
-    parse = written(parse, "parse")
+    found = F.collect_set(F.when(copy, F.struct("block", "first")))
+    parse = judged.groupBy("doc_id").agg(found.alias("found"), F.collect_set(F.when(~copy, F.col("block"))).alias("open"))
+    parse = written(parse.select("doc_id", F.col("found.block").alias("copied"), F.col("found.first").alias("sources"), "open"), "parse")
 
     bounds = docs.join(parse.where(F.size("open") > 0), "doc_id").mapInPandas(_boundary_windows, "anchor long, window long, doc_id long")
     bounds = written(bounds, "boundary_windows")
     twice = bounds.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     starts = salted_join(bounds, twice, ["anchor", "window"], "doc_id").where("first < doc_id").groupBy("doc_id").agg(F.collect_set("window").alias("again"))
-    return parse.where(F.size("copied") > 0).select("doc_id", "copied").join(starts, "doc_id", "full")
+    return parse.where(F.size("copied") > 0).select("doc_id", "copied", "sources").join(starts, "doc_id", "full")
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n_words, n_removed, kept (words joined by a space), spans (word start, length)."""
+    """Per row of docs(doc_id, text): doc_id, n_words, n_removed, kept (words joined by a space), spans (word start, length),
+    factors (start, length, source: the document that holds the words as well)."""
     docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     out = docs.join(repeats(docs), "doc_id", "left")
-    return out.select("doc_id", F.pandas_udf(_cut, CUT)("text", "copied", "again").alias("cut")).select("doc_id", "cut.*")
+    return out.select("doc_id", F.pandas_udf(_cut, CUT)("text", "copied", "sources", "again").alias("cut")).select("doc_id", "cut.*")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
