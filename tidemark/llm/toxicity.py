@@ -309,7 +309,8 @@ class Toxicity:
         sums = [F.sum(c).alias(c) for c in ("toxic", "ordinary", "documents")]
         high = written(counted.mapInPandas(_class_counts, "gram long, toxic long, ordinary long, documents long").groupBy("gram").agg(*sums), "classes")
         words = written(docs.select("text").mapInPandas(_vocabulary, "word binary").distinct(), "words")
-        ratios = written(log_ratios(high, continuations(words)), "ratios")
+        low = written(continuations(words), "continuations")  # read twice
+        ratios = written(log_ratios(high, low), "ratios")
         found = written(expressions(words, ratios), "expressions")
         shared = spark.sparkContext.broadcast(bitmap(found))
         hits = docs.select("key", "tie", "text").mapInPandas(_hits(shared), "key long, tie long, word binary, share double")
