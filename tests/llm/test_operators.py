@@ -84,8 +84,18 @@ def test_substring_dedup_random(spark):
     rows = [(i, " ".join(rng.choice(pool) if rng.random() < 0.5 else prose(rng.random(), rng.randint(1, 40)) for _ in range(rng.randint(1, 6)))) for i in range(80)]
     rows += [(200 + i, ("ab cd " * rng.randint(20, 60)) + prose(i, 5)) for i in range(6)]
     out = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = [(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in out.collect()]
+    out = out.collect()
+    got = [(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in out]
     assert Counter(got) == Counter(brute_substring(rows))
+    texts = {d: f" {' '.join(t.split())} " for d, t in rows}
+    for r in out:
+        own, end = texts[r.doc_id].split(), 0
+        for f in r.factors:  # apart, in order, each found whole in its reference
+            assert f.start >= end and f.length > 0 and f.source < r.doc_id
+            end = f.start + f.length
+            assert f" {' '.join(own[f.start : end])} " in texts[f.source]
+            assert any(s.start <= f.start and end <= s.start + s.length for s in r.spans)
+    assert sum(f.length for r in out for f in r.factors) > 0.5 * sum(r.n_removed for r in out)
 
 
 def brute_lines(rows, min_chars=40, min_docs=5):
@@ -261,6 +271,51 @@ def test_token_counts_of_long_runs():
     assert length("a" * 2_000_000) == 2 * length("a" * 1_000_000) and length("Is\n" + "\n" * big + "Is") > 2
 
 
+def test_scratch_leaves_nothing_but_the_result(spark, docs, tmp_path):
+    from pathlib import Path
+
+    from tidemark.llm.common import settled
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "tidemark"
+    before = {x.name for x in shared.iterdir()} if shared.exists() else set()
+    out = settled(spark, lambda: line_dedup.cleaned(docs), "cleaned")
+    assert out.count() == len(corpus()) and len({x.name for x in shared.iterdir()} - before) == 1
+
+
+def very_long(kind):
+    """Texts of more than 5 MB: prose on one line, one word, white space, many lines."""
+    rng = random.Random(kind)
+    return {"words": lambda: " ".join(rng.choices(WORDS, k=1_200_000)), "word": lambda: "ab" * 2_600_000, "space": lambda: " \t\n" * 1_800_000, "lines": lambda: "\n".join(f"line {i} of a text that has very many of them" for i in range(120_000))}[kind]()
+
+
+def test_very_long_texts(spark, monkeypatch, tmp_path):
+    rows = [(i, very_long(k), "a") for i, k in enumerate(("words", "word", "space", "lines"))]
+    rows += [(10, rows[0][1], "b"), (11, rows[3][1] + "\nand one more", "a"), (12, prose(1, 60), "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4).withColumn("n_chars", F.length("text").cast("long")).write.parquet(str(tmp_path / "long"))
+    df = spark.read.parquet(str(tmp_path / "long"))
+    n = {d: len(t.split()) for d, t, _ in rows}
+    removed = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(df).select("doc_id", "n_removed").collect()}
+    assert removed == {**{d: 0 for d in n}, 10: n[0], 11: n[3]}
+    assert {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(df, min_docs=2).select("doc_id", "n_dropped").collect() if r.n_dropped} == {0: 1, 3: sum(len(x) >= 40 for x in rows[3][1].split("\n"))}
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect() if r.doc_id != r.class_id} == {10: 0, 11: 3}
+    item = " ".join(rows[0][1].split()[600_000:600_040])
+    found = decontaminate.contained_items(df, spark.createDataFrame([(1, item)], "item_id long, text string")).select("doc_id").collect()
+    assert {r.doc_id for r in found} == {0, 10}
+    lengths = token_counts.length_histogram(token_counts.token_lengths(df.select("text"))).agg(F.sum("n_docs"), F.max("n_tokens")).first()
+    assert lengths[0] == len(rows) and lengths[1] > 1_000_000
+    rules = {r.doc_id: (r.n_words, r.n_dup_lines) for r in quality_rules.quality_rules(df).collect()}
+    assert rules == {d: (k, 0) for d, k in n.items()}
+    mix = {r.doc_id: (r["size"], r.taken) for r in mixing.mixed(df).collect()}
+    assert {d: s for d, (s, _) in mix.items()} == n and all(t <= 3 * s for s, t in mix.values())
+    pages = df.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    kinds = {r.page_id: (r.payload_bytes, r.refers_to) for r in warc.round_trip(pages).collect()}
+    assert kinds == {d: (len(t.encode()), 0 if d == 10 else None) for d, t, _ in rows}
+    labels = spark.createDataFrame([(d, d % 2, d % 2) for d in n], "doc_id long, toxic int, quality int")
+    for module, query in ((toxicity, toxicity.op4_toxicity), (quality_classifier, quality_classifier.op10_quality_classifier)):
+        with_tables(spark, monkeypatch, module, df, labels)
+        assert query(spark, "").where("score BETWEEN 0 AND 1").count() == len(rows)
+
+
 def brute_targets(sizes, times=3):
     """Reshare step by step."""
     names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
