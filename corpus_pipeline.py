@@ -6,10 +6,12 @@ documents; the last returns what the mix takes of every document.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, line_dedup, mixing, near_dedup, toxicity
-from tidemark.llm.common import table, written
+from tidemark.llm.common import settled, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +54,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = settled(spark, functools.partial(stage, spark, docs, sf_dir), name)
     return docs
