@@ -40,6 +40,8 @@ from tidemark.llm.shingles import window_hashes, word_hashes
 #: Words of test items per block: what one broadcast holds at most, but for a single longer item.
 BLOCK_WORDS = 250_000
 GROWTH = 1.25
+#: 4 MB in a broadcast.
+MAYBE_BITS = 22
 MATCH = "array<struct<item_id: long, n_shingles: long, n_shared: long>>"
 
 
@@ -83,10 +85,10 @@ class Items:
         for item, v in self.shingles.items():
             sizes[int(np.log(len(v)) / np.log(GROWTH))].append(item)
         self.partitions = [self._partition(part, items) for part, items in sorted(sizes.items())]
-        #: Which high halves of 32 bits any partition's hashes have: a quick look before the tables.
-        self.maybe = np.zeros(1 << 16, bool)
+        #: By which bits any partition's hashes begin: a quick look before the tables, which few shingles pass.
+        self.maybe = np.zeros(1 << MAYBE_BITS, bool)
         for p in self.partitions:
-            self.maybe[(p.hashes >> np.uint64(48)).astype(np.int64)] = True
+            self.maybe[(p.hashes >> np.uint64(64 - MAYBE_BITS)).astype(np.int64)] = True
 
     def _partition(self, part: int, items: list[int]) -> Partition:
         held = [len(self.shingles[i]) for i in items]
@@ -104,7 +106,7 @@ class Items:
         if len(words) < self.n or not self.partitions:
             return []
         h = window_hashes(word_hashes(words), self.n)
-        seen = np.unique(h[self.maybe[(h >> np.uint64(48)).astype(np.int64)]])
+        seen = np.unique(h[self.maybe[(h >> np.uint64(64 - MAYBE_BITS)).astype(np.int64)]])
         if not len(seen):
             return []
         size = len(np.unique(h))
