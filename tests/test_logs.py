@@ -191,6 +191,28 @@ def test_closure_has_no_limit_but_hops(spark, monkeypatch):
     assert {(r.ancestor, r.node, r.distance) for r in graph.closure(chain).collect()} == {(i, j, j - i) for i in range(5) for j in range(i + 1, 5)}
 
 
+def test_closure_has_shortest_distances(spark):
+    import random
+
+    rng = random.Random(12)
+    for n, m in ((30, 45), (12, 40)):
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        want, frontier, d = {}, {(a, b) for a, b in edges}, 1
+        while frontier:
+            want |= {p: d for p in frontier}
+            frontier, d = {(a, c) for a, b in frontier for x, c in edges if x == b} - set(want), d + 1
+        links = spark.createDataFrame(sorted(edges), "parent int, child int")
+        for hops in (None, 3):
+            got = {(r.ancestor, r.node): r.distance for r in graph.closure(links, hops).collect()}
+            assert got == {p: k for p, k in want.items() if hops is None or k <= hops}
+
+
+def test_closure_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1500)], "parent int, child int")
+    r = graph.closure(chain).agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far")).first()
+    assert (r.n, r.far) == (1500 * 1501 // 2, 1500)
+
+
 def test_empty_reductions(spark):
     df = spark.createDataFrame([(1, None)], "s int, v double")
     r = overall(df, F.col("s"), F.col("s"), *[Reduce(n, F.col("v"), n) for n in ("COUNT", "SUM", "MIN", "MAX", "AVERAGE", "FIRST", "UNIQUE")]).first()

@@ -53,18 +53,27 @@ def guaranteed_width(links: DataFrame) -> DataFrame:
 
 
 def closure(links: DataFrame, hops: int | None = None) -> DataFrame:
-    """(ancestor, node, distance): shortest distances up to ``hops`` (all if None)."""
+    """(ancestor, node, distance): shortest distances up to ``hops`` (all if None).
+
+    Distances double each round: what lies beyond ``half`` links, up to twice as far, is reached from a node at exactly
+    ``half``, as a shortest path's parts are shortest paths.  So the rounds are as many as the longest distance has
+    binary digits, and each joins one layer of pairs, not all of them, with the pairs known so far.
+    """
     links = links.select("parent", "child").distinct()
-    reached = links.select(F.col("parent").alias("ancestor"), F.col("child").alias("node"), F.lit(1).alias("distance"))
+    reached = _checkpointed(links.select(F.col("parent").alias("ancestor"), F.col("child").alias("node"), F.lit(1).alias("distance")))
     if hops is not None and hops < 1:
         return reached.limit(0)
-    frontier = reached
-    for d in itertools.count(2) if hops is None else range(2, hops + 1):
-        step = frontier.join(links, frontier["node"] == links["parent"]).select("ancestor", F.col("child").alias("node"), F.lit(d).alias("distance")).distinct()
-        frontier = _checkpointed(step.join(reached, ["ancestor", "node"], "left_anti"))
-        if not frontier.limit(1).count():
+    half = 1
+    while hops is None or half < hops:
+        layer = reached.where(F.col("distance") == half).select("ancestor", F.col("node").alias("_middle"))
+        beyond = reached.select(F.col("ancestor").alias("_middle"), "node", (F.col("distance") + half).alias("distance"))
+        if hops is not None:
+            beyond = beyond.where(F.col("distance") <= hops)
+        step = layer.join(beyond, "_middle").groupBy("ancestor", "node").agg(F.min("distance").alias("distance"))
+        found = _checkpointed(step.join(reached, ["ancestor", "node"], "left_anti"))
+        if found.isEmpty():
             break
-        reached = reached.unionByName(frontier)
+        reached, half = reached.unionByName(found), 2 * half
     return reached
 
 

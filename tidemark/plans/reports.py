@@ -138,8 +138,8 @@ def deviation_band(spark, sf):
 
 
 def interpolated_percentiles(spark, sf):
-    p = F.percentile("l_extendedprice", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.683)))
-    return t(spark, sf, "lineitem").groupBy("l_returnflag").agg(p.alias("p")).select("l_returnflag", *[F.round(F.col("p")[i], 4).alias(n) for i, n in enumerate(("low", "middle", "most"))])
+    p = F.percentile(F.round(F.col("l_extendedprice") * 100).cast("long"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return t(spark, sf, "lineitem").groupBy("l_returnflag").agg(p.alias("p")).select("l_returnflag", *[F.col("p")[i].alias(n) for i, n in enumerate(("low", "middle", "high"))])
 
 
 def ranks_of_values(spark, sf):
@@ -290,7 +290,7 @@ QUERIES = {
         """WITH m AS (SELECT avg(l_quantity) AS mean, count(*) AS n FROM lineitem), d AS (SELECT mean, n, sqrt(sum((l_quantity - mean) * (l_quantity - mean)) / sqrt(n - 1)) AS deviation FROM lineitem, m GROUP BY 1, 2)
         SELECT round(mean, 6) AS mean, round(deviation, 6) AS deviation, round(100.0 * count(*) FILTER (abs(l_quantity - mean) <= deviation) / n, 6) AS share FROM lineitem, d GROUP BY mean, deviation, n""",
     ),
-    "interpolated_percentiles": (interpolated_percentiles, "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 4) AS low, round(quantile_cont(l_extendedprice, 0.5), 4) AS middle, round(quantile_cont(l_extendedprice, 0.683), 4) AS most FROM lineitem GROUP BY 1"),
+    "interpolated_percentiles": (interpolated_percentiles, "WITH c AS (SELECT l_returnflag, CAST(round(l_extendedprice * 100) AS BIGINT) AS x FROM lineitem) SELECT l_returnflag, CAST(quantile_cont(x, 0.25) AS DOUBLE) AS low, CAST(quantile_cont(x, 0.5) AS DOUBLE) AS middle, CAST(quantile_cont(x, 0.75) AS DOUBLE) AS high FROM c GROUP BY 1"),
     "ranks_of_values": (ranks_of_values, "SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS rank FROM part"),
     "mapped_in_batches": (mapped_in_batches, "SELECT l_orderkey, l_linenumber, l_quantity, l_quantity * 2 AS twice FROM lineitem"),
     "pair_list": (pair_list, "SELECT CAST(r_regionkey * 25 + n_nationkey AS BIGINT) AS at, CAST(r_regionkey * n_nationkey AS BIGINT) AS value FROM region, nation"),
