@@ -131,3 +131,27 @@ def test_firing_markers_over_many_spans(spark):
                 due += every
         got = sorted(r.ts for r in history.firing_markers(spark.createDataFrame([(x,) for x in marks], "ts long"), 5, every).collect())
         assert got == want
+
+
+def test_lines_of_split_files_keep_their_order(spark, tmp_path):
+    (tmp_path / "2021").mkdir()
+    rng = random.Random(5)
+    text = [f"T {100 + i}" if i % 7 == 0 else "" if i % 11 == 0 else "x" * rng.randint(1, 30) + str(i) for i in range(2000)]
+    (tmp_path / "2021/9.log").write_text("\n".join(text) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        rows = eventlog.read_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path / "2021/9.log")).rdd.getNumPartitions() > 3
+        got = [r.line for r in rows.orderBy("line_no").collect()]
+        assert got == [x for x in text if x] and rows.select("line_no").distinct().count() == len(got)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_spans_and_older_lines(spark):
+    log = ["T 100", 'C a {"x":1}', "t 5", "D a", 't 10', 'C b {"y":2}', "U b y 3"]
+    lines = spark.createDataFrame([("p", i, x) for i, x in enumerate(log)], "part string, line_no long, line string")
+    assert [r.line for r in eventlog.within(lines, 103, 200).orderBy("line_no").collect()] == ["T 105", "D a", "T 115", 'C b {"y":2}', "U b y 3"]
+    old = ["T 100", "C a", "name one two", "load 3", "load 4", "", "D a", "C b", 'C c {"z":1}', "R c z"]
+    lines = spark.createDataFrame([("p", i, x) for i, x in enumerate(old)], "part string, line_no long, line string")
+    assert [r.line for r in eventlog.upgraded(lines).orderBy("line_no").collect()] == ["T 100", 'C a {"load":"4","name":"one two"}', "D a", "C b {}", 'C c {"z":1}', "R c z"]

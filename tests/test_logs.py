@@ -167,6 +167,28 @@ def test_slots_are_smallest_free(spark):
     assert {r.s: r.slot for r in timeseries.slots(df, "w", "s", "e").collect()} == {0: 1, 1: 2, 2: 3, 3: 2, 10: 1}
 
 
+def test_slots_of_many_stretches(spark):
+    import random
+
+    rng, rows = random.Random(9), []
+    for w in range(4):
+        at = 0
+        for _ in range(60):
+            at += rng.choice([0, 1, 2, 12])
+            rows.append((w, at, at + rng.randint(0, 9), len(rows)))
+    want = {}
+    for w in range(4):
+        busy = {}
+        for _, s, e, i in sorted((r for r in rows if r[0] == w), key=lambda r: (r[1], r[2])):
+            busy = {k: x for k, x in busy.items() if x > s}
+            want[i] = next(k for k in range(1, 100) if k not in busy)
+            busy[want[i]] = e
+    got = timeseries.slots(spark.createDataFrame(rows, "w int, s int, e int, i int"), "w", "s", "e").collect()
+    # tasks of the same start and end may swap their slots
+    place = lambda r, k: (r[0], r[1], r[2], k)
+    assert sorted(place((r.w, r.s, r.e), r.slot) for r in got) == sorted(place(r, want[r[3]]) for r in rows)
+
+
 def test_levels_and_cycles(spark):
     import pytest
 

@@ -63,7 +63,15 @@ def sessions(df: DataFrame, by: list[str], ts: str, gap: int) -> DataFrame:
 
 
 def slots(df: DataFrame, worker: str, start: str, end: str) -> DataFrame:
-    """The smallest free slot of its worker for every task: greedy, in start order, one worker at a time."""
+    """The smallest free slot of its worker for every task: greedy, in start order.
+
+    Where all earlier tasks of a worker have ended every slot is free again, so each busy stretch of a worker is a group
+    of its own, and a worker of many tasks is many groups.
+    """
+    before = Window.partitionBy(worker).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    idle = F.coalesce(F.col(start) >= F.max(end).over(before), F.lit(True))
+    stretch = F.sum("_idle").over(Window.partitionBy(worker).orderBy(start, end, F.col("_idle").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumn("_idle", idle.cast("int")).withColumn("_stretch", stretch).drop("_idle")
 
     def assign(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values([start, end])
@@ -78,10 +86,10 @@ def slots(df: DataFrame, worker: str, start: str, end: str) -> DataFrame:
                 slot = used
             heapq.heappush(busy, (e, slot))
             out.append(slot)
-        return g.assign(slot=out)
+        return g.drop(columns="_stretch").assign(slot=out)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", slot int"
-    return df.groupBy(worker).applyInPandas(assign, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "_stretch") + ", slot int"
+    return df.groupBy(worker, "_stretch").applyInPandas(assign, schema)
 
 
 def rebased(df: DataFrame, columns: list[str], origin: str, last: bool = False) -> DataFrame:

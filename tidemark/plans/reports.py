@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import strings, values
 from tidemark.operators import catalog, collect, dataset, graph, stats, timeseries
-from tidemark.sources import logs, sinks
+from tidemark.plans.temporal import as_history
+from tidemark.sources import eventlog, logs, sinks
 from tidemark.sources.tables import table as t
 
 
@@ -32,6 +33,45 @@ def workflow_run_summary(spark, sf):
     return logs.workflow_summary(logs.workflow_runs(lines))
 
 
+def dag_state_counts(spark, sf):
+    o = t(spark, sf, "orders")
+    line = F.concat_ws(" ", F.col("o_orderkey").cast("string"), (F.col("o_orderkey") % 700).cast("string"), (F.col("o_custkey") % 5).cast("string"), F.lit("7 1 2 3 4 5 15"))
+    return logs.workflow_states(logs.workflow_runs(o.select(line.alias("value"))))
+
+
+def attempts_lost(spark, sf):
+    """Every order runs on a worker of its own, which leaves in the middle of every third."""
+    o = t(spark, sf, "orders")
+    at = lambda d: ((F.col("o_orderkey") * 10 + d) * 1000).cast("string")
+    key, worker = F.col("o_orderkey").cast("string"), F.concat(F.lit("w"), F.col("o_orderkey"))
+    gone = F.col("o_orderkey") % 3 == 0
+    lines = F.array_compact(F.array(
+        F.concat_ws(" ", at(0), F.lit("m WORKER"), worker, F.lit("CONNECTION")),
+        F.concat_ws(" ", at(1), F.lit("m TASK"), key, F.lit("READY c")), F.concat_ws(" ", at(2), F.lit("m TASK"), key, F.lit("RUNNING"), worker),
+        F.when(gone, F.concat_ws(" ", at(4), F.lit("m WORKER"), worker, F.lit("DISCONNECTION FAILURE"))),
+        F.when(~gone, F.concat_ws(" ", at(5), F.lit("m TASK"), key, F.lit("DONE SUCCESS"))),
+        F.when(~gone, F.concat_ws(" ", at(6), F.lit("m WORKER"), worker, F.lit("DISCONNECTION IDLE"))),
+    ))
+    log = logs.transactions(o.select(F.explode(lines).alias("value")).unionByName(spark.createDataFrame([("0 m MANAGER m START 0",)], "value string")))
+    lost = logs.lost_attempts(logs.tasks(log), logs.workers(log))
+    return lost.select(F.col("task").cast("long").alias("task"), F.round(F.col("lost") * 1000).cast("long").alias("lost"))
+
+
+def log_span(spark, sf):
+    """The lines of two days as they are, read back."""
+    lines = eventlog.to_lines(as_history(spark, sf)).select("part", (F.col("seq") * 2 + F.when(F.col("line").startswith("T "), 0).otherwise(1)).alias("line_no"), "line")
+    span = eventlog.within(lines, strings.epoch("2024-01-03 06:00:00"), strings.epoch("2024-01-05 05:59:59"))
+    return eventlog.parse(span).where("op NOT IN ('T', 't')").groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.sum("ts").alias("sum_ts"), F.countDistinct("key").alias("keys"))
+
+
+def log_upgrade(spark, sf):
+    p = t(spark, sf, "part")
+    old = F.array(F.concat(F.lit("C p"), F.col("p_partkey")), F.concat(F.lit("brand "), F.col("p_brand")), F.concat(F.lit("name "), F.col("p_name")), F.concat(F.lit("U p"), F.col("p_partkey"), F.lit(" size "), F.col("p_size")))
+    lines = p.select((F.col("p_partkey") % 8).cast("string").alias("part"), "p_partkey", F.posexplode(old).alias("at", "line")).select("part", (F.col("p_partkey") * 4 + F.col("at")).alias("line_no"), "line")
+    new = eventlog.parse(eventlog.upgraded(lines))
+    return new.select("op", "key", F.col("attrs")["brand"].alias("brand"), F.col("attrs")["name"].alias("label"), "value")
+
+
 def resource_summary_units(spark, sf):
     p = t(spark, sf, "part")
     raw = p.select(F.col("p_brand").alias("category"), F.col("p_partkey").cast("string").alias("taskid"), F.lit("normal").alias("exit_type"), *[(F.concat(F.lit("["), F.col("p_size").cast("string"), F.lit(',"MB"]')) if r == "memory" else F.when(F.col("p_partkey") % 4 == 0, "-1").otherwise((F.col("p_partkey") % 7).cast("string")) if r == "cores" else F.lit(None).cast("string")).alias(r) for r in logs.RESOURCES])
@@ -227,6 +267,14 @@ QUERIES = {
         """WITH n AS (SELECT o_orderkey % 1000 AS node, arg_max(CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 3 ELSE 4 END, o_orderkey) AS state, max(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS ever FROM orders GROUP BY 1)
         SELECT count(*) AS total, count(*) FILTER (state = 2) AS completed, count(*) FILTER (state = 3) AS failed, count(*) FILTER (state = 4) AS aborted, CAST(sum(ever) AS BIGINT) AS ever_failed FROM n""",
     ),
+    "dag_state_counts": (dag_state_counts, "SELECT state, count(*) AS n FROM (SELECT o_orderkey % 700 AS node, arg_max(o_custkey % 5, o_orderkey) AS state FROM orders GROUP BY 1) GROUP BY 1"),
+    "attempts_lost": (attempts_lost, "SELECT o_orderkey AS task, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey * 10 + 4 END AS lost FROM orders"),
+    "log_span": (
+        log_span,
+        f"""WITH l AS (SELECT {S} AS s, user_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 THEN 'C' WHEN event_id % 17 = 3 THEN 'D' WHEN event_id % 17 = 5 THEN 'C' WHEN event_id % 17 = 7 THEN 'R' WHEN event_id % 17 = 9 THEN 'U' ELSE 'M' END AS op FROM events)
+        SELECT op, count(*) AS n, CAST(sum(s) AS BIGINT) AS sum_ts, count(DISTINCT user_id) AS keys FROM l WHERE s BETWEEN 1704261600 AND 1704434399 GROUP BY 1""",
+    ),
+    "log_upgrade": (log_upgrade, "SELECT 'C' AS op, 'p' || p_partkey AS key, p_brand AS brand, p_name AS label, CAST(NULL AS VARCHAR) AS value FROM part UNION ALL SELECT 'U', 'p' || p_partkey, NULL, NULL, CAST(p_size AS VARCHAR) FROM part"),
     "resource_summary_units": (resource_summary_units, "SELECT p_brand AS category, CAST(sum(p_size) AS DOUBLE) AS memory, CAST(sum(CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 7 END) AS DOUBLE) AS cores, count(*) FILTER (p_partkey % 4 <> 0) AS known, CAST(0 AS BIGINT) AS disks FROM part GROUP BY 1"),
     "successful_task_resources": (successful_task_resources, "SELECT o_orderkey AS task, CAST(1.5 AS DOUBLE) AS cores, CAST(o_custkey AS DOUBLE) AS memory, CAST(o_orderkey % 11 AS DOUBLE) AS disk, CAST(2 AS DOUBLE) AS time, CAST(floor(o_orderkey / 20 + 1) AS BIGINT) AS rate, (o_orderkey + 19) % 20 AS blocks FROM orders WHERE o_orderstatus = 'F'"),
     "transfer_statistics": (transfer_statistics, "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'OUTPUT' ELSE 'INPUT' END AS direction, CASE WHEN o_orderkey % 3 = 0 THEN 'FILE' ELSE 'URL' END AS kind, count(*) AS n, CAST(sum(o_custkey % 8) AS DOUBLE) AS mb, avg(o_orderkey % 4) AS mean_seconds FROM orders GROUP BY 1, 2"),

@@ -16,10 +16,42 @@ EVENT = "part string, seq long, ts long, op string, key string, name string, val
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """part, line_no, line of every text file under path, in file order."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    raw = raw.select(F.regexp_extract(F.input_file_name(), r"([^/]+/[^/]+)$", 1).alias("part"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    return raw.where("line <> ''")
+    """part, line_no, line of every text file under path; line numbers follow the file's order, with gaps.
+
+    Files are split like any other text: lines are numbered inside their split, from twice the byte at which it begins.
+    A line takes a byte at least, so the numbers of a split end below those of the next one.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true").text(path)
+    raw = raw.select(F.regexp_extract("_metadata.file_path", r"([^/]+/[^/]+)$", 1).alias("part"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    nth = F.row_number().over(Window.partitionBy("part", "start").orderBy("id"))
+    return raw.select("part", (F.col("start") * 2 + nth).alias("line_no"), "line").where("line <> ''")
+
+
+def within(lines: DataFrame, start: int, stop: int) -> DataFrame:
+    """The lines of a log as they are whose time lies in [start, stop], with a first marker for each part: the way past
+    the objects, where a query only copies a span."""
+    order = Window.partitionBy("part").orderBy("line_no")
+    mark = F.when(F.col("line").rlike(r"^[Tt] \d+"), F.regexp_extract("line", r"^. (\d+)", 1).cast("long"))
+    rows = lines.withColumn("_mark", mark).withColumn("_era", F.sum(F.when(F.col("line").startswith("T "), 1).otherwise(0)).over(order))
+    rows = rows.withColumn("_ts", F.sum(F.coalesce("_mark", F.lit(0))).over(Window.partitionBy("part", "_era").orderBy("line_no")))
+    inside = rows.where(F.col("_ts").between(start, stop) & ~F.col("line").rlike(r"^[Tt] \d+"))
+    timed = inside.withColumn("_new", ~F.col("_ts").eqNullSafe(F.lag("_ts").over(order)))
+    out = F.array_compact(F.array(F.when(F.col("_new"), F.concat(F.lit("T "), F.col("_ts"))), F.col("line")))
+    return timed.select("part", "line_no", F.posexplode(out).alias("sub", "line")).select("part", (F.col("line_no") * 2 + F.col("sub")).alias("line_no"), "line")
+
+
+def upgraded(lines: DataFrame) -> DataFrame:
+    """Lines of the older form, in which ``C key`` is followed by ``name value`` lines up to the next event, as lines of today."""
+    order = Window.partitionBy("part").orderBy("line_no")
+    event = F.col("line").rlike(r"^([CMD] \S+|U \S+ \S+ .*|R \S+ \S+|[Tt] \d+)")
+    bare = F.col("line").rlike(r"^C \S+\s*$")
+    rows = lines.withColumn("_event", event).withColumn("_head", F.last(F.when(F.col("_event"), F.struct("line_no", bare.alias("bare"), F.col("line"))), ignorenulls=True).over(order))
+    pairs = rows.where("NOT _event AND _head.bare AND line LIKE '% %'").select("part", F.col("_head.line_no").alias("line_no"), F.col("line_no").alias("at"), F.substring_index("line", " ", 1).alias("name"), F.regexp_replace("line", r"^\S+ ", "").alias("value"))
+    # the last of equal names holds
+    last = pairs.groupBy("part", "line_no", "name").agg(F.max_by("value", "at").alias("value"))
+    objects = last.groupBy("part", "line_no").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value"))))).alias("attrs"))
+    heads = rows.where("_event").join(objects, ["part", "line_no"], "left")
+    return heads.select("part", "line_no", F.when(bare, F.concat(F.rtrim("line"), F.lit(" "), F.coalesce("attrs", F.lit("{}")))).otherwise(F.col("line")).alias("line"))
 
 
 def parse(lines: DataFrame) -> DataFrame:

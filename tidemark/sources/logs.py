@@ -117,6 +117,19 @@ def workflow_summary(runs: DataFrame) -> DataFrame:
     return last.agg(F.count(F.lit(1)).alias("total"), n(2).alias("completed"), n(3).alias("failed"), n(4).alias("aborted"), F.sum("ever_failed").alias("ever_failed"))
 
 
+def workflow_states(runs: DataFrame) -> DataFrame:
+    """Nodes in each state, by their last line."""
+    return runs.groupBy("node").agg(F.max_by("state", "us").alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lost_attempts(attempts: DataFrame, connections: DataFrame) -> DataFrame:
+    """attempts of ``tasks`` with ``lost``: when their worker went away before they had finished, null otherwise."""
+    c = connections.select("manager", "worker", "connected", F.col("disconnected").alias("_gone"))
+    both = attempts.join(c, ["manager", "worker"], "left")
+    on = F.col("running").between(F.col("connected"), F.col("_gone")) & (F.col("finished").isNull() | (F.col("finished") > F.col("_gone"))) & (F.col("done").isNull() | (F.col("done") > F.col("_gone")))
+    return both.groupBy(*attempts.columns).agg(F.min(F.when(on, F.col("_gone"))).alias("lost"))
+
+
 def workflow_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A JSON workflow (rules, categories, environment) -> (rules, edges by file)."""
     schema = "rules array<struct<command: string, inputs: array<string>, outputs: array<string>, category: string, local_job: boolean>>, default_category string"
