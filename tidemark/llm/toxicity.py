@@ -20,8 +20,10 @@ many different words.
 A word's log ratio is the sum over its characters of log r_toxic - log r_ordinary: its log likelihood in the
 toxic model less that in the ordinary one.  A text is described by the mean over all its words of what
 their log ratios exceed 1 by, and of what they exceed 2 by, each at most 1: log likelihoods normalised by
-length, in which no word counts for more than another that is as surely toxic.  A logistic curve of the two,
-fitted on labelled documents that the counts have not seen, maps them to 0..1.
+length, in which no word counts for more than another that is as surely toxic.  Beside them stands how many words
+the second mean is of, as one word of a short text is less sure than the same share of a long one.  A
+logistic curve of the first mean and the logarithms of the others, fitted on labelled documents that the
+counts have not seen, maps them to 0..1.
 
 A word's log ratio depends on the word alone, so the work is four joins of tables that grow with the
 corpus, and every broadcast has a fixed bound:
@@ -66,6 +68,8 @@ DISCOUNT, LOW_DISCOUNT = 1.8, 0.9
 PRIOR = 4
 #: What a word's log ratio must exceed to count, and how much of the excess counts at most.
 LEVELS, MOST = (1.0, 2.0), 1.0
+#: The second mean that is as far from 0 as twice it is from it, on the curve's logarithmic scale.
+KNEE = 0.002
 #: Log ratios in a broadcast block, at 24 to 48 bytes each; and the bits of the expressions' bitmap.
 BLOCK_GRAMS, FILTER_BITS = 1 << 21, 26
 #: Share of usable labels kept from the counts to fit the curve, and most rows of it that are used.
@@ -249,7 +253,7 @@ def _hits(shared):
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            keys, ties, words, shares = [], [], [], []
+            keys, ties, words, counts, shares = [], [], [], [], []
             for key, tie, text in zip(frame["key"], frame["tie"], frame["text"]):
                 own = (text or b"").split()
                 place = word_hashes(own) >> np.uint64(64 - FILTER_BITS)
@@ -257,10 +261,11 @@ def _hits(shared):
                 times = Counter(own[i] for i in maybe.tolist())
                 if times:
                     words += [b"", *times]
+                    counts += [0.0, *times.values()]
                     shares += [1.0, *(x / len(own) for x in times.values())]
                     keys += [key] * (len(times) + 1)
                     ties += [tie] * (len(times) + 1)
-            yield pd.DataFrame({"key": np.array(keys, np.int64), "tie": np.array(ties, np.int64), "word": words, "share": np.array(shares, float)})
+            yield pd.DataFrame({"key": np.array(keys, np.int64), "tie": np.array(ties, np.int64), "word": words, "times": np.array(counts, float), "share": np.array(shares, float)})
 
     return find
 
@@ -287,11 +292,17 @@ def _key() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("key"), F.xxhash64("text").alias("tie")]
 
 
+def features() -> list[Column]:
+    """What the curve is of, from the columns of Toxicity.values; all 0 where these are null."""
+    level0, level1, count = (F.coalesce(c, F.lit(0.0)) for c in ("level0", "level1", "count"))
+    return [level0, F.log1p(level1 / KNEE), F.log1p(count)]
+
+
 class Toxicity:
     """Learned from docs(doc_id, text) and labels(doc_id, toxic).
 
-    ``values`` has a row (key, tie, level0, level1) for every document of docs that holds an expression; all others have
-    the values 0.  ``score`` maps them to 0..1.
+    ``values`` has a row (key, tie, level0, level1, count) for every document of docs that holds an expression; all others
+    have the values 0.  ``score`` maps them to 0..1.
     """
 
     def __init__(self, docs: DataFrame, labels: DataFrame):
@@ -313,19 +324,21 @@ class Toxicity:
         ratios = written(log_ratios(high, low), "ratios")
         found = written(expressions(words, ratios), "expressions")
         shared = spark.sparkContext.broadcast(bitmap(found))
-        hits = docs.select("key", "tie", "text").mapInPandas(_hits(shared), "key long, tie long, word binary, share double")
+        hits = docs.select("key", "tie", "text").mapInPandas(_hits(shared), "key long, tie long, word binary, times double, share double")
         # a frequent expression is many partitions
         levels = [f"level{i}" for i in range(len(LEVELS))]
         marker = spark.range(1).select(F.lit(b"").alias("word"), *[F.lit(0.0).alias(c) for c in levels])
         met = salted_join(hits, found.select("word", *levels).unionByName(marker).hint("merge"), "word", "tie")
         rows = F.sum(F.when(F.octet_length("word") == 0, 1))
-        self.values = written(met.groupBy("key", "tie").agg(*[(F.sum(F.col("share") * F.col(c)) / rows).alias(c) for c in levels]).where(f"{levels[0]} > 0"), "values")
+        sums = [F.sum(F.col("share") * F.col(c)).alias(c) for c in levels] + [F.sum(F.col("times") * F.col(levels[-1])).alias("count")]
+        summed = met.groupBy("key", "tie").agg(rows.alias("rows"), *sums)
+        self.values = written(summed.select("key", "tie", *[(F.col(c) / F.col("rows")).alias(c) for c in (*levels, "count")]).where(f"{levels[0]} > 0"), "values")
 
         def measured(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             """Values and classes of the documents of a bounded sample of labels."""
             rows = keys.join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").distinct().join(self.values, ["key", "tie"], "left")
-            rows = rows.select("toxic", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in levels]).toPandas()
-            return rows[levels].to_numpy(float), rows["toxic"].to_numpy(float)
+            rows = rows.select("toxic", *[x.alias(f"x{i}") for i, x in enumerate(features())]).toPandas()
+            return rows.drop(columns="toxic").to_numpy(float), rows["toxic"].to_numpy(float)
 
         x, y = measured(usable.where("curve"))
         if len(set(y)) < 2:  # too few labels to keep any apart
@@ -346,7 +359,7 @@ class Toxicity:
         """0 to 1 for the columns of values, null for 0."""
         if self.curve is None:
             return F.lit(0.5)
-        z = reduce(Column.__add__, [float(w) * F.coalesce(f"level{i}", F.lit(0.0)) for i, w in enumerate(self.curve[:-1])], F.lit(float(self.curve[-1])))
+        z = reduce(Column.__add__, [float(w) * x for w, x in zip(self.curve[:-1], features())], F.lit(float(self.curve[-1])))
         return 1 / (1 + F.exp(-z))
 
 
