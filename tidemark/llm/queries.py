@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity, warc
+from tidemark.llm import decontaminate, hard_negatives, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding, substring_dedup, token_counts, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_mixing": mixing.op9_mixing,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_sharding": sharding.op12_sharding,
     }
 
 
@@ -31,4 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_substring_dedup": substring_dedup.SQL,
         "op7_line_dedup": line_dedup.SQL,
         "op8_quality_rules": quality_rules.SQL,
+        "op11_hard_negatives": hard_negatives.SQL,
+        "op12_sharding": sharding.SQL,
     }
