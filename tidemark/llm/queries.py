@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, hard_negatives, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding, substring_dedup, token_counts, toxicity, warc
+from tidemark.llm import alignment, decontaminate, hard_negatives, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding, substring_dedup, token_counts, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
         "op11_hard_negatives": hard_negatives.op11_hard_negatives,
         "op12_sharding": sharding.op12_sharding,
+        "op13_alignment": alignment.op13_alignment,
     }
 
 
