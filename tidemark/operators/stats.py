@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import spans
+
 
 def bucket(value: Column, size: float) -> Column:
     """Upper edge of the interval (edge - size, edge] that holds value."""
@@ -240,8 +242,12 @@ def first_allocations_by(buckets: DataFrame, by: str) -> DataFrame:
     return t.select(by, "bucket", "cumulative", (F.col("bucket") * F.col("tau") + F.col("most") * F.col("tail_time")).alias("waste"))
 
 
-def refits(df: DataFrame, by: str, order: str, value: str, every: int = 25) -> DataFrame:
-    """The largest value of each category after every ``every`` completions: what a re-fit at that moment would know."""
-    w = Window.partitionBy(by).orderBy(order)
-    seen = df.select(by, F.row_number().over(w).alias("completed"), F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("known"))
-    return seen.where(F.col("completed") % every == 0)
+def refits(df: DataFrame, by: str, order: str, value: str, every: int = 25, span: int = 4096) -> DataFrame:
+    """The largest value of each category after every ``every`` completions: what a re-fit at that moment would know.
+
+    A few categories hold the whole table, so numbers and maxima run over spans of ``span`` of the order, a number.
+    """
+    width = F.floor(F.col(order) / span)
+    seen = spans.running(df.select(by, order, value), [by], width, [order], F.lit(1).cast("long"), "completed")
+    seen = spans.running(seen, [by], width, [order], F.col(value), "known", "max")
+    return seen.where(F.col("completed") % every == 0).select(by, "completed", "known")

@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import spans
 
-def deltas(df: DataFrame, by: list[str], order: list[str], *columns: str) -> DataFrame:
-    """Each column minus its value in the row before."""
+
+def deltas(df: DataFrame, by: list[str], order: list[str], *columns: str, span: int | None = None) -> DataFrame:
+    """Each column minus its value in the row before.
+
+    span cuts the first column of the order, a number, into pieces of that width, so that a key of most rows, or a table
+    without a key, is many tasks.
+    """
+    if span is not None:
+        out = spans.previous(df, by, F.floor(F.col(order[0]) / span), order, list(columns))
+        return out.select(*df.columns, *[(F.col(c) - F.col(f"{c}_before")).alias(f"{c}_delta") for c in columns])
     w = Window.partitionBy(*by).orderBy(*order)
     return df.select("*", *[(F.col(c) - F.lag(c).over(w)).alias(f"{c}_delta") for c in columns])
 
@@ -62,34 +72,43 @@ def sessions(df: DataFrame, by: list[str], ts: str, gap: int) -> DataFrame:
     return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def slots(df: DataFrame, worker: str, start: str, end: str) -> DataFrame:
-    """The smallest free slot of its worker for every task: greedy, in start order.
+def slots(df: DataFrame, worker: str, start: str, end: str, span: int = 4096, stretches: int = 1024) -> DataFrame:
+    """The smallest free slot of its worker for every task: greedy, in start order; null without a start or an end.
 
-    Where all earlier tasks of a worker have ended every slot is free again, so each busy stretch of a worker is a group
-    of its own, and a worker of many tasks is many groups.
+    Where all earlier tasks of a worker have ended every slot is free again, so its busy stretches are apart from one another:
+    rows are dealt out by worker and ``stretches`` of its stretches, and streamed in order through one loop a task that
+    holds the tasks running.  Which rows begin a stretch is a running maximum of ends over spans of ``span`` start times,
+    so a worker of most tasks is many tasks unless it is never idle; then it is one sorted stream in bounded memory.
     """
-    before = Window.partitionBy(worker).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    idle = F.coalesce(F.col(start) >= F.max(end).over(before), F.lit(True))
-    stretch = F.sum("_idle").over(Window.partitionBy(worker).orderBy(start, end, F.col("_idle").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("_idle", idle.cast("int")).withColumn("_stretch", stretch).drop("_idle")
-
-    def assign(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([start, end])
-        free, busy, used, out = [], [], 0, []
-        for s, e in zip(g[start], g[end]):
-            while busy and busy[0][0] <= s:
-                heapq.heappush(free, heapq.heappop(busy)[1])
-            if free:
-                slot = heapq.heappop(free)
-            else:
-                used += 1
-                slot = used
-            heapq.heappush(busy, (e, slot))
-            out.append(slot)
-        return g.drop(columns="_stretch").assign(slot=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "_stretch") + ", slot int"
-    return df.groupBy(worker, "_stretch").applyInPandas(assign, schema)
+    width = F.floor(F.col(start) / span)
+    rows = spans.running(df, [worker], width, [start, end], F.col(end), "_busy", "max", before=True)
+    rows = rows.withColumn("_idle", F.coalesce(F.col(start) >= F.col("_busy"), F.lit(True)).cast("int"))
+    rows = spans.running(rows, [worker], width, [start, end, F.col("_idle").desc()], F.col("_idle"), "_stretch").withColumn("_deal", F.floor(F.col("_stretch") / stretches))
+    rows = rows.select(*df.columns, "_deal").repartition(worker, "_deal").sortWithinPartitions(worker, "_deal", start, end)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, free, busy, used = None, [], [], 0
+        for batch in batches:
+            out = []
+            for *at, s, e in zip(*(batch.column(c).to_pylist() for c in (worker, "_deal", start, end))):
+                if at != now:
+                    now, free, busy, used = at, [], [], 0
+                if s is None or e is None:
+                    out.append(None)
+                    continue
+                while busy and busy[0][0] <= s:
+                    heapq.heappush(free, heapq.heappop(busy)[1])
+                if free:
+                    slot = heapq.heappop(free)
+                else:
+                    used += 1
+                    slot = used
+                heapq.heappush(busy, (e, slot))
+                out.append(slot)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.int32())], names=[*batch.schema.names[:-1], "slot"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", slot int"
+    return rows.mapInArrow(assign, schema)
 
 
 def rebased(df: DataFrame, columns: list[str], origin: str, last: bool = False) -> DataFrame:

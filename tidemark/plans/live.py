@@ -2,35 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import history
 from tidemark.operators.reductions import Reduce, feeding, spatial, temporal
 from tidemark.plans.temporal import LOG, as_history
+from tidemark.sources.tables import shared_folder
 from tidemark.sources.tables import table as t
 from tidemark.streaming import keyed_state
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared storage that the session names."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        import tempfile
-
-        root = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/live/{uuid.uuid4().hex}"
-
-
 def to_the_end(stream: DataFrame, mode: str) -> DataFrame:
     """All that a stream of the files at hand puts out, as a table: every batch is written by the executors, none collected."""
     spark = stream.sparkSession
-    folder = _folder(spark)
+    folder = shared_folder(spark, "live")
     way = {"complete": "overwrite"}.get(mode, "append")
 
     def store(batch: DataFrame, _: int) -> None:

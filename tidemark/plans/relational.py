@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import catalog, collect, dataset, graph
+from tidemark.operators import catalog, collect, dataset, graph, spans
 from tidemark.sources.tables import table as t
 
 
@@ -102,8 +101,8 @@ def placement_order(spark, sf):
     n = t(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("bytes"))
     log = lambda c: F.floor(F.log(c + 1) + 1e-12)
     p = s.join(n, s.s_suppkey == n.l_suppkey, "left").select("s_suppkey", log(F.coalesce("n", F.lit(0))).alias("load"), log(F.greatest("s_acctbal", F.lit(0.0))).alias("room"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
-    place = Window.orderBy("load", F.desc("room"), "bytes", "s_suppkey")
-    return p.withColumn("place", F.row_number().over(place).cast("long"))
+    order = ["load", (-F.col("room")), "bytes", "s_suppkey"]
+    return spans.numbered(p, F.struct("load", (-F.col("room")).alias("less_room"), F.floor(F.col("bytes") / 100)), order, "place")
 
 
 def catalog_status_totals(spark, sf):

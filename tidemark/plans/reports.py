@@ -16,7 +16,7 @@ def performance_deltas(spark, sf):
     lines = o.select(F.concat_ws(" ", F.col("at").cast("string"), F.col("tasks").cast("string"), F.col("bytes").cast("string")).alias("value"))
     lines = lines.unionByName(spark.createDataFrame([("# timestamp tasks",), ("# timestamp tasks bytes",)], "value string"))
     p = logs.performance_rows(lines)
-    return timeseries.deltas(p, [], ["timestamp"], "tasks", "bytes").select("timestamp", "tasks_delta", "bytes_delta")
+    return timeseries.deltas(p, [], ["timestamp"], "tasks", "bytes", span=1_000_000).select("timestamp", "tasks_delta", "bytes_delta")
 
 
 def debug_streams(spark, sf):

@@ -110,5 +110,12 @@ QUERIES = {
     ),
     "limit_check": (limit_check, "SELECT * FROM (SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN l_quantity > 45 THEN 'l_quantity' END, CASE WHEN l_extendedprice > 80000 THEN 'l_extendedprice' END, CASE WHEN l_discount > 0.09 THEN 'l_discount' END) AS exceeded FROM lineitem) WHERE exceeded <> ''"),
     "running_maxima": (running_maxima, "SELECT o_orderkey, so_far, CASE WHEN so_far > 400000 THEN 'over' ELSE 'within' END AS state FROM (SELECT o_orderkey, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS so_far FROM orders)"),
-    "worker_slots": (worker_slots, None),
+    "worker_slots": (
+        worker_slots,
+        """WITH RECURSIVE t AS (SELECT o_custkey % 50 AS worker, o_orderkey AS start, o_orderkey + o_custkey % 97 + 1 AS "end", row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey, o_custkey % 97) AS i FROM orders),
+        r AS (SELECT worker, start, "end", i, 1 AS slot, ["end"] AS ends FROM t WHERE i = 1
+          UNION ALL SELECT worker, start, "end", i, slot, ends[:slot - 1] || ["end"] || ends[slot + 1:] FROM
+            (SELECT t.*, r.ends, CAST(coalesce(nullif(list_position(list_transform(r.ends, lambda x: x <= t.start), true), 0), len(r.ends) + 1) AS INTEGER) AS slot FROM r JOIN t ON t.worker = r.worker AND t.i = r.i + 1))
+        SELECT worker, start, "end", slot FROM r""",
+    ),
 }
