@@ -80,7 +80,7 @@ def test_pieces_are_encoded_as_whole_texts_are(vocabularies):
     for _ in range(3000):
         text = "".join(rng.choice([*signs, " the", " don't", "  ", "\n\n"]) for _ in range(rng.randint(1, 40)))
         a, b = [], []
-        for x, y in vocabularies.encoded(vocabularies.pieces(text)):
+        for x, y in zip(*vocabularies.encoded(vocabularies.pieces(text))):
             a, b = a + x, b + y
         assert a == vocabularies.a.encode(f" {text}", add_special_tokens=False).ids and b == vocabularies.b.encode(text)
 

@@ -16,7 +16,7 @@ its A ids and B ids are all that matters of it, and the same groups come again a
 
 What is shuffled are distinct groups by block, not tokens and not documents.  No key is hot: a group has at most one row
 a block; the join of links with pairs, where one pair may be in many groups, is salted.  A block is bounded
-by its characters, a worker's memory of known pieces by their number.
+by its characters.
 
 Defined results: texts that are null or empty, or that a tokenizer does not give back byte by byte (``U+2581`` in
 them, say), have no tokens: zeros and an empty string; every row is a document of its own, so repeated rows count
@@ -25,6 +25,7 @@ and are returned each, as are rows with a null doc_id; an empty table gives no r
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -41,9 +42,9 @@ from tidemark.llm.common import salted_join, table, written
 A_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 B_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a block's documents; a longer document is a block of its own.
-BLOCK_CHARS = 4_000_000
-#: Pieces of text that a worker remembers, and the longest of them.
-KNOWN, KNOWN_CHARS = 200_000, 64
+BLOCK_CHARS = 2_000_000
+#: Fixed value: the pre-token pattern of byte-level vocabularies.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 MARK = "▁"
 
@@ -63,63 +64,72 @@ class Vocabularies:
 
     def __init__(self, a_file: bytes, b_file: bytes):
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a, self.b = Tokenizer.from_str(a_file.decode()), sentencepiece.SentencePieceProcessor(model_proto=b_file)
-        self.a.encode_special_tokens = True
-        alphabet, ids = byte_alphabet(), self.a.get_vocab()
-        added = {x["id"] for x in json.loads(a_file)["added_tokens"]}
-        self.a_bytes = [b""] * (max(ids.values()) + 1)
+        self.a_file, a = a_file, json.loads(a_file)
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=b_file)
+        alphabet, ids, special = byte_alphabet(), a["model"]["vocab"], {x["content"]: x["id"] for x in a["added_tokens"]}
+        self.a_bytes = [b""] * (max([*ids.values(), *special.values()]) + 1)
         for token, i in ids.items():
-            self.a_bytes[i] = token.encode() if i in added else bytes(alphabet[c] for c in token)
+            self.a_bytes[i] = token.encode() if token in special else bytes(alphabet[c] for c in token)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         self.space = self.b.piece_to_id(MARK)
-        before = json.loads(a_file)["pre_tokenizer"] or {}
+        before = a["pre_tokenizer"] or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
         joins = any("\n" in p or re.search(f"[^{MARK}]{MARK}", p) for i, p in enumerate(pieces) if not self.b.is_byte(i))
         #: Whether texts may be cut: A's pattern begins a token at white space after other characters, B joins nothing there.
-        self.cuts = not joins and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
-        self.known: dict[str, tuple] = {}
+        self.cuts = plain and not joins
+        merged = ("".join(x.split(" ") if isinstance(x, str) else x) for x in a["model"]["merges"])
+        # where merges come in the order of ids, ids are ranks, and a faster encoder does the same
+        self.quick = None
+        if plain and all(ids[x] == 256 + i for i, x in enumerate(merged)):
+            ranks = {self.a_bytes[i]: i for token, i in ids.items() if token not in special}
+            self.quick = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    @functools.cached_property
+    def a(self):
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_str(self.a_file.decode())
+        out.encode_special_tokens = True
+        return out
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a space and the text."""
         return CUT.split(" " + text) if self.cuts else [" " + text]
 
-    def encoded(self, pieces: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def encoded(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """A and B ids of every piece; B puts a space first by itself."""
-        a = [x.ids for x in self.a.encode_batch(pieces, add_special_tokens=False)]
+        # the faster encoder's matcher looks ahead by recursion, too deep for white space without end
+        a = [self.quick.encode_ordinary(x) if self.quick and len(x) <= 10_000 else self.a.encode(x, add_special_tokens=False).ids for x in pieces]
         b = self.b.encode([x[1:] if x[0] == " " else x for x in pieces], num_threads=1) if pieces else []
-        for piece, x, y in zip(pieces, a, b):
-            yield x, [self.space] if piece == " " else y if piece[0] == " " else y[1:]
-
-    def grouped(self, a: list[int], b: list[int]) -> list[str]:
-        """Keys ``a1,a2|b1`` of the groups of ids that cover the same bytes."""
-        out, i, j, a_end, b_end, a_from, b_from = [], 0, 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):
-            if a_end <= b_end:
-                a_end, i = a_end + len(self.a_bytes[a[i]]), i + 1
-            else:
-                b_end, j = b_end + len(self.b_bytes[b[j]]), j + 1
-            if a_end == b_end:
-                out.append(f"{','.join(map(str, a[a_from:i]))}|{','.join(map(str, b[b_from:j]))}")
-                a_from, b_from = i, j
-        return out
-
-    def groups(self, pieces: list[str]) -> list[tuple[list[str], int, int] | None]:
-        """(group keys, A tokens, B tokens) of every piece; None where the bytes are not those of the piece."""
-        new = [x for x in pieces if x not in self.known]
-        fresh: dict[str, tuple | None] = {}
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for piece, (a, b) in zip(part, self.encoded(part)):
-                raw = piece.encode()
-                same = b"".join([self.a_bytes[x] for x in a]) == raw == b"".join([self.b_bytes[x] for x in b])
-                fresh[piece] = (self.grouped(a, b), len(a), len(b)) if same else None
-        out = [fresh[x] if x in fresh else self.known[x] for x in pieces]
-        if len(self.known) + len(fresh) > KNOWN:
-            self.known.clear()
-        self.known.update((k, v) for k, v in list(fresh.items())[:KNOWN] if len(k) <= KNOWN_CHARS)
-        return out
+        return a, [[self.space] if x == " " else y if x[0] == " " else y[1:] for x, y in zip(pieces, b)]
+
+    def grouped(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Of every piece whether both tokenizers give its bytes back (else it has no tokens), its A tokens, B tokens and groups;
+        then the groups in a row, as numbers of the keys ``a1,a2|b1`` that come last."""
+        a, b = self.encoded(pieces)
+        same = lambda ids, known, raw: b"".join([known[i] for i in ids]) == raw
+        good = np.array([same(x, self.a_bytes, p) and same(y, self.b_bytes, p) for x, y, p in zip(a, b, (p.encode() for p in pieces))], bool)
+        a, b = ([x if ok else [] for x, ok in zip(side, good)] for side in (a, b))
+        n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
+        a, b = (np.array([i for x in side for i in x], np.int64) for side in (a, b))
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        # all pieces in a row: both sides have the same bytes, so ends meet at the end of every piece and wherever a group ends
+        ends = lambda own, others: own == others[np.minimum(np.searchsorted(others, own), len(others) - 1)] if len(own) else np.zeros(0, bool)
+        in_a, in_b = ends(a_end, b_end), ends(b_end, a_end)
+        size_a, size_b = (np.diff(np.flatnonzero(x), prepend=-1) for x in (in_a, in_b))
+        from_a, from_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+        groups = np.bincount(np.repeat(np.arange(len(pieces)), n_a)[from_a], minlength=len(pieces))
+        number, ones = np.empty(len(size_a), np.int64), (size_a == 1) & (size_b == 1)
+        pairs, number[ones] = np.unique(a[from_a[ones]] << 32 | b[from_b[ones]], return_inverse=True)
+        keys = {f"{x >> 32}|{x & 0xFFFFFFFF}": i for i, x in enumerate(pairs.tolist())}
+        a_text, b_text = (list(map(str, x.tolist())) for x in (a, b))
+        more = np.flatnonzero(~ones)
+        number[more] = [keys.setdefault(f"{','.join(a_text[i : i + n])}|{','.join(b_text[j : j + m])}", len(keys)) for i, n, j, m in zip(*(x[more].tolist() for x in (from_a, size_a, from_b, size_b)))]
+        return good, n_a, n_b, groups, number, list(keys)
 
     def links(self, key: str) -> dict[tuple[int, int], int]:
         """How often each A id and B id of a group overlap."""
@@ -147,14 +157,10 @@ BLOCK_DDL = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n
 
 def _block(v: Vocabularies, block: int, ids: list, index: dict[str, int], docs: list[np.ndarray]) -> pa.RecordBatch:
     """One block: index numbers its distinct pieces, docs has every document's piece numbers."""
-    found = v.groups(list(index))
-    keys: dict[str, int] = {}
-    groups = [[keys.setdefault(g, len(keys)) for g in x[0]] if x else [] for x in found]
-    text = [";".join(x[0]) if x else None for x in found]
-    good = np.array([x is not None for x in found], bool)
-    n_a, n_b = (np.array([x[k] if x else 0 for x in found], np.int64) for k in (1, 2))
-    size = np.array([len(x) for x in groups], np.int64)
-    flat, first = np.array([g for x in groups for g in x], np.int64), np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+    good, n_a, n_b, size, flat, keys = v.grouped(list(index))
+    first = np.cumsum(size) - size
+    name = [keys[x] for x in flat.tolist()]
+    text = [";".join(name[i : i + n]) for i, n in zip(first.tolist(), size.tolist())]
     docs = [d if good[d].all() else d[:0] for d in docs]
     n_docs, pieces = len(docs), np.concatenate([*docs, np.empty(0, np.int64)]).astype(np.int64)
     of = np.repeat(np.arange(n_docs), [len(d) for d in docs])
@@ -166,7 +172,7 @@ def _block(v: Vocabularies, block: int, ids: list, index: dict[str, int], docs:
     doc, member = np.divmod(code, max(len(keys), 1))
     freq = np.bincount(member, n, len(keys)).astype(np.int64)
     sha = [hashlib.sha256(";".join([text[x] for x in d]).encode()).hexdigest() if len(d) else "" for d in (d.tolist() for d in docs)]
-    row = [block, ids, per_doc(n_a), per_doc(n_b), per_doc(size), sha, np.bincount(doc, minlength=n_docs), member.astype("<i4").tobytes(), n.astype("<i4").tobytes(), list(keys), freq, np.bincount(member, minlength=len(keys))]
+    row = [block, ids, per_doc(n_a), per_doc(n_b), per_doc(size), sha, np.bincount(doc, minlength=n_docs), member.astype("<i4").tobytes(), n.astype("<i4").tobytes(), keys, freq, np.bincount(member, minlength=len(keys))]
     return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, BLOCK)], schema=BLOCK)
 
 
