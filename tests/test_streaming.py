@@ -42,3 +42,58 @@ def test_expiry_by_event_time(spark, tmp_path):
     run(keyed_state.live_objects(events, lifetime=60), "expiring", "update")
     gone = {(r.key, r.ts) for r in spark.table("expiring").where("NOT alive").collect()}
     assert {("a", 160), ("b", 260)} <= gone
+
+
+def gathered(spark, tmp_path, rows, cuts, **kw):
+    """All changes of rows that come in the batches which cuts divide."""
+    from tidemark.plans.live import to_the_end
+    from tidemark.streaming.live_changes import changes, with_state_store
+
+    folder = str(tmp_path / f"in{len(cuts)}")
+    for low, high in zip([0, *cuts], [*cuts, len(rows)]):
+        spark.createDataFrame(rows[low:high], SCHEMA).coalesce(1).write.mode("append").json(folder)
+    events = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(folder)
+    if kw.get("lifetime"):
+        events = events.withColumn("time", F.timestamp_seconds("ts")).withWatermark("time", "1 second")
+    with with_state_store(spark):
+        out = to_the_end(changes(events, **kw), "update").collect()
+    return sorted(((r.key, r.ts, r.op, r.name, r.old, r.value) for r in out), key=repr), out
+
+
+def test_live_changes_rebuild_the_replay(spark, tmp_path):
+    rows = [(*r[:2], 1000 + i, *r[3:]) for i, r in enumerate(random_log(21, 70))]
+    whole, out = gathered(spark, tmp_path, rows, [])
+    parts, _ = gathered(spark, tmp_path, rows, [20, 45])
+    assert whole == parts
+    held = {}
+    for r in sorted(out, key=lambda r: r.ts):
+        if r.op == "C":
+            held[r.key] = json.loads(r.value)
+        elif r.op == "D":
+            del held[r.key]
+        elif r.op == "U":
+            assert held[r.key].get(r.name) == r.old
+            held[r.key][r.name] = r.value
+        else:
+            assert held[r.key].pop(r.name) == r.old
+    assert held == replay(rows, lambda ts: True)
+
+
+def test_live_changes_of_whole_objects_and_silence(spark, tmp_path):
+    states = [("a", 10, {"x": "1", "up": "1"}), ("b", 12, {"x": "5"}), ("a", 20, {"x": "1", "up": "2"}), ("a", 30, {"y": "2", "up": "3"}), ("b", 200, {"x": "5"}), ("c", 400, {}), ("c", 401, {"z": "1"})]
+    rows = [("d", i, ts, None, k, None, None, attrs) for i, (k, ts, attrs) in enumerate(states)]
+    want = [
+        ("a", 10, "C", None, None, '{"up":"1","x":"1"}'), ("a", 30, "R", "x", "1", None), ("a", 30, "U", "y", None, "2"), ("a", 90, "X", None, None, None),
+        ("b", 12, "C", None, None, '{"x":"5"}'), ("b", 72, "X", None, None, None), ("b", 200, "C", None, None, '{"x":"5"}'), ("b", 260, "X", None, None, None),
+        ("c", 400, "C", None, None, "{}"), ("c", 401, "U", "z", None, "1"),
+    ]
+    for cuts in ([], [2, 4, 5]):
+        got, _ = gathered(spark, tmp_path, rows, cuts, lifetime=60, whole=True, ignore=("up",))
+        assert got == sorted(want, key=repr)
+
+
+def test_live_changes_begin_with_a_checkpoint(spark, tmp_path):
+    began = spark.createDataFrame([("a", 5, {"x": "1"}), ("q", 5, {"x": "9"})], "key string, ts long, attrs map<string,string>")
+    rows = [("d", 0, 10, "U", "a", "x", "2", None), ("d", 1, 11, "C", "a", None, None, {"x": "3"}), ("d", 2, 12, "U", "b", "x", "2", None), ("d", 3, 13, "D", "a", None, None, None)]
+    got, _ = gathered(spark, tmp_path, rows, [1], began=began)
+    assert got == [("a", 10, "U", "x", "1", "2"), ("a", 13, "D", None, None, None)]

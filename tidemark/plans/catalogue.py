@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import live, logs, records, relational, reports, statistics, stores, temporal
+from tidemark.plans import live, live_changes, logs, records, relational, reports, statistics, stores, temporal
 
-ALL = records.QUERIES | temporal.QUERIES | relational.QUERIES | statistics.QUERIES | logs.QUERIES | live.QUERIES | reports.QUERIES | stores.QUERIES
+ALL = records.QUERIES | temporal.QUERIES | relational.QUERIES | statistics.QUERIES | logs.QUERIES | live.QUERIES | live_changes.QUERIES | reports.QUERIES | stores.QUERIES
 
 
 def queries() -> dict:
