@@ -97,3 +97,30 @@ def test_live_changes_begin_with_a_checkpoint(spark, tmp_path):
     rows = [("d", 0, 10, "U", "a", "x", "2", None), ("d", 1, 11, "C", "a", None, None, {"x": "3"}), ("d", 2, 12, "U", "b", "x", "2", None), ("d", 3, 13, "D", "a", None, None, None)]
     got, _ = gathered(spark, tmp_path, rows, [1], began=began)
     assert got == [("a", 10, "U", "x", "1", "2"), ("a", 13, "D", None, None, None)]
+
+
+def test_tail_of_growing_files(spark, tmp_path):
+    """Files grow between two runs, in the middle of a line and of a stretch of relative times: each event once, timed as the batch reader does."""
+    import random
+
+    from tidemark.plans.live import to_the_end
+    from tidemark.sources import eventlog, log_tail
+
+    rng, text = random.Random(3), {}
+    for day in (9, 10, 100):
+        lines = [f"T {1000 * day}"]
+        for i in range(120):
+            lines.append(rng.choice([f"t {rng.randint(1, 9)}", f"U k{i} n é{i}", f'C k{i} {{"x":{i},"y":"ü"}}', f"R k{i} aD k{i}", "not a line", f"T {1000 * day + 8 * i}"]))
+        text[day] = ("\n".join(lines) + "\n").encode()
+    root = tmp_path / "logs"
+    (root / "2024").mkdir(parents=True)
+    spark.dataSource.register(log_tail.LogTail)
+    stream = log_tail.timed(spark.readStream.format("log_tail").option("path", f"file://{root}").option("range", 64).load())
+    for done in ({9: 700, 10: 1}, {9: 701, 10: 900}, {9: 10**6, 10: 10**6, 100: 10**6}):
+        for day, n in done.items():
+            (root / f"2024/{day}.log").write_bytes(text[day][:n])
+        out = to_the_end(stream, "append", f"file://{tmp_path}/stream")
+    columns = ["part", "ts", "op", "key", "name", "value", "attrs"]
+    order = lambda df: [tuple(r[c] for c in columns) for r in df.orderBy("part", "seq").collect()]
+    got, want = order(out), order(eventlog.parse(eventlog.read_lines(spark, str(root))))
+    assert got == want and len(got) > 250

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import history
 from tidemark.operators.reductions import Reduce, feeding, spatial, temporal
 from tidemark.plans.temporal import LOG, as_history
+from tidemark.sources import eventlog, log_tail
 from tidemark.sources.tables import shared_folder
 from tidemark.sources.tables import table as t
 from tidemark.streaming import keyed_state
 
 
-def to_the_end(stream: DataFrame, mode: str) -> DataFrame:
-    """All that a stream of the files at hand puts out, as a table: every batch is written by the executors, none collected."""
+def to_the_end(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
+    """All that a stream of the files at hand puts out, as a table: every batch is written by the executors, none collected.
+
+    A folder in which a stream ended before is gone on with.
+    """
     spark = stream.sparkSession
-    folder = shared_folder(spark, "live")
+    folder = folder or shared_folder(spark, "live")
     way = {"complete": "overwrite"}.get(mode, "append")
 
     def store(batch: DataFrame, _: int) -> None:
@@ -42,6 +46,27 @@ def _changes(spark, sf):
     return _events(spark, sf).select(F.col("user_id").cast("string").alias("key"), F.unix_timestamp("ts").alias("ts"), F.col("event_id").alias("seq"), op.alias("op"), name.alias("name"), F.when(op == "U", F.concat(F.lit("u"), F.col("event_id"))).alias("value"), attrs.alias("attrs"))
 
 
+def _relative(lines: DataFrame) -> DataFrame:
+    """Lines whose markers but the first of a part say how much later it is."""
+    marks = F.when(F.col("line").startswith("T "), F.substring("line", 3, 20).cast("long"))
+    before = F.lag("mark").over(Window.partitionBy("part").orderBy("seq"))
+    timed = lines.withColumn("mark", marks).where("mark IS NOT NULL").withColumn("before", before)
+    later = timed.select("part", "seq", F.coalesce(F.concat(F.lit("t "), F.col("mark") - F.col("before")), "line").alias("line"))
+    return lines.where(~F.col("line").startswith("T ")).unionByName(later)
+
+
+def live_log_tail(spark, sf):
+    """The log of as_history as day files that are followed: read once when half of it is there, mid-day, and again when all is."""
+    spark.dataSource.register(log_tail.LogTail)
+    log = as_history(spark, sf).withColumn("part", F.format_string("%d/%03d", F.year(F.timestamp_seconds("ts")), F.dayofyear(F.timestamp_seconds("ts")) - 1))
+    root, folder, noon = shared_folder(spark, "tail"), shared_folder(spark, "live"), 1704067200 + 16 * 86400 + 43200
+    stream = log_tail.timed(spark.readStream.format("log_tail").option("path", root).option("range", 1 << 14).load())
+    for there in (log.where(F.col("ts") < noon), log):
+        log_tail.write_files(_relative(eventlog.to_lines(there)), root).write.format("noop").mode("overwrite").save()
+        out = to_the_end(stream, "append", folder)
+    return out.where("op NOT IN ('T', 't')").groupBy("part", "op").agg(F.count(F.lit(1)).alias("n"), F.sum("ts").alias("sum_ts"), F.countDistinct("key").alias("keys"))
+
+
 def _last_state(states: DataFrame) -> DataFrame:
     last = states.groupBy("key").agg(F.max_by(F.struct("alive", "attrs"), "ts").alias("s")).where("s.alive")
     return last.select("key", F.get_json_object("s.attrs", "$.type").alias("type"), F.get_json_object("s.attrs", "$.event").alias("event"))
@@ -145,6 +170,7 @@ QUERIES = {
         live AS (SELECT *, coalesce(last_value(CASE WHEN op IN ('C', 'D') THEN op END IGNORE NULLS) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'D') = 'C' AS alive FROM log)
         SELECT op, count(*) AS n, count(DISTINCT key) AS keys FROM live WHERE (op = 'C') <> alive GROUP BY 1""",
     ),
+    "live_log_tail": (live_log_tail, f"WITH {LOG} SELECT '2024/' || lpad(CAST((ts - 1704067200) // 86400 AS VARCHAR), 3, '0') AS part, op, count(*) AS n, CAST(sum(ts) AS BIGINT) AS sum_ts, count(DISTINCT key) AS keys FROM log GROUP BY 1, 2"),
     "derived_stream": (derived_stream, f"WITH {LIVE} SELECT key, type, event FROM state WHERE type = 'click'"),
     "stream_hourly_counts": (stream_hourly_counts, "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS step, count(*) AS n, max(value) AS high FROM events GROUP BY 1"),
     "stream_closed_hours": (stream_closed_hours, "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS step, count(*) AS n FROM events GROUP BY 1 HAVING floor(epoch(any_value(ts)) / 3600) * 3600 + 3600 <= (SELECT epoch(max(ts)) - 5400 FROM events)"),
