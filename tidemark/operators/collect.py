@@ -6,14 +6,15 @@ the smaller side where its size is below the session's threshold and joins by pa
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from tidemark.operators.stats import ranked
+from tidemark.sources.tables import checkpointed
 
 
 def map_rows(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
@@ -51,32 +52,6 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-@F.pandas_udf(DoubleType())
-def jaro_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Jaro: equal characters within half the longer length, and half of those out of order."""
-
-    def one(x: str | None, y: str | None) -> float | None:
-        if x is None or y is None:
-            return None
-        if not x or not y:
-            return float(x == y)
-        reach, used, mine = max(len(x), len(y)) // 2 - 1, [False] * len(y), []
-        for i, c in enumerate(x):
-            for k in range(max(0, i - reach), min(len(y), i + reach + 1)):
-                if not used[k] and y[k] == c:
-                    used[k] = True
-                    mine.append(c)
-                    break
-        if not mine:
-            return 0.0
-        theirs = [c for c, u in zip(y, used) if u]
-        moved = sum(p != q for p, q in zip(mine, theirs)) / 2
-        m = len(mine)
-        return (m / len(x) + m / len(y) + (m - moved) / m) / 3
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
-
-
 def map_reduce(df: DataFrame, key: Column, *aggregates: Column) -> DataFrame:
     """Group by a mapped key and reduce; Spark combines on the map side."""
     return df.groupBy(key.alias("key")).agg(*aggregates)
@@ -135,16 +110,24 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], on: str, columns: li
     return both.select(*left.columns, *[F.col("_last")[f"_{c}"].alias(c) for c in columns])
 
 
-def reduce_with(df: DataFrame, value: str, fn: Callable[[list], float], arity: int = 1000) -> DataFrame:
-    """A tree reduction by an associative and commutative Python function of a list.
+def reduce_with(df: DataFrame, value: str, fn: Callable[[list], Any], arity: int = 1000, order: list[str] | None = None, kind: str = "double") -> DataFrame:
+    """A tree reduction by an associative Python function of a list: one row ``value`` of type ``kind``, none for no rows.
 
-    Every task reduces its own rows, ``arity`` values at a time, to one; each round then deals these to
-    1/``arity`` of the tasks, which do the same, until one task is left.  One value is returned as it is.
+    Every task reduces its own rows, ``arity`` values at a time, to one; each round then joins up to ``arity`` of these
+    by their place, until one is left.  One value is returned as it is.  With ``order`` tasks hold ranges of it and the
+    values of a list lie in its order, so fn need not commute; without it fn must.
     Sums, extrema and the like belong in ``agg``, which Spark reduces by itself.
     """
     arity = max(arity, 2)
 
-    def partial(frames):
+    def fold(values: list) -> Any:
+        while len(values) > 1:
+            values = [fn(values[i : i + arity]) if len(values) - i > 1 else values[i] for i in range(0, len(values), arity)]
+        return values[0]
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
         left: list = []
         for frame in frames:
             for x in frame["value"]:
@@ -152,15 +135,39 @@ def reduce_with(df: DataFrame, value: str, fn: Callable[[list], float], arity: i
                 if len(left) >= arity:
                     left = [fn(left)]
         if left:
-            yield pd.DataFrame({"value": [fn(left) if len(left) > 1 else left[0]]})
+            yield pd.DataFrame({"place": [TaskContext.get().partitionId()], "value": [fold(left)]})
+
+    def join(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"place": [key[0]], "value": [fold(list(frame.sort_values("place")["value"]))]})
+
+    if order:
+        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # the number of ranges is given, so that a range's place is its task's number
+        df = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    out = checkpointed(df.select(F.col(value).cast(kind).alias("value")).mapInPandas(partial, f"place long, value {kind}"))
+    while out.limit(2).count() > 1:
+        out = checkpointed(out.groupBy(F.floor(F.col("place") / arity).alias("group")).applyInPandas(join, f"place long, value {kind}"))
+    return out.select("value")
+
+
+def map_in_order(df: DataFrame, order: list[str], value: str, fn: Callable[[list], list], kind: str, chunk: int = 1000) -> DataFrame:
+    """df's order columns with ``result``: what fn, of lists of up to ``chunk`` consecutive values, has at each one's place.
+
+    Tasks hold ranges of the order, so a list's values follow one another.  fn must return as many as it gets.
+    """
+
+    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), chunk):
+                part = frame.iloc[at : at + chunk]
+                got = list(fn(list(part["value"])))
+                if len(got) != len(part):
+                    raise ValueError(f"{len(got)} results of {len(part)} values")
+                yield part[order].assign(result=got)
 
-    source = df.select(F.col(value).cast("double").alias("value"))
-    tasks = source.rdd.getNumPartitions()
-    out = source.mapInPandas(partial, "value double")
-    while tasks > 1:
-        tasks = -(-tasks // arity)
-        out = out.repartition(tasks).mapInPandas(partial, "value double")
-    return out
+    rows = df.select(*order, F.col(value).alias("value")).repartitionByRange(*order).sortWithinPartitions(*order)
+    types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in order)
+    return rows.mapInPandas(apply, f"{types}, result {kind}")
 
 
 def windows_of(df: DataFrame, order: str, value: str, domain: int) -> DataFrame:
@@ -174,9 +181,6 @@ def wavefront(top: DataFrame, left: DataFrame, n: int, cell: Callable[[Column, C
 
     top(j, value) and left(i, value) start it; each anti-diagonal is one join of the two before it.
     """
-    spark = top.sparkSession
-    if not spark.sparkContext.getCheckpointDir() and (shared := spark.conf.get("spark.checkpoint.dir", None)):
-        spark.sparkContext.setCheckpointDir(shared)
     start = top.select(F.lit(0).alias("i"), "j", "value").unionByName(left.where("i > 0").select("i", F.lit(0).alias("j"), "value"))
     diagonal = lambda d: start.where(F.col("i") + F.col("j") == d)
     done, before, last = start, diagonal(0), diagonal(1)
@@ -185,6 +189,6 @@ def wavefront(top: DataFrame, left: DataFrame, n: int, cell: Callable[[Column, C
         to = lambda f, di, dj, name: f.select((F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j"), F.col("value").alias(name))
         step = to(last, 1, 0, "_u").join(to(last, 0, 1, "_l"), ["i", "j"]).join(to(before, 1, 1, "_d"), ["i", "j"])
         step = step.select("i", "j", cell(F.col("_u"), F.col("_l"), F.col("_d")).alias("value"))
-        step = step.checkpoint() if spark.sparkContext.getCheckpointDir() else step.cache()
+        step = checkpointed(step)
         done, before, last = done.unionByName(step), last, step.unionByName(diagonal(d))
     return done

@@ -7,6 +7,8 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import checkpointed
+
 
 def edges(created: DataFrame, needed: DataFrame) -> DataFrame:
     """created(file, node) and needed(file, node) -> (parent, child) of tasks."""
@@ -17,14 +19,6 @@ def source_files(needed: DataFrame, created: DataFrame) -> DataFrame:
     return needed.select("file").distinct().join(created.select("file"), "file", "left_anti")
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the shared folder that the session names; only cached where it names none."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir() and (shared := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
-        sc.setCheckpointDir(shared)
-    return df.checkpoint() if sc.getCheckpointDir() else df.cache()
-
-
 def levels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """nodes(node) -> (node, level): longest path from a node without parents; a frontier join per level.
 
@@ -35,7 +29,7 @@ def levels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     frontier = nodes.select("node").distinct().join(links.select(F.col("child").alias("node")), "node", "left_anti").withColumn("level", F.lit(0))
     out = frontier
     for _ in range(n_nodes + 1):
-        frontier = _checkpointed(frontier.join(links, frontier["node"] == links["parent"]).select(F.col("child").alias("node"), (F.col("level") + 1).alias("level")).distinct())
+        frontier = checkpointed(frontier.join(links, frontier["node"] == links["parent"]).select(F.col("child").alias("node"), (F.col("level") + 1).alias("level")).distinct())
         if not frontier.limit(1).count():
             return out.groupBy("node").agg(F.max("level").alias("level"))
         out = out.unionByName(frontier)
@@ -60,7 +54,7 @@ def closure(links: DataFrame, hops: int | None = None) -> DataFrame:
     binary digits, and each joins one layer of pairs, not all of them, with the pairs known so far.
     """
     links = links.select("parent", "child").distinct()
-    reached = _checkpointed(links.select(F.col("parent").alias("ancestor"), F.col("child").alias("node"), F.lit(1).alias("distance")))
+    reached = checkpointed(links.select(F.col("parent").alias("ancestor"), F.col("child").alias("node"), F.lit(1).alias("distance")))
     if hops is not None and hops < 1:
         return reached.limit(0)
     half = 1
@@ -70,7 +64,7 @@ def closure(links: DataFrame, hops: int | None = None) -> DataFrame:
         if hops is not None:
             beyond = beyond.where(F.col("distance") <= hops)
         step = layer.join(beyond, "_middle").groupBy("ancestor", "node").agg(F.min("distance").alias("distance"))
-        found = _checkpointed(step.join(reached, ["ancestor", "node"], "left_anti"))
+        found = checkpointed(step.join(reached, ["ancestor", "node"], "left_anti"))
         if found.isEmpty():
             break
         reached, half = reached.unionByName(found), 2 * half
@@ -103,7 +97,7 @@ def tree(rows: DataFrame, node: str, parent: str) -> DataFrame:
     frontier = roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"))
     out = frontier
     for d in itertools.count(1):
-        frontier = _checkpointed(r.join(frontier.select(F.col("node").alias("parent"), "root"), "parent").select("node", "root", F.lit(d).alias("depth")))
+        frontier = checkpointed(r.join(frontier.select(F.col("node").alias("parent"), "root"), "parent").select("node", "root", F.lit(d).alias("depth")))
         if frontier.isEmpty():
             return out
         out = out.unionByName(frontier)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import spans
+from tidemark.sources.tables import checkpointed
 
 
 def bucket(value: Column, size: float) -> Column:
@@ -251,3 +254,41 @@ def refits(df: DataFrame, by: str, order: str, value: str, every: int = 25, span
     seen = spans.running(df.select(by, order, value), [by], width, [order], F.lit(1).cast("long"), "completed")
     seen = spans.running(seen, [by], width, [order], F.col(value), "known", "max")
     return seen.where(F.col("completed") % every == 0).select(by, "completed", "known")
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, fractions: list[float], buckets: int = 1024, few: int = 4096) -> DataFrame:
+    """by, fraction, percentile: exact, interpolated between the two values around fraction * (n - 1), nulls apart.
+
+    A distributed selection: every rank that is asked for has an interval of values in which it lies.  A round counts the
+    interval's values in ``buckets`` ranges and goes on with the range that holds the rank, between the least and the greatest value
+    there, so it always narrows.  Where at most ``few`` values are left, or one value repeated, these are numbered.
+    No task holds a group's values: what meets in one are the counts of a rank's buckets, or few values.
+    """
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    key = [*by, "fraction", "side"]
+    every = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+    ask = F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction")
+    ranks = every.select("*", ask).select("*", (F.col("fraction") * (F.col("n") - 1)).alias("at")).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    rank = F.when(F.col("side") == 0, F.floor("at")).otherwise(F.ceil("at"))
+    asked = checkpointed(ranks.select(*key, "at", rank.cast("long").alias("rank"), "low", "high", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside")))
+    agree = lambda names: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names], F.lit(True))
+    named = lambda d: d.select(*[F.col(c).alias(f"_{c}") for c in by], *[c for c in d.columns if c not in by])
+    wide = (F.col("inside") > few) & (F.col("low") < F.col("high"))
+    while not asked.where(wide).isEmpty():
+        met = rows.join(named(asked.where(wide)), agree(by)).where(F.col("_v").between(F.col("low"), F.col("high")))
+        bucket = F.least(F.lit(buckets - 1), F.floor((F.col("_v") - F.col("low")) / (F.col("high") - F.col("low")) * buckets))
+        counts = met.groupBy(*key, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("here"), F.min("_v").alias("least"), F.max("_v").alias("most"))
+        upto = F.sum("here").over(Window.partitionBy(*key).orderBy("bucket"))
+        counts = counts.withColumn("upto", upto).join(asked.select(*[F.col(c).alias(f"_{c}") for c in key], "rank", "below"), agree(key))
+        hit = counts.where((F.col("rank") - F.col("below") < F.col("upto")) & (F.col("rank") - F.col("below") >= F.col("upto") - F.col("here")))
+        hit = hit.select(*[F.col(c).alias(f"_{c}") for c in key], F.struct("least", "most", "here", "upto").alias("hit"))
+        narrowed = asked.join(hit, agree(key), "left")
+        pick = lambda new, old: F.when(F.col("hit").isNotNull(), new).otherwise(F.col(old)).alias(old)
+        asked = checkpointed(narrowed.select(*key, "at", "rank", pick(F.col("hit.least"), "low"), pick(F.col("hit.most"), "high"), pick(F.col("below") + F.col("hit.upto") - F.col("hit.here"), "below"), pick(F.col("hit.here"), "inside")))
+    alone = asked.where("low = high").select(*key, "at", F.col("low").alias("_v"))
+    met = rows.join(named(asked.where("low < high")), agree(by)).where(F.col("_v").between(F.col("low"), F.col("high")))
+    numbered = met.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("_v")) - 1).where("nth = rank - below").select(*key, "at", "_v")
+    part = F.col("at") - F.floor("at")
+    side = lambda n: F.max(F.when(F.col("side") == n, F.col("_v")))
+    both = alone.unionByName(numbered).groupBy(*by, "fraction").agg(side(0).alias("_a"), side(1).alias("_b"), F.max(part).alias("_part"))
+    return both.select(*by, "fraction", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).alias("percentile"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import strings, values
-from tidemark.operators import catalog, collect, dataset, graph, stats, timeseries
+from tidemark.operators import catalog, collect, dataset, graph, similar, stats, timeseries
 from tidemark.plans.temporal import as_history
 from tidemark.sources import eventlog, logs, sinks
 from tidemark.sources.tables import table as t
@@ -178,8 +178,10 @@ def deviation_band(spark, sf):
 
 
 def interpolated_percentiles(spark, sf):
-    p = F.percentile(F.round(F.col("l_extendedprice") * 100).cast("long"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return t(spark, sf, "lineitem").groupBy("l_returnflag").agg(p.alias("p")).select("l_returnflag", *[F.col("p")[i].alias(n) for i, n in enumerate(("low", "middle", "high"))])
+    l = t(spark, sf, "lineitem").select("l_returnflag", F.round(F.col("l_extendedprice") * 100).alias("cents"))
+    p = stats.percentiles(l, ["l_returnflag"], "cents", [0.25, 0.5, 0.75])
+    at = lambda f: F.max(F.when(F.col("fraction") == f, F.col("percentile")))
+    return p.groupBy("l_returnflag").agg(at(0.25).alias("low"), at(0.5).alias("middle"), at(0.75).alias("high"))
 
 
 def ranks_of_values(spark, sf):
@@ -201,10 +203,23 @@ def pair_list(spark, sf):
 
 
 def jaro_pairs(spark, sf):
-    """Names that share their first letter: candidates are joined on it, never all with all."""
-    n = t(spark, sf, "nation").withColumn("initial", F.substring("n_name", 1, 1))
-    p = collect.self_pairs(n, "n_nationkey", within=["initial"], columns=["n_name"], ordered=True)
-    return p.select("n_nationkey_a", "n_nationkey_b", F.round(collect.jaro_similarity("n_name_a", "n_name_b"), 9).alias("similarity"))
+    n = t(spark, sf, "nation")
+    p = similar.jaro_join(n, "n_name", 0.65)
+    key = lambda name, as_: n.select(F.col("n_name").alias(name), F.col("n_nationkey").alias(as_))
+    both = p.join(key("a", "x"), "a").join(key("b", "y"), "b")
+    return both.select(F.least("x", "y").alias("n_nationkey_a"), F.greatest("x", "y").alias("n_nationkey_b"), "similarity")
+
+
+def jaro_words(spark, sf):
+    """Words of the test items that resemble one another, with how often each occurs."""
+    n = collect.word_counts(t(spark, sf, "benchmark"), "text").select(F.col("key").alias("word"), "n")
+    named = lambda side: n.select(F.col("word").alias(side), F.col("n").alias(f"n_{side}"))
+    return similar.jaro_join(n, "word", 0.65).join(named("a"), "a").join(named("b"), "b").select("a", "n_a", "b", "n_b", "similarity")
+
+
+def jaro_hosts(spark, sf):
+    """Pages' hosts that are nearly the same."""
+    return similar.jaro_join(t(spark, sf, "pages").select(F.regexp_extract("url", "://([^/]+)", 1).alias("host")), "host", 0.9)
 
 
 def dict_comprehension(spark, sf):
@@ -342,7 +357,17 @@ QUERIES = {
     "ranks_of_values": (ranks_of_values, "SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS rank FROM part"),
     "mapped_in_batches": (mapped_in_batches, "SELECT l_orderkey, l_linenumber, l_quantity, l_quantity * 2 AS twice FROM lineitem"),
     "pair_list": (pair_list, "SELECT CAST(r_regionkey * 25 + n_nationkey AS BIGINT) AS at, CAST(r_regionkey * n_nationkey AS BIGINT) AS value FROM region, nation"),
-    "jaro_pairs": (jaro_pairs, "SELECT a.n_nationkey AS n_nationkey_a, b.n_nationkey AS n_nationkey_b, round(jaro_similarity(a.n_name, b.n_name), 9) AS similarity FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_name[1] = b.n_name[1]"),
+    "jaro_pairs": (jaro_pairs, "SELECT least(a.n_nationkey, b.n_nationkey) AS n_nationkey_a, greatest(a.n_nationkey, b.n_nationkey) AS n_nationkey_b, round(jaro_similarity(a.n_name, b.n_name), 9) AS similarity FROM nation a JOIN nation b ON a.n_name < b.n_name AND round(jaro_similarity(a.n_name, b.n_name), 9) >= 0.65"),
+    "jaro_words": (
+        jaro_words,
+        """WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM benchmark) WHERE word <> '' GROUP BY word)
+        SELECT a.word AS a, a.n AS n_a, b.word AS b, b.n AS n_b, round(jaro_similarity(a.word, b.word), 9) AS similarity FROM w a JOIN w b ON a.word < b.word AND round(jaro_similarity(a.word, b.word), 9) >= 0.65""",
+    ),
+    "jaro_hosts": (
+        jaro_hosts,
+        """WITH h AS (SELECT DISTINCT regexp_extract(url, '://([^/]+)', 1) AS host FROM pages)
+        SELECT a.host AS a, b.host AS b, round(jaro_similarity(a.host, b.host), 9) AS similarity FROM h a JOIN h b ON a.host < b.host AND a.host <> '' AND round(jaro_similarity(a.host, b.host), 9) >= 0.9""",
+    ),
     "dict_comprehension": (
         dict_comprehension,
         """WITH d AS (SELECT l_orderkey, l_returnflag AS k, arg_max(l_linenumber, (l_linenumber, l_quantity)) AS v FROM lineitem WHERE l_quantity > 10 GROUP BY 1, 2), g AS (SELECT l_orderkey, string_agg(k || '=' || v, ',' ORDER BY k) AS dict FROM d GROUP BY 1)

@@ -24,3 +24,11 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         root = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}/{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the shared folder that the session names; only cached where it names none."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir() and (shared := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        context.setCheckpointDir(shared)
+    return df.checkpoint() if context.getCheckpointDir() else df.cache()
