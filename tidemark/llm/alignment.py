@@ -226,9 +226,9 @@ class Alignment:
     def _pairs(self) -> DataFrame:
         found = written(self.links.groupBy("a", "b").agg(F.count(F.lit(1)).alias("groups"), F.sum("held").alias("n")), "found")
         alone = found.where("groups = 1").select("a", "b", "n")
-        several = found.where("groups > 1").select("a", "b")
+        several = found.where("groups > 1").select("a", "b").hint("merge")
         shared = salted_join(self.links.select("key", "a", "b"), several, ["a", "b"], "key").groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-        # the planner can't know how long the lists are, so it must not choose to broadcast them
+        # the planner can't know how long lists are and how many salts there will be, so it must not choose to broadcast them
         back = self.by_block.select("block", "i", "key").join(shared, "key").groupBy("block").agg(F.collect_list(F.struct("i", "pairs")).alias("shared")).hint("merge")
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +255,7 @@ class Alignment:
 
     def documents(self) -> DataFrame:
         """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-        pairs = self.pairs.select("a", "b", F.col("n").alias("documents"), "best")
+        pairs = self.pairs.select("a", "b", F.col("n").alias("documents"), "best").hint("merge")
         linked = salted_join(self.links.select("key", "a", "b", "n"), pairs, ["a", "b"], "key")
         numbers = linked.groupBy("key").agg(F.sum("n").alias("links"), F.sum(F.when(F.col("documents") == F.col("best"), F.col("n")).otherwise(0)).alias("best"), F.sum(F.col("n") * F.col("documents")).alias("total"))
         back = self.by_block.select("block", "i", "key").join(numbers, "key").groupBy("block").agg(F.collect_list(F.struct("i", "links", "best", "total")).alias("numbers")).hint("merge")
