@@ -225,6 +225,44 @@ def predicted_allocation(buckets: DataFrame, by: str, needed: Column, share: flo
     return b.where((F.col("_share") >= share) & needed).groupBy(by).agg(F.min("upper").alias("allocation"))
 
 
+def bucket_probabilities(points: DataFrame, by: str, value: str, significance: str, uppers: DataFrame) -> DataFrame:
+    """by, buckets: each group's buckets (upper, prob, upto) in order.
+
+    A point lies in the first bucket whose upper edge reaches it, those beyond all edges in the last; a bucket's probability is its
+    share of the points' significance, which is what later runs weigh more with.  upto sums the probabilities.
+    uppers(by, upper) has a few edges for each group.
+    """
+    edges = uppers.groupBy(by).agg(F.sort_array(F.collect_set(F.col("upper").cast("double"))).alias("edges"))
+    met = points.join(edges, by)
+    at = F.least(F.size(F.filter("edges", lambda x: x < F.col(value))), F.size("edges") - 1)
+    sums = met.groupBy(by, at.alias("at")).agg(F.sum(significance).cast("double").alias("weight"), F.first("edges").alias("edges"))
+    own = Window.partitionBy(by)
+    prob = F.col("weight") / F.sum("weight").over(own)
+    upto = F.sum("weight").over(own.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("weight").over(own)
+    rows = sums.select(by, F.struct(F.get("edges", F.col("at")).alias("upper"), prob.alias("prob"), upto.alias("upto")).alias("bucket"))
+    return rows.groupBy(by).agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))
+
+
+def predicted_tries(tries: DataFrame, by: str, tried: str, buckets: DataFrame, default: float, rate: float = 2.0, draw: str | None = None) -> DataFrame:
+    """tries with ``allocation``: what to give a run whose last try was ``tried`` (null or -1 for a first one).
+
+    Only buckets above the last try are left.  With ``draw``, a column of numbers in [0, 1), one of them is drawn by their
+    probabilities, rescaled to those left; without it the smallest is taken.  Beyond the last bucket, and in a group that has none
+    yet, the default grows by powers of ``rate`` until it exceeds the last try.  Buckets are one row a group.
+    """
+    last = F.coalesce(F.col(tried).cast("double"), F.lit(-1.0))
+    met = tries.join(buckets.select(by, "buckets"), by, "left")
+    left = F.filter("buckets", lambda b: b["upper"] > last)
+    skipped = F.aggregate(F.filter("buckets", lambda b: b["upper"] <= last), F.lit(0.0), lambda total, b: total + b["prob"])
+    if draw is not None:
+        reached = F.filter(left, lambda b: (b["upto"] - skipped) / (1 - skipped) > F.col(draw))
+        chosen = F.coalesce(F.get(reached, F.lit(0)), F.get(left, F.size(left) - 1))
+    else:
+        chosen = F.get(left, F.lit(0))
+    grown = F.lit(default) * F.pow(F.lit(rate), F.floor(F.log(last / default) / F.log(F.lit(rate)) + 1e-12) + 1)
+    return met.withColumn("allocation", F.coalesce(F.when(F.size(left) > 0, chosen["upper"]), F.when(last > 0, grown), F.lit(default))).drop("buckets")
+
+
 def counters(events: DataFrame, name: str, op: str, value: str, order: str) -> DataFrame:
     """Named integers after ``set`` and ``inc`` events in order: the last value set plus what was added since."""
     is_set = F.col(op) == "set"
