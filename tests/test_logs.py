@@ -75,6 +75,8 @@ def test_sinks(spark, tmp_path):
     assert tuple(r) == ('{"a":"x\\"","b":"2"}', 'a x"\nb 2', 'export a="x\\""\nexport b="2"')
     sinks.split_stream(spark.range(10).select(F.col("id").cast("string").alias("value")), str(tmp_path / "s"), 3)
     sinks.split_stream(spark.range(4).select(F.col("id").cast("string").alias("value")), str(tmp_path / "c"), 2, copy=True)
+    turns = {int(r.value): r.host for r in spark.read.text(str(tmp_path / "s")).collect()}
+    assert turns == {i: i % 3 for i in range(10)}
     assert spark.read.text(str(tmp_path / "s")).count() == 10 and spark.read.text(str(tmp_path / "c")).count() == 8
     sinks.write_tables(str(tmp_path / "t"), a=spark.range(2))
     assert spark.read.option("header", "true").csv(str(tmp_path / "t/a")).count() == 2

@@ -91,11 +91,27 @@ def snapshot(events: DataFrame, at: int, names: list[str] | None = None, static_
     return life.select("key").join(objects, "key", "left").withColumn("attrs", F.coalesce("attrs", F.create_map().cast("map<string,string>")))
 
 
+def _while_alive(changes: DataFrame, steps: DataFrame, ranges: int = 64) -> DataFrame:
+    """(key, _t): the steps in each life of a key, after its birth and up to its death.
+
+    Lives and steps meet in an equi-join on ranges of time, of which there are ``ranges`` between the first step and the last.
+    """
+    low, high = steps.agg(F.min("ts"), F.max("ts")).first()
+    low, high = (0, 0) if low is None else (low, high)
+    width = max(1, -(-(high - low + 1) // ranges))
+    lives = changes.groupBy("key", "generation").agg(F.min("ts").alias("_born"), F.max(F.when(F.col("op") == "D", F.col("ts"))).alias("_died"))
+    lives = lives.where((F.col("_born") < high) & F.coalesce(F.col("_died") >= low, F.lit(True)))
+    at = lambda t: F.floor((t - low) / width)
+    lives = lives.withColumn("_range", F.explode(F.sequence(at(F.greatest("_born", F.lit(low))), at(F.least(F.coalesce("_died", F.lit(high)), F.lit(high))))))
+    ticks = lives.join(steps.select(F.col("ts").alias("_t"), at(F.col("ts")).alias("_range")), "_range")
+    return ticks.where((F.col("_t") > F.col("_born")) & F.coalesce(F.col("_t") <= F.col("_died"), F.lit(True))).select("key", "_t")
+
+
 def states_at(events: DataFrame, steps: DataFrame, names: list[str], static_filter: Column | None = None, where: Column | None = None) -> DataFrame:
     """Per step(ts) and live object: key and one column per name (JSON text), as before the events at the step.
 
     Events and steps meet in one union per key, values carried forward by last-non-null; each key sees
-    only the steps from its first event on.
+    only the steps at which it is alive.
     """
     e = effective(events, static_filter)
     own = e.select(
@@ -109,8 +125,7 @@ def states_at(events: DataFrame, steps: DataFrame, names: list[str], static_filt
             for i, n in enumerate(names)
         ],
     )
-    born = own.groupBy("key").agg(F.min("_t").alias("_born"))
-    ticks = born.join(steps.select(F.col("ts").alias("_t")), F.col("_t") > F.col("_born"))
+    ticks = _while_alive(e, steps)
     none = F.lit(None).cast("struct<v:string>")
     ticks = ticks.select("key", "_t", F.lit(0).alias("_kind"), F.lit("").alias("part"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("op"), *[none.alias(f"_a{i}") for i in range(len(names))])
     so_far = Window.partitionBy("key").orderBy("_t", "_kind", "part", "seq").rowsBetween(Window.unboundedPreceding, 0)

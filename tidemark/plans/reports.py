@@ -127,7 +127,7 @@ def degraded_replicas(spark, sf):
 
 
 def common_prefix_of_children(spark, sf):
-    l = t(spark, sf, "lineitem").where("l_linenumber <= 4").select("l_orderkey", "l_linenumber", "l_returnflag")
+    l = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
     lists = l.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_returnflag"))), lambda x: x["l_returnflag"]).alias("items"))
     return graph.common_prefix(lists.withColumn("parent", F.floor(F.col("l_orderkey") / 2)), "parent", "items").select("parent", F.array_join("prefix", ",").alias("prefix"))
 
@@ -164,7 +164,7 @@ def stacked_per_time(spark, sf):
 
 def rebased_times(spark, sf):
     o = t(spark, sf, "orders").select("o_orderkey", F.unix_timestamp("o_orderdate").alias("begin"), (F.unix_timestamp("o_orderdate") + F.col("o_custkey")).alias("finish"))
-    return timeseries.rebased(o, ["begin", "finish"], "begin").unionByName(timeseries.rebased(o.where("o_orderkey < 50"), ["begin", "finish"], "finish", last=True))
+    return timeseries.rebased(o, ["begin", "finish"], "begin").unionByName(timeseries.rebased(o, ["begin", "finish"], "finish", last=True))
 
 
 def scheduling_times(spark, sf):
@@ -306,9 +306,9 @@ QUERIES = {
     "degraded_replicas": (degraded_replicas, "SELECT p_partkey AS file, count(l_partkey) AS n, p_size % 4 + 28 - count(l_partkey) AS missing FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey, p_size HAVING count(l_partkey) < p_size % 4 + 28"),
     "common_prefix_of_children": (
         common_prefix_of_children,
-        """WITH l AS (SELECT l_orderkey, list(l_returnflag ORDER BY l_linenumber, l_returnflag) AS x FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1),
+        """WITH l AS (SELECT l_orderkey, list(l_returnflag ORDER BY l_linenumber, l_returnflag) AS x FROM lineitem GROUP BY 1),
         g AS (SELECT l_orderkey // 2 AS parent, list(x) AS xs FROM l GROUP BY 1),
-        k AS (SELECT parent, xs, coalesce(max(n), 0) AS n FROM (SELECT parent, xs, unnest(range(1, 30)) AS n FROM g) WHERE len(list_filter(xs, lambda y: len(y) >= n AND list_slice(y, 1, n) = list_slice(xs[1], 1, n))) = len(xs) GROUP BY 1, 2)
+        k AS (SELECT parent, xs, coalesce(max(n), 0) AS n FROM (SELECT parent, xs, unnest(range(1, len(xs[1]) + 1)) AS n FROM g) WHERE len(list_filter(xs, lambda y: len(y) >= n AND list_slice(y, 1, n) = list_slice(xs[1], 1, n))) = len(xs) GROUP BY 1, 2)
         SELECT g.parent, array_to_string(list_slice(g.xs[1], 1, coalesce(k.n, 0)), ',') AS prefix FROM g LEFT JOIN k USING (parent)""",
     ),
     "node_residuals": (
@@ -341,7 +341,7 @@ QUERIES = {
         rebased_times,
         """WITH o AS (SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS b, CAST(epoch(o_orderdate) AS BIGINT) + o_custkey AS f FROM orders)
         SELECT o_orderkey, b - (SELECT min(b) FROM o) AS begin, f - (SELECT min(b) FROM o) AS finish FROM o
-        UNION ALL SELECT o_orderkey, b - (SELECT max(f) FROM o WHERE o_orderkey < 50), f - (SELECT max(f) FROM o WHERE o_orderkey < 50) FROM o WHERE o_orderkey < 50""",
+        UNION ALL SELECT o_orderkey, b - (SELECT max(f) FROM o), f - (SELECT max(f) FROM o) FROM o""",
     ),
     "scheduling_times": (
         scheduling_times,

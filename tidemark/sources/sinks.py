@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,12 +35,22 @@ def write_tables(path: str, **tables: DataFrame) -> None:
 
 
 def split_stream(lines: DataFrame, path: str, n: int, copy: bool = False) -> None:
-    """Lines dealt to n folders in turn, or all to each."""
+    """Lines dealt to n folders in turn, or all to each.
+
+    A line's turn is its place in its task after all lines of the tasks before, which are counted first.
+    """
     if copy:
-        lines.crossJoin(lines.sparkSession.range(n).select(F.col("id").alias("host"))).write.partitionBy("host").text(path)
+        host = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     else:
-        dealt = lines.withColumn("host", F.pmod(F.monotonically_increasing_id(), F.lit(n)))
-        dealt.write.partitionBy("host").text(path)
+        # an id has the task's number above the line's place in it
+        lines = lines.withColumn("_id", F.monotonically_increasing_id())
+        task, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+        before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+        counts = lines.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_n")).select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        lines = lines.withColumn("_task", task).join(counts, "_task")
+        host = (F.col("_before") + place) % n
+    value = F.col("value")
+    lines.select(value, host.alias("host")).write.partitionBy("host").text(path)
 
 
 def percent_f(*columns: str) -> list[Column]:
