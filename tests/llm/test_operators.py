@@ -360,6 +360,26 @@ def test_mixed_blocks_are_text(spark):
     assert all(0 < len(b.text.split()) <= 16 for b in blocks)
 
 
+def test_taken_is_blocks_times_uses(spark):
+    """Every document's words, laid in their source's row, against the blocks that hold them and how often these are drawn."""
+    rng = random.Random(12)
+    rows = [(i, prose(i, rng.choice([0, 1, 7, 60, 300])), "abc"[i % 3] if i % 7 else None) for i in range(90)] + [(500, prose(1, 30_000), "b"), (None, prose(2, 50), "a")]
+    mix = mixing.Mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=16)
+    uses = Counter((r.key, r.block) for r in mix.slots().collect())
+    text, row = {d: t.split() for d, t, _ in rows}, defaultdict(dict)
+    for r in mix.taken().collect():
+        own = Counter((r.begin + i) // 16 for i in range(r["size"]))
+        assert r.taken == sum(n * uses[r.key, b] for b, n in own.items())
+        row[r.key].update({r.begin + i: w for i, w in enumerate(text[r.doc_id])})
+    assert all(sorted(x) == list(range(len(x))) for x in row.values())
+    block = {(r.shard, r.slot, r.key): r.block for r in mix.slots().collect()}
+    got = mix.blocks().collect()
+    assert len(got) == len(block)
+    for r in got:
+        at = block[r.shard, r.slot, r.key] * 16
+        assert r.text == " ".join(row[r.key][i] for i in range(at, at + 16) if i in row[r.key])
+
+
 def test_permutation_is_one():
     import numpy as np
 

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table, word_count, words, written
@@ -160,13 +160,25 @@ class Mix:
         return out.withColumn("taken", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long"))
 
     def blocks(self) -> DataFrame:
-        """The mix itself: shard, slot, key, text of every block drawn (its words joined by a space)."""
+        """The mix itself: shard, slot, key, text of every block drawn (its words joined by a space).
+
+        A text is cut at its block borders in its own row, so pieces carry their own words alone.
+        """
+        b = self.block_words
         texts = self.docs.withColumn("tie", F.xxhash64("text")).dropDuplicates(["doc_id", "tie"]).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), words(F.col("text")).alias("_words"))
-        p = self.pieces()
-        p = p.join(texts, p["doc_id"].eqNullSafe(texts["_id"]) & (p["tie"] == texts["_tie"]))
-        part = F.array_join(F.slice("_words", (F.col("piece_at") - F.col("begin") + 1).cast("int"), F.col("piece_words").cast("int")), " ")
-        block = p.groupBy("key", "block").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece_at", part.alias("part")))), lambda x: x["part"]), " ").alias("text"))
-        return self.slots().join(block, ["key", "block"]).select("shard", "slot", "key", "text")
+        rows = self.rows.where("size > 0")
+        rows = rows.join(texts, rows["doc_id"].eqNullSafe(texts["_id"]) & (rows["tie"] == texts["_tie"]))
+        first, last = F.floor(F.col("begin") / b), F.floor((F.col("begin") + F.col("size") - 1) / b)
+
+        def piece(block: Column) -> Column:
+            at = F.greatest(F.col("begin"), block * b)
+            n = F.least(F.col("begin") + F.col("size"), (block + 1) * b) - at
+            part = F.array_join(F.slice("_words", (at - F.col("begin") + 1).cast("int"), n.cast("int")), " ")
+            return F.struct(block.alias("block"), at.alias("piece_at"), part.alias("part"))
+
+        cut = rows.select("key", F.explode(F.transform(F.sequence(first, last), piece)).alias("p")).select("key", "p.*")
+        block = cut.groupBy("key", "block").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece_at", "part"))), lambda x: x["part"]), " ").alias("text"))
+        return self.slots().join(block.hint("merge"), ["key", "block"]).select("shard", "slot", "key", "text")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
