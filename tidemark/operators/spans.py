@@ -6,8 +6,6 @@ span is a window partition of its own, and only one row a span meets in the wind
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,14 +19,14 @@ def running(df: DataFrame, by: list[str], span: Column, order: list[str], value:
     span must rise with the order.  A running sum of nothing is 0, anything else of nothing is null.
     """
     fold = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}[how]
-    df = df.withColumns({"_span": span, "_value": value})
+    # one key of all parts, in which nulls are equal: window, sums and join are dealt by it alike
+    df = df.withColumns({"_key": F.struct(*by, span.alias("_span")), "_value": value})
     whole = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))) if how == "last" else fold("_value")
-    spans = df.groupBy(*by, "_span").agg(whole.alias("_whole"))
-    carry = fold("_whole").over(Window.partitionBy(*by).orderBy("_span").rowsBetween(*BEFORE))
-    spans = spans.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_span").alias("_at"), carry.alias("_carry"))
-    inside = Window.partitionBy(*by, "_span").orderBy(*order).rowsBetween(*(BEFORE if before else SO_FAR))
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.col("_span").eqNullSafe(F.col("_at")))
-    met = df.withColumn("_local", fold("_value").over(inside)).join(spans, same)
+    spans = df.groupBy("_key").agg(whole.alias("_whole"))
+    carry = fold("_whole").over(Window.partitionBy(*[F.col("_key")[c] for c in by]).orderBy("_key._span").rowsBetween(*BEFORE))
+    spans = spans.select("_key", carry.alias("_carry"))
+    inside = Window.partitionBy("_key").orderBy(*order).rowsBetween(*(BEFORE if before else SO_FAR))
+    met = df.withColumn("_local", fold("_value").over(inside)).join(spans, "_key")
     zero = F.lit(0).cast(df.schema["_value"].dataType)
     both = {
         "sum": lambda: F.coalesce("_local", zero) + F.coalesce("_carry", zero),
@@ -36,7 +34,7 @@ def running(df: DataFrame, by: list[str], span: Column, order: list[str], value:
         "min": lambda: F.least("_local", "_carry"),
         "last": lambda: F.coalesce("_local", "_carry"),
     }[how]()
-    return met.withColumn(name, both).drop("_span", "_value", "_local", "_at", "_carry", *[f"_by_{c}" for c in by])
+    return met.withColumn(name, both).drop("_key", "_value", "_local", "_carry")
 
 
 def previous(df: DataFrame, by: list[str], span: Column, order: list[str], columns: list[str]) -> DataFrame:
