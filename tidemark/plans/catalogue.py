@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import live, live_changes, logs, ordered, outputs, records, relational, reports, searches, statistics, stores, temporal
+from tidemark.plans import live, live_changes, logs, ordered, outputs, records, relational, reports, searches, statistics, stores, temporal, workflows
 
-ALL = records.QUERIES | temporal.QUERIES | relational.QUERIES | statistics.QUERIES | logs.QUERIES | live.QUERIES | live_changes.QUERIES | reports.QUERIES | stores.QUERIES | ordered.QUERIES | searches.QUERIES | outputs.QUERIES
+ALL = records.QUERIES | temporal.QUERIES | relational.QUERIES | statistics.QUERIES | logs.QUERIES | live.QUERIES | live_changes.QUERIES | reports.QUERIES | stores.QUERIES | ordered.QUERIES | searches.QUERIES | outputs.QUERIES | workflows.QUERIES
 
 
 def queries() -> dict:
