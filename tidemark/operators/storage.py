@@ -101,11 +101,13 @@ def footprints(sizes: DataFrame, made: DataFrame, needed: DataFrame, final: Data
     rest = own.unionByName(terminal).distinct().join(split, "node", "left_anti")
     runs_alone = run_files.join(split, "node", "left_anti")
     least_files, most_files = runs_alone, runs_alone
-    for level in range(rank.agg(F.max("level")).head()[0] + 1 if not rank.isEmpty() else 0):
+    last = -1 if rank.isEmpty() else rank.agg(F.max("level")).head()[0]
+    for level in range(last + 1):
         here = checkpointed(branches.join(rank.where(F.col("level") == level).select("node"), "node", "left_semi"))
-        new, rest_here, least_here, most_here = _folded(here, figures, run, sizes, own, terminal, run_files, rest, least_files, most_files)
-        figures, rest = figures.unionByName(new), rest.unionByName(rest_here)
-        least_files, most_files = least_files.unionByName(least_here), most_files.unionByName(most_here)
+        new, *files_here = _folded(here, figures, run, sizes, own, terminal, run_files, rest, least_files, most_files)
+        figures = figures.unionByName(new)
+        if level < last:  # the files of the last level's tasks are nobody's branch
+            rest, least_files, most_files = (a.unionByName(checkpointed(b.distinct())) for a, b in zip((rest, least_files, most_files), files_here))
     return figures
 
 
@@ -157,4 +159,4 @@ def _folded(branches, figures, run, sizes, own, terminal, run_files, rest, least
     least = chosen(new.where("kind = 'run'"), run_files).unionByName(chosen(new.where("kind = 'deleting'"), deleting)).unionByName(chosen(new.where("kind = 'together'"), together))
     by_all, by_turn = F.col("most") == F.col("unbounded"), F.col("most") == F.col("deleting")
     most = chosen(new.where(by_all), peaks).unionByName(chosen(new.where(~by_all & by_turn), deleting)).unionByName(chosen(new.where(~by_all & ~by_turn), run_files))
-    return new, checkpointed(stays.select("node", "file").distinct()), checkpointed(least.distinct()), checkpointed(most.distinct())
+    return new, stays.select("node", "file"), least, most
