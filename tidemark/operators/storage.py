@@ -79,8 +79,10 @@ def footprints(sizes: DataFrame, made: DataFrame, needed: DataFrame, final: Data
     makers = made.withColumnRenamed("node", "ancestor")
     results = made.join(final.select("file").dropna().distinct(), "file", "left_semi")
     terminal = checkpointed(results.select("node", "file").unionByName(results.withColumnRenamed("node", "ancestor").join(below, "ancestor").select("node", "file")))
-    still = needed.withColumnRenamed("node", "_user").join(below.select(F.col("ancestor").alias("node"), F.col("node").alias("_user")), "_user").select("node", "file").distinct()
-    waiting = makers.join(below, "ancestor").select("node", "file").join(still, ["node", "file"], "left_semi")
+    # a file waits while a task between its maker and its user runs: only a superfluous link has tasks between its ends
+    idle = links.join(direct, ["parent", "child"], "left_anti").select(F.col("parent").alias("ancestor"), F.col("child").alias("_user"))
+    far = makers.join(needed.withColumnRenamed("node", "_user"), "file").join(idle, ["ancestor", "_user"], "left_semi")
+    waiting = far.join(below, "ancestor").join(below.withColumnRenamed("node", "_user").withColumnRenamed("ancestor", "node"), ["node", "_user"], "left_semi").select("node", "file")
     own = made.select("node", "file")
     run_files = checkpointed(own.unionByName(needed.select("node", "file")).unionByName(terminal).unionByName(waiting).distinct())
     run = checkpointed(nodes.join(_bytes(run_files, sizes, "run"), "node", "left").fillna(0, ["run"]))

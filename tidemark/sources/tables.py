@@ -27,8 +27,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the shared folder that the session names; only cached where it names none."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir() and (shared := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
-        context.setCheckpointDir(shared)
-    return df.checkpoint() if context.getCheckpointDir() else df.cache()
+    """df written to the shared folder and read again: computed once, its lineage cut, its size known to joins above."""
+    path = shared_folder(df.sparkSession, "steps")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
