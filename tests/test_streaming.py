@@ -24,6 +24,20 @@ def test_live_state_is_the_replay(spark, tmp_path):
     assert {r.key: json.loads(r.s.attrs) for r in finals if r.s.alive} == replay(rows, lambda ts: True)
 
 
+def test_a_key_in_several_arrow_batches_is_taken_in_order(spark, tmp_path):
+    n, size = 50, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = [("d", i, 1000 + i, "C" if i == 0 else "U", "a", "n", str(i), {} if i == 0 else None) for i in reversed(range(n))]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.json(str(tmp_path / "in"))
+    before = spark.conf.get(size)
+    spark.conf.set(size, 7)
+    try:
+        run(keyed_state.live_objects(spark.readStream.schema(SCHEMA).json(str(tmp_path / "in"))), "arrow_batches", "update")
+    finally:
+        spark.conf.set(size, before)
+    (row,) = spark.table("arrow_batches").collect()
+    assert row.alive and json.loads(row.attrs) == {"n": str(n - 1)}
+
+
 def test_windows_equal_batch(spark, tmp_path):
     e = spark.range(200).select((F.lit(1_600_000_000) + F.col("id") * 37).cast("timestamp").alias("time"), (F.col("id") % 3).alias("k"))
     e.write.parquet(str(tmp_path / "e"))

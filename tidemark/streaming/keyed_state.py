@@ -45,11 +45,11 @@ def live_objects(events: DataFrame, lifetime: int | None = None) -> DataFrame:
             yield pd.DataFrame([(key[0], ts + (lifetime or 0), False, "{}")], columns=["key", "ts", "alive", "attrs"])
             return
         held = json.loads(attrs)
-        for frame in frames:
-            for e in frame.sort_values(["ts", "seq"]).itertuples(index=False):
-                body = dict(e.attrs) if e.attrs is not None else None
-                held, alive = apply_event(held, alive, e.op, e.name, e.value, body)
-                ts = max(ts, int(e.ts))
+        # a key's rows may come in several Arrow batches, which are in no order
+        for e in pd.concat(list(frames)).sort_values(["ts", "seq"]).itertuples(index=False):
+            body = dict(e.attrs) if e.attrs is not None else None
+            held, alive = apply_event(held, alive, e.op, e.name, e.value, body)
+            ts = max(ts, int(e.ts))
         state.update((json.dumps(held, sort_keys=True), bool(alive), ts))
         if lifetime is not None:
             state.setTimeoutTimestamp(max((ts + lifetime) * 1000, state.getCurrentWatermarkMs() + 1))
