@@ -34,6 +34,25 @@ def test_transaction_log(spark):
     assert [r[0] for r in spark.range(12).select(logs.task_range(F.col("id"), "1-3,9")).collect()] == [i in (1, 2, 3, 9) for i in range(12)]
 
 
+def test_a_managers_lines_never_meet_in_one_task(spark):
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, -1)
+    try:
+        log = logs.transactions(lines(spark, LOG))
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (log, logs.tasks(log), logs.workers(log))]
+    finally:
+        spark.conf.set(threshold, before)
+    assert not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in plans)
+    # more managers than are sent as they are: those of many lines and the others
+    rows = spark.createDataFrame([("a", i) for i in range(9)] + [("b", 1), ("c", 2)], "manager string, us long")
+    managers = rows.groupBy("manager").agg(F.max("us").alias("last"), F.count(F.lit(1)).alias("_n"))
+    want = sorted((r.manager, r.us, {"a": 8, "b": 1, "c": 2}[r.manager]) for r in rows.collect())
+    for few, many in ((10, 3), (1, 3), (1, 0), (1, 100)):
+        got = logs.with_managers(rows, managers, few, many)
+        assert got.columns == ["manager", "us", "last"] and sorted(map(tuple, got.collect())) == want
+
+
 def test_performance_and_graph_logs(spark, tmp_path):
     (tmp_path / "p").write_text("# timestamp tasks bytes\n1000 1 5\n2000 4 9\n")
     p = logs.performance(spark, str(tmp_path / "p"))

@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import checkpointed
+
+#: Managers that are sent to every task as they are, and lines of a manager beyond which it is one of many lines.
+FEW, MANY = 10_000, 1 << 16
 #: The fields of a resource summary.
 RESOURCES = (
     "start end wall_time cpu_time memory virtual_memory swap_memory disk bytes_read bytes_written bytes_received bytes_sent bandwidth gpus cores cores_avg machine_cpus machine_load "
@@ -20,10 +24,24 @@ def transactions(lines: DataFrame) -> DataFrame:
     """``time_us manager subject target event [argument]`` -> ts (seconds since the manager's start) and the rest."""
     f = F.split(F.trim("value"), r"\s+", 6)
     rows = lines.where(~F.col("value").startswith("#") & (F.size(f) >= 5)).select(f[0].cast("long").alias("us"), f[1].alias("manager"), f[2].alias("subject"), f[3].alias("target"), f[4].alias("event"), F.when(F.size(f) > 5, f[5]).alias("arg"))
-    start = rows.where("subject = 'MANAGER' AND event = 'START'").groupBy("manager").agg(F.min("us").alias("start_us"))
-    first = rows.groupBy("manager").agg(F.min("us").alias("first_us"))
-    origin = first.join(start, "manager", "left").select("manager", F.coalesce("start_us", "first_us").alias("origin"))
-    return rows.join(origin, "manager").select("manager", ((F.col("us") - F.col("origin")) / 1e6).alias("ts"), "us", "subject", "target", "event", "arg")
+    start = F.min(F.when((F.col("subject") == "MANAGER") & (F.col("event") == "START"), F.col("us")))
+    origin = rows.groupBy("manager").agg(F.coalesce(start, F.min("us")).alias("origin"), F.count(F.lit(1)).alias("_n"))
+    return with_managers(rows, origin).select("manager", ((F.col("us") - F.col("origin")) / 1e6).alias("ts"), "us", "subject", "target", "event", "arg")
+
+
+def with_managers(rows: DataFrame, managers: DataFrame, few: int = FEW, many: int = MANY) -> DataFrame:
+    """rows JOIN managers on manager, for managers(manager, _n: its lines, ...), without bringing a manager's rows into one task.
+
+    A few managers go to every task.  Of more, those of many lines do, of which there is one in ``many`` lines at most; the
+    others' rows are dealt by manager.
+    """
+    managers = checkpointed(managers)
+    if managers.limit(few + 1).count() <= few:
+        return rows.join(F.broadcast(managers.drop("_n")), "manager")
+    met = rows.join(F.broadcast(managers.where(F.col("_n") > many)), "manager", "left")
+    near = met.where("_n IS NOT NULL").drop("_n")
+    far = met.where("_n IS NULL").select(*rows.columns).join(managers.where(F.col("_n") <= many).drop("_n"), "manager")
+    return near.unionByName(far)
 
 
 def tasks(log: DataFrame) -> DataFrame:
@@ -47,9 +65,9 @@ def workers(log: DataFrame) -> DataFrame:
     w = log.where("subject = 'WORKER'")
     order = Window.partitionBy("manager", "target").orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
     w = w.withColumn("connection", F.sum(F.when(F.col("event") == "CONNECTION", 1).otherwise(0)).over(order))
-    last = log.groupBy("manager").agg(F.max("ts").alias("last"))
+    last = log.groupBy("manager").agg(F.max("ts").alias("last"), F.count(F.lit(1)).alias("_n"))
     w = w.groupBy("manager", F.col("target").alias("worker"), "connection").agg(F.min(F.when(F.col("event") == "CONNECTION", F.col("ts"))).alias("connected"), F.max(F.when(F.col("event") == "DISCONNECTION", F.col("ts"))).alias("disconnected"), F.max(F.when(F.col("event") == "DISCONNECTION", F.col("arg"))).alias("reason"))
-    return w.join(last, "manager").withColumn("disconnected", F.coalesce("disconnected", "last")).drop("last")
+    return with_managers(w, last).withColumn("disconnected", F.coalesce("disconnected", "last")).drop("last")
 
 
 def transfers(log: DataFrame) -> DataFrame:
