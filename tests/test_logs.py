@@ -53,6 +53,21 @@ def test_a_managers_lines_never_meet_in_one_task(spark):
         assert got.columns == ["manager", "us", "last"] and sorted(map(tuple, got.collect())) == want
 
 
+def test_levels_send_no_table_to_the_driver(spark, monkeypatch):
+    plans, write = [], graph.checkpointed
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(graph, "checkpointed", noted)
+    nodes = spark.range(1, 50).withColumnRenamed("id", "node")
+    needed = nodes.where("node > 1").select(F.floor(F.col("node") / 2).alias("file"), "node")
+    got = {r.node: r.level for r in graph.levels(nodes, graph.edges(nodes.select(F.col("node").alias("file"), "node"), needed)).collect()}
+    assert got == {n: n.bit_length() - 1 for n in range(1, 50)}
+    assert plans and not any("Broadcast" in p for p in plans)
+
+
 def test_performance_and_graph_logs(spark, tmp_path):
     (tmp_path / "p").write_text("# timestamp tasks bytes\n1000 1 5\n2000 4 9\n")
     p = logs.performance(spark, str(tmp_path / "p"))

@@ -1,4 +1,8 @@
-"""Workflow graphs as tables: nodes and edges, levels, widths, ancestors, k hops, readiness, export."""
+"""Workflow graphs as tables: nodes and edges, levels, widths, ancestors, k hops, readiness, export.
+
+Tables of a graph are narrow and compress well: what is small as a file need not be small in memory, so the steps that
+grow with the graph join by shuffles (``hint("merge")``) and send no table to the driver.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,7 @@ from tidemark.sources.tables import checkpointed
 
 def edges(created: DataFrame, needed: DataFrame) -> DataFrame:
     """created(file, node) and needed(file, node) -> (parent, child) of tasks."""
-    return created.select("file", F.col("node").alias("parent")).join(needed.select("file", F.col("node").alias("child")), "file").select("parent", "child").distinct()
+    return created.select("file", F.col("node").alias("parent")).hint("merge").join(needed.select("file", F.col("node").alias("child")), "file").select("parent", "child").distinct()
 
 
 def source_files(needed: DataFrame, created: DataFrame) -> DataFrame:
@@ -25,8 +29,8 @@ def levels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     A cycle is an error: no path can have more links than there are nodes.
     """
     n_nodes = nodes.select("node").distinct().count()
-    links = links.select("parent", "child").distinct()
-    frontier = nodes.select("node").distinct().join(links.select(F.col("child").alias("node")), "node", "left_anti").withColumn("level", F.lit(0))
+    links = checkpointed(links.select("parent", "child").distinct()).hint("merge")
+    frontier = nodes.select("node").distinct().hint("merge").join(links.select(F.col("child").alias("node")), "node", "left_anti").withColumn("level", F.lit(0))
     out = frontier
     for _ in range(n_nodes + 1):
         frontier = checkpointed(frontier.join(links, frontier["node"] == links["parent"]).select(F.col("child").alias("node"), (F.col("level") + 1).alias("level")).distinct())
