@@ -128,3 +128,17 @@ def test_write_shards(spark, tmp_path):
     sharding.write_shards(docs, f"file://{tmp_path}/out")
     back = spark.read.parquet(f"file://{tmp_path}/out")
     assert {(r.doc_id, r.shard) for r in back.collect()} == {(r.doc_id, r.shard) for r in sharding.sharded(docs).collect()}
+
+
+def test_op11_broadcasts_no_windows(spark, monkeypatch):
+    plans, write = [], hn.written
+
+    def noted(df, name="table"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(hn, "written", noted)
+    rows = spark.createDataFrame([(i, i % 3, [i % 7 - 3, i % 5]) for i in range(60)], "vec_id long, label long, q array<bigint>")
+    out = hn.hard_negatives(rows, F.col("vec_id") % 20 == 0)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.count() and any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)

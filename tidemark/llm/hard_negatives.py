@@ -12,6 +12,8 @@ left whose rows tie, digits of the ids follow.  Then only rows within the settle
 block, and ranked.  A block counts no buckets below the one that holds its own kth row: the kth row of all
 lies no lower.
 
+Windows grow with the anchors and compress well as files, so their joins are shuffles (``hint("merge")``): none is broadcast.
+
 Positives are one such selection (an anchor's best rows of its label), negatives another, whose windows the
 positives' scores give.  Nothing of it passes through the driver but how many blocks there are, the largest norms and ids,
 and whether a window is open.
@@ -172,8 +174,9 @@ class Selection:
 
     def _met(self, windows: DataFrame) -> DataFrame:
         per_block = windows.groupBy("a_block").agg(F.collect_list(F.struct(*WINDOW)).alias("windows"))
-        asked = self.anchors.join(per_block, "a_block").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.parts - 1).cast("long"))))
-        return self.rows.join(asked, "salt").drop("salt")
+        asked = self.anchors.hint("merge").join(per_block, "a_block").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.parts - 1).cast("long"))))
+        # of a salt the right side is held, which is a row block or two; the anchors pass by
+        return asked.hint("merge").join(self.rows, "salt").drop("salt")
 
     def _narrowed(self, windows: DataFrame) -> DataFrame:
         """One digit of every open window."""
@@ -188,8 +191,8 @@ class Selection:
         sums = found.groupBy(*key, "bucket").agg(F.sum("n").alias("n"))
         sums = sums.withColumn("upto", F.sum("n").over(Window.partitionBy(*key).orderBy("bucket")))
         # the bucket of the kth row: the first whose running count reaches what is needed
-        hit = sums.join(windows.select(*key, "need"), key).where("upto >= need").groupBy(*key).agg(F.min_by(F.struct("bucket", "n", "upto"), "bucket").alias("hit"))
-        w = windows.join(hit, key, "left")
+        hit = sums.hint("merge").join(windows.select(*key, "need"), key).where("upto >= need").groupBy(*key).agg(F.min_by(F.struct("bucket", "n", "upto"), "bucket").alias("hit"))
+        w = windows.hint("merge").join(hit, key, "left")
         by_id = F.col("lo") == F.col("hi")
         width = F.when(by_id, F.col("id_hi") - F.col("id_lo")).otherwise(F.col("hi") - F.col("lo"))
         bits = F.when(width > 0, F.length(F.bin(width))).otherwise(0)
@@ -251,7 +254,7 @@ def hard_negatives(rows: DataFrame, anchor: Column, positives: int = 5, negative
     found = best.where("score >= 0").select("a_block", "j", F.col("rank").alias("p"), F.expr(f"({low} * score + 99) div 100").alias("lo"), F.expr(f"({high} * score) div 100").alias("hi")).where("lo <= hi")
     worst = Selection(blocks, anchors, False, negatives, **sizes).best(found)
     named = best.select("a_block", "j", F.col("rank").alias("p"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
-    out = worst.join(named, ["a_block", "j", "p"])
+    out = worst.hint("merge").join(named, ["a_block", "j", "p"])
     return out.select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
 
