@@ -1,8 +1,10 @@
 import json
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark.streaming import keyed_state
+from tidemark.streaming.live_changes import LiveObjects
 from test_history import random_log, replay
 
 SCHEMA = "part string, seq long, ts long, op string, key string, name string, value string, attrs map<string,string>"
@@ -138,3 +140,37 @@ def test_tail_of_growing_files(spark, tmp_path):
     order = lambda df: [tuple(r[c] for c in columns) for r in df.orderBy("part", "seq").collect()]
     got, want = order(out), order(eventlog.parse(eventlog.read_lines(spark, str(root))))
     assert got == want and len(got) > 250
+
+
+class _Counted:
+    """A key's state in memory, counting the calls to it."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.calls = None, {}, [], 0
+
+    def __getattr__(self, name):
+        ways = {
+            "exists": lambda: self.value is not None, "get": lambda: self.value, "update": lambda v: setattr(self, "value", v),
+            "clear": lambda: self.map.clear(), "iterator": lambda: iter([((k,), v) for k, v in self.map.items()]), "containsKey": lambda k: k[0] in self.map,
+            "getValue": lambda k: self.map[k[0]], "updateValue": lambda k, v: self.map.update({k[0]: v}), "removeKey": lambda k: self.map.pop(k[0]),
+            "registerTimer": lambda t: self.timers.append(t), "deleteTimer": lambda t: self.timers.remove(t), "listTimers": lambda: iter([(t,) for t in self.timers]),
+        }
+
+        def call(*args):
+            self.calls += 1
+            return ways[name](*args)
+
+        return call
+
+
+def test_a_batch_of_a_key_makes_few_calls_to_the_store():
+    p, s, life = LiveObjects(lifetime=60, whole=True, ignore=("uptime",)), _Counted(), _Counted()
+    p.handle, p.attrs, p.life = s, s, life
+    beat = lambda i, kind: Row(key="a", ts=i, seq=i, op=None, name=None, value=None, attrs={"type": kind, "uptime": str(i)})
+    got = list(p.handleInputRows(("a",), iter([beat(i, "x") for i in range(50)]), None))
+    assert [(r.ts, r.op) for r in got] == [(0, "C")] and s.timers == [109_000]
+    s.calls = life.calls = 0
+    got = list(p.handleInputRows(("a",), iter([beat(i, "y" if i > 70 else "x") for i in reversed(range(50, 100))]), None))
+    assert [(r.ts, r.op, r.name, r.old, r.value) for r in got] == [(71, "U", "type", "x", "y")]
+    assert s.map == {"type": ("y",), "uptime": ("99",)} and s.timers == [159_000]
+    assert s.calls + life.calls <= 8

@@ -22,7 +22,8 @@ def _batches(spark, sf, kept: str = "true") -> DataFrame:
     folder = shared_folder(spark, "live")
     for low, high in zip((None, *CUTS), (*CUTS, None)):
         part = e.where((F.col("ts") >= low) if low else F.lit(True)).where((F.col("ts") < high) if high else F.lit(True))
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        # one file is one batch; its row groups are short, for as many tasks to read it
+        part.coalesce(1).write.mode("append").option("parquet.block.size", 1 << 22).parquet(f"{folder}/in")
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     return stream.withColumn("time", F.col("ts").cast("timestamp")).withWatermark("time", "1 second")
 

@@ -21,13 +21,13 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from contextlib import contextmanager
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 CHANGES = "key string, ts long, op string, name string, old string, value string"
-COLUMNS = ["key", "ts", "op", "name", "old", "value"]
+CHANGE = Row("key", "ts", "op", "name", "old", "value")
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -61,21 +61,20 @@ class LiveObjects(StatefulProcessor):
         self.attrs = handle.getMapState("attrs", "name string", "value string")
         self.life = handle.getValueState("life", "alive boolean, ts long")
 
-    def _stored(self, name: str) -> str | None:
-        return self.attrs.getValue((name,))[0] if self.attrs.containsKey((name,)) else None
-
-    def _old(self, held: dict, name: str) -> str | None:
-        """A value, read from the store once a call; held has what was read or written since."""
-        if name not in held:
-            held[name] = self._stored(name)
-        return held[name]
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        alive, last = self.life.get() if self.life.exists() else (False, None)
-        held: dict[str, str | None] = {}
-        began, heard, out = alive, last, []
-        dropped = False
+    def _old(self, stored: dict, name: str) -> str | None:
+        """A value of the store, read once a call; stored has what was read since."""
+        if name not in stored:
+            stored[name] = self.attrs.getValue((name,))[0] if self.attrs.containsKey((name,)) else None
+        return stored[name]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        events = sorted((tuple(r)[1:7] for r in rows), key=itemgetter(0, 1))
+        began, last = self.life.get() if self.life.exists() else (False, None)
+        # what the store has, as far as it was read, and what the rows make of it; every call to the store is a way to the JVM and back
+        stored: dict[str, str | None] = {n[0]: v[0] for n, v in self.attrs.iterator()} if self.whole and began else {}
+        held = dict(stored)
+        alive, heard, out = began, last, []
+        dropped = not began
 
         def begin(ts: int, attrs: dict) -> None:
             held.update(attrs)
@@ -87,17 +86,13 @@ class LiveObjects(StatefulProcessor):
             out.append((ts, op, None, None, None))
 
         def put(ts: int, name: str, value: str | None) -> None:
-            old = held.get(name) if dropped or not began else self._old(held, name)
+            old = held[name] if name in held else None if dropped else self._old(stored, name)
             if old != value:
                 held[name] = value
                 out.append((ts, "R" if value is None else "U", name, old, value))
 
-        def now() -> dict:
-            stored = {} if dropped or not began else {n[0]: v[0] for n, v in self.attrs.iterator()}
-            return {n: v for n, v in (stored | held).items() if v is not None}
-
-        for e in frame.itertuples(index=False):
-            ts, attrs = int(e.ts), {k: v for k, v in dict(e.attrs).items() if v is not None} if e.attrs is not None else {}
+        for ts, _, op, name, value, body in events:
+            attrs = {k: v for k, v in dict(body).items() if v is not None} if body is not None else {}
             if alive and self.lifetime is not None and heard is not None and ts - heard > self.lifetime:
                 end(heard + self.lifetime, "X")
                 alive = False
@@ -107,61 +102,63 @@ class LiveObjects(StatefulProcessor):
                     begin(ts, attrs)
                     alive = True
                     continue
-                before = now()
-                for name in sorted(before.keys() | attrs.keys()):
-                    if name not in self.ignore:
-                        put(ts, name, attrs.get(name))
-                    elif name in attrs:
-                        held[name] = attrs[name]
-            elif e.op == "C":
+                for n in sorted({n for n, v in held.items() if v is not None} | attrs.keys()):
+                    if n not in self.ignore:
+                        put(ts, n, attrs.get(n))
+                    elif n in attrs:
+                        held[n] = attrs[n]
+            elif op == "C":
                 if not alive:
                     begin(ts, attrs)
                     alive = True
             elif alive:
-                if e.op == "D":
+                if op == "D":
                     end(ts, "D")
                     alive = False
-                elif e.op == "M":
-                    for name in sorted(attrs):
-                        put(ts, name, attrs[name])
-                elif e.op in ("U", "R"):
-                    put(ts, e.name, e.value if e.op == "U" else None)
-        if dropped:
+                elif op == "M":
+                    for n in sorted(attrs):
+                        put(ts, n, attrs[n])
+                elif op in ("U", "R"):
+                    put(ts, name, value if op == "U" else None)
+        if began and dropped:
             self.attrs.clear()
+        before = {} if dropped else stored
         for name, value in held.items():
-            if value is not None:
-                self.attrs.updateValue((name,), (value,))
-            elif began and not dropped and self.attrs.containsKey((name,)):
-                self.attrs.removeKey((name,))
-        self.life.update((alive, heard))
-        self._wait(alive, heard)
-        if out:
-            yield pd.DataFrame([(key[0], *x) for x in out], columns=COLUMNS)
-
-    def _wait(self, alive: bool, heard: int | None) -> None:
-        """The one timer of a key: when its lifetime is over."""
-        if self.lifetime is None:
+            if value != before.get(name):
+                if value is None:
+                    self.attrs.removeKey((name,))
+                else:
+                    self.attrs.updateValue((name,), (value,))
+        if (alive, heard) != (began, last):
+            self.life.update((alive, heard))
+            self._wait(last if began else None, heard if alive else None)
+        for ts, op, name, old, value in out:
+            yield CHANGE(key[0], ts, op, name, old, value)
+
+    def _wait(self, before: int | None, heard: int | None) -> None:
+        """The one timer of a key that is alive, for when its lifetime is over: in place of the one set when it was heard ``before``."""
+        if self.lifetime is None or before == heard:
             return
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at[0] if isinstance(at, tuple) else at)
-        if alive and heard is not None:
+        if before is not None:
+            self.handle.deleteTimer((before + self.lifetime) * 1000)
+        if heard is not None:
             self.handle.registerTimer((heard + self.lifetime) * 1000)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         alive, last = self.life.get() if self.life.exists() else (False, None)
         if alive and last + self.lifetime <= expiredTimerInfo.getExpiryTimeInMs() // 1000:
             self.attrs.clear()
             self.life.clear()
-            yield pd.DataFrame([(key[0], last + self.lifetime, "X", None, None, None)], columns=COLUMNS)
+            yield CHANGE(key[0], last + self.lifetime, "X", None, None, None)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        for r in initialState.itertuples(index=False):
-            ts = int(r.ts)
-            for name, value in dict(r.attrs).items():
+        # one row; by the interface of rows Spark hands it as it is
+        for _, ts, attrs in [initialState] if isinstance(initialState, Row) else initialState:
+            for name, value in dict(attrs).items():
                 if value is not None:
                     self.attrs.updateValue((name,), (value,))
             self.life.update((True, ts))
-            self._wait(True, ts)
+            self._wait(None, ts)
 
     def close(self) -> None:
         pass
@@ -172,4 +169,6 @@ def changes(events: DataFrame, lifetime: int | None = None, whole: bool = False,
 
     began: the objects (key, ts, attrs) that are alive before the stream begins.
     """
-    return events.groupBy("key").transformWithStateInPandas(LiveObjects(lifetime, whole, ignore), CHANGES, "update", "None" if lifetime is None else "EventTime", began.groupBy("key") if began is not None else None)
+    rows = events.select("key", "ts", "seq", "op", "name", "value", "attrs", *(["time"] if "time" in events.columns else []))
+    began = began.select("key", "ts", "attrs").groupBy("key") if began is not None else None
+    return rows.groupBy("key").transformWithState(LiveObjects(lifetime, whole, ignore), CHANGES, "update", "None" if lifetime is None else "EventTime", began)
