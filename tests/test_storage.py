@@ -131,3 +131,10 @@ def test_no_tasks(spark):
 def test_cycle_is_an_error(spark):
     with pytest.raises(ValueError, match="cycle"):
         storage.footprints(*frames(spark, {}, [("a", 1), ("b", 2)], [("a", 2), ("b", 1)], set()))
+
+
+def test_the_graph_is_not_closed_as_a_whole(spark, monkeypatch):
+    """A superfluous link, a final file in the middle and one at the end: only what these need is looked for."""
+    monkeypatch.setattr(storage.graph, "closure", lambda *a, **k: pytest.fail("closure of the whole graph"))
+    g = {"a": 3, "b": 4, "c": 5, "d": 6}, [("a", 1), ("b", 2), ("c", 3), ("d", 4)], [("a", 2), ("a", 3), ("a", 4), ("b", 4), ("c", 4)], {"b", "d"}
+    assert {r.node: tuple(r)[1:] for r in storage.footprints(*frames(spark, *g)).collect()} == walked(*g)

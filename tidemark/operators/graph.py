@@ -40,6 +40,52 @@ def levels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     raise ValueError("the graph has a cycle")
 
 
+def peeled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """The levels of ``levels`` for links whose ends are all in nodes(node); a node is taken once, when its last parent is.
+
+    A cycle is an error, found when nothing more can be taken.
+    """
+    links = checkpointed(links.select("parent", "child").distinct()).hint("merge")
+    asked = checkpointed(links.groupBy("child").agg(F.count(F.lit(1)).alias("_asked"))).hint("merge")
+    out = now = checkpointed(nodes.select("node").distinct().hint("merge").join(asked.select(F.col("child").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)))
+    waiting = None
+    for level in itertools.count(1):
+        came = now.join(links, now["node"] == links["parent"]).groupBy("child").agg(F.count(F.lit(1)).alias("_came"))
+        came = came if waiting is None else came.unionByName(waiting).groupBy("child").agg(F.sum("_came").alias("_came"))
+        came = checkpointed(came.join(asked, "child"))
+        now = came.where("_came = _asked").select(F.col("child").alias("node"), F.lit(level).alias("level"))
+        waiting = came.where("_came < _asked").select("child", "_came")
+        if now.isEmpty():
+            break
+        out = out.unionByName(now)
+    if out.count() < nodes.select("node").distinct().count():
+        raise ValueError("the graph has a cycle")
+    return out
+
+
+def descendants(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """(ancestor, node): what lies below starts(ancestor, deepest) along links(parent, child, level), down to that level of a child."""
+    found = now = checkpointed(starts.join(links.withColumnRenamed("parent", "ancestor"), "ancestor").where("level <= deepest").select("ancestor", F.col("child").alias("node"), "deepest").distinct())
+    while not now.isEmpty():
+        step = now.join(links.withColumnRenamed("parent", "node"), "node").where("level <= deepest").select("ancestor", F.col("child").alias("node"), "deepest").distinct()
+        now = checkpointed(step.join(found.select("ancestor", "node"), ["ancestor", "node"], "left_anti"))
+        found = found.unionByName(now)
+    return found.select("ancestor", "node")
+
+
+def between(links: DataFrame, pairs: DataFrame, below: DataFrame) -> DataFrame:
+    """(ancestor, end, node): the nodes on the ways from ancestor to end of every pair, for below(ancestor, node) of their ancestors."""
+    up = links.select("parent", F.col("child").alias("node"))
+    now = pairs.select("ancestor", "end", F.col("end").alias("node"))
+    found = None
+    while True:
+        step = now.join(up, "node").select("ancestor", "end", F.col("parent").alias("node")).distinct().join(below, ["ancestor", "node"], "left_semi")
+        now = checkpointed(step if found is None else step.join(found, ["ancestor", "end", "node"], "left_anti"))
+        found = now if found is None else found.unionByName(now)
+        if now.isEmpty():
+            return found
+
+
 def depth_and_width(leveled: DataFrame) -> DataFrame:
     return leveled.groupBy("level").agg(F.count(F.lit(1)).alias("n")).agg((F.max("level") + 1).alias("depth"), F.max("n").alias("width"))
 

@@ -13,8 +13,9 @@ The least of a task is the smaller of ``deleting`` and ``together``, or ``run``
 
 The fold is by levels of *branching* tasks alone: for all others, least and most are their run files.  Every set is rows
 of (task, file), so a task with any number of branches or files is summed partially and held in no one row; only the
-running sum over one task's branches is a window, of one row a branch.  The closure of the graph is needed, as
-readiness and provenance need it; its size is the number of pairs of tasks one of which is above the other.
+running sum over one task's branches is a window, of one row a branch.  What lies below a task is only needed for makers of
+final files, and where a link passes a level by: a link from a level to the next has no longer path beside it.  So the
+graph is not closed as a whole.  Tasks and files are numbered first; tasks in their order, as ties go by it.
 """
 
 from __future__ import annotations
@@ -26,22 +27,27 @@ from tidemark.operators import graph
 from tidemark.sources.tables import checkpointed
 
 
-def direct_children(links: DataFrame, below: DataFrame) -> DataFrame:
-    """Links that no longer path makes superfluous; below(ancestor, node) is the closure of links."""
-    longer = links.join(below.select(F.col("ancestor").alias("child"), F.col("node").alias("_end")), "child")
-    return links.join(longer.select("parent", F.col("_end").alias("child")).distinct(), ["parent", "child"], "left_anti")
+def numbered(names: DataFrame, column: str) -> DataFrame:
+    """names(column) with ``id``, a number that orders as the name does."""
+    return checkpointed(names.select(column).distinct().orderBy(column).select(column, F.monotonically_increasing_id().alias("id")))
 
 
-def meeting_points(nodes: DataFrame, direct: DataFrame) -> DataFrame:
+def superfluous(jumps: DataFrame, links: DataFrame, below: DataFrame) -> DataFrame:
+    """Of the links jumps(parent, child) those that a longer path makes superfluous: another parent of the child is below the parent."""
+    others = jumps.select("parent", "child").join(links.select(F.col("parent").alias("node"), "child"), "child")
+    return others.join(below.withColumnRenamed("ancestor", "parent"), ["parent", "node"], "left_semi").select("parent", "child").distinct()
+
+
+def meeting_points(depth: DataFrame, direct: DataFrame) -> DataFrame:
     """(node, at, member): the tasks that every way down from node passes, numbered from the last one to node itself.
 
     Two such lists that agree at a place agree before it, so what a task's children share is a count by place.
+    depth(node, level): children have larger levels, so these are gone through from the last to the first.
     """
-    height = graph.levels(nodes, direct.select(F.col("child").alias("parent"), F.col("parent").alias("child")))
-    todo = checkpointed(height.join(direct.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n")), "node", "left"))
-    done = checkpointed(todo.where("level = 0").select("node", F.lit(0).alias("at"), F.col("node").alias("member")))
-    for level in range(1, todo.agg(F.max("level")).head()[0] + 1 if not todo.isEmpty() else 1):
-        now = todo.where(F.col("level") == level).select("node", "n")
+    todo = checkpointed(depth.join(direct.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n")), "node", "left"))
+    done = checkpointed(todo.where("n IS NULL").select("node", F.lit(0).alias("at"), F.col("node").alias("member")))
+    for level in sorted((r.level for r in todo.where("n > 0").select("level").distinct().collect()), reverse=True):
+        now = todo.where((F.col("level") == level) & (F.col("n") > 0)).select("node", "n")
         ways = now.join(direct.select(F.col("parent").alias("node"), "child"), "node").join(done.withColumnRenamed("node", "child"), "child")
         shared = ways.groupBy("node", "at").agg(F.min("member").alias("member"), F.max("member").alias("_max"), F.count(F.lit(1)).alias("have"), F.max("n").alias("n"))
         shared = shared.where("have = n AND member = _max").select("node", "at", "member")
@@ -64,31 +70,44 @@ def footprints(sizes: DataFrame, made: DataFrame, needed: DataFrame, final: Data
     without a split has zeros for the three sums of branches.  A cycle is an error.  Equal weights and equal gains go
     by the smaller task.
     """
-    made = checkpointed(made.select("file", "node").dropna().distinct())
-    needed = checkpointed(needed.select("file", "node").dropna().distinct())
-    named = made.select("file").union(needed.select("file")).distinct()
-    sizes = checkpointed(named.join(sizes.groupBy("file").agg(F.max("size").cast("long").alias("size")), "file", "left").fillna(0, ["size"]))
-    nodes = checkpointed(made.select("node").union(needed.select("node")).distinct())
+    made, needed = (x.select("file", "node").dropna().distinct() for x in (made, needed))
+    tasks = numbered(made.select("node").union(needed.select("node")), "node")
+    named = numbered(made.select("file").union(needed.select("file")), "file")
+
+    def ids(rows: DataFrame) -> DataFrame:
+        rows = rows.join(named.withColumnRenamed("id", "_file"), "file").join(tasks.withColumnRenamed("id", "_node"), "node")
+        return checkpointed(rows.select(F.col("_file").alias("file"), F.col("_node").alias("node")))
+
+    made, needed = ids(made), ids(needed)
+    final = final.select("file").dropna().distinct().join(named, "file").select(F.col("id").alias("file"))
+    sizes = checkpointed(named.join(sizes.groupBy("file").agg(F.max("size").cast("long").alias("size")), "file", "left").select(F.col("id").alias("file"), F.coalesce("size", F.lit(0)).alias("size")))
+    nodes = tasks.select(F.col("id").alias("node"))
     links = checkpointed(graph.edges(made, needed))
-    below = graph.closure(links).select("ancestor", "node")
-    if not below.where("ancestor = node").isEmpty():
-        raise ValueError("the graph has a cycle")
-    direct = checkpointed(direct_children(links, below))
+    depth = checkpointed(graph.peeled(nodes, links))
+    links = checkpointed(links.join(depth.withColumnRenamed("node", "child"), "child"))
+    jumps = checkpointed(links.join(depth.select(F.col("node").alias("parent"), F.col("level").alias("_above")), "parent").where("level > _above + 1").select("parent", "child", "level"))
 
     # what a task runs with
-    makers = made.withColumnRenamed("node", "ancestor")
-    results = made.join(final.select("file").dropna().distinct(), "file", "left_semi")
-    terminal = checkpointed(results.select("node", "file").unionByName(results.withColumnRenamed("node", "ancestor").join(below, "ancestor").select("node", "file")))
-    # a file waits while a task between its maker and its user runs: only a superfluous link has tasks between its ends
-    idle = links.join(direct, ["parent", "child"], "left_anti").select(F.col("parent").alias("ancestor"), F.col("child").alias("_user"))
-    far = makers.join(needed.withColumnRenamed("node", "_user"), "file").join(idle, ["ancestor", "_user"], "left_semi")
-    waiting = far.join(below, "ancestor").join(below.withColumnRenamed("node", "_user").withColumnRenamed("ancestor", "node"), ["node", "_user"], "left_semi").select("node", "file")
+    results = checkpointed(made.join(final, "file", "left_semi"))
+    starts = jumps.groupBy(F.col("parent").alias("ancestor")).agg(F.max("level").alias("deepest"))
+    starts = starts.unionByName(results.select(F.col("node").alias("ancestor"), F.lit((1 << 31) - 1).alias("deepest"))).groupBy("ancestor").agg(F.max("deepest").alias("deepest"))
+    below = graph.descendants(links, starts)
+    terminal = checkpointed(results.unionByName(results.withColumnRenamed("node", "ancestor").join(below, "ancestor").select("file", "node")).select("node", "file"))
+    idle = checkpointed(superfluous(jumps, links, below))
+    direct = links.select("parent", "child")
     own = made.select("node", "file")
-    run_files = checkpointed(own.unionByName(needed.select("node", "file")).unionByName(terminal).unionByName(waiting).distinct())
+    run_files = own.unionByName(needed.select("node", "file")).unionByName(terminal)
+    if not idle.isEmpty():
+        direct = checkpointed(direct.join(idle, ["parent", "child"], "left_anti"))
+        # a file waits while a task between its maker and its user runs: only a superfluous link has tasks between its ends
+        far = idle.select(F.col("parent").alias("ancestor"), F.col("child").alias("end"))
+        files = made.withColumnRenamed("node", "ancestor").join(needed.withColumnRenamed("node", "end"), "file").join(far, ["ancestor", "end"], "left_semi")
+        run_files = run_files.unionByName(files.join(graph.between(links, far, below), ["ancestor", "end"]).select("node", "file"))
+    run_files = checkpointed(run_files.distinct())
     run = checkpointed(nodes.join(_bytes(run_files, sizes, "run"), "node", "left").fillna(0, ["run"]))
 
     # branches: of each child, the points on its ways that the children do not share
-    points = checkpointed(meeting_points(nodes, direct))
+    points = checkpointed(meeting_points(depth, direct))
     split = direct.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
     shared = points.where("member <> node").groupBy("node").agg((F.max("at") + 1).alias("_cut"))
     cuts = split.join(shared, "node", "left").fillna(0, ["_cut"])
@@ -97,7 +116,7 @@ def footprints(sizes: DataFrame, made: DataFrame, needed: DataFrame, final: Data
 
     # levels of tasks that split: a task comes after the splits in its branches
     inner = branches.select(F.col("member").alias("parent"), F.col("node").alias("child")).distinct().join(split.withColumnRenamed("node", "parent"), "parent", "left_semi")
-    rank = checkpointed(graph.levels(split, inner))
+    rank = checkpointed(graph.peeled(split, inner))
     plain = run.join(split, "node", "left_anti")
     figures = plain.select("node", "run", *[F.lit(0).cast("long").alias(x) for x in ("deleting", "together", "unbounded")], F.col("run").alias("least"), F.col("run").alias("most"), F.lit("run").alias("kind"))
     rest = own.unionByName(terminal).distinct().join(split, "node", "left_anti")
@@ -110,7 +129,7 @@ def footprints(sizes: DataFrame, made: DataFrame, needed: DataFrame, final: Data
         figures = figures.unionByName(new)
         if level < last:  # the files of the last level's tasks are nobody's branch
             rest, least_files, most_files = (a.unionByName(checkpointed(b.distinct())) for a, b in zip((rest, least_files, most_files), files_here))
-    return figures
+    return figures.withColumnRenamed("node", "id").join(tasks, "id").select("node", *figures.columns[1:])
 
 
 def _folded(branches, figures, run, sizes, own, terminal, run_files, rest, least_files, most_files):
