@@ -174,3 +174,20 @@ def test_a_batch_of_a_key_makes_few_calls_to_the_store():
     assert [(r.ts, r.op, r.name, r.old, r.value) for r in got] == [(71, "U", "type", "x", "y")]
     assert s.map == {"type": ("y",), "uptime": ("99",)} and s.timers == [159_000]
     assert s.calls + life.calls <= 8
+
+
+def test_short_ranges_share_a_task(tmp_path):
+    from tidemark.sources import log_tail
+
+    (tmp_path / "2024").mkdir()
+    lines = [f"U k a {i}" + "x" * (i % 90) for i in range(500)]
+    (tmp_path / "2024" / "9.log").write_text("\n".join(lines) + "\n")
+    r = log_tail.TailReader(f"file://{tmp_path}", 64)
+    parts = r.partitions({}, r.latestOffset())
+    rows = [x for p in parts for b in r.read(p) for x in b.to_pylist()]
+    assert len(parts) == 1 and [x["line"] for x in rows] == lines
+    starts, at = [], 0
+    for line in lines:
+        starts.append(at * 2 + 1)
+        at += len(line) + 1
+    assert [x["line_no"] for x in rows] == starts

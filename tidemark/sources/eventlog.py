@@ -90,15 +90,18 @@ def upgraded(lines: DataFrame) -> DataFrame:
     return heads.select("part", "line_no", F.when(bare, F.concat(F.rtrim("line"), F.lit(" "), F.coalesce("attrs", F.lit("{}")))).otherwise(F.col("line")).alias("line"))
 
 
-def fields(lines: DataFrame) -> DataFrame:
+def fields(lines: DataFrame, parsed: bool = True) -> DataFrame:
     """lines(part, line_no, line, ...) with what each says: seq, op, key, name, value, attrs, mark; unknown lines are dropped.
 
+    Without ``parsed`` attrs are the JSON text of the line.
+
     A removal run together with the record after it (``R key name`` without a line end) is split.
     """
     fixed = F.regexp_replace("line", r"^(R \S+ [A-Za-z_][A-Za-z0-9_]*)([CDMURTt] )", "$1\n$2")
     others = [c for c in lines.columns if c not in ("line_no", "line")]
     one = lines.select(*others, "line_no", F.posexplode(F.split(fixed, "\n")).alias("sub", "line"))
     op = F.substring("line", 1, 1)
+    body = F.regexp_extract("line", r"^[CM] \S+ (.*)$", 1)
     word = lambda n: F.regexp_extract("line", r"^\S+ (\S+)" + (r" (\S+)" * (n - 1)), n)
     return one.where(F.col("line").rlike(r"^([CM] \S+ \{|D \S+|U \S+ \S+ .|R \S+ \S+|[Tt] \d+)")).select(
         *others,
@@ -107,7 +110,7 @@ def fields(lines: DataFrame) -> DataFrame:
         F.when(~op.isin("T", "t"), word(1)).alias("key"),
         F.when(op.isin("U", "R"), word(2)).alias("name"),
         F.when(op == "U", F.regexp_extract("line", r"^U \S+ \S+ (.*)$", 1)).alias("value"),
-        F.when(op.isin("C", "M"), F.from_json(F.regexp_extract("line", r"^[CM] \S+ (.*)$", 1), "map<string,string>")).alias("attrs"),
+        F.when(op.isin("C", "M"), F.from_json(body, "map<string,string>") if parsed else body).alias("attrs"),
         F.when(op.isin("T", "t"), word(1).cast("long")).alias("mark"),
     )
 

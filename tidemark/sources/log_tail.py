@@ -5,8 +5,8 @@
     events = timed(lines)
 
 The source's offset is how many bytes of every day file have been read, always up to a line's end.  A micro-batch is
-what lies between two offsets, cut into ranges that are tasks of their own.  Lines carry the numbers that the batch reader
-gives them within a range, so they order alike.  Relative times need what came before: the time at the end
+what lies between two offsets, cut into ranges that are read at once; short ones that follow one another are one task.  Lines
+carry the numbers that the batch reader gives them within a range, so they order alike.  Relative times need what came before: the time at the end
 of a part is a state of that part, so a day's lines keep their times however they fall into batches.
 
 A day file is ``2024/9.log`` under path, on any file system that pyarrow opens by its address.
@@ -14,7 +14,6 @@ A day file is ``2024/9.log`` under path, on any file system that pyarrow opens b
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 
@@ -30,8 +29,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidemark.sources.eventlog import EVENT, fields
 
 DAY_FILE = re.compile(r"(?:^|/)(\d{4,})/(\d{1,3})\.log$")
-#: Bytes of a range, and of what is read at once to look for a line's end.
-RANGE, LOOK = 1 << 24, 1 << 16
+#: Bytes of a range, of ranges that follow one another in a task, and of what is read at once to look for a line's end.
+RANGE, TASK, LOOK = 1 << 24, 1 << 24, 1 << 16
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -39,7 +38,7 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 class Range(InputPartition):
-    """The lines of a file that begin in [low, high)."""
+    """The lines of a file that begin in [low, high): one or several ranges."""
 
     def __init__(self, part: str, file: str, low: int, high: int):
         self.part, self.file, self.low, self.high = part, file, low, high
@@ -79,7 +78,8 @@ class TailReader(DataSourceStreamReader):
         logs, out = self._logs(), []
         for part, high in end.items():
             low = start.get(part, 0)
-            out += [Range(part, logs[part].path, at, min(at + self.size, high)) for at in range(low, high, self.size)]
+            step = max(1, TASK // self.size) * self.size
+            out += [Range(part, logs[part].path, at, min(at + step, high)) for at in range(low, high, step)]
         return out
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
@@ -88,13 +88,19 @@ class TailReader(DataSourceStreamReader):
             at = partition.low
             if at and f.read_at(1, at - 1) != b"\n":  # the line that is under way belongs to the range before
                 at = self._next(f, at)
-            end = self._next(f, partition.high - 1) if partition.high > at else at
-            data = f.read_at(end - at, at)
+            for low in range(partition.low, partition.high, self.size):
+                high = min(low + self.size, partition.high)
+                if high > at:
+                    end = self._next(f, high - 1)
+                    yield self._lines(partition.part, at, f.read_at(end - at, at))
+                    at = end
+
+    def _lines(self, part: str, at: int, data: bytes) -> pa.RecordBatch:
         lines = data.split(b"\n")
         sizes = np.array([len(x) + 1 for x in lines], np.int64)
         start = at + np.cumsum(sizes) - sizes
         keep = [i for i, x in enumerate(lines) if x]
-        yield pa.RecordBatch.from_arrays([pa.array([partition.part] * len(keep)), pa.array(start[keep] * 2 + 1), pa.array([lines[i].decode(errors="replace") for i in keep], pa.string())], names=["part", "line_no", "line"])
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(keep), pa.string()), pa.array(start[keep] * 2 + 1), pa.array([lines[i].decode(errors="replace") for i in keep], pa.string())], names=["part", "line_no", "line"])
 
     def _next(self, f: pa.NativeFile, at: int) -> int:
         """Where the line after the one at ``at`` begins."""
@@ -120,6 +126,10 @@ class LogTail(DataSource):
         return TailReader(self.options["path"], int(self.options.get("range", RANGE)))
 
 
+#: Of an event, what comes before its attributes.
+PLAIN = EVENT.rsplit(",", 2)[0]
+
+
 def timed(lines: DataFrame) -> DataFrame:
     """A stream of lines as events (eventlog.EVENT): the time at the end of each part is kept from batch to batch."""
 
@@ -133,11 +143,11 @@ def timed(lines: DataFrame) -> DataFrame:
         last = np.maximum.accumulate(np.where(whole, np.arange(len(rows)), -1))
         rows["ts"] = run + np.where(last >= 0, base[np.maximum(last, 0)], now)
         state.update((int(rows["ts"].iloc[-1]),))
-        rows["attrs"] = [None if x is None else json.loads(x) for x in rows["attrs"]]
         yield rows[["part", "seq", "ts", "op", "key", "name", "value", "attrs"]]
 
-    rows = fields(lines).withColumn("attrs", F.to_json("attrs"))
-    return rows.groupBy("part").applyInPandasWithState(step, EVENT, "now long", "append", GroupStateTimeout.NoTimeout)
+    # attributes pass through Python as the text that they are in the log
+    rows = fields(lines, parsed=False).groupBy("part").applyInPandasWithState(step, f"{PLAIN}, attrs string", "now long", "append", GroupStateTimeout.NoTimeout)
+    return rows.withColumn("attrs", F.from_json("attrs", "map<string,string>"))
 
 
 def write_files(lines: DataFrame, root: str) -> DataFrame:
@@ -160,15 +170,18 @@ def write_files(lines: DataFrame, root: str) -> DataFrame:
             done.append((now, n))
 
         for batch in batches:
-            for part, line in zip(batch.column("part").to_pylist(), batch.column("line").to_pylist()):
-                if part != now:
+            lines = batch.column("line").to_pylist()
+            runs = batch.column("part").dictionary_encode().indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(lines)] if lines else [0]
+            for low, high in zip(cuts, cuts[1:]):
+                if (part := batch.column("part")[low].as_py()) != now:
                     if out:
                         close()
                     now, n, aside = part, 0, f"{base}/{part.split('/')[0]}/.{part.split('/')[1]}-{TaskContext.get().taskAttemptId()}"
                     fs.create_dir(aside.rsplit("/", 1)[0])
                     out = fs.open_output_stream(aside)
-                out.write(f"{line}\n".encode())
-                n += 1
+                out.write("".join(f"{line}\n" for line in lines[low:high]).encode())
+                n += high - low
         if out:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], names=["part", "lines"])
