@@ -155,3 +155,12 @@ def test_spans_and_older_lines(spark):
     old = ["T 100", "C a", "name one two", "load 3", "load 4", "", "D a", "C b", 'C c {"z":1}', "R c z"]
     lines = spark.createDataFrame([("p", i, x) for i, x in enumerate(old)], "part string, line_no long, line string")
     assert [r.line for r in eventlog.upgraded(lines).orderBy("line_no").collect()] == ["T 100", 'C a {"load":"4","name":"one two"}', "D a", "C b {}", 'C c {"z":1}', "R c z"]
+
+
+def test_change_capture_uses_all_shuffle_partitions(spark):
+    """Objects that are small when shuffled stay in as many tasks as there are shuffle partitions, and are read once."""
+    o = spark.range(400).select((F.col("id") % 40).alias("key"), F.col("id").alias("ts"), F.create_map(F.lit("a"), (F.col("id") % 3).cast("string")).alias("attrs"))
+    got = history.change_capture(o)
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert got.where("op = 'C'").count() == 40 and got.where("op = 'M'").count() == 360
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window") == 1

@@ -142,7 +142,11 @@ def displays(states: DataFrame, *outputs: Column, iso: bool = False) -> DataFram
 
 
 def change_capture(objects: DataFrame, ignore: tuple[str, ...] = ("lastheardfrom", "uptime")) -> DataFrame:
-    """objects(key, ts, attrs) in time order -> the events that turn each into the next: C, then M and R."""
+    """objects(key, ts, attrs) in time order -> the events that turn each into the next: C, then M and R.
+
+    Objects compress well, so tasks are not sized by what is shuffled: all shuffle partitions are used, and each is sorted once.
+    """
+    objects = objects.repartition(int(objects.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     order = Window.partitionBy("key").orderBy("ts")
     o = objects.withColumn("_old", F.lag("attrs").over(order))
     old = F.coalesce("_old", F.create_map().cast("map<string,string>"))
@@ -150,11 +154,12 @@ def change_capture(objects: DataFrame, ignore: tuple[str, ...] = ("lastheardfrom
     o = o.select("key", "ts", "attrs", "_old", old.alias("_before"))
     changed = F.map_filter("attrs", lambda k, v: ~quiet(k) & ~v.eqNullSafe(F.col("_before")[k]))
     removed = F.filter(F.map_keys("_before"), lambda k: ~quiet(k) & ~F.map_contains_key("attrs", k))
-    none = F.lit(None).cast("string")
-    created = o.where("_old IS NULL").select("key", "ts", F.lit("C").alias("op"), none.alias("name"), "attrs")
-    merged = o.where("_old IS NOT NULL").select("key", "ts", F.lit("M").alias("op"), none.alias("name"), changed.alias("attrs")).where(F.size("attrs") > 0)
-    gone = o.where("_old IS NOT NULL").select("key", "ts", F.lit("R").alias("op"), F.explode(removed).alias("name"), F.lit(None).cast("map<string,string>").alias("attrs"))
-    return created.unionByName(merged).unionByName(gone)
+    none, no_attrs = F.lit(None).cast("string"), F.lit(None).cast(objects.schema["attrs"].dataType)
+    event = lambda op, name, attrs: F.struct(F.lit(op).alias("op"), name.alias("name"), attrs.alias("attrs"))
+    put = F.when(F.col("_old").isNull(), event("C", none, F.col("attrs"))).when(F.size(changed) > 0, event("M", none, changed))
+    gone = F.transform(F.filter(removed, lambda _: F.col("_old").isNotNull()), lambda k: event("R", k, no_attrs))
+    rows = o.select("key", "ts", F.explode(F.concat(F.array_compact(F.array(put)), gone)).alias("_e"))
+    return rows.select("key", "ts", "_e.op", "_e.name", "_e.attrs")
 
 
 def expiries(heartbeats: DataFrame, lifetime: int, own: str | None = None, until: int | None = None) -> DataFrame:
