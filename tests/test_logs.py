@@ -320,3 +320,11 @@ def test_ranks_over_ranges(spark):
         got = [(r.i, r["rank"]) for r in stats.ranked(df, "v", ["i"], bins=8).orderBy("rank").collect()]
         want = sorted(range(len(values)), key=lambda i: (values[i] is not None, values[i] or 0.0, i))
         assert got == [(i, k + 1) for k, i in enumerate(want)]
+
+
+def test_closure_stays_in_all_shuffle_partitions(spark, monkeypatch):
+    tasks, write = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: tasks.append(df.select(F.spark_partition_id()).distinct().count()) or write(df))
+    links = spark.range(1, 200).select(F.floor(F.col("id") / 2).alias("parent"), F.col("id").alias("child"))
+    graph.closure(links)
+    assert tasks[1] == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -101,8 +101,11 @@ def closure(links: DataFrame, hops: int | None = None) -> DataFrame:
 
     Distances double each round: what lies beyond ``half`` links, up to twice as far, is reached from a node at exactly
     ``half``, as a shortest path's parts are shortest paths.  So the rounds are as many as the longest distance has
-    binary digits, and each joins one layer of pairs, not all of them, with the pairs known so far.
+    binary digits, and each joins one layer of pairs, not all of them, with the pairs known so far.  The layer is the
+    side that a join holds a node's rows of; pairs compress well, so they stay in all shuffle partitions.
     """
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = lambda pairs: pairs.repartition(parts, "ancestor", "node")
     links = links.select("parent", "child").distinct()
     reached = checkpointed(links.select(F.col("parent").alias("ancestor"), F.col("child").alias("node"), F.lit(1).alias("distance")))
     if hops is not None and hops < 1:
@@ -113,8 +116,8 @@ def closure(links: DataFrame, hops: int | None = None) -> DataFrame:
         beyond = reached.select(F.col("ancestor").alias("_middle"), "node", (F.col("distance") + half).alias("distance"))
         if hops is not None:
             beyond = beyond.where(F.col("distance") <= hops)
-        step = layer.join(beyond, "_middle").groupBy("ancestor", "node").agg(F.min("distance").alias("distance"))
-        found = checkpointed(step.join(reached, ["ancestor", "node"], "left_anti"))
+        step = spread(beyond.hint("merge").join(layer, "_middle").select("ancestor", "node", "distance")).groupBy("ancestor", "node").agg(F.min("distance").alias("distance"))
+        found = checkpointed(step.join(spread(reached.select("ancestor", "node")).hint("merge"), ["ancestor", "node"], "left_anti"))
         if found.isEmpty():
             break
         reached, half = reached.unionByName(found), 2 * half
