@@ -5,6 +5,7 @@ import random
 import pytest
 
 from tidemark.operators import storage
+from tidemark.plans import workflows
 
 
 def walked(sizes, made, needed, final):
@@ -138,3 +139,49 @@ def test_the_graph_is_not_closed_as_a_whole(spark, monkeypatch):
     monkeypatch.setattr(storage.graph, "closure", lambda *a, **k: pytest.fail("closure of the whole graph"))
     g = {"a": 3, "b": 4, "c": 5, "d": 6}, [("a", 1), ("b", 2), ("c", 3), ("d", 4)], [("a", 2), ("a", 3), ("a", 4), ("b", 4), ("c", 4)], {"b", "d"}
     assert {r.node: tuple(r)[1:] for r in storage.footprints(*frames(spark, *g)).collect()} == walked(*g)
+
+
+def test_links_are_shuffled_once(spark):
+    """A step from a level to the next shuffles the level's tasks and not all links, and meets every link once."""
+    pairs = spark.createDataFrame([(i, i + k) for i in range(7) for k in (1, 1, 2)], "parent long, child long")
+    links = storage.graph.by_parent(pairs)
+    step = storage._join(links.select("parent", "child"), spark.range(5).withColumnRenamed("id", "parent"), "parent")
+    assert step.count() == 10
+    plan = step._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    assert "InMemoryTableScan" in plan and "Exchange" not in plan.split("InMemoryTableScan")[0].split("SortMergeJoin")[-1]
+    nodes, levels, jumps = storage.graph.peeled(links, pairs)
+    assert {r.node: r.level for r in nodes.collect()} == {i: min(i, 7) for i in range(9)}
+    assert [x.count() for x in levels] == [2] * 7
+    assert sorted(tuple(r) for r in jumps.collect()) == [(i, i + 2, i + 2) for i in range(6)]
+    links.unpersist()
+
+
+def test_few_tables_are_written(spark, monkeypatch):
+    """Steps share their shuffles: 25 tables for a graph with two ranks of splits (53 before)."""
+    written = []
+    for module in (storage, storage.graph):
+        monkeypatch.setattr(module, "checkpointed", lambda df, whole=module.checkpointed: written.append(df.columns) or whole(df))
+    made = [("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", 5), ("f", 6)]
+    needed = [("a", 2), ("a", 3), ("b", 4), ("b", 5), ("d", 6), ("e", 6), ("c", 6)]
+    g = {f: i + 3 for i, (f, _) in enumerate(made)}, made, needed, {"f"}
+    assert {r.node: tuple(r)[1:] for r in storage.footprints(*frames(spark, *g)).collect()} == walked(*g)
+    assert len(written) <= 26
+
+
+@pytest.mark.parametrize("far", [12, -3, 10**12 + 7])
+def test_keys_that_are_no_short_numbers(spark, tmp_path, far):
+    """Orders of equal gain go by their names, whether their keys are numbered or not."""
+    duckdb = pytest.importorskip("duckdb")
+    orders = [(k, 1 + k % 2, 100.0) for k in (1, 10, 2, 100, 19, far)]
+    lines = [(o, n, float(5 + n % 3)) for o, _, _ in orders for n in (1, 2, 10)[: 1 + o % 3]]
+    tables = {
+        "customer": spark.createDataFrame([(1, 3.0), (2, 700.5)], "c_custkey long, c_acctbal double"),
+        "orders": spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double"),
+        "lineitem": spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double"),
+    }
+    con = duckdb.connect()
+    for name, rows in tables.items():
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    query, sql = workflows.QUERIES["workflow_storage"]
+    assert sorted(tuple(r) for r in query(spark, str(tmp_path)).collect()) == sorted(con.execute(sql).fetchall())

@@ -6,9 +6,10 @@ grow with the graph join by shuffles (``hint("merge")``) and send no table to th
 
 from __future__ import annotations
 
+import functools
 import itertools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.tables import checkpointed
@@ -40,35 +41,61 @@ def levels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     raise ValueError("the graph has a cycle")
 
 
-def peeled(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """The levels of ``levels`` for links whose ends are all in nodes(node); a node is taken once, when its last parent is.
+def by_parent(links: DataFrame) -> DataFrame:
+    """(parent, child, parents, children): links once each, with how many parents the child and how many children the parent has.
 
-    A cycle is an error, found when nothing more can be taken.
+    Kept in memory, or on local disk, in all shuffle partitions by parent, so that a step from parents to children shuffles
+    these parents alone; the caller unpersists it.
     """
-    links = checkpointed(links.select("parent", "child").distinct()).hint("merge")
-    asked = checkpointed(links.groupBy("child").agg(F.count(F.lit(1)).alias("_asked"))).hint("merge")
-    out = now = checkpointed(nodes.select("node").distinct().hint("merge").join(asked.select(F.col("child").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)))
-    waiting = None
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = links.select("parent", "child").repartition("child").distinct().withColumn("parents", F.count(F.lit(1)).over(Window.partitionBy("child")))
+    links = links.repartition(parts, "parent").withColumn("children", F.count(F.lit(1)).over(Window.partitionBy("parent")))
+    return links.persist()
+
+
+def peeled(links: DataFrame, pairs: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
+    """(node, level) by the longest path from a node without parents, the links of every level's nodes, and those that pass a level by.
+
+    links: as by_parent keeps them of pairs(parent, child).  A node is taken once, when its last parent is.  The links (parent, child, level of the
+    child) that pass a level by are None if there are none: only a child that waited for a parent has any.  A cycle is an
+    error, as its links are never come by.
+    """
+    nodes = now = checkpointed(links.select(F.col("parent").alias("node")).distinct().hint("merge").join(pairs.select(F.col("child").alias("node")).distinct(), "node", "left_anti").select("node", F.lit(0).alias("level")))
+    levels, late, waiting, seen = [], None, None, 0
     for level in itertools.count(1):
-        came = now.join(links, now["node"] == links["parent"]).groupBy("child").agg(F.count(F.lit(1)).alias("_came"))
-        came = came if waiting is None else came.unionByName(waiting).groupBy("child").agg(F.sum("_came").alias("_came"))
-        came = checkpointed(came.join(asked, "child"))
-        now = came.where("_came = _asked").select(F.col("child").alias("node"), F.lit(level).alias("level"))
-        waiting = came.where("_came < _asked").select("child", "_came")
-        if now.isEmpty():
+        out = checkpointed(links.hint("merge").join(now.select(F.col("node").alias("parent")), "parent"))
+        n = out.count()
+        if not n:
             break
-        out = out.unionByName(now)
-    if out.count() < nodes.select("node").distinct().count():
+        seen += n
+        levels.append(out)
+        came = out.groupBy("child").agg(F.count(F.lit(1)).alias("_came"), F.max("parents").alias("_asked"), F.lit(False).alias("_late"))
+        if waiting is not None:
+            came = came.unionByName(waiting).groupBy("child").agg(F.sum("_came").alias("_came"), F.max("_asked").alias("_asked"), F.max("_late").alias("_late"))
+        came = checkpointed(came)
+        whole = came.where("_came = _asked")
+        now = whole.select(F.col("child").alias("node"), F.lit(level).alias("level"))
+        nodes = nodes.unionByName(now)
+        if waiting is not None:
+            new = whole.where("_late").select("child", F.lit(level).alias("level"))
+            late = new if late is None else late.unionByName(new)
+        waiting = came.where("_came < _asked").withColumn("_late", F.lit(True))
+        if waiting.isEmpty():
+            waiting = None
+    if seen < links.count():
         raise ValueError("the graph has a cycle")
-    return out
+    if late is None:
+        return nodes, levels, None
+    above = functools.reduce(DataFrame.unionByName, [out.select("parent", "child", F.lit(i).alias("_above")) for i, out in enumerate(levels)])
+    return nodes, levels, checkpointed(above.hint("merge").join(late, "child").where("level > _above + 1").select("parent", "child", "level"))
 
 
 def descendants(links: DataFrame, starts: DataFrame) -> DataFrame:
     """(ancestor, node): what lies below starts(ancestor, deepest) along links(parent, child, level), down to that level of a child."""
-    found = now = checkpointed(starts.join(links.withColumnRenamed("parent", "ancestor"), "ancestor").where("level <= deepest").select("ancestor", F.col("child").alias("node"), "deepest").distinct())
+    found = now = checkpointed(starts.hint("merge").join(links.withColumnRenamed("parent", "ancestor"), "ancestor").where("level <= deepest").select("ancestor", F.col("child").alias("node"), "deepest").distinct())
     while not now.isEmpty():
-        step = now.join(links.withColumnRenamed("parent", "node"), "node").where("level <= deepest").select("ancestor", F.col("child").alias("node"), "deepest").distinct()
-        now = checkpointed(step.join(found.select("ancestor", "node"), ["ancestor", "node"], "left_anti"))
+        step = now.hint("merge").join(links.withColumnRenamed("parent", "node"), "node").where("level <= deepest").select("ancestor", F.col("child").alias("node"), "deepest").distinct()
+        now = checkpointed(step.hint("merge").join(found.select("ancestor", "node"), ["ancestor", "node"], "left_anti"))
         found = found.unionByName(now)
     return found.select("ancestor", "node")
 

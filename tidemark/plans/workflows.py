@@ -2,28 +2,66 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import storage
+from tidemark.sources.tables import checkpointed
 from tidemark.sources.tables import table as t
 
 
 def workflow_storage(spark, sf):
     """Customer -> orders -> line items -> one collecting task an order -> one a customer, whose output is final."""
-    lines = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o"), "l_linenumber").agg(F.max(F.floor(F.col("l_quantity") * 100)).alias("size"))
-    orders = t(spark, sf, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c"), F.floor(F.col("o_totalprice") / 100).alias("size")).join(lines.select("o").distinct(), "o", "left_semi")
-    people = t(spark, sf, "customer").select(F.col("c_custkey").alias("c"), F.floor(F.abs("c_acctbal")).alias("size")).join(orders.select("c").distinct(), "c", "left_semi")
-    orders = orders.join(people.select("c"), "c", "left_semi")
-    lines = lines.join(orders.select("o", "c"), "o")
-    c, o, j, k = (F.concat(F.lit(kind), F.col(key).cast("string")) for kind, key in (("c", "c"), ("o", "o"), ("j", "o"), ("k", "c")))
-    item = F.concat(F.lit("l"), F.col("o").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"))
+    lines, orders, people = t(spark, sf, "lineitem"), t(spark, sf, "orders"), t(spark, sf, "customer")
+    numbered = _fits([(people, "c_custkey", 11), (orders, "o_orderkey", 11), (orders, "o_custkey", 11), (lines, "l_orderkey", 11), (lines, "l_linenumber", 3)])
+    name = _number if numbered else _name
+    # by shuffles, and each table made once: what grows with the orders is not sent to the driver
+    lines = checkpointed(lines.groupBy(F.col("l_orderkey").alias("o"), "l_linenumber").agg(F.max(F.floor(F.col("l_quantity") * 100)).alias("size")))
+    orders = orders.select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c"), F.floor(F.col("o_totalprice") / 100).alias("size")).hint("merge").join(lines.select("o").distinct(), "o", "left_semi")
+    people = people.select(F.col("c_custkey").alias("c"), F.floor(F.abs("c_acctbal")).alias("size"))
+    orders = orders.hint("merge").join(people.select("c"), "c", "left_semi").withColumns({"c_": name("c", "c"), "o_": name("o", "o"), "j_": name("j", "o"), "k_": name("k", "c")})
+    orders = checkpointed(orders)
+    people = checkpointed(people.hint("merge").join(orders.select("c").distinct(), "c", "left_semi").withColumns({"c_": name("c", "c"), "k_": name("k", "c")}))
+    lines = checkpointed(lines.hint("merge").join(orders.select("o", "o_", "j_").distinct(), "o").select("size", "o_", "j_", name("l", "o", "l_linenumber").alias("l_")))
+    c, o, j, k, item = (F.col(x) for x in ("c_", "o_", "j_", "k_", "l_"))
     files = lambda df, name, size: df.select(name.alias("file"), size.cast("long").alias("size"))
     needs = lambda df, file, node: df.select(file.alias("file"), node.alias("node"))
     sizes = files(people, c, F.col("size")).union(files(orders, o, F.col("size"))).union(files(lines, item, F.col("size")))
     sizes = sizes.union(files(orders, j, F.col("o") % 97)).union(files(people, k, F.lit(10)))
     needed = needs(orders, c, o).union(needs(lines, o, item)).union(needs(lines, item, j)).union(needs(orders, j, k))
     # a file is named after the task that makes it
-    return storage.footprints(sizes, sizes.select("file", F.col("file").alias("node")), needed, people.select(k.alias("file")))
+    out = storage.footprints(sizes, sizes.select("file", F.col("file").alias("node")), needed, people.select(k.alias("file")))
+    return out.withColumn("node", _named(F.col("node"))) if numbered else out
+
+
+KINDS = "cjklo"  # in the order of their letters
+
+
+def _name(kind: str, key: str, line: str | None = None) -> Column:
+    name = F.concat(F.lit(kind), F.col(key).cast("string"))
+    return name if line is None else F.concat(name, F.lit("."), F.col(line).cast("string"))
+
+
+def _number(kind: str, key: str, line: str | None = None) -> Column:
+    """A number that orders as the name does among names of one kind and, with lines, one key: digits from the left, then how many they are."""
+    digits = lambda x, most: F.rpad(F.col(x).cast("string"), most, "0").cast("long")
+    code = F.lit(KINDS.index(kind) << 41).cast("long") + digits(key, 11) * 16 + F.length(F.col(key).cast("string"))
+    return F.shiftleft(code, 12) if line is None else F.shiftleft(code, 12) + digits(line, 3) * 4 + F.length(F.col(line).cast("string"))
+
+
+def _named(number: Column) -> Column:
+    """The name of a number."""
+    digits = lambda code, bits, most: F.lpad(F.shiftright(code, bits).cast("string"), most, "0").substr(F.lit(1), code.bitwiseAND((1 << bits) - 1).cast("int"))
+    code, line = F.shiftright(number, 12), number.bitwiseAND(4095)
+    kind = F.lit(KINDS).substr((F.shiftright(code, 41) + 1).cast("int"), F.lit(1))
+    name = F.concat(kind, digits(code.bitwiseAND((1 << 41) - 1), 4, 11))
+    return F.when(line == 0, name).otherwise(F.concat(name, F.lit("."), digits(line, 2, 3)))
+
+
+def _fits(keys: list[tuple[DataFrame, str, int]]) -> bool:
+    """Whether every key is a whole number of at most so many digits; others keep their names."""
+    whole = all(rows.schema[key].dataType.typeName() in ("long", "integer", "short", "byte") for rows, key, _ in keys)
+    return whole and all(rows.where(~F.col(key).between(0, 10**most - 1)).isEmpty() for rows, key, most in keys)
 
 
 WORKFLOW_STORAGE = """
